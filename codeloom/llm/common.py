@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from codeloom.runtime import drop_stored, ship, stored
 
-__all__ = ["CACHE_WORDS", "MIX", "arrow_map", "as_bytes", "batch_of", "cached_hashes", "drop_stored", "held_out", "slices", "splitmix", "stored"]
+__all__ = ["CACHE_WORDS", "MIX", "arrow_map", "as_bytes", "batch_of", "cached_hashes", "drop_stored", "held_out", "salt", "slices", "splitmix", "stored"]
 
 #: A worker's memo of word hashes is emptied at this size, so its memory is bounded.
 CACHE_WORDS = 400_000
@@ -50,7 +51,7 @@ def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` holds about ``most`` bytes in each part; a single row stays whole."""
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0
@@ -74,6 +75,11 @@ def cached_hashes(words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def salt(k: int) -> np.uint64:
+    """The k-th of a row of 64-bit numbers, to be added before a mix."""
+    return np.uint64(int(MIX) * k & (1 << 64) - 1)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit numbers (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

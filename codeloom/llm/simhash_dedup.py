@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import MIX, arrow_map, as_bytes, slices, splitmix, stored
+from codeloom.llm.common import arrow_map, as_bytes, salt, slices, splitmix, stored
 from codeloom.llm.components import connected_components
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, words64: int = 1, id_col:
         for text in batch.column("t").to_pylist():
             h = shingle_hashes(text, shingle)
             for k in range(words64):
-                out[k].append(_signed(vote(splitmix(h + MIX * np.uint64(k)) if k else h)))
+                out[k].append(_signed(vote(splitmix(h + salt(k)) if k else h)))
         yield {"i": batch.column("i"), **{f"f{k}": x for k, x in enumerate(out)}}
 
     source = docs.select(F.col(id_col).alias("i"), as_bytes(text_col).alias("t"))
