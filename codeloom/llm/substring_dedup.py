@@ -7,8 +7,9 @@ exchanged at first (4 of 13 positions); an anchor that occurs once rules out the
 The others are extended to whole windows, whose hashes are exchanged with their positions; all but
 the first place of each are removed.
 
-Exchanges carry packed arrays, one row for each slice of the input and target partition. Each slice
-first settles what it can by itself and sends one entry for each hash, so a passage that very many
+Exchanges carry packed arrays, one row for each slice of the input and target partition; what was
+found goes back in the same way and becomes one row of ranges for each document. Each slice first
+settles what it can by itself and sends one entry for each hash, so a passage that very many
 documents share costs one entry a slice, not one for each document. Texts are exchanged once,
 by document, and read twice. Documents, hashes and positions never reach the driver.
 """
@@ -29,7 +30,7 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 #: The id by which rows with a null id are ordered: before all others.
 NULL_ID = -(1 << 63)
 _BASES = (MIX, np.uint64(0xD6E8FEB86659FD93))
-_FLAG = np.dtype([("pos", "<u4"), ("tag", "<u2")])
+_KEY = np.dtype([("k", "<i8"), ("c", "<i4")])
 
 
 class _Powers:
@@ -77,71 +78,91 @@ def _pack(bucket: np.ndarray, doc: np.ndarray, keys: np.ndarray, *columns: np.nd
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     """The keys, one for each entry, and the columns of a blob."""
     docs, entries = np.frombuffer(blob, np.uint32, 2).tolist()
-    keys = np.frombuffer(blob, np.int64, docs, 8)
-    sizes = np.frombuffer(blob, np.uint32, docs, 8 + 8 * docs)
-    out, at = [np.repeat(keys, sizes)], 8 + 12 * docs
+    keys = np.frombuffer(blob, _KEY, docs, 8)
+    sizes = np.frombuffer(blob, np.uint32, docs, 8 + 12 * docs)
+    out, at = [np.repeat(keys, sizes)], 8 + 16 * docs
     for kind in kinds:
         out.append(np.frombuffer(blob, kind, entries, at))
         at += out[-1].nbytes
     return out
 
 
-def _flags(keys: np.ndarray, pos: np.ndarray, tag: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The flagged positions of each key, packed."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    flags = np.empty(len(keys), _FLAG)
-    flags["pos"], flags["tag"] = pos[order], tag[order]
-    cuts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else []
-    for a, b in zip(list(cuts), [*list(cuts[1:]), len(keys)], strict=False):
-        yield int(keys[a]), flags[a:b].tobytes()
+def _flags(keys: np.ndarray, pos: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Flagged positions as a blob for each partition of documents."""
+    order = np.lexsort((keys["c"], keys["k"]))
+    keys, pos = keys[order], pos[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    own = keys[new]
+    home = (splitmix(own["k"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    doc = np.cumsum(new) - 1
+    return list(_pack(home[doc], doc, own, pos))
 
 
-def _rows(packed: list[tuple[int, bytes]], flagged: list[tuple[int, bytes]], parts: int) -> dict:
-    """Rows of an exchange: blobs for their bucket; flags that are settled go anywhere."""
-    return {
-        "b": [b for b, _ in packed] + [k % parts for k, _ in flagged],
-        "k": [0] * len(packed) + [k for k, _ in flagged],
-        "f": [None] * len(packed) + [f for _, f in flagged],
-        "e": [e for _, e in packed] + [None] * len(flagged),
-    }
+def _rows(packed: list[tuple[int, bytes]], flagged: list[tuple[int, bytes]]) -> dict:
+    """Rows of an exchange: entries for the partition of their hash; settled flags for their documents'."""
+    return {"b": [b for b, _ in (*packed, *flagged)], "f": [None] * len(packed) + [f for _, f in flagged], "e": [e for _, e in packed] + [None] * len(flagged)}
 
 
-_SENT = "b int, k long, f binary, e binary"
+_SENT = "b int, f binary, e binary"
 
 
-def _settle(df: DataFrame, parts: int, settle, *kinds: str) -> DataFrame:
-    """(k, f): what ``settle`` flags of all the entries that met in a partition, and the flags sent along."""
+def _settle(df: DataFrame, parts: int, settle, before: int, after: int, *kinds: str) -> DataFrame:
+    """(k, c, runs): ``settle`` flags some of all the entries that met in a partition. Flags go to
+    their documents' partition and become one row for each document: merged ranges of the positions
+    from ``before`` below a flag to ``after`` above it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = pa.schema([("k", pa.int64()), ("f", pa.binary())])
-        met: list[list[np.ndarray]] = []
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([("b", pa.int32()), ("f", pa.binary())])
+        blobs: list[list[np.ndarray]] = []
         for batch in batches:
-            k, f, e = (batch.column(c).to_pylist() for c in ("k", "f", "e"))
-            met += [_unpack(x, *kinds) for x in e if x is not None]
-            if done := [(a, b) for a, b in zip(k, f, strict=True) if b is not None]:
-                yield batch_of({"k": [a for a, _ in done], "f": [b for _, b in done]}, arrow)
-        if met:
-            columns = [np.concatenate(c) for c in zip(*met, strict=True)]
-            met.clear()
-            found = list(_flags(*settle(*columns)))
-            for a in range(0, len(found), 4096):
-                yield batch_of({"k": [x for x, _ in found[a : a + 4096]], "f": [x for _, x in found[a : a + 4096]]}, arrow)
-
-    return df.repartitionById(parts, F.col("b")).mapInArrow(run, "k long, f binary")
-
-
-def _shared_anchors(keys: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            b, f, e = (batch.column(c).to_pylist() for c in ("b", "f", "e"))
+            blobs += [_unpack(x, *kinds) for x in e if x is not None]
+            if done := [(x, y) for x, y in zip(b, f, strict=True) if y is not None]:
+                yield batch_of({"b": [x for x, _ in done], "f": [y for _, y in done]}, arrow)
+        if blobs:
+            columns = [np.concatenate(c) for c in zip(*blobs, strict=True)]
+            blobs.clear()
+            found = _flags(*settle(*columns), parts)
+            yield batch_of({"b": [x for x, _ in found], "f": [y for _, y in found]}, arrow)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([("k", pa.int64()), ("c", pa.int32()), ("runs", pa.binary())])
+        blobs = [_unpack(x.as_py(), "<u4") for batch in batches for x in batch.column("f")]
+        if not blobs:
+            return
+        keys, pos = (np.concatenate(c) for c in zip(*blobs, strict=True))
+        blobs.clear()
+        order = np.lexsort((pos, keys["c"], keys["k"]))
+        keys, pos = keys[order], pos[order].astype(np.int64)
+        other = np.ones(len(keys), bool)
+        other[1:] = keys[1:] != keys[:-1]
+        new = other.copy()
+        new[1:] |= pos[1:] - before > pos[:-1] + after
+        first = np.flatnonzero(new)
+        runs = np.stack((np.maximum(pos[first] - before, 0), pos[np.append(first[1:], len(pos)) - 1] + after), axis=1).astype("<u4")
+        docs = np.flatnonzero(other[first])
+        ends = np.append(docs[1:], len(first))
+        for a in range(0, len(docs), 4096):
+            some = [(keys[first[x]], runs[x:y].tobytes()) for x, y in zip(docs[a : a + 4096].tolist(), ends[a : a + 4096].tolist(), strict=True)]
+            yield batch_of({"k": [k["k"] for k, _ in some], "c": [k["c"] for k, _ in some], "runs": [r for _, r in some]}, arrow)
+
+    flags = df.repartitionById(parts, F.col("b")).mapInArrow(met, "b int, f binary")
+    return flags.repartitionById(parts, F.col("b")).mapInArrow(merged, "k long, c int, runs binary")
+
+
+def _shared_anchors(keys: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of anchors, those that came from more than one place."""
     order = np.argsort(tags, kind="stable")
     same = np.diff(tags[order].astype(np.int64)) == 0
     some = order[np.append(same, False) | np.insert(same, 0, False)]
-    return keys[some], pos[some], tags[some].astype(np.uint16)
+    return keys[some], pos[some]
 
 
-def _later(keys: np.ndarray, high: np.ndarray, low: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _later(keys: np.ndarray, high: np.ndarray, low: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal windows, those that start after the first."""
-    some = _not_first(keys, high, low, pos)
-    return keys[some], pos[some], low[some].astype(np.uint16)
+    some = _not_first(keys["k"], high, low, pos)
+    return keys[some], pos[some]
 
 
 def _not_first(keys: np.ndarray, high: np.ndarray, low: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -158,8 +179,13 @@ def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
-def _flagged(flags: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(flags or ()), _FLAG)
+def _covered(runs: bytes, n: int) -> np.ndarray:
+    """Which of the first ``n`` positions some range covers."""
+    edge = np.zeros(n + 1, np.int32)
+    bounds = np.minimum(np.frombuffer(runs, "<u4").reshape(-1, 2).astype(np.int64), n)
+    np.add.at(edge, bounds[:, 0], 1)
+    np.add.at(edge, bounds[:, 1], -1)
+    return np.cumsum(edge)[:n] > 0
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,13 +202,19 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
     if modulus not in COVERS or window <= modulus:
         raise ValueError(f"modulus must be one of {sorted(COVERS)} and below the window")
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    span, shifts = window - modulus + 1, modulus
+    span = window - modulus + 1
     cover = np.isin(np.arange(modulus), COVERS[modulus])
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), as_bytes(text_col).alias("t"))
+    # c tells texts of one id apart
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), as_bytes(text_col).alias("t"))
+
+    def keys_of(part: pa.RecordBatch) -> np.ndarray:
+        keys = np.empty(part.num_rows, _KEY)
+        keys["k"], keys["c"] = part.column("k").to_numpy(), part.column("c").to_numpy()
+        return keys
 
     def anchors(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "t", 24 << 20):
-            keys = part.column("k").to_numpy()
+            keys = keys_of(part)
             tags, docs_, pos = [], [], []
             for i, text in enumerate(part.column("t")):
                 words = text.as_py().split()
@@ -194,29 +226,21 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
             tag, doc, at = _joined(tags, np.uint64), _joined(docs_, np.int64), _joined(pos, np.uint32)
             _, first, back, count = np.unique(tag, return_index=True, return_inverse=True, return_counts=True)
             here = count[back] > 1
-            flagged = list(_flags(keys[doc[here]], at[here], tag[here].astype(np.uint16)))
+            flagged = _flags(keys[doc[here]], at[here], parts)
             first.sort()
             tag, doc, at = tag[first], doc[first], at[first]
             bucket = ((tag >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            yield _rows(list(_pack(bucket, doc, keys, tag.astype(np.uint32), at)), flagged, parts)
+            yield _rows(list(_pack(bucket, doc, keys, tag.astype(np.uint32), at)), flagged)
 
     def windows(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "t", 24 << 20):
-            keys, flags = part.column("k").to_numpy(), part.column("f").to_pylist()
+            keys, runs = keys_of(part), part.column("runs").to_pylist()
             high, low, docs_, pos = [], [], [], []
             for i, text in enumerate(part.column("t")):
-                if not flags[i] or len(words := text.as_py().split()) < window:
+                if not runs[i] or len(words := text.as_py().split()) < window:
                     continue
-                flag = _flagged(flags[i])
                 hashes = cached_hashes(words)
-                tag = window_hashes(hashes, span).astype(np.uint16)
-                at = flag["pos"][flag["pos"] < len(tag)].astype(np.int64)
-                at = at[tag[at] == flag["tag"][flag["pos"] < len(tag)]]
-                # an anchor at q is in the windows that start from q - shifts + 1 to q
-                edge = np.zeros(len(words) + 2, np.int64)
-                np.add.at(edge, np.maximum(at - shifts + 1, 0), 1)
-                np.add.at(edge, at + 1, -1)
-                some = np.flatnonzero(np.cumsum(edge)[: len(words) - window + 1])
+                some = np.flatnonzero(_covered(runs[i], len(words) - window + 1))
                 if len(some):
                     high.append(window_hashes(hashes, window)[some])
                     low.append(window_hashes(hashes, window, 1)[some].astype(np.uint32))
@@ -225,28 +249,21 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
             if not high:
                 continue
             h, l, doc, at = np.concatenate(high), np.concatenate(low), np.concatenate(docs_), np.concatenate(pos)
-            later = _not_first(keys[doc], h, l, at)
-            flagged = list(_flags(keys[doc[later]], at[later], l[later].astype(np.uint16)))
+            later = _not_first(keys["k"][doc], h, l, at)
+            flagged = _flags(keys[doc[later]], at[later], parts)
             keep = ~later
             h, l, doc, at = h[keep], l[keep], doc[keep], at[keep]
             bucket = (h % np.uint64(parts)).astype(np.int64)
-            yield _rows(list(_pack(bucket, doc, keys, h, l, at)), flagged, parts)
+            yield _rows(list(_pack(bucket, doc, keys, h, l, at)), flagged)
 
     def kept(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "t"):
             out: dict[str, list] = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept", "runs")}
-            for key, text, flags in zip(part.column("k").to_pylist(), part.column("t"), part.column("f").to_pylist(), strict=True):
+            for key, text, found in zip(part.column("k").to_pylist(), part.column("t"), part.column("runs").to_pylist(), strict=True):
                 words, runs = text.as_py().split(), []
                 n, gone = len(words), 0
-                if flags and n >= window:
-                    flag = _flagged(flags)
-                    tag = window_hashes(cached_hashes(words), window, 1).astype(np.uint16)
-                    at = flag["pos"][flag["pos"] < len(tag)].astype(np.int64)
-                    at = at[tag[at] == flag["tag"][flag["pos"] < len(tag)]]
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    cut = np.cumsum(edge)[:n] > 0
+                if found:
+                    cut = _covered(found, n)
                     turns = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0)).tolist()
                     runs = [{"start": a, "stop": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
                     gone = int(cut.sum())
@@ -255,10 +272,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
                     out[c].append(v)
             yield out
 
-    def with_flags(flags: DataFrame) -> DataFrame:
-        by = flags.groupBy("k").agg(F.collect_list("f").alias("f"))
-        return texts.join(by, "k", "left").select("k", "t", "f")
+    def with_runs(runs: DataFrame) -> DataFrame:
+        return texts.join(runs, ["k", "c"], "left").select("k", "c", "t", "runs")
 
-    first = _settle(arrow_map(texts, anchors, _SENT), parts, _shared_anchors, "<u4", "<u4")
-    second = _settle(arrow_map(with_flags(first), windows, _SENT), parts, _later, "<u8", "<u4", "<u4")
-    return arrow_map(with_flags(second), kept, "doc_id long, n_words long, n_removed long, kept binary, runs array<struct<start:long,stop:long>>")
+    # an anchor at q is in the windows that start from q - modulus + 1 to q; a window covers its words
+    first = _settle(arrow_map(texts, anchors, _SENT), parts, _shared_anchors, modulus - 1, 1, "<u4", "<u4")
+    second = _settle(arrow_map(with_runs(first), windows, _SENT), parts, _later, 0, window, "<u8", "<u4", "<u4")
+    return arrow_map(with_runs(second), kept, "doc_id long, n_words long, n_removed long, kept binary, runs array<struct<start:long,stop:long>>")
