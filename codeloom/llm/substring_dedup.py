@@ -66,6 +66,8 @@ def window_hashes(words: np.ndarray, width: int, kind: int = 0) -> np.ndarray:
 
 def _pack(bucket: np.ndarray, doc: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Entries, ordered by document, as a blob for each bucket: counts, keys, runs, columns."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, doc, columns = bucket[order], doc[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
