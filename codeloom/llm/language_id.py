@@ -8,6 +8,7 @@ so their size doesn't depend on the corpus; counting is distributed.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -125,9 +126,9 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, id_col: str = "do
     """(doc_id, lang_pred string, score double) of each whole text. ``und`` with score 0 if the text is null or
     has no letter (or the model has no language). Null ids and repeated rows pass through; other columns are ignored."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(pickle.dumps(model))
+    data = pickle.dumps(model)
+    shipped, name = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
     kind = docs.schema[id_col].dataType.simpleString()
-    name = f"{spark.sparkContext.applicationId}-{shipped.id}" if hasattr(shipped, "id") else f"{id(shipped)}-{spark.sparkContext.applicationId}"
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         if name not in _MODELS:

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, fingerprint, packing, secret_scan, sharding, simhash_dedup, substring_dedup
+from codeloom.llm import byte_bpe, embedding_dedup, fingerprint, language_id, packing, secret_scan, sharding, simhash_dedup, substring_dedup
+from codeloom.llm.common import held_out
 from codeloom.runtime import table
 
 
@@ -40,6 +41,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out("doc_id", 4, 2)))
+    return language_id.predict_language(docs, model).withColumn("held_out", held_out("doc_id", 4, 2))
+
+
 def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
