@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, embedding_dedup, fingerprint, language_id, packing, secret_scan, sharding, simhash_dedup, substring_dedup
+from codeloom.llm import byte_bpe, embedding_dedup, fingerprint, language_id, packing, quality_knn, secret_scan, sharding, simhash_dedup, substring_dedup
 from codeloom.llm.common import held_out
 from codeloom.runtime import table
 
@@ -18,6 +18,13 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_knn.fit(docs, labels.where(~held_out("doc_id", 5, 0)))
+    scored = quality_knn.score_quality(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
