@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from codeloom.runtime import drop_stored, ship, stored
 
-__all__ = ["CACHE_WORDS", "MIX", "arrow_map", "as_bytes", "batch_of", "cached_hashes", "drop_stored", "held_out", "salt", "slices", "splitmix", "stored"]
+__all__ = ["CACHE_WORDS", "MIX", "arrow_extend", "arrow_map", "as_bytes", "batch_of", "cached_hashes", "drop_stored", "held_out", "salt", "slices", "splitmix", "stored", "utf8"]
 
 #: A worker's memo of word hashes is emptied at this size, so its memory is bounded.
 CACHE_WORDS = 400_000
@@ -44,6 +44,31 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]
     return df.mapInArrow(run, kind)
 
 
+def arrow_extend(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, most: int = 16 << 20, by: str | None = None) -> DataFrame:
+    """``df`` with the columns that ``function`` gives for slices of it: new ones after its own, others replaced.
+    ``by`` names a text column whose bytes bound a slice."""
+    ship(df.sparkSession)
+    new = _parse_datatype_string(schema)
+    assert isinstance(new, StructType)
+    given = {f.name: f for f in to_arrow_schema(new)}
+    names = [*df.columns, *(n for n in given if n not in df.columns)]
+    whole = StructType([new[n] if n in given else df.schema[n] for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, by, most) if by else (batch,):
+                found = function(part)
+                columns = [pa.array(found[n], type=given[n].type) if n in given else part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return df.mapInArrow(run, whole)
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """The bytes of a string column, null as empty."""
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+
+
 def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of the schema's columns."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

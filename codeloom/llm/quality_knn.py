@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_map, as_bytes, slices
+from codeloom.llm.common import arrow_extend, arrow_map, as_bytes, slices, utf8
 
 _SHAPE = bytes(
     0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else 0x20 if b == 0x20 or 9 <= b <= 13 else b for b in range(256)
@@ -124,19 +124,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, dimensions: i
 _MODELS: dict[str, QualityModel] = {}
 
 
-def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score double) of each whole text; null and empty texts score 0.5. Null ids and
-    repeated rows pass through; other columns are ignored. The model, of bounded size, is broadcast."""
+def with_quality(docs: DataFrame, model: QualityModel, *, score_col: str = "score", text_col: str = "text") -> DataFrame:
+    """All rows and columns with the score of each whole text (a column of that name is replaced); null
+    and empty texts score 0.5. The model, of bounded size, is broadcast."""
     data = pickle.dumps(model)
     shipped, name = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+    def work(part: pa.RecordBatch) -> dict:
         if name not in _MODELS:
             _MODELS.clear()
             _MODELS[name] = pickle.loads(shipped.value)
-        for part in slices(batch, "t"):
-            yield {"doc_id": part.column("i"), "score": _MODELS[name].scores([terms(t.as_py()) for t in part.column("t")])}
+        return {score_col: _MODELS[name].scores([terms(t) for t in utf8(part.column(text_col))])}
 
-    source = docs.select(F.col(id_col).alias("i"), as_bytes(text_col).alias("t"))
-    return arrow_map(source, work, f"doc_id {kind}, score double")
+    return arrow_extend(docs, work, f"{score_col} double", by=text_col)
+
+
+def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score double), as :func:`with_quality` says. Null ids and repeated rows pass through; other columns are ignored."""
+    scored = with_quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
+    return scored.select("doc_id", "score")

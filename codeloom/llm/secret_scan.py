@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_map, as_bytes, slices
+from codeloom.llm.common import arrow_extend, utf8
 
 # The base patterns, their kinds in order, and the least length of what they hold.
 KINDS = ("assign", "access", "hex", "lexed")
@@ -141,23 +141,29 @@ def masked(text: str, spans: list[dict], mask: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, *, least: float = 0.6, redact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans array<struct<kind,start,stop,name,score>>[, text]): secrets in each whole text.
+def scan_secrets(docs: DataFrame, *, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans array<struct<kind,start,stop,name,score>>): secrets in each whole text.
 
-    Positions are in code points, ends exclusive; spans go by start, then kind. With ``redact``, the
-    text comes back with the spans masked (null stays null). Null text has no spans. Ids of any type
-    and null pass through, repeated rows are scanned each, other columns are ignored.
+    Positions are in code points, ends exclusive; spans go by start, then kind. Null text has no
+    spans. Ids of any type and null pass through, repeated rows are scanned each, other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, "t"):
-            texts = [t.decode("utf-8", "replace") for t in part.column("t").to_pylist()]
-            spans = [scan_text(t, least) for t in texts]
-            out = {"doc_id": part.column("i"), "spans": spans}
-            if redact:
-                out["text"] = [None if gone else masked(t, s) for gone, t, s in zip(part.column("n").to_pylist(), texts, spans, strict=True)]
-            yield out
-
-    source = docs.select(F.col(id_col).alias("i"), as_bytes(text_col).alias("t"), F.col(text_col).isNull().alias("n"))
-    return arrow_map(source, work, f"doc_id {kind}, spans array<struct<kind:string,start:long,stop:long,name:string,score:double>>" + ", text string" * redact)
+
+    def work(part: pa.RecordBatch) -> dict:
+        return {"spans": [scan_text(t.decode("utf-8", "replace"), least) for t in utf8(part.column("text"))]}
+
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return arrow_extend(source, work, "spans array<struct<kind:string,start:long,stop:long,name:string,score:double>>", by="text").select("doc_id", "spans")
+
+
+def redact_secrets(docs: DataFrame, *, least: float = 0.6, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """All rows and columns, with the secrets in the text column masked; null stays null, texts without secrets stay as they are."""
+
+    def work(part: pa.RecordBatch) -> dict:
+        out = []
+        for text in part.column(text_col).cast(pa.binary()).to_pylist():
+            plain = (text or b"").decode("utf-8", "replace")
+            spans = scan_text(plain, least)
+            out.append(masked(plain, spans, mask).encode() if spans else text)
+        return {text_col: pa.array(out, pa.binary()).view(pa.string()) if out else pa.array([], pa.string())}
+
+    return arrow_extend(docs, work, f"{text_col} string", by=text_col)

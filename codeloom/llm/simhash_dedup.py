@@ -140,8 +140,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 8, radiu
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = stored(rows.select("doc_id", F.sha2("text", 256).alias("k")).distinct())
     first = stored(keyed.groupBy("k").agg(F.min("doc_id").alias("node")))
-    texts = rows.join(first.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    prints = stored(fingerprints(texts, shingle=shingle, words64=(tables + 1) // 2))
+    prints = fingerprints(rows, shingle=shingle, words64=(tables + 1) // 2).join(first.select(F.col("node").alias("i")), "i", "left_semi")
+    prints = stored(prints.dropDuplicates(["i"]))
     halves = [F.expr(f"{'shiftright' if t % 2 else ''}(f{t // 2}{', 32' if t % 2 else ''}) & 4294967295").alias(f"t{t}") for t in range(tables)]
     wide = prints.select("i", *halves)
     # one row for each table; nodes of one fingerprint stay apart, as their texts differ
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 8, radiu
     pairs = near.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("p"), "i").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).where("a <> b").distinct()
     pairs = stored(pairs)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_shingle_sets(texts.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("i"), as_bytes("text").alias("t")), shingle))
+    sets = stored(_shingle_sets(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("i"), as_bytes("text").alias("t")), shingle))
     withs = pairs.join(sets.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batch: pa.RecordBatch) -> Iterator[dict]:

@@ -16,6 +16,7 @@ by document, and read twice. Documents, hashes and positions never reach the dri
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 #: The id by which rows with a null id are ordered: before all others.
 NULL_ID = -(1 << 63)
 _BASES = (MIX, np.uint64(0xD6E8FEB86659FD93))
+_SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 _KEY = np.dtype([("k", "<i8"), ("c", "<i4")])
 
 
@@ -190,7 +192,7 @@ def _covered(runs: bytes, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, partitions: int | None = None, spacing: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept binary, runs array<struct<start,stop>>): each document without the
     words covered by a window whose word sequence starts earlier (smaller id, or the same id and an
     earlier start). Words are split at ASCII white space and compared as they are; ``kept`` has one
@@ -198,7 +200,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
 
     ``id_col`` is an integer. Null text has no words. Null ids come before all others. Rows that
     repeat an id and a text are the same place and keep what one of them keeps. Texts under
-    ``window`` words stay whole. Other columns are ignored. ``partitions`` (default: the session's
+    ``window`` words stay whole. Other columns are ignored but for those in ``carry``, which come back
+    in a struct ``row``. With ``spacing``, ``kept`` keeps the white space before each word that stays,
+    and a text that loses nothing comes back as it is. ``partitions`` (default: the session's
     shuffle partitions) has to grow with the input: a task holds the entries of one partition.
     """
     if modulus not in COVERS or window <= modulus:
@@ -207,7 +211,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
     span = window - modulus + 1
     cover = np.isin(np.arange(modulus), COVERS[modulus])
     # c tells texts of one id apart
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), as_bytes(text_col).alias("t"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), as_bytes(text_col).alias("t"), *([F.struct(*carry).alias("row")] if carry else []))
+    carried = f", row {texts.schema['row'].dataType.simpleString()}" if carry else ""
 
     def keys_of(part: pa.RecordBatch) -> np.ndarray:
         keys = np.empty(part.num_rows, _KEY)
@@ -269,15 +274,18 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
                     turns = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0)).tolist()
                     runs = [{"start": a, "stop": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
                     gone = int(cut.sum())
+                    if spacing and gone:
+                        words = _SPACED.findall(text.as_py())
                     words = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
-                for c, v in zip(out, (None if key == NULL_ID else key, n, gone, b" ".join(words), runs), strict=True):
+                whole = b" ".join(words) if not spacing else b"".join(words).lstrip() if gone else text.as_py()
+                for c, v in zip(out, (None if key == NULL_ID else key, n, gone, whole, runs), strict=True):
                     out[c].append(v)
-            yield out
+            yield out | ({"row": part.column("row")} if carry else {})
 
     def with_runs(runs: DataFrame) -> DataFrame:
-        return texts.join(runs, ["k", "c"], "left").select("k", "c", "t", "runs")
+        return texts.join(runs, ["k", "c"], "left").select("k", "c", "t", *(["row"] if carry else []), "runs")
 
     # an anchor at q is in the windows that start from q - modulus + 1 to q; a window covers its words
     first = _settle(arrow_map(texts, anchors, _SENT), parts, _shared_anchors, modulus - 1, 1, "<u4", "<u4")
     second = _settle(arrow_map(with_runs(first), windows, _SENT), parts, _later, 0, window, "<u8", "<u4", "<u4")
-    return arrow_map(with_runs(second), kept, "doc_id long, n_words long, n_removed long, kept binary, runs array<struct<start:long,stop:long>>")
+    return arrow_map(with_runs(second), kept, "doc_id long, n_words long, n_removed long, kept binary, runs array<struct<start:long,stop:long>>" + carried)

@@ -48,9 +48,10 @@ def test_lexing(text, found):
 
 def test_frames(docs_of):
     rows = [(1, TEXTS[0], 5), (2, None, 5), (None, "k = 'Zx9!kLmn42pQ'; my_password = k", 5), (1, TEXTS[0], 5)]
-    got = ss.scan_secrets(docs_of(rows, "doc_id long, text string, spans int"), redact=True).collect()
-    assert [(r.doc_id, r.text) for r in got] == [(1, "[SECRET]\" x"), (2, None), (None, "k = '[SECRET]'; my_password = k"), (1, "[SECRET]\" x")]
-    assert ss.scan_secrets(docs_of([])).collect() == []
+    docs = docs_of(rows, "doc_id long, text string, spans int")
+    assert [(r.doc_id, r.text, r.spans) for r in ss.redact_secrets(docs).collect()] == [(1, '[SECRET]" x', 5), (2, None, 5), (None, "k = '[SECRET]'; my_password = k", 5), (1, '[SECRET]" x', 5)]
+    assert [(r.doc_id, [s.kind for s in r.spans]) for r in ss.scan_secrets(docs).collect()] == [(1, ["assign", "hex"]), (2, []), (None, ["lexed"]), (1, ["assign", "hex"])]
+    assert ss.scan_secrets(docs_of([])).collect() == ss.redact_secrets(docs_of([])).collect() == []
 
 
 def test_hostile_texts_take_linear_time():

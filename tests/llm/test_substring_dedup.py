@@ -55,3 +55,10 @@ def test_repeated_rows_and_clashing_columns(docs_of):
     assert sub.remove_repeats(docs_of([])).collect() == []
     with pytest.raises(ValueError):
         sub.remove_repeats(docs_of([]), window=13)
+
+
+def test_spacing_and_carried_columns(docs_of):
+    text = "\n ".join(f"a{i}" for i in range(30))
+    rows = [(1, text, "x"), (2, "head\n\nof it  " + text + "\ttail ", None), (3, " as  it is ", "z"), (None, None, "n")]
+    got = sub.remove_repeats(docs_of(rows, "doc_id long, text string, k string"), spacing=True, carry=("doc_id", "k")).collect()
+    assert sorted((r.row.doc_id or 9, bytes(r.kept).decode(), r.row.k) for r in got) == [(1, text, "x"), (2, "head\n\nof it\ttail", None), (3, " as  it is ", "z"), (9, "", "n")]
