@@ -23,6 +23,11 @@ def register(name: str, operator: Callable[[Snapshot], DataFrame], sql: str | No
         ORACLES[name] = oracle(sql)
 
 
+def filled(df: DataFrame, *columns: str) -> DataFrame:
+    """Null numbers as -1, so that a comparison of results needs no nullable integers."""
+    return df.fillna(-1, list(columns))
+
+
 def load() -> None:
     """Import the modules that register queries."""
     from codeloom.catalogue import change, graphs, history, metrics, rules, search, workspace  # noqa: F401

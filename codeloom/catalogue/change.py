@@ -1 +1,44 @@
-"""Queries still to be registered."""
+"""Queries that compare two generations."""
+
+from codeloom.catalogue import filled, register
+from codeloom.operators import compare
+
+_FP = """{n} AS (SELECT class_name, coalesce(kind, '') || '|' || coalesce(superclass, '') || '|' || coalesce(interface_name, '') || '|' || coalesce(source_file, '') || '|' || is_bean || '|' || origin || '|' || module || '|' || coalesce(source_set, '') || '|' ||
+    coalesce((SELECT string_agg(kind || name || descriptor || modifiers || '#' || annotations, ';' ORDER BY kind, name, descriptor) FROM {m} m WHERE m.class_id = c.id), '') AS fp FROM {t} c)"""
+register(
+    "compare_classes",
+    compare.compare_classes,
+    f"""{_FP.format(n='a', m='class_members', t='classes')}, {_FP.format(n='b', m='baseline_members', t='baseline_classes')}
+    SELECT coalesce(a.class_name, b.class_name) AS class_name, CASE WHEN b.fp IS NULL THEN 'added' WHEN a.fp IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.class_name = b.class_name WHERE a.fp IS DISTINCT FROM b.fp""",
+)
+_DEP = "{n} AS (SELECT x.class_name || ' -> ' || y.class_name || ' [' || d.kind || ']' AS dependency, CAST(sum(occurrence_count) AS BIGINT) AS n FROM {t} d JOIN classes x ON x.id = from_class_id JOIN classes y ON y.id = to_class_id GROUP BY 1)"
+register(
+    "compare_dependencies",
+    lambda s: filled(compare.compare_dependencies(s), "was", "is_now"),
+    f"""{_DEP.format(n='a', t='dependencies')}, {_DEP.format(n='b', t='baseline_dependencies')}
+    SELECT coalesce(a.dependency, b.dependency) AS dependency, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'modified' END AS change, coalesce(b.n, -1) AS was, coalesce(a.n, -1) AS is_now FROM a FULL JOIN b ON a.dependency = b.dependency WHERE a.n IS DISTINCT FROM b.n""",
+)
+register(
+    "delta_counts",
+    lambda s: compare.delta_counts(s.baseline_dependencies, s.dependencies),
+    """SELECT 'delete' AS change, count(*) AS rows FROM (SELECT * FROM baseline_dependencies EXCEPT SELECT * FROM dependencies) UNION ALL SELECT 'insert', count(*) FROM (SELECT * FROM dependencies EXCEPT SELECT * FROM baseline_dependencies)
+    UNION ALL SELECT 'unchanged', count(*) FROM (SELECT * FROM dependencies INTERSECT SELECT * FROM baseline_dependencies)""",
+)
+register("delta_applied", lambda s: compare.apply_delta(s.baseline_dependencies, s.dependencies), "SELECT * FROM dependencies")
+_VISIBLE = "CASE WHEN contains({m}, 'public') THEN 3 WHEN contains({m}, 'protected') THEN 2 WHEN contains({m}, 'private') THEN 0 WHEN {m} IS NULL THEN NULL ELSE 1 END"
+_API = f"""a AS (SELECT * FROM classes WHERE coalesce(source_set, 'main') = 'main'), b AS (SELECT * FROM baseline_classes WHERE coalesce(source_set, 'main') = 'main'),
+    o AS (SELECT coalesce(a.class_name, b.class_name) AS class_name, a.id, b.id AS was_id, a.kind, b.kind AS was_kind FROM a FULL JOIN b ON a.class_name = b.class_name AND a.module = b.module),
+    n AS (SELECT class_name, m.kind || ' ' || name || ' ' || descriptor AS member, modifiers FROM class_members m JOIN o ON o.id = class_id WHERE o.id IS NOT NULL AND was_id IS NOT NULL),
+    w AS (SELECT class_name, m.kind || ' ' || name || ' ' || descriptor AS member, modifiers FROM baseline_members m JOIN o ON o.was_id = class_id WHERE o.id IS NOT NULL AND was_id IS NOT NULL),
+    p AS (SELECT coalesce(n.class_name, w.class_name) AS class_name, coalesce(n.member, w.member) AS member, n.modifiers AS m, w.modifiers AS wm, {_VISIBLE.format(m='n.modifiers')} AS v, {_VISIBLE.format(m='w.modifiers')} AS wv FROM n FULL JOIN w ON n.class_name = w.class_name AND n.member = w.member),
+    api AS (SELECT class_name, '' AS member, CASE WHEN was_id IS NULL THEN 'class_added' WHEN id IS NULL THEN 'class_removed' ELSE 'kind_changed' END AS rule FROM o WHERE was_id IS NULL OR id IS NULL OR kind <> was_kind
+    UNION ALL SELECT class_name, member, 'member_added' FROM p WHERE wm IS NULL AND v >= 2 UNION ALL SELECT class_name, member, 'member_removed' FROM p WHERE m IS NULL AND wv >= 2 UNION ALL SELECT class_name, member, 'visibility_reduced' FROM p WHERE v < wv AND wv >= 2
+    UNION ALL SELECT class_name, member, 'visibility_increased' FROM p WHERE v > wv UNION ALL SELECT class_name, member, 'static_changed' FROM p WHERE contains(m, 'static') <> contains(wm, 'static') AND wv >= 2 UNION ALL SELECT class_name, member, 'final_added' FROM p WHERE contains(m, 'final') AND NOT contains(wm, 'final') AND wv >= 2),
+    fin AS (SELECT *, CASE WHEN rule IN ('class_added', 'member_added') THEN 'compatible' WHEN rule = 'visibility_increased' THEN 'review' ELSE 'breaking' END AS verdict FROM api)"""
+register("api_findings", compare.api_findings, f"{_API} SELECT * FROM fin")
+register("api_verdicts", lambda s: compare.api_verdict(compare.api_findings(s)), f"{_API} SELECT class_name, CASE WHEN bool_or(verdict = 'breaking') THEN 'breaking' WHEN bool_or(verdict = 'review') THEN 'review' ELSE 'compatible' END AS verdict, count(*) AS findings FROM fin GROUP BY 1")
+register(
+    "api_finding_impact",
+    compare.finding_impact,
+    f"{_API} SELECT class_name, count(DISTINCT from_class_id) AS users, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM baseline_dependencies JOIN baseline_classes c ON c.id = to_class_id WHERE class_name IN (SELECT class_name FROM fin WHERE verdict = 'breaking') GROUP BY 1",
+)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.catalogue import CUR, register
+from codeloom.catalogue import CUR, filled, register
 from codeloom.catalogue.metrics import COLLAPSED
 from codeloom.operators import graph as g
 
@@ -50,11 +50,11 @@ register("supertype_closure", g.ancestors, f"{_UP} SELECT id, ancestor, CAST(dep
 register("method_overrides", g.method_overrides, f"{_OVERRIDES} SELECT base_id, id, name, descriptor, CAST(depth AS INTEGER) AS depth FROM ov")
 register(
     "resolved_owners",
-    g.resolved_owners,
+    lambda s: filled(g.resolved_owners(s), "owner_id"),
     f"""{_UP}, q AS (SELECT DISTINCT target_class_id AS id, target_method AS name, target_descriptor AS descriptor FROM method_calls),
     f AS (SELECT q.*, ancestor, depth, min(depth) OVER (PARTITION BY q.id, q.name, q.descriptor) AS best FROM q JOIN up ON up.id = q.id JOIN class_members m ON m.class_id = ancestor AND m.name = q.name AND m.descriptor = q.descriptor AND m.kind = 'METHOD'),
     r AS (SELECT id, name, descriptor, min(ancestor) AS a, count(*) AS n FROM f WHERE depth = best GROUP BY 1, 2, 3)
-    SELECT q.id, q.name, q.descriptor, CASE WHEN n = 1 THEN a END AS owner_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'absent' END AS status FROM q LEFT JOIN r ON r.id = q.id AND r.name = q.name AND r.descriptor = q.descriptor""",
+    SELECT q.id, q.name, q.descriptor, CASE WHEN n = 1 THEN a ELSE -1 END AS owner_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'absent' END AS status FROM q LEFT JOIN r ON r.id = q.id AND r.name = q.name AND r.descriptor = q.descriptor""",
 )
 register(
     "dispatch_candidates",
@@ -106,7 +106,8 @@ register(
     "dominators",
     lambda s: g.dominators(s.spark.sql(f"SELECT DISTINCT method, src, dst FROM ({_CFG.format(events='{log}')}) WHERE dst IS NOT NULL AND src <> dst", log=s.calls_log.selectExpr("id AS event_id", "user_id", "at AS ts")).select("method", "src", "dst")),
     f"""e AS (SELECT DISTINCT method, src, dst FROM ({_CFG.format(events='events')}) WHERE dst IS NOT NULL AND src <> dst), n AS (SELECT method, src AS node FROM e UNION SELECT method, dst FROM e), entry AS (SELECT method, min(node) AS first FROM n GROUP BY 1),
-    w AS (SELECT n.method, n.node AS without, first AS node FROM n JOIN entry ON entry.method = n.method WHERE n.node <> first UNION SELECT w.method, w.without, dst FROM w JOIN e ON e.method = w.method AND e.src = w.node WHERE dst <> w.without)
+    roots AS (SELECT n.method, n.node FROM n JOIN entry ON entry.method = n.method WHERE n.node = first OR NOT EXISTS (SELECT 1 FROM e WHERE e.method = n.method AND e.dst = n.node)),
+    w AS (SELECT n.method, n.node AS without, roots.node FROM n JOIN roots ON roots.method = n.method WHERE n.node <> roots.node UNION SELECT w.method, w.without, dst FROM w JOIN e ON e.method = w.method AND e.src = w.node WHERE dst <> w.without)
     SELECT n.method, n.node, d.node AS dominator FROM n JOIN n d ON d.method = n.method JOIN entry ON entry.method = n.method WHERE n.node = d.node
-    OR (n.node <> first AND EXISTS (SELECT 1 FROM e WHERE e.method = n.method AND e.dst = n.node) AND (d.node = first OR NOT EXISTS (SELECT 1 FROM w WHERE w.method = n.method AND w.without = d.node AND w.node = n.node)))""",
+    OR (n.node <> first AND EXISTS (SELECT 1 FROM e WHERE e.method = n.method AND e.dst = n.node) AND NOT EXISTS (SELECT 1 FROM w WHERE w.method = n.method AND w.without = d.node AND w.node = n.node))""",
 )

@@ -1 +1,107 @@
-"""Queries still to be registered."""
+"""Queries across repositories, of composite answers and of execution order."""
+
+from pyspark.sql import functions as F
+
+from codeloom.catalogue import CUR, register
+from codeloom.catalogue.rules import _RISK
+from codeloom.operators import composite, execution, workspace
+
+_T = lambda s: s.classes.where("id IN (0, 3, 17, 40)").select("id")
+register("repositories", workspace.repositories, f"{CUR} SELECT repository, count(DISTINCT module) AS modules, count(*) AS classes, count(*) FILTER (WHERE is_bean) AS beans, CAST(sum(source_tokens) AS BIGINT) AS tokens FROM cur GROUP BY 1")
+_CROSS = "x AS (SELECT a.repository AS consumer, b.repository AS provider, from_class_id, occurrence_count FROM dependencies JOIN cur a ON a.id = from_class_id JOIN cur b ON b.id = to_class_id WHERE a.repository <> b.repository)"
+register("workspace_dependencies", workspace.cross_dependencies, f"{CUR}, {_CROSS} SELECT consumer, provider, count(DISTINCT from_class_id) AS classes, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM x GROUP BY 1, 2")
+_PROV = "pr AS (SELECT module AS coordinate, repository, max(substr(source_file, 1, 4)) AS version FROM cur GROUP BY 1, 2)"
+_DECL = "d AS (SELECT DISTINCT c.repository AS consumer, e.visible AS coordinate, CASE WHEN length(e.visible) = 7 THEN 'src/' ELSE 'other' END AS version FROM module_edges e JOIN cur c ON c.module = e.module)"
+
+
+def _declared(s):
+    of = s.current().select("module", F.col("repository").alias("consumer")).distinct()
+    version = F.when(F.length("visible") == 7, "src/").otherwise("other")
+    return s.module_edges.join(of, "module").select("consumer", F.col("visible").alias("coordinate"), version.alias("version")).distinct()
+
+
+register(
+    "coordinate_matches",
+    lambda s: workspace.coordinate_matches(_declared(s), workspace.providers(s)),
+    f"""{CUR}, {_PROV}, {_DECL}, m AS (SELECT consumer, d.coordinate, d.version AS declared_version, repository, d.version IS NOT DISTINCT FROM pr.version AS same FROM d JOIN pr ON pr.coordinate = d.coordinate WHERE consumer <> repository),
+    b AS (SELECT * FROM m WHERE same OR NOT EXISTS (SELECT 1 FROM m o WHERE o.consumer = m.consumer AND o.coordinate = m.coordinate AND o.declared_version = m.declared_version AND o.same))
+    SELECT consumer, coordinate, declared_version, min(repository) AS provider, count(DISTINCT repository) AS candidates, bool_or(same) AS version_matched FROM b GROUP BY 1, 2, 3""",
+)
+register(
+    "dependency_routes",
+    lambda s: workspace.dependency_routes(s, _declared(s).select("consumer", "coordinate").distinct()),
+    f"""{CUR}, {_PROV}, {_DECL}, {_CROSS}, w AS (SELECT DISTINCT consumer, coordinate FROM d), k AS (SELECT w.*, repository, EXISTS (SELECT 1 FROM x WHERE x.consumer = w.consumer AND x.provider = repository) AS seen FROM w JOIN pr ON pr.coordinate = w.coordinate WHERE consumer <> repository),
+    b AS (SELECT consumer, coordinate, bool_or(seen) AS direct, count(DISTINCT repository) FILTER (WHERE seen) AS n1, count(DISTINCT repository) AS n2, min(repository) FILTER (WHERE seen) AS p1, min(repository) AS p2 FROM k GROUP BY 1, 2),
+    r AS (SELECT w.consumer, w.coordinate, direct, CASE WHEN direct THEN n1 ELSE n2 END AS n, CASE WHEN direct THEN p1 ELSE p2 END AS p FROM w LEFT JOIN b ON b.consumer = w.consumer AND b.coordinate = w.coordinate)
+    SELECT consumer, coordinate, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN p END AS provider, CASE WHEN n = 1 AND direct THEN 'high' WHEN n = 1 THEN 'medium' ELSE 'low' END AS confidence FROM r""",
+)
+register("provider_status", workspace.provider_status, f"{CUR}, {_PROV}, g AS (SELECT e.visible, count(DISTINCT repository) AS n FROM (SELECT DISTINCT visible FROM module_edges) e LEFT JOIN pr ON coordinate = visible GROUP BY 1) SELECT CASE n WHEN 0 THEN 'unresolved' WHEN 1 THEN 'mapped' ELSE 'ambiguous' END AS status, count(*) AS artifacts FROM g GROUP BY 1")
+register(
+    "resolve_workspace_entity",
+    lambda s: workspace.resolve_across(s, ["C15", "org.acme.p0.C1", "Nothing"]),
+    f"""{CUR}, t AS (SELECT unnest(['C15', 'org.acme.p0.C1', 'Nothing']) AS target), m AS (SELECT target, class_name, repository FROM t LEFT JOIN cur ON class_name = target OR regexp_extract(class_name, '[^.]*$') = target)
+    SELECT target, count(class_name) AS matches, CASE count(class_name) WHEN 0 THEN 'not_found' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(class_name) = 1 THEN min(repository) END AS repository FROM m GROUP BY 1""",
+)
+register(
+    "workspace_usages",
+    lambda s: workspace.usages_across(s, s.classes.where("id < 60").select("id")),
+    f"{CUR} SELECT to_class_id AS target_id, a.repository AS consumer, d.kind, count(DISTINCT from_class_id) AS classes, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM dependencies d JOIN cur a ON a.id = from_class_id JOIN cur b ON b.id = to_class_id WHERE a.repository <> b.repository AND to_class_id < 60 GROUP BY 1, 2, 3",
+)
+register(
+    "workspace_change_risk",
+    lambda s: workspace.risk_across(s, max_depth=2),
+    f"""{_RISK}, {_CROSS}, r1 AS (SELECT DISTINCT provider AS origin, consumer AS node FROM x), r2 AS (SELECT DISTINCT r1.origin, x.consumer AS node FROM r1 JOIN x ON x.provider = r1.node WHERE x.consumer <> r1.origin AND NOT EXISTS (SELECT 1 FROM r1 o WHERE o.origin = r1.origin AND o.node = x.consumer)),
+    n AS (SELECT c.id, c.repository, (SELECT count(*) FROM r1 WHERE origin = c.repository) AS direct, (SELECT count(*) FROM r2 WHERE origin = c.repository) AS transitive FROM cur c),
+    w2 AS (SELECT risk.id, class_name, repository, risk.score AS local, direct, transitive, floor(least(10.0, risk.score + 0.5 * direct + 0.2 * transitive) * 10 + 0.5) / 10 AS score FROM risk JOIN n ON n.id = risk.id)
+    SELECT *, CASE WHEN score >= 8 THEN 'CRITICAL' WHEN score >= 6 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM w2""",
+)
+register(
+    "provider_fallback",
+    lambda s: workspace.provider_fallback(s, "PROMO", s.classes.where("id < 100").select("class_name")),
+    f"""{CUR}, m AS (SELECT DISTINCT class_name FROM classes WHERE id < 100 AND class_name NOT IN (SELECT class_name FROM cur WHERE repository = 'PROMO')), g AS (SELECT class_name, count(DISTINCT repository) AS n, min(repository) AS r FROM cur WHERE class_name IN (SELECT class_name FROM m) GROUP BY 1)
+    SELECT class_name, CASE WHEN n = 1 THEN 'routed' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN r END AS repository FROM g""",
+)
+register("consumer_evidence", workspace.consumer_evidence, "SELECT 0 AS rank, 'bean:' || bean_type AS evidence, class_id, 1 AS occurrences FROM beans UNION ALL SELECT 1, 'type:' || external_type, class_id, 1 FROM external_deps ORDER BY 1, 2, 3 LIMIT 100")
+register("routed_dependencies", workspace.routed_dependencies, f"{CUR}, {_PROV} SELECT from_class_id, to_class_id, d.kind, a.repository AS from_repository, b.repository AS to_repository, b.module AS coordinate, (SELECT count(DISTINCT repository) FROM pr WHERE coordinate = b.module) AS providers FROM dependencies d JOIN cur a ON a.id = from_class_id JOIN cur b ON b.id = to_class_id WHERE a.repository <> b.repository")
+register(
+    "logical_properties",
+    lambda s: workspace.logical_properties(s.class_members.select(F.concat(F.lit("K"), F.col("class_id"), F.when(F.col("class_id") % 4 == 0, "$Companion").otherwise("")).alias("owner"), "kind", F.when(F.col("kind") == "METHOD", F.when(F.col("name") == "run", "setState").otherwise("getState")).otherwise(F.col("name")).alias("name"))),
+    """n AS (SELECT 'K' || class_id AS owner, CASE WHEN kind = 'FIELD' THEN 'field' WHEN name = 'run' THEN 'setter' ELSE 'getter' END AS b FROM class_members WHERE kind <> 'CONSTRUCTOR') SELECT owner, 'state' AS property, string_agg(DISTINCT b, ',' ORDER BY b) AS bindings FROM n GROUP BY 1""",
+)
+register(
+    "change_context",
+    lambda s: composite.change_context(s, _T(s)),
+    f"""{_RISK}, i AS (SELECT id, superclass AS parent FROM cur UNION ALL SELECT id, interface_name FROM cur), u AS (SELECT to_class_id AS id, from_class_id AS u, occurrence_count AS n FROM e WHERE to_class_id IN (0, 3, 17, 40) UNION ALL SELECT t.id, i.id, 1 FROM i JOIN classes t ON t.class_name = i.parent WHERE t.id IN (0, 3, 17, 40)),
+    g AS (SELECT id, count(DISTINCT u) AS users, CAST(sum(n) AS BIGINT) AS uses FROM u GROUP BY 1)
+    SELECT r.id, class_name, (SELECT count(*) FROM class_members m WHERE m.class_id = r.id AND kind = 'METHOD') AS methods, (SELECT count(*) FROM class_members m WHERE m.class_id = r.id AND kind = 'FIELD') AS fields, score,
+    CASE WHEN score >= 8 THEN 'CRITICAL' WHEN score >= 6 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS level, coalesce(users, 0) AS users, coalesce(uses, 0) AS uses FROM risk r LEFT JOIN g ON g.id = r.id WHERE r.id IN (0, 3, 17, 40)""",
+)
+register("change_plan", lambda s: composite.change_plan(s, _T(s)))
+register(
+    "call_report",
+    composite.call_report,
+    "SELECT tool, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors, quantile_disc(elapsed_ms, 0.5) AS median, quantile_disc(elapsed_ms, 0.95) AS p95, max(elapsed_ms) AS max FROM calls_log GROUP BY 1",
+)
+_EV = "SELECT user_id % 40 AS method, event_id % 9 AS ordinal, CASE event_type WHEN 'signup' THEN 'before' WHEN 'purchase' THEN 'after' ELSE 'none' END AS role, event_type = 'error' AS dynamic FROM {t}"
+_CFG = "SELECT DISTINCT user_id % 40 AS method, event_id % 9 AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) % 9 AS dst FROM {t}"
+
+
+def _execution(s):
+    log = s.calls_log.selectExpr("id AS event_id", "user_id", "at AS ts", "tool AS event_type")
+    events, edges = s.spark.sql(_EV.format(t="{log}"), log=log), s.spark.sql(f"SELECT DISTINCT method, src, dst FROM ({_CFG.format(t='{log}')}) WHERE dst IS NOT NULL AND dst > src", log=log)
+    return execution.execution_order(events, edges)
+
+
+register(
+    "execution_order",
+    _execution,
+    f"""v AS (SELECT * FROM ({_EV.format(t='events')}) WHERE NOT dynamic), e AS (SELECT DISTINCT method, src, dst FROM ({_CFG.format(t='events')}) WHERE dst IS NOT NULL AND dst > src),
+    n AS (SELECT method, src AS node FROM e UNION SELECT method, dst FROM e), entry AS (SELECT method, min(node) AS first FROM n GROUP BY 1),
+    roots AS (SELECT n.method, n.node FROM n JOIN entry ON entry.method = n.method WHERE n.node = first OR NOT EXISTS (SELECT 1 FROM e WHERE e.method = n.method AND e.dst = n.node)),
+    w AS (SELECT n.method, n.node AS without, roots.node FROM n JOIN roots ON roots.method = n.method WHERE n.node <> roots.node UNION SELECT w.method, w.without, dst FROM w JOIN e ON e.method = w.method AND e.src = w.node WHERE dst <> w.without),
+    dom AS (SELECT n.method, n.node, d.node AS dominator FROM n JOIN n d ON d.method = n.method JOIN entry ON entry.method = n.method WHERE n.node = d.node OR (n.node <> first AND EXISTS (SELECT 1 FROM e WHERE e.method = n.method AND e.dst = n.node) AND NOT EXISTS (SELECT 1 FROM w WHERE w.method = n.method AND w.without = d.node AND w.node = n.node))),
+    s AS (SELECT method, max(ordinal) FILTER (WHERE role = 'before') AS lb, min(ordinal) FILTER (WHERE role = 'before') AS fb, min(ordinal) FILTER (WHERE role = 'after') AS fa, max(ordinal) FILTER (WHERE role = 'after') AS la FROM v GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'before') > 0 AND count(*) FILTER (WHERE role = 'after') > 0),
+    g AS (SELECT method, bool_and(EXISTS (SELECT 1 FROM dom JOIN v b ON b.method = dom.method AND b.role = 'before' AND b.ordinal = dom.dominator WHERE dom.method = a.method AND dom.node = a.ordinal)) AS guarded FROM v a WHERE role = 'after' GROUP BY 1),
+    br AS (SELECT method, max(c) AS c FROM (SELECT method, src, count(DISTINCT dst) AS c FROM e GROUP BY 1, 2) GROUP BY 1), o AS (SELECT s.method, CASE WHEN lb < fa THEN 'proven' WHEN la < fb THEN 'reversed' ELSE 'mixed' END AS ord, guarded, coalesce(c, 0) AS c FROM s JOIN g ON g.method = s.method LEFT JOIN br ON br.method = s.method)
+    SELECT method, ord AS "order", CASE WHEN ord = 'proven' AND c <= 1 THEN 'straight' WHEN guarded THEN 'proven' ELSE 'bypass' END AS runtime FROM o""",
+)
