@@ -34,57 +34,73 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    """Log frequencies by language. ``counts`` has (language, kind, item, count): kind 0 is a word, n an n-gram."""
+    """Log frequencies by language. ``counts`` has (language, kind, item, count): kind 0 is a word, n an n-gram.
+
+    All items are rows of one matrix. The scores of words met so far are kept in a second one, up to a bound;
+    a text's unseen words are worked out together.
+    """
 
     def __init__(self, counts: list[tuple[str, int, str, int]], documents: dict[str, int], alpha: float = 0.5) -> None:
         self.languages = sorted(documents)
         at = {lang: k for k, lang in enumerate(self.languages)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        rows = 1  # row 0 is for words without a known n-gram
+        for _, kind, item, _ in counts:
+            if item not in self.tables[kind]:
+                self.tables[kind][item] = rows
+                rows += 1
+        matrix = np.zeros((rows, max(len(at), 1)))
         for lang, kind, item, count in counts:
-            row = tables[kind].get(item)
-            if row is None:
-                row = tables[kind][item] = np.zeros(len(at), np.float32)
-            row[at[lang]] += count
-        for kind, table in enumerate(tables):
+            matrix[self.tables[kind][item], at[lang]] += count
+        for table in self.tables:
             if table:
-                total = np.sum([*table.values()], axis=0, dtype=np.float64) + alpha * len(table)
-                for item, row in table.items():
-                    table[item] = (np.log(row + alpha) - np.log(total)).astype(np.float32)
-        self.tables = tables
-        self.zero = np.zeros(len(at), np.float32)
-        self._words: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """The scores of a lower-case word, of mean zero over languages."""
-        known = self._words.get(word)
-        if known is None:
-            row = self.tables[0].get(word)
-            if row is None:
-                row = self._backed_off(word)
-            known = row - row.mean()
-            if len(self._words) > CACHE_WORDS:
-                self._words.clear()
-            if len(word) <= 40:
-                self._words[word] = known
-        return known
-
-    def _backed_off(self, word: str) -> np.ndarray:
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            rows = [r for r in map(self.tables[n].get, grams(word, n)) if r is not None]
-            if rows:
-                return np.sum(rows, axis=0) / n  # neighbouring n-grams share characters
-        return self.zero
+                own = np.fromiter(table.values(), np.int64, len(table))
+                matrix[own] = np.log(matrix[own] + alpha) - np.log(matrix[own].sum(axis=0) + alpha * len(table))
+        self.matrix = (matrix - matrix.mean(axis=1, keepdims=True)).astype(np.float32)
+        self._index: dict[str, int] = {}
+        self._known = np.zeros((0, self.matrix.shape[1]), np.float32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Work out and keep the scores of new words."""
+        if len(self._index) + len(words) > len(self._known):
+            self._index.clear()
+            if len(words) > len(self._known):
+                self._known = np.zeros((max(CACHE_WORDS, len(words)), self.matrix.shape[1]), np.float32)
+        rows, starts, scale = [], [], []
+        whole = self.tables[0]
+        for word in words:
+            starts.append(len(rows))
+            row = whole.get(word)
+            if row is not None:
+                rows.append(row)
+                scale.append(1.0)
+                continue
+            marked, n = f"<{word}>", min(LONGEST, len(word) + 2)
+            while n:
+                get = self.tables[n].get
+                found = [r for k in range(len(marked) - n + 1) if (r := get(marked[k : k + n])) is not None]
+                if found:
+                    break
+                n -= 1
+            rows += found if n else [0]
+            scale.append(1.0 / max(n, 1))  # neighbouring n-grams share characters
+        first = len(self._index)
+        self._known[first : first + len(words)] = np.add.reduceat(self.matrix[rows], starts, axis=0) * np.array(scale, np.float32)[:, None]
+        self._index.update(zip(words, range(first, first + len(words)), strict=True))
 
     def predict(self, text: str) -> tuple[str, float]:
         """(language, share of the softmax over the mean evidence); ``und`` with 0 if there is no letter."""
-        words = Counter(_WORD.findall(text.lower()))
+        words = _WORD.findall(text.lower())
         if not words or not self.languages:
             return UNDETERMINED, 0.0
-        score = np.zeros(len(self.languages))
-        for word, n in words.items():
-            score += self.word(word) * n
+        known = self._index
+        if new := {w for w in words if w not in known}:
+            if len(known) + len(new) > len(self._known):
+                new = set(words)  # the memo is emptied first
+            self._learn(list(new))
+        score = self._known[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
         score -= score.max()
-        share = np.exp(score / math.sqrt(sum(words.values())))
+        share = np.exp(score / math.sqrt(len(words)))
         best = int(np.argmax(score))
         return self.languages[best], float(share[best] / share.sum())
 
