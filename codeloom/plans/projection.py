@@ -23,7 +23,7 @@ def _name(i: str) -> str:
 _PARENT = "CAST(floor(p_partkey / 4) AS BIGINT)"
 _METHOD = "CASE WHEN {line} % 2 = 0 THEN 'run' ELSE concat('get', CAST({id} % 5 AS STRING)) END"
 _DESC = "CASE WHEN {line} % 2 = 0 THEN '()V' ELSE '(I)Ljava/lang/String;' END"
-_TARGET = "(l_partkey - l_partkey % 10 + (l_suppkey * 11 + l_linenumber * 7 + l_partkey) % 10)"
+_TARGET = "(CASE WHEN l_suppkey % 4 = 0 THEN (l_suppkey * 13 + l_partkey) % (l_partkey + 1) ELSE l_partkey - l_partkey % 10 + (l_suppkey * 11 + l_linenumber * 7 + l_partkey) % 10 END)"
 
 #: Relation -> SELECT over driver tables and other relations.
 RELATIONS: dict[str, str] = {
