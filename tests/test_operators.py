@@ -144,3 +144,15 @@ def test_snapshot_round_trip(index, spark, tmp_path):
     assert again.classes.exceptAll(index.classes).count() == 0 and again.dependencies.count() == 6
     with pytest.raises(AttributeError):
         again._missing  # noqa: B018
+
+
+def test_readers(index, spark):
+    from codeloom.sources import readers
+
+    assert sorted(r.id for r in readers.classes_by_ids(index, [1, 8, 99, 1]).collect()) == [1, 8]
+    assert [r.id for r in readers.classes_by_names(index, ["org.acme.Gone"]).collect()] == [8]
+    assert [r.id for r in readers.classes_by_short_name(index, "OrderTest").collect()] == [7] and readers.classes_by_short_name(index, "Gone").count() == 0
+    assert sorted(r.id for r in readers.classes_by_path(index, "src/main/java/Container.java").collect()) == [5, 6]
+    rows = spark.createDataFrame([("a", "c", 2), ("a", "b", 1), ("b", "b", 0)], "module string, visible string, distance int")
+    assert [r.visible for r in readers.module_classpath(rows, "a").collect()] == ["b", "c"]
+    assert readers.metadata(spark.createDataFrame([("k", "v")], "key string, value string")) == {"k": "v"}
