@@ -14,6 +14,7 @@ sets; pairs are taken between neighbours and with the first of a value, a number
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_map, as_bytes, salt, slices, splitmix, stored
+from codeloom.llm.common import arrow_map, as_bytes, drop_stored, salt, slices, splitmix, stored
 from codeloom.llm.components import connected_components
 
 SEED = 42
@@ -82,7 +83,7 @@ def ball(bits: int, radius: int) -> list[int]:
 
 def _variants(nodes: DataFrame, value: Column, bits: int, radius: int) -> DataFrame:
     masks = F.array(*[F.lit(m).cast("long") for m in ball(bits, radius // 2)])
-    return nodes.select("*", F.explode(masks).alias("mask")).select(*nodes.columns, value.bitwiseXOR(F.col("mask")).alias("variant"))
+    return nodes.select("*", F.posexplode(masks).alias("flipped", "mask")).select(*nodes.columns, "flipped", value.bitwiseXOR(F.col("mask")).alias("variant"))
 
 
 def hamming_links(nodes: DataFrame, *, radius: int = 2) -> DataFrame:
@@ -116,22 +117,32 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, radius: int = 2, id
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "t"):
-            yield {"i": part.column("i"), "s": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column("t").to_pylist()]}
+            yield {"i": part.column("i"), "s": [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in part.column("t").to_pylist()]}
 
     return arrow_map(docs, work, "i long, s binary")
 
 
 def jaccard(left: bytes, right: bytes) -> float:
-    """Of two sets of 64-bit hashes, each sorted without repeats; of two empty ones: 1."""
-    a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    """Of two sets of 32-bit hashes, each sorted without repeats; of two empty ones: 1."""
+    a, b = np.frombuffer(left, np.uint32), np.frombuffer(right, np.uint32)
     same = len(np.intersect1d(a, b, assume_unique=True))
     return same / (len(a) + len(b) - same) if len(a) or len(b) else 1.0
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 8, radius: int = 2, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _farthest(similarity: float, bits: int) -> int:
+    """The most differing bits that texts of this Jaccard coefficient may have: the mean and six standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 12, first: int = 4, radius: int = 2, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): groups of texts whose shingle sets have a Jaccard coefficient of
     ``min_similarity`` or more, found by ball hashing over ``tables`` 32-bit fingerprints.
 
+    The ``first`` tables go first; the others then only propose pairs of different groups, so a group of
+    very many near copies is not compared again and again. Within a value, neighbours are proposed: a
+    number linear in its rows. Proposals are verified by whole shingle sets.
+
     ``id_col`` is an integer; rows with a null id are left out. Equal texts always share a group.
     Texts without words are equal to each other. Repeated ids keep one row each.
     """
@@ -139,20 +150,46 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 8, radiu
         raise ValueError("radius must be even: both sides emit half of it")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = stored(rows.select("doc_id", F.sha2("text", 256).alias("k")).distinct())
-    first = stored(keyed.groupBy("k").agg(F.min("doc_id").alias("node")))
-    prints = fingerprints(rows, shingle=shingle, words64=(tables + 1) // 2).join(first.select(F.col("node").alias("i")), "i", "left_semi")
+    nodes = stored(keyed.groupBy("k").agg(F.min("doc_id").alias("node")))
+    prints = fingerprints(rows, shingle=shingle, words64=(tables + 1) // 2).join(nodes.select(F.col("node").alias("i")), "i", "left_semi")
     prints = stored(prints.dropDuplicates(["i"]))
-    halves = [F.expr(f"{'shiftright' if t % 2 else ''}(f{t // 2}{', 32' if t % 2 else ''}) & 4294967295").alias(f"t{t}") for t in range(tables)]
-    wide = prints.select("i", *halves)
-    # one row for each table; nodes of one fingerprint stay apart, as their texts differ
-    long = wide.select("i", F.posexplode(F.array(*[F.col(f"t{t}") for t in range(tables)])).alias("t", "f"))
-    met = _variants(long.select("i", F.col("f").bitwiseOR(F.shiftleft(F.col("t").cast("long"), 32)).alias("f")), F.col("f"), 32, radius)
-    by = Window.partitionBy("variant").orderBy("f", "i")
-    near = met.select("i", F.lag("i").over(by).alias("p"), F.first("i").over(by).alias("q")).where("p is not null")
-    pairs = near.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("p"), "i").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).where("a <> b").distinct()
-    pairs = stored(pairs)
+    links, roots = None, None
+    for chosen in (range(first), range(first, tables)):
+        if len(chosen):
+            pairs = stored(_proposed(prints, chosen, radius, min_similarity, roots))
+            found = _verified(pairs, rows, shingle, min_similarity)
+            links = found if links is None else links.unionByName(found)
+            roots = connected_components(links)
+            drop_stored(pairs)
+    drop_stored(prints)
+    classes = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    return keyed.join(classes.select("k", F.coalesce("root", "node").alias("component_id")), "k").select("doc_id", "component_id")
+
+
+def _proposed(prints: DataFrame, tables: range, radius: int, min_similarity: float, roots: DataFrame | None) -> DataFrame:
+    """(a, b): neighbours, of different groups so far, in some value of these tables, whose whole
+    fingerprints aren't farther apart than the similarity allows."""
+    halves = [F.expr(f"{'shiftright' if t % 2 else ''}(f{t // 2}{', 32' if t % 2 else ''}) & 4294967295").bitwiseOR(F.lit(t << 32)) for t in tables]
+    wide = prints if roots is None else prints.join(roots.select(F.col("node").alias("i"), F.col("root").alias("c")), "i", "left")
+    group = F.col("i") if roots is None else F.coalesce("c", "i")
+    # the table is part of the value; nodes of one fingerprint stay apart, as their texts differ
+    long = wide.select("i", *([] if roots is None else [group.alias("c")]), F.explode(F.array(*halves)).alias("f"))
+    met = _variants(long, F.col("f"), 32, radius).drop("f")
+    # within a value, equal fingerprints have flipped the same bits and come together
+    by = Window.partitionBy("variant").orderBy(*([] if roots is None else ["c"]), "flipped", "i")
+    near = met.select("i", F.lag("i").over(by).alias("p"), *([] if roots is None else ["c", F.lag("c").over(by).alias("d")])).where("p is not null" + (" AND c <> d" if roots is not None else ""))
+    pairs = near.where("i <> p").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+    bits = [c for c in prints.columns if c != "i"]
+    side = lambda n: prints.select(F.col("i").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in bits])
+    apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bits]
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sum(apart[1:], apart[0]) <= _farthest(min_similarity, 64 * len(bits))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough; each text that is in a pair is exchanged once, its set once for each pair."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_shingle_sets(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("i"), as_bytes("text").alias("t")), shingle))
+    sets = _shingle_sets(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("i"), as_bytes("text").alias("t")), shingle)
+    sets = stored(sets)
     withs = pairs.join(sets.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -161,6 +198,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 8, radiu
             kept = part.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
             yield {"a": kept.column("a"), "b": kept.column("b")}
 
-    roots = connected_components(arrow_map(withs, verify, "a long, b long"))
-    classes = first.join(roots, first.node == roots.node, "left").select("k", F.coalesce(roots.root, first.node).alias("component_id"))
-    return keyed.join(classes, "k").select("doc_id", "component_id")
+    found = stored(arrow_map(withs, verify, "a long, b long"))
+    drop_stored(sets)
+    return found
