@@ -17,12 +17,16 @@ CO_CHANGES_COUNTED = 100
 
 
 def co_change_counts(s: Snapshot) -> DataFrame:
-    """Per file, the number of other files that change with it (at most 100 count). Commits are small
-    groups; rows of a commit meet by its id, so no file's history is held in one place."""
+    """Per file, the number of other files that change with it (at most 100 count). A commit of more than
+    100 other files settles that by its size alone; only pairs within smaller ones are enumerated."""
     rows = s.commit_files.select("commit_id", "file_path").distinct()
-    other = rows.select("commit_id", F.col("file_path").alias("other"))
-    pairs = rows.join(other, "commit_id").where("file_path <> other").select("file_path", "other").distinct()
-    return pairs.groupBy("file_path").agg(F.least(F.count(F.lit(1)), F.lit(CO_CHANGES_COUNTED)).alias("co_changed"))
+    sizes = rows.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"))
+    sized = rows.join(sizes, "commit_id")
+    large = sized.where(F.col("n") > CO_CHANGES_COUNTED).select("file_path", F.lit(CO_CHANGES_COUNTED).cast("long").alias("co_changed"))
+    small = sized.where(F.col("n") <= CO_CHANGES_COUNTED).select("commit_id", "file_path")
+    pairs = small.join(small.withColumnRenamed("file_path", "other"), "commit_id").where("file_path <> other").select("file_path", "other").distinct()
+    counted = pairs.groupBy("file_path").agg(F.least(F.count(F.lit(1)), F.lit(CO_CHANGES_COUNTED)).alias("co_changed"))
+    return counted.unionByName(large).groupBy("file_path").agg(F.max("co_changed").alias("co_changed"))
 
 
 def class_risk(s: Snapshot) -> DataFrame:

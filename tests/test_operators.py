@@ -156,3 +156,10 @@ def test_readers(index, spark):
     rows = spark.createDataFrame([("a", "c", 2), ("a", "b", 1), ("b", "b", 0)], "module string, visible string, distance int")
     assert [r.visible for r in readers.module_classpath(rows, "a").collect()] == ["b", "c"]
     assert readers.metadata(spark.createDataFrame([("k", "v")], "key string, value string")) == {"k": "v"}
+
+
+def test_large_commits_settle_co_changes(index, spark):
+    files = [(1, f"f{k}") for k in range(101)] + [(2, "f0"), (2, "x"), (3, "x"), (3, "y"), (4, "f1"), (4, "f1")]
+    s = Snapshot.of(spark, {"commit_files": spark.createDataFrame(files, "commit_id long, file_path string")})
+    got = {r.file_path: r.co_changed for r in risk.co_change_counts(s).collect()}
+    assert got == {f"f{k}": 100 for k in range(101)} | {"x": 2, "y": 1}
