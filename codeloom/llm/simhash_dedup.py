@@ -135,7 +135,7 @@ def _farthest(similarity: float, bits: int) -> int:
     return math.ceil(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 12, first: int = 4, radius: int = 2, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 16, first: int = 4, radius: int = 2, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): groups of texts whose shingle sets have a Jaccard coefficient of
     ``min_similarity`` or more, found by ball hashing over ``tables`` 32-bit fingerprints.
 
