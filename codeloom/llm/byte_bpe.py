@@ -22,7 +22,21 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import arrow_map, as_bytes, slices
 
 #: Memos are emptied at these sizes.
-PAIRS_KEPT, PIECES_KEPT, PIECE_BYTES = 500_000, 300_000, 64
+PAIRS_KEPT, PIECES_KEPT, PIECE_BYTES = 1_000_000, 500_000, 64
+
+
+class _Pieces(dict):
+    """Ids of pieces met so far, worked out when they are first asked for."""
+
+    def __init__(self, bpe: ByteBpe) -> None:
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> bytes:
+        data = piece.encode()
+        ids = np.array(self.bpe.piece(data), "<u4").tobytes()
+        if len(data) <= PIECE_BYTES:
+            self[piece] = ids
+        return ids
 
 
 class ByteBpe:
@@ -34,23 +48,31 @@ class ByteBpe:
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.sizes = {i: len(t) for t, i in ranks.items()}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = _Pieces(self)
 
     def merged(self, data: bytes) -> list[int]:
         """Ids by the merges themselves, lowest rank first, leftmost of equals. For short data."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1)))
-            if rank == 1 << 62:
+        get, none = self.ranks.get, 1 << 62
+        cuts = list(range(len(data) + 1))
+        ranks = [get(data[i : i + 2], none) for i in range(len(data) - 1)]  # of a part with the next one
+        while ranks:
+            low = min(ranks)
+            if low == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+            at = ranks.index(low)
+            del cuts[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(data[cuts[at] : cuts[at + 2]], none)
+            if at:
+                ranks[at - 1] = get(data[cuts[at - 1] : cuts[at + 1]], none)
+        return [self.ranks[data[i:j]] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def reachable(self, token: int) -> bool:
         """Whether merges make this token from its bytes."""
@@ -61,11 +83,12 @@ class ByteBpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens can stand next to each other."""
-        known = self._fits.get((left, right))
+        key = left << 32 | right
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) > PAIRS_KEPT:
                 self._fits.clear()
-            known = self._fits[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self._fits[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def piece(self, data: bytes) -> list[int]:
@@ -74,8 +97,9 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         starts: list[list[int]] = [[] for _ in data]
+        size = self.sizes
         for end, token in self.automaton.iter(data.decode("latin-1")):
-            starts[end + 1 - len(self.bytes_of[token])].append(token)
+            starts[end + 1 - size[token]].append(token)
         n, at, dead = len(data), 0, bytearray(len(data) + 1)
         out: list[int] = []
         tries = [len(starts[0])]  # of the place that is open now and of those before: how many candidates are left
@@ -84,7 +108,7 @@ class ByteBpe:
             while left:
                 left -= 1
                 token = starts[at][left]
-                stop = at + len(self.bytes_of[token])
+                stop = at + size[token]
                 if not dead[stop] and self.reachable(token) and (not out or self.compatible(out[-1], token)):
                     tries[-1] = left
                     out.append(token)
@@ -94,27 +118,14 @@ class ByteBpe:
             else:
                 dead[at] = 1
                 tries.pop()
-                at -= len(self.bytes_of[out.pop()])
+                at -= size[out.pop()]
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, each match of the pattern by itself."""
-        known, found = self._pieces, self.pattern.findall(text)
-        if len(known) > PIECES_KEPT:
-            known.clear()
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            out = []
-            for piece in found:
-                ids = known.get(piece)
-                if ids is None:
-                    data = piece.encode()
-                    ids = np.array(self.piece(data), "<u4").tobytes()
-                    if len(data) <= PIECE_BYTES:
-                        known[piece] = ids
-                out.append(ids)
-            return b"".join(out)
+        if len(self._pieces) > PIECES_KEPT:
+            self._pieces.clear()
+        return b"".join(map(self._pieces.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids in the form that encode() gives."""
