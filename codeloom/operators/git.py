@@ -14,14 +14,10 @@ from codeloom.plans.snapshot import Snapshot
 def file_rollup(s: Snapshot) -> DataFrame:
     """Per file: commits, first and last date, the last date's author (of several, the greatest), distinct authors."""
     rows = s.commit_files.join(s.commits, F.col("commit_id") == F.col("id"))
-    by = rows.groupBy("file_path").agg(
-        F.countDistinct("commit_id").alias("commit_count"),
-        F.max(F.struct("committed_at", "author")).alias("last"),
-        F.min("committed_at").alias("first_commit"),
-        F.countDistinct("author").alias("distinct_authors"),
-        F.min("class_id").alias("class_id"),
-    )
-    return by.select("file_path", "class_id", "commit_count", F.col("last.committed_at").alias("last_modified"), F.col("last.author").alias("last_author"), "first_commit", "distinct_authors")
+    # a commit has one author, so counts by author add up, and only one distinct count is needed
+    authors = rows.groupBy("file_path", "author").agg(F.countDistinct("commit_id").alias("n"), F.max("committed_at").alias("newest"), F.min("committed_at").alias("oldest"), F.min("class_id").alias("class_id"))
+    by = authors.groupBy("file_path").agg(F.sum("n").alias("commit_count"), F.max(F.struct("newest", "author")).alias("last"), F.min("oldest").alias("first_commit"), F.count("author").alias("distinct_authors"), F.min("class_id").alias("class_id"))
+    return by.select("file_path", "class_id", "commit_count", F.col("last.newest").alias("last_modified"), F.col("last.author").alias("last_author"), "first_commit", "distinct_authors")
 
 
 def hotspots(s: Snapshot, *, since: datetime.date | None = None, include_historical: bool = False, limit: int = 10) -> DataFrame:
