@@ -34,13 +34,14 @@ def architecture_hubs(s: Snapshot, *, limit: int | None = None) -> DataFrame:
     """Distinct users of each class: all, source, generated, production and test; most used first."""
     users = s.current().select(F.col("id").alias("from_class_id"), "origin", "source_set")
     edges = s.dependencies.join(users, "from_class_id").join(s.current().select(F.col("id").alias("to_class_id"), "class_name"), "to_class_id")
-    of = lambda when: F.countDistinct(F.when(when, F.col("from_class_id")))
-    hubs = edges.groupBy(F.col("to_class_id").alias("id"), "class_name").agg(
-        F.countDistinct("from_class_id").alias("total"),
-        of(F.col("origin") == "source").alias("source"),
-        of(F.col("origin") == "generated").alias("generated"),
-        of(is_production()).alias("production"),
-        of(F.col("source_set") == "test").alias("test"),
+    # each user once, so that the five counts are plain ones
+    pairs = edges.select(F.col("to_class_id").alias("id"), "class_name", "from_class_id", "origin", "source_set").distinct()
+    hubs = pairs.groupBy("id", "class_name").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("origin") == "source").alias("source"),
+        F.count_if(F.col("origin") == "generated").alias("generated"),
+        F.count_if(is_production()).alias("production"),
+        F.count_if(F.col("source_set") == "test").alias("test"),
     )
     return hubs.orderBy(F.desc("total"), "id").limit(limit) if limit else hubs
 
@@ -63,12 +64,9 @@ def field_usage(s: Snapshot) -> DataFrame:
     """Distinct current readers and writers of each field, and their accesses."""
     users = s.current().select(F.col("id").alias("accessor_class_id"))
     read = F.col("access_kind").startswith("read")
-    return s.field_accesses.join(users, "accessor_class_id").groupBy("owner_class_id", "field_name").agg(
-        F.countDistinct(F.when(read, F.col("accessor_class_id"))).alias("readers"),
-        F.countDistinct(F.when(~read, F.col("accessor_class_id"))).alias("writers"),
-        F.sum(F.when(read, F.col("occurrence_count")).otherwise(0)).alias("reads"),
-        F.sum(F.when(~read, F.col("occurrence_count")).otherwise(0)).alias("writes"),
-    )
+    total = lambda when: F.sum(F.when(when, F.col("occurrence_count")).otherwise(0))
+    by_user = s.field_accesses.join(users, "accessor_class_id").groupBy("owner_class_id", "field_name", "accessor_class_id").agg(total(read).alias("reads"), total(~read).alias("writes"), F.max(read).alias("reader"), F.max(~read).alias("writer"))
+    return by_user.groupBy("owner_class_id", "field_name").agg(F.count_if("reader").alias("readers"), F.count_if("writer").alias("writers"), F.sum("reads").alias("reads"), F.sum("writes").alias("writes"))
 
 
 def overview_counts(s: Snapshot) -> DataFrame:
