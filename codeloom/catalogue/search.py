@@ -67,3 +67,12 @@ register(
 )
 register("enclosing_classes", lambda s: q.enclosing_classes(s, "src/main/java/C17.java", 20), "SELECT id, class_name, source_line FROM classes WHERE source_file = 'src/main/java/C17.java' AND source_line <= 20 AND lifecycle = 'current' ORDER BY source_line DESC, class_name LIMIT 10")
 register("resolve_target", lambda s: q.resolve_target(s, "C15"), f"{CUR} SELECT id, class_name, 3 AS step FROM cur WHERE regexp_extract(class_name, '[^.]*$') = 'C15' ORDER BY class_name LIMIT 5")
+register(
+    "symbol_candidates",
+    lambda s: q.symbol_candidates(s, "get2", "src/main/java/C12.java", 30, context="call"),
+    """live AS (SELECT * FROM classes WHERE lifecycle = 'current'), near AS (SELECT id FROM live WHERE source_file = 'src/main/java/C12.java' AND source_line <= 30 ORDER BY source_line DESC, class_name LIMIT 1),
+    c AS (SELECT id AS class_id, class_name AS name, kind, source_file = 'src/main/java/C12.java' AS same_file FROM live WHERE regexp_extract(class_name, '[^.]*$') = 'get2'
+    UNION ALL SELECT m.class_id, class_name || '#' || m.name || descriptor, m.kind, source_file = 'src/main/java/C12.java' FROM class_members m JOIN live ON live.id = m.class_id WHERE m.name = 'get2'),
+    f AS (SELECT * FROM c ORDER BY same_file DESC, name LIMIT 200), s AS (SELECT name, kind, CAST(CASE WHEN same_file THEN 20 ELSE 0 END + CASE WHEN class_id IN (SELECT id FROM near) THEN 25 ELSE 0 END + CASE WHEN kind = 'METHOD' THEN 80 ELSE -30 END AS INTEGER) AS score FROM f)
+    SELECT name, kind, score, CAST(row_number() OVER (ORDER BY score DESC, name) AS INTEGER) AS place, row_number() OVER (ORDER BY score DESC, name) = 1 AND coalesce(lead(score) OVER (ORDER BY score DESC, name), -10000) < score AS decisive FROM s""",
+)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from codeloom.catalogue import CUR, register
 from codeloom.catalogue.rules import _RISK
 from codeloom.operators import composite, execution, workspace
+from codeloom.streaming.events import debounced
 
 _T = lambda s: s.classes.where("id IN (0, 3, 17, 40)").select("id")
 register("repositories", workspace.repositories, f"{CUR} SELECT repository, count(DISTINCT module) AS modules, count(*) AS classes, count(*) FILTER (WHERE is_bean) AS beans, CAST(sum(source_tokens) AS BIGINT) AS tokens FROM cur GROUP BY 1")
@@ -105,3 +106,11 @@ register(
     br AS (SELECT method, max(c) AS c FROM (SELECT method, src, count(DISTINCT dst) AS c FROM e GROUP BY 1, 2) GROUP BY 1), o AS (SELECT s.method, CASE WHEN lb < fa THEN 'proven' WHEN la < fb THEN 'reversed' ELSE 'mixed' END AS ord, guarded, coalesce(c, 0) AS c FROM s JOIN g ON g.method = s.method LEFT JOIN br ON br.method = s.method)
     SELECT method, ord AS "order", CASE WHEN ord = 'proven' AND c <= 1 THEN 'straight' WHEN guarded THEN 'proven' ELSE 'bypass' END AS runtime FROM o""",
 )
+
+
+register(
+    "debounced_changes",
+    lambda s: debounced(s.calls_log.select(F.col("tool").alias("project"), "at", F.col("id").alias("revision")), gap="4 minutes"),
+    """c AS (SELECT tool, "at", id, CASE WHEN "at" - lag("at") OVER (PARTITION BY tool ORDER BY "at") < INTERVAL 4 MINUTE THEN 0 ELSE 1 END AS new FROM calls_log), g AS (SELECT *, sum(new) OVER (PARTITION BY tool ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS burst FROM c)
+    SELECT tool AS project, min("at") AS began, max("at") + INTERVAL 4 MINUTE AS ended, max(id) AS revision, count(*) AS changes FROM g GROUP BY tool, burst""",
+)

@@ -169,6 +169,19 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).withColumn("decisive", (F.col("place") == 1) & (F.coalesce(F.lead("score").over(order), F.lit(-10_000)) < F.col("score")))
 
 
+def symbol_candidates(s: Snapshot, identifier: str, path: str, line: int, *, context: str = "none", limit: int = 200) -> DataFrame:
+    """Declarations that an identifier at a line of a file may mean, ranked: current classes by simple name and
+    their members by name, those of the same file first. The class that begins nearest above the line encloses it."""
+    here = (F.col("source_file") == path).alias("same_file")
+    near = enclosing_classes(s, path, line).limit(1).select(F.col("id").alias("class_id"), F.lit(True).alias("enclosing"))
+    live = s.classes.where("lifecycle = 'current'")
+    types = live.where(simple_name(F.col("class_name")) == identifier).select(F.col("id").alias("class_id"), F.col("class_name").alias("name"), "kind", here)
+    owners = live.select(F.col("id").alias("class_id"), "class_name", "source_file")
+    members = s.class_members.where(F.col("name") == identifier).join(owners, "class_id").select("class_id", F.concat("class_name", F.lit("#"), "name", "descriptor").alias("name"), "kind", here)
+    found = types.unionByName(members).orderBy(F.desc("same_file"), "name").limit(limit).join(F.broadcast(near), "class_id", "left")
+    return rank_candidates(found.select(F.lit(0).alias("group"), "name", "kind", "same_file", F.coalesce("enclosing", F.lit(False)).alias("enclosing"), F.lit(context).alias("context"), F.lit("none").alias("arguments"))).select("name", "kind", "score", "place", "decisive")
+
+
 def descriptor(parameters: Column, returns: Column) -> Column:
     """The JVM descriptor of type names; null if a name is null."""
     letters = {"void": "V", "int": "I", "long": "J", "boolean": "Z", "byte": "B", "char": "C", "short": "S", "float": "F", "double": "D"}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,12 +34,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's, or one of our own in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for intermediate tables: the cluster's, the session's checkpoint folder, or in local mode
+    one of our own that goes when the process ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return f"file:///tmp/checkpoints/codeloom-{os.getpid()}"
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        own = f"/tmp/checkpoints/codeloom-{os.getpid()}"
+        if own not in _OWN:
+            _OWN.add(own)
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        return f"file://{own}"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_codeloom"
 
 
