@@ -9,7 +9,8 @@ count, and pairs that meet in several values are deduplicated.
 
 With ``tables`` over 1, independent fingerprints give several chances to meet, and with
 ``min_similarity`` candidate pairs are then verified by the Jaccard coefficient of whole shingle
-sets; pairs are taken between neighbours and with the first of a value, a number linear in its rows.
+sets. There sharing a value doesn't imply a link, so neighbours only make a first round; then all
+texts of a value that are in different groups so far are compared, crowded values block by block.
 """
 
 from __future__ import annotations
@@ -23,12 +24,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from codeloom.llm.common import arrow_map, as_bytes, drop_stored, salt, slices, splitmix, stored
+from codeloom.llm.common import arrow_map, as_bytes, batch_of, drop_stored, salt, slices, splitmix, stored
 from codeloom.llm.components import connected_components
+from codeloom.runtime import ship
 
 SEED = 42
 _BLOCK = 1 << 15
+#: Values of more rows than this are compared by fingerprints first, in blocks of about so many rows.
+_CROWDED, _ROWS = 64, 2048
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -139,9 +145,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 16, firs
     """(doc_id, component_id): groups of texts whose shingle sets have a Jaccard coefficient of
     ``min_similarity`` or more, found by ball hashing over ``tables`` 32-bit fingerprints.
 
-    The ``first`` tables go first; the others then only propose pairs of different groups, so a group of
-    very many near copies is not compared again and again. Within a value, neighbours are proposed: a
-    number linear in its rows. Proposals are verified by whole shingle sets.
+    In the ``first`` tables, neighbours within a value are proposed: a number linear in its rows, that
+    joins most of a group of very many near copies. Then all tables propose every pair within a value
+    whose texts are in different groups so far. Proposals are verified by whole shingle sets.
 
     ``id_col`` is an integer; rows with a null id are left out. Equal texts always share a group.
     Texts without words are equal to each other. Repeated ids keep one row each.
@@ -154,9 +160,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 16, firs
     prints = fingerprints(rows, shingle=shingle, words64=(tables + 1) // 2).join(nodes.select(F.col("node").alias("i")), "i", "left_semi")
     prints = stored(prints.dropDuplicates(["i"]))
     links, roots = None, None
-    for chosen in (range(first), range(first, tables)):
+    for chosen in (range(min(first, tables)), range(tables)):
         if len(chosen):
-            pairs = stored(_proposed(prints, chosen, radius, min_similarity, roots))
+            pairs = _proposed(prints, chosen, radius, min_similarity, roots)
             found = _verified(pairs, rows, shingle, min_similarity)
             links = found if links is None else links.unionByName(found)
             roots = connected_components(links)
@@ -167,22 +173,106 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 16, firs
 
 
 def _proposed(prints: DataFrame, tables: range, radius: int, min_similarity: float, roots: DataFrame | None) -> DataFrame:
-    """(a, b): neighbours, of different groups so far, in some value of these tables, whose whole
-    fingerprints aren't farther apart than the similarity allows."""
+    """(a, b), stored: pairs that share a value of these tables and whose whole fingerprints aren't farther
+    apart than the similarity allows: neighbours, or with ``roots`` all that are in different groups."""
     halves = [F.expr(f"{'shiftright' if t % 2 else ''}(f{t // 2}{', 32' if t % 2 else ''}) & 4294967295").bitwiseOR(F.lit(t << 32)) for t in tables]
+    bits = [c for c in prints.columns if c != "i"]
+    farthest = _farthest(min_similarity, 64 * len(bits))
     wide = prints if roots is None else prints.join(roots.select(F.col("node").alias("i"), F.col("root").alias("c")), "i", "left")
-    group = F.col("i") if roots is None else F.coalesce("c", "i")
     # the table is part of the value; nodes of one fingerprint stay apart, as their texts differ
-    long = wide.select("i", *([] if roots is None else [group.alias("c")]), F.explode(F.array(*halves)).alias("f"))
+    long = wide.select("i", *([] if roots is None else [F.coalesce("c", "i").alias("c")]), F.explode(F.array(*halves)).alias("f"))
     met = _variants(long, F.col("f"), 32, radius).drop("f")
-    # within a value, equal fingerprints have flipped the same bits and come together
-    by = Window.partitionBy("variant").orderBy(*([] if roots is None else ["c"]), "flipped", "i")
-    near = met.select("i", F.lag("i").over(by).alias("p"), *([] if roots is None else ["c", F.lag("c").over(by).alias("d")])).where("p is not null" + (" AND c <> d" if roots is not None else ""))
-    pairs = near.where("i <> p").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
-    bits = [c for c in prints.columns if c != "i"]
+    several = None
+    if roots is None:
+        # within a value, equal fingerprints have flipped the same bits and come together
+        near = met.select("i", F.lag("i").over(Window.partitionBy("variant").orderBy("flipped", "i")).alias("p"))
+        pairs = near.where("i <> p").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+    else:
+        within = Window.partitionBy("variant")
+        mixed = met.select("*", F.min("c").over(within).alias("lo"), F.max("c").over(within).alias("hi")).where("lo < hi").select("variant", "flipped", "i", "c")
+        several = stored(_within_values(mixed))
+        pairs = several.where("variant is null").select("a", "b").unionByName(_within_crowds(several.where("variant is not null"), prints, farthest)).distinct()
     side = lambda n: prints.select(F.col("i").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in bits])
     apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bits]
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sum(apart[1:], apart[0]) <= _farthest(min_similarity, 64 * len(bits))).select("a", "b")
+    found = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(sum(apart[1:], apart[0]) <= farthest).select("a", "b"))
+    if several is not None:
+        drop_stored(several)
+    return found
+
+
+def _within_values(mixed: DataFrame) -> DataFrame:
+    """``mixed`` (variant, flipped, i, c), where the rows of a variant come in a run. Each pair (a, b) of a run
+    that differs in c, with variant null; of longer runs than ``_CROWDED`` the rows, as (i, c, variant, flipped).
+    Equal fingerprints share all their variants and are paired in the one that has flipped nothing."""
+    ship(mixed.sparkSession)
+    kind = _parse_datatype_string("a long, b long, variant long, flipped int")
+    arrow, most = to_arrow_schema(kind), _CROWDED
+
+    def rows_of(v: np.ndarray, f: np.ndarray, i: np.ndarray, c: np.ndarray, crowd: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield batch_of({"a": i[crowd], "b": c[crowd], "variant": v[crowd], "flipped": f[crowd]}, arrow)
+        v, f, i, c = (x[~crowd] for x in (v, f, i, c))
+        for d in range(1, most):
+            same = v[d:] == v[:-d]
+            if not same.any():
+                break
+            k = np.flatnonzero(same & (c[d:] != c[:-d]) & ((f[d:] != f[:-d]) | (f[d:] == 0)))
+            none = pa.nulls(len(k), pa.int64())
+            yield batch_of({"a": np.minimum(i[k], i[k + d]), "b": np.maximum(i[k], i[k + d]), "variant": none, "flipped": none.cast(pa.int32())}, arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long = [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64)], None
+        for batch in _and_end(batches):
+            if batch is not None:
+                held = [np.concatenate((h, batch.column(n).to_numpy(zero_copy_only=False))) for h, n in zip(held, ("variant", "flipped", "i", "c"), strict=True)]
+            v = held[0]
+            if not len(v):
+                continue
+            starts = np.concatenate(([0], np.flatnonzero(v[1:] != v[:-1]) + 1))
+            sizes = np.diff(np.append(starts, len(v)))
+            crowd = sizes > most
+            crowd[0] |= v[0] == long
+            # the last run may go on in the next batch, unless it is a crowd already
+            stop = len(v) if batch is None or crowd[-1] else int(starts[-1])
+            long = v[-1] if crowd[-1] else None
+            yield from rows_of(*[x[:stop] for x in held], np.repeat(crowd, sizes)[:stop])
+            held = [x[stop:] for x in held]
+
+    return mixed.mapInArrow(run, kind)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _within_crowds(rows: DataFrame, prints: DataFrame, farthest: int) -> DataFrame:
+    """(a, b): all pairs of crowded values (``rows``: a the node, b its group) that differ in group and by at
+    most ``farthest`` bits. Each value is dealt into blocks, and every two blocks are compared on their own."""
+    bits = [c for c in prints.columns if c != "i"]
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("variant")) / _ROWS).cast("int")
+    dealt = rows.select(F.col("a").alias("i"), F.col("b").alias("c"), "variant", "flipped", blocks.alias("n")).withColumn("own", F.pmod(F.xxhash64("i"), "n").cast("int"))
+    both = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).join(prints, "i")
+    keyed = both.select("variant", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "i", "c", "flipped", *bits)
+    ship(rows.sparkSession)
+    arrow = to_arrow_schema(_parse_datatype_string("a long, b long"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, low, high, i, c, f = (table.column(n).to_numpy() for n in ("own", "low", "high", "i", "c", "flipped"))
+        prints = np.column_stack([table.column(n).to_numpy() for n in bits]).view(np.uint64)
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        out: list[np.ndarray] = []
+        for k in range(0, len(left), 32):
+            x = left[k : k + 32, None]
+            apart = sum(np.bitwise_count(prints[x, w] ^ prints[right, w]).astype(np.int32) for w in range(len(bits)))
+            yes = (apart <= farthest) & (c[x] != c[right]) & ((f[x] != f[right]) | (f[x] == 0))
+            if low[0] == high[0]:
+                yes &= i[x] < i[right]
+            p, q = np.nonzero(yes)
+            out.append(np.column_stack((i[left[k + p]], i[right[q]])))
+        found = np.sort(np.concatenate(out), axis=1) if out else np.empty((0, 2), np.int64)
+        return pa.Table.from_batches([batch_of({"a": found[:, 0], "b": found[:, 1]}, arrow)])
+
+    return keyed.groupBy("variant", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, min_similarity: float) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from codeloom.llm import simhash_dedup as sd
@@ -75,3 +76,32 @@ def test_near_duplicates_by_shingle_sets(docs_of):
     got = {x.doc_id: x.component_id for x in sd.near_duplicates(docs_of(rows)).collect()}
     assert got == {5: 3, 3: 3, 9: 3, 1: 1, 2: 2, 4: 2, 6: 6}
     assert sd.near_duplicates(docs_of([])).collect() == []
+
+
+@pytest.mark.parametrize(("between", "rows"), [(1, 2048), (60, 2048), (150, 2048), (150, 40)])
+def test_near_copies_with_unlike_texts_between(docs_of, monkeypatch, between, rows):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(10_000)}" for _ in range(120))
+    first, second = text(), text()
+    texts = [(0, first), (1, second), *[(2 + k, text()) for k in range(between)], (900, second + " end"), (901, first + " end")]
+    # all texts meet in all values, and none are far apart
+    monkeypatch.setattr(sd, "fingerprints", lambda d, *, shingle, words64: d.selectExpr("doc_id AS i", *[f"0L AS f{k}" for k in range(words64)]))
+    monkeypatch.setattr(sd, "_ROWS", rows)
+    got = {x.doc_id: x.component_id for x in sd.near_duplicates(docs_of(texts), tables=2, first=1).collect()}
+    assert got == {i: {900: 1, 901: 0}.get(i, i) for i, _ in texts}
+
+
+def test_runs_over_batches(docs_of, spark):
+    r = random.Random(2)
+    sizes = [r.choice([2, 3, 40, 63, 64, 65, 66, 200]) for _ in range(80)]
+    rows = [(v, k % 3, 1000 * v + k, k % 5) for v, n in enumerate(sizes) for k in range(n)]
+    df = docs_of(rows, "variant long, flipped int, i long, c long").coalesce(1).sortWithinPartitions("variant")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+        got = sd._within_values(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    pairs = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and sizes[a[0]] <= 64 and a[2] < b[2] and a[3] != b[3] and (a[1] != b[1] or not a[1])}
+    assert {(x.a, x.b) for x in got if x.variant is None} == pairs
+    assert sorted((x.variant, x.flipped, x.a, x.b) for x in got if x.variant is not None) == sorted(x for x in rows if sizes[x[0]] > 64)
