@@ -65,15 +65,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, words64: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, shingle: int = 3, words64: int = 1, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f0, f1, ...): ``words64`` 64-bit fingerprints of each whole text; null counts as empty,
-    no words give zero. Any type of id, null included, passes through."""
+    no words give zero. Without ``repeats`` each different shingle votes once. Any type of id, null included, passes through."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         out: list[list[int]] = [[] for _ in range(words64)]
         for text in batch.column("t").to_pylist():
             h = shingle_hashes(text, shingle)
+            h = h if repeats else np.unique(h)
             for k in range(words64):
                 out[k].append(_signed(vote(splitmix(h + salt(k)) if k else h)))
         yield {"i": batch.column("i"), **{f"f{k}": x for k, x in enumerate(out)}}
@@ -157,7 +158,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 16, firs
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = stored(rows.select("doc_id", F.sha2("text", 256).alias("k")).distinct())
     nodes = stored(keyed.groupBy("k").agg(F.min("doc_id").alias("node")))
-    prints = fingerprints(rows, shingle=shingle, words64=(tables + 1) // 2).join(nodes.select(F.col("node").alias("i")), "i", "left_semi")
+    prints = fingerprints(rows, shingle=shingle, words64=(tables + 1) // 2, repeats=False).join(nodes.select(F.col("node").alias("i")), "i", "left_semi")
     prints = stored(prints.dropDuplicates(["i"]))
     links, roots = None, None
     for chosen in (range(min(first, tables)), range(tables)):

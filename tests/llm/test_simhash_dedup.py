@@ -85,7 +85,7 @@ def test_near_copies_with_unlike_texts_between(docs_of, monkeypatch, between, ro
     first, second = text(), text()
     texts = [(0, first), (1, second), *[(2 + k, text()) for k in range(between)], (900, second + " end"), (901, first + " end")]
     # all texts meet in all values, and none are far apart
-    monkeypatch.setattr(sd, "fingerprints", lambda d, *, shingle, words64: d.selectExpr("doc_id AS i", *[f"0L AS f{k}" for k in range(words64)]))
+    monkeypatch.setattr(sd, "fingerprints", lambda d, *, words64, **_: d.selectExpr("doc_id AS i", *[f"0L AS f{k}" for k in range(words64)]))
     monkeypatch.setattr(sd, "_ROWS", rows)
     got = {x.doc_id: x.component_id for x in sd.near_duplicates(docs_of(texts), tables=2, first=1).collect()}
     assert got == {i: {900: 1, 901: 0}.get(i, i) for i, _ in texts}
@@ -105,3 +105,13 @@ def test_runs_over_batches(docs_of, spark):
     pairs = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and sizes[a[0]] <= 64 and a[2] < b[2] and a[3] != b[3] and (a[1] != b[1] or not a[1])}
     assert {(x.a, x.b) for x in got if x.variant is None} == pairs
     assert sorted((x.variant, x.flipped, x.a, x.b) for x in got if x.variant is not None) == sorted(x for x in rows if sizes[x[0]] > 64)
+
+
+def test_near_duplicates_with_lines_repeated_more_or_less(docs_of):
+    r = random.Random(11)
+    texts = []
+    for k in range(12):
+        words, line = (" ".join(f"w{r.randrange(10_000)}" for _ in range(n)) for n in (150, 10))
+        texts += [(2 * k, f"{words} {line} {line}"), (2 * k + 1, f"{words} {' '.join([line] * (6, 11, 31)[k % 3])}")]
+    got = {x.doc_id: x.component_id for x in sd.near_duplicates(docs_of(texts)).collect()}
+    assert got == {i: i - i % 2 for i, _ in texts}
