@@ -35,7 +35,9 @@ SENSITIVE = {
 PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("auth", "key"): 0.9, ("db", "pass"): 0.9}
 PLACEHOLDER = re.compile(r"(?i)^(?:.*(?:example|changeme|change_me|placeholder|your[_-]|dummy|redacted|undefined).*|(.)\1*|none|null|true|false|\$\{.*\}|\{\{.*\}\}|<.*>|%\w+%)$")
 
-_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "key", "cred", "db_pass", "dbpass")
+#: What a sensitive name holds when only its letters are left: words may be in any case and parted by any sign.
+_HINTS = tuple(sorted({w.encode() for w in SENSITIVE} | {"".join(p).encode() for p in PAIRS}))
+_SIGNS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
 _NAME = r"[A-Za-z_$][\w$.\-]*"
 _QUOTED = r"(?:[bBrRuUfF]{0,2})(?:\"\"\"(?P<q3>(?:[^\\]|\\.)*?)\"\"\"|\"(?P<q2>(?:[^\"\\\n]|\\.)*)\"|'(?P<q1>(?:[^'\\\n]|\\.)*)'|`(?P<q0>[^`\n]*)`)"
 _STATEMENT = re.compile(
@@ -102,8 +104,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int, str]]:
 
 def lexed_spans(text: str, least: float = 0.6) -> list[tuple[int, int, str, float]]:
     """(start, stop, name, score) of literals that reach a sensitive name with ``least`` or more."""
-    low = text.lower()
-    if not any(h in low for h in _HINTS) and "://" not in low:
+    letters = text.encode("utf-8", "replace").lower().translate(None, _SIGNS)
+    if not any(h in letters for h in _HINTS) and "://" not in text:
         return []
     known: dict[str, tuple[int, int, str, bool]] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}

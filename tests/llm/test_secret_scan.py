@@ -46,6 +46,24 @@ def test_lexing(text, found):
     assert [text[a:b] for a, b, _, _ in ss.lexed_spans(text)] == found
 
 
+def splits(word):
+    return [(word[:k], word[k:]) for k in range(1, len(word))]
+
+
+@pytest.mark.parametrize("sign", ["_", "-", "$", ""])
+def test_every_sensitive_name_is_lexed(sign):
+    names = {n for w in ss.SENSITIVE for n in (w, w.upper(), *(sign.join(p) for p in splits(w)))} | {n for p in ss.PAIRS for n in (sign.join(p), sign.join(p).upper(), p[0] + p[1].title())}
+    names |= {"pass_phrase", "pass-phrase", "pass_word", "pass_wd", "db-pass", "passPhrase"}
+    names = {n for n in names if ss.name_score(n) >= 0.9}
+    assert len(names) >= 40
+    assert [n for n in names if [s[2] for s in ss.lexed_spans(f'{n} = "Xy7!kQ92mZp4"')] != [n]] == []
+
+
+def test_indexed_names_are_lexed():
+    for name in ("db pass", "pass/word", "pass\u0130word"):
+        assert [s[2] for s in ss.lexed_spans(f"x['{name}'] = \"Xy7!kQ92mZp4\"")] == [name]
+
+
 def test_frames(docs_of):
     rows = [(1, TEXTS[0], 5), (2, None, 5), (None, "k = 'Zx9!kLmn42pQ'; my_password = k", 5), (1, TEXTS[0], 5)]
     docs = docs_of(rows, "doc_id long, text string, spans int")
