@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import base_name, contains_pattern, has_modifier, outer_name, package_glob, package_name, path_glob, property_pattern, simple_name
+from codeloom.operators.graph import distances
 from codeloom.operators.metrics import edges_between_current
 from codeloom.plans.snapshot import Snapshot, is_production
 
@@ -96,9 +97,11 @@ def list_beans(s: Snapshot, *, scope: str | None = None, kind: str | None = None
 
 
 def project_dependencies(s: Snapshot, *, query: str | None = None) -> DataFrame:
-    """Visible modules: who sees them and whether directly, through others or both."""
+    """Visible modules: who sees them and whether directly, through any number of others or both."""
     direct = s.module_edges.select(F.col("visible").alias("artifact"), F.col("module"), F.lit("direct").alias("how"), "relation")
-    onward = s.module_edges.alias("a").join(s.module_edges.alias("b"), F.col("a.visible") == F.col("b.module")).select(F.col("b.visible").alias("artifact"), F.col("a.module"), F.lit("transitive").alias("how"), F.col("b.relation"))
+    starts = s.module_edges.select(F.col("module").alias("origin"), F.col("visible").alias("node"))
+    reach = distances(s.module_edges.select(F.col("module").alias("src"), F.col("visible").alias("dst")), starts)
+    onward = reach.alias("a").join(s.module_edges.alias("b"), F.col("a.node") == F.col("b.module")).select(F.col("b.visible").alias("artifact"), F.col("a.origin").alias("module"), F.lit("transitive").alias("how"), F.col("b.relation"))
     by = direct.unionByName(onward).groupBy("artifact").agg(F.countDistinct("module").alias("consumers"), F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("scopes"), F.array_sort(F.collect_set("how")).alias("hows"))
     found = by.select("artifact", "consumers", "scopes", F.when(F.size("hows") > 1, "mixed").otherwise(F.col("hows")[0]).alias("directness"))
     return found.where(F.lower("artifact").contains(query.lower())) if query else found

@@ -158,6 +158,13 @@ def test_readers(index, spark):
     assert readers.metadata(spark.createDataFrame([("k", "v")], "key string, value string")) == {"k": "v"}
 
 
+def test_dependencies_through_a_chain(spark):
+    edges = [("a", "b", "compile"), ("b", "c", "compile"), ("c", "d", "runtime"), ("x", "d", "compile")]
+    s = Snapshot.of(spark, {"module_edges": spark.createDataFrame(edges, "module string, visible string, relation string")})
+    got = {tuple(r) for r in search.project_dependencies(s).collect()}
+    assert got == {("b", 1, "compile", "direct"), ("c", 2, "compile", "mixed"), ("d", 4, "compile,runtime", "mixed")}
+
+
 def test_large_commits_settle_co_changes(index, spark):
     files = [(1, f"f{k}") for k in range(101)] + [(2, "f0"), (2, "x"), (3, "x"), (3, "y"), (4, "f1"), (4, "f1")]
     s = Snapshot.of(spark, {"commit_files": spark.createDataFrame(files, "commit_id long, file_path string")})
