@@ -89,10 +89,10 @@ register(
     FROM dependencies d JOIN cur u ON u.id = from_class_id WHERE to_class_id IN (0, 3, 17, 40)
     UNION ALL SELECT t.id, cur.id, cur.class_name, relation, relation, CAST(count(*) AS BIGINT), '' FROM i JOIN cur ON cur.id = i.id JOIN classes t ON t.class_name = i.parent WHERE t.id IN (0, 3, 17, 40) GROUP BY 1, 2, 3, 4""",
 )
-register("field_usages", lambda s: usage.field_usages(s, s.classes.where("id < 60").select("id"), access="write"), "SELECT * FROM field_accesses WHERE owner_class_id < 60 AND access_kind LIKE 'write%'")
+register("field_usages", lambda s: usage.field_usages(s, s.classes.select("id"), access="write"), "SELECT * FROM field_accesses WHERE owner_class_id < 60 AND access_kind LIKE 'write%'")
 register(
     "method_usages",
-    lambda s: usage.method_usages(s, s.classes.where("id < 60").select("id")),
+    lambda s: usage.method_usages(s, s.classes.select("id")),
     """h AS (SELECT c.id AS child, p.id AS parent FROM classes c JOIN classes p ON p.class_name IN (c.superclass, c.interface_name)), up0 AS (SELECT id, id AS ancestor, 0 AS depth FROM classes UNION SELECT up0.id, parent, depth + 1 FROM up0 JOIN h ON child = ancestor),
     up AS (SELECT id, ancestor, min(depth) AS depth FROM up0 GROUP BY 1, 2), q AS (SELECT DISTINCT target_class_id AS id, target_method AS name, target_descriptor AS descriptor FROM method_calls),
     f AS (SELECT q.*, ancestor, depth, min(depth) OVER (PARTITION BY q.id, q.name, q.descriptor) AS best FROM q JOIN up ON up.id = q.id JOIN class_members m ON m.class_id = ancestor AND m.name = q.name AND m.descriptor = q.descriptor AND m.kind = 'METHOD'),
@@ -101,14 +101,14 @@ register(
 )
 register(
     "class_cards",
-    lambda s: usage.class_cards(s, s.classes.where("id % 50 = 3").select("id")),
+    lambda s: usage.class_cards(s, s.classes.select("id")),
     f"""{CUR}, e AS (SELECT * FROM dependencies WHERE from_class_id IN (SELECT id FROM cur) AND to_class_id IN (SELECT id FROM cur)) SELECT id, class_name, (SELECT count(DISTINCT from_class_id) FROM e WHERE to_class_id = c.id) AS fan_in, (SELECT count(DISTINCT to_class_id) FROM e WHERE from_class_id = c.id) AS fan_out,
     (SELECT count(*) FROM class_members m WHERE m.class_id = c.id AND m.kind = 'METHOD') AS methods, (SELECT count(*) FROM class_members m WHERE m.class_id = c.id AND m.kind = 'FIELD') AS fields, (SELECT count(*) FROM class_members m WHERE m.class_id = c.id AND m.kind = 'CONSTRUCTOR') AS constructors,
     (SELECT count(DISTINCT external_type) FROM external_deps x WHERE x.class_id = c.id) AS external_types, coalesce((SELECT string_agg(DISTINCT annotation_name, ',' ORDER BY annotation_name) FROM class_annotations a WHERE a.class_id = c.id AND direct), '') AS annotations FROM cur c WHERE id % 50 = 3""",
 )
 register(
     "state_lifecycle",
-    lambda s: usage.state_lifecycle(s, s.classes.where("id < 100").select("id")),
+    lambda s: usage.state_lifecycle(s, s.classes.select("id")),
     """r AS (SELECT to_class_id AS target_id, from_class_id AS class_id, '' AS method, 'create' AS event, occurrence_count FROM dependencies WHERE kind = 'CONSTRUCTS' AND to_class_id < 100
     UNION ALL SELECT owner_class_id, accessor_class_id, accessor_method, CASE WHEN access_kind LIKE 'read%' THEN 'read' ELSE 'write' END, occurrence_count FROM field_accesses WHERE owner_class_id < 100),
     g AS (SELECT target_id, class_id, class_name, method, event, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM r JOIN classes ON id = class_id GROUP BY ALL),

@@ -45,7 +45,7 @@ register(
 )
 register(
     "workspace_usages",
-    lambda s: workspace.usages_across(s, s.classes.where("id < 60").select("id")),
+    lambda s: workspace.usages_across(s, s.classes.select("id")),
     f"{CUR} SELECT to_class_id AS target_id, a.repository AS consumer, d.kind, count(DISTINCT from_class_id) AS classes, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM dependencies d JOIN cur a ON a.id = from_class_id JOIN cur b ON b.id = to_class_id WHERE a.repository <> b.repository AND to_class_id < 60 GROUP BY 1, 2, 3",
 )
 register(
@@ -58,7 +58,7 @@ register(
 )
 register(
     "provider_fallback",
-    lambda s: workspace.provider_fallback(s, "PROMO", s.classes.where("id < 100").select("class_name")),
+    lambda s: workspace.provider_fallback(s, "PROMO", s.classes.select("class_name")),
     f"""{CUR}, m AS (SELECT DISTINCT class_name FROM classes WHERE id < 100 AND class_name NOT IN (SELECT class_name FROM cur WHERE repository = 'PROMO')), g AS (SELECT class_name, count(DISTINCT repository) AS n, min(repository) AS r FROM cur WHERE class_name IN (SELECT class_name FROM m) GROUP BY 1)
     SELECT class_name, CASE WHEN n = 1 THEN 'routed' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN r END AS repository FROM g""",
 )

@@ -36,20 +36,20 @@ def class_usages(s: Snapshot, targets: DataFrame) -> DataFrame:
 
 def method_usages(s: Snapshot, targets: DataFrame) -> DataFrame:
     """Calls that reach methods declared by the targets (id), through any class that inherits them."""
-    owners = resolved_owners(s).where("owner_id is not null").join(F.broadcast(targets.select(F.col("id").alias("owner_id"))), "owner_id")
+    owners = resolved_owners(s).where("owner_id is not null").join(targets.select(F.col("id").alias("owner_id")), "owner_id")
     calls = s.method_calls.select("caller_class_id", "caller_method", F.col("target_class_id").alias("id"), F.col("target_method").alias("name"), F.col("target_descriptor").alias("descriptor"), "occurrence_count")
     return calls.join(owners, ["id", "name", "descriptor"]).select("owner_id", "name", "descriptor", F.col("id").alias("named_id"), "caller_class_id", "caller_method", "occurrence_count")
 
 
 def field_usages(s: Snapshot, targets: DataFrame, *, access: str | None = None) -> DataFrame:
     """Accesses of the targets' (id) fields; ``access`` read or write."""
-    rows = s.field_accesses.join(F.broadcast(targets.select(F.col("id").alias("owner_class_id"))), "owner_class_id")
+    rows = s.field_accesses.join(targets.select(F.col("id").alias("owner_class_id")), "owner_class_id")
     return rows.where(F.col("access_kind").startswith(f"{access}_")) if access else rows
 
 
 def class_cards(s: Snapshot, targets: DataFrame) -> DataFrame:
     """Per target (id): metrics, members by kind, direct annotations, external types."""
-    chosen = F.broadcast(targets.select("id"))
+    chosen = targets.select("id")
     members = s.class_members.select(F.col("class_id").alias("id"), "kind").join(chosen, "id", "left_semi").groupBy("id").agg(F.count_if(F.col("kind") == "METHOD").alias("methods"), F.count_if(F.col("kind") == "FIELD").alias("fields"), F.count_if(F.col("kind") == "CONSTRUCTOR").alias("constructors"))
     marks = s.class_annotations.where("direct").groupBy(F.col("class_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("annotation_name")), ",").alias("annotations"))
     types = s.external_deps.groupBy(F.col("class_id").alias("id")).agg(F.countDistinct("external_type").alias("external_types"))
@@ -68,7 +68,7 @@ STATE_TERMS = {
 
 def state_lifecycle(s: Snapshot, targets: DataFrame) -> DataFrame:
     """Where the targets (id) are created, read and written, with roles by terms in the place's class and method."""
-    created = s.dependencies.where("kind = 'CONSTRUCTS'").join(F.broadcast(targets.select(F.col("id").alias("to_class_id"))), "to_class_id").select(F.col("to_class_id").alias("target_id"), F.col("from_class_id").alias("class_id"), F.lit("").alias("method"), F.lit("create").alias("event"), "occurrence_count")
+    created = s.dependencies.where("kind = 'CONSTRUCTS'").join(targets.select(F.col("id").alias("to_class_id")), "to_class_id").select(F.col("to_class_id").alias("target_id"), F.col("from_class_id").alias("class_id"), F.lit("").alias("method"), F.lit("create").alias("event"), "occurrence_count")
     touched = field_usages(s, targets).select(F.col("owner_class_id").alias("target_id"), F.col("accessor_class_id").alias("class_id"), F.col("accessor_method").alias("method"), F.when(F.col("access_kind").startswith("read"), "read").otherwise("write").alias("event"), "occurrence_count")
     named = created.unionByName(touched).join(s.classes.select(F.col("id").alias("class_id"), "class_name"), "class_id")
     place = F.lower(F.concat_ws(" ", "class_name", "method"))

@@ -73,9 +73,9 @@ def resolve_across(s: Snapshot, targets: list[str]) -> DataFrame:
 
 def usages_across(s: Snapshot, targets: DataFrame) -> DataFrame:
     """Uses of the targets (id) by classes of other repositories, by repository and kind."""
-    own = s.current().join(F.broadcast(targets.select("id")), "id", "left_semi").select(F.col("id").alias("to_class_id"), F.col("repository").alias("provider"))
+    own = s.current().join(targets.select("id"), "id", "left_semi").select(F.col("id").alias("to_class_id"), F.col("repository").alias("provider"))
     users = s.current().select(F.col("id").alias("from_class_id"), F.col("repository").alias("consumer"))
-    rows = s.dependencies.join(F.broadcast(own), "to_class_id").join(users, "from_class_id").where("consumer <> provider")
+    rows = s.dependencies.join(own, "to_class_id").join(users, "from_class_id").where("consumer <> provider")
     return rows.groupBy(F.col("to_class_id").alias("target_id"), "consumer", "kind").agg(F.countDistinct("from_class_id").alias("classes"), F.sum("occurrence_count").alias("occurrences"))
 
 

@@ -4,6 +4,7 @@ import pytest
 from oracle import assert_same, connect
 
 from codeloom import catalogue
+from codeloom.plans.projection import snapshot
 
 catalogue.load()
 FOLDER = os.environ.get("CODELOOM_SF", "/root/testdata/sf0.001")
@@ -22,3 +23,29 @@ def test_equals_sql(spark, con, name):
 def test_queries_without_sql(spark):
     rows = {(r.step, r.class_name) for r in catalogue.QUERIES["change_plan"](spark, FOLDER).collect()}
     assert {s for s, _ in rows} == {"1-change", "2-review", "3-test"}
+
+
+#: Queries of all classes whose SQL states only some of them: which.
+PARTS = {
+    "class_cards": "id % 50 = 3",
+    "field_usages": "owner_class_id < 60",
+    "method_usages": "owner_id < 60",
+    "state_lifecycle": "target_id < 100",
+    "workspace_usages": "target_id < 60",
+    "provider_fallback": "class_name IN (SELECT class_name FROM some)",
+}
+
+
+@pytest.mark.parametrize("name", sorted(PARTS))
+def test_all_classes_beyond_sql(spark, con, name):
+    whole = catalogue.QUERIES[name](spark, FOLDER).cache()
+    snapshot(spark, FOLDER).classes.where("id < 100").createOrReplaceTempView("some")
+    part = whole.where(PARTS[name])
+    assert_same(part, con, catalogue.ORACLES[name])
+    assert whole.count() > part.count()
+    whole.unpersist()
+
+
+def test_cards_of_all_current_classes(spark):
+    cards = catalogue.QUERIES["class_cards"](spark, FOLDER)
+    assert sorted(r.id for r in cards.select("id").collect()) == sorted(r.id for r in snapshot(spark, FOLDER).current().select("id").collect())
