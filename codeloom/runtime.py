@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN: set[str] = set()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,9 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the write's exchanges are of no use once it is done
+    try:
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
 
