@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,10 +16,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from codeloom.runtime import drop_stored, ship, stored
 
-__all__ = ["CACHE_WORDS", "MIX", "arrow_extend", "arrow_map", "as_bytes", "batch_of", "cached_hashes", "drop_stored", "held_out", "salt", "slices", "splitmix", "stored", "utf8"]
+__all__ = ["CACHE_WORDS", "MIX", "arrow_extend", "arrow_map", "as_bytes", "batch_of", "cached_hashes", "drop_stored", "held_out", "salt", "slices", "splitmix", "stored", "trimmed", "utf8"]
 
 #: A worker's memo of word hashes is emptied at this size, so its memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _HASHES: dict[bytes, int] = {}
@@ -29,6 +30,21 @@ def as_bytes(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``; at its end the worker, which lives on, gives freed memory back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Apply ``function`` to slices of each partition. It yields dicts of equally long columns."""
     ship(df.sparkSession)
@@ -41,7 +57,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]
             for columns in function(batch):
                 yield batch_of(columns, arrow)
 
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(trimmed(run), kind)
 
 
 def arrow_extend(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, most: int = 16 << 20, by: str | None = None) -> DataFrame:
@@ -61,7 +77,7 @@ def arrow_extend(df: DataFrame, function: Callable[[pa.RecordBatch], dict], sche
                 columns = [pa.array(found[n], type=given[n].type) if n in given else part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, whole)
+    return df.mapInArrow(trimmed(run), whole)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

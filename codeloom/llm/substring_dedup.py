@@ -7,8 +7,10 @@ exchanged at first (4 of 13 positions); an anchor that occurs once rules out the
 The others are extended to whole windows, whose hashes are exchanged with their positions; all but
 the first place of each are removed.
 
-Exchanges carry packed arrays, one row for each slice of the input and target partition; what was
-found goes back in the same way and becomes one row of ranges for each document. Each slice first
+Exchanges carry packed arrays, one row for each slice of the input and bucket of hashes; what was
+found goes back in the same way and becomes one row of ranges for each document. The number of
+buckets follows the measured bytes of text; rows are sorted by bucket within a partition, and a task
+holds one bucket at a time, however much its partition has. Each slice first
 settles what it can by itself and sends one entry for each hash, so a passage that very many
 documents share costs one entry a slice, not one for each document. Texts are exchanged once,
 by document, and read twice. Documents, hashes and positions never reach the driver.
@@ -24,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import MIX, arrow_map, as_bytes, batch_of, cached_hashes, slices, splitmix
+from codeloom.llm.common import MIX, arrow_map, as_bytes, batch_of, cached_hashes, slices, splitmix, trimmed
 
 # Perfect difference sets, by modulus.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-#: The id by which rows with a null id are ordered: before all others.
+#: Where rows with a null id are: at the least id, with a negative hash of their text, so before all others.
 NULL_ID = -(1 << 63)
+#: Bytes of text for each slice of the input.
+_SLICE = 12 << 20
 _BASES = (MIX, np.uint64(0xD6E8FEB86659FD93))
 _SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
-_KEY = np.dtype([("k", "<i8"), ("c", "<i4")])
+_KEY = np.dtype([("k", "<i8"), ("c", "<i8")])
 
 
 class _Powers:
@@ -83,76 +87,91 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     """The keys, one for each entry, and the columns of a blob."""
     docs, entries = np.frombuffer(blob, np.uint32, 2).tolist()
     keys = np.frombuffer(blob, _KEY, docs, 8)
-    sizes = np.frombuffer(blob, np.uint32, docs, 8 + 12 * docs)
-    out, at = [np.repeat(keys, sizes)], 8 + 16 * docs
+    sizes = np.frombuffer(blob, np.uint32, docs, 8 + _KEY.itemsize * docs)
+    out, at = [np.repeat(keys, sizes)], 8 + (_KEY.itemsize + 4) * docs
     for kind in kinds:
         out.append(np.frombuffer(blob, kind, entries, at))
         at += out[-1].nbytes
     return out
 
 
-def _flags(keys: np.ndarray, pos: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """Flagged positions as a blob for each partition of documents."""
+def _flags(keys: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Flagged positions as a blob for each bucket of documents."""
     order = np.lexsort((keys["c"], keys["k"]))
     keys, pos = keys[order], pos[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     own = keys[new]
-    home = (splitmix(own["k"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    home = (splitmix(own["k"].astype(np.uint64) * MIX + own["c"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     doc = np.cumsum(new) - 1
     return list(_pack(home[doc], doc, own, pos))
 
 
 def _rows(packed: list[tuple[int, bytes]], flagged: list[tuple[int, bytes]]) -> dict:
-    """Rows of an exchange: entries for the partition of their hash; settled flags for their documents'."""
+    """Rows of an exchange: entries for the bucket of their hash; settled flags for their documents'."""
     return {"b": [b for b, _ in (*packed, *flagged)], "f": [None] * len(packed) + [f for _, f in flagged], "e": [e for _, e in packed] + [None] * len(flagged)}
 
 
 _SENT = "b int, f binary, e binary"
 
 
-def _settle(df: DataFrame, parts: int, settle, before: int, after: int, *kinds: str) -> DataFrame:
-    """(k, c, runs): ``settle`` flags some of all the entries that met in a partition. Flags go to
-    their documents' partition and become one row for each document: merged ranges of the positions
+def _by_bucket(batches: Iterator[pa.RecordBatch], column: str, *kinds: str) -> Iterator[list[np.ndarray]]:
+    """Of rows sorted by bucket, the unpacked entries of one bucket after the other."""
+    now, held = None, []
+    for batch in batches:
+        for b, blob in zip(batch.column("b").to_pylist(), batch.column(column), strict=True):
+            if b != now and held:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            now = b
+            if blob.is_valid:
+                held.append(_unpack(blob.as_py(), *kinds))
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _settle(df: DataFrame, parts: int, buckets: int, settle, before: int, after: int, *kinds: str) -> DataFrame:
+    """(k, c, runs): ``settle`` flags some of all the entries that met in a bucket. Flags go to
+    their documents' bucket and become one row for each document: merged ranges of the positions
     from ``before`` below a flag to ``after`` above it."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema([("b", pa.int32()), ("f", pa.binary())])
-        blobs: list[list[np.ndarray]] = []
-        for batch in batches:
-            b, f, e = (batch.column(c).to_pylist() for c in ("b", "f", "e"))
-            blobs += [_unpack(x, *kinds) for x in e if x is not None]
-            if done := [(x, y) for x, y in zip(b, f, strict=True) if y is not None]:
-                yield batch_of({"b": [x for x, _ in done], "f": [y for _, y in done]}, arrow)
-        if blobs:
-            columns = [np.concatenate(c) for c in zip(*blobs, strict=True)]
-            blobs.clear()
-            found = _flags(*settle(*columns), parts)
+
+        def entries() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                passed.append(batch.filter(batch.column("f").is_valid()).select(["b", "f"]))
+                yield batch.filter(batch.column("e").is_valid())
+
+        passed: list[pa.RecordBatch] = []
+        for columns in _by_bucket(entries(), "e", *kinds):
+            while passed:
+                yield passed.pop()
+            found = _flags(*settle(*columns), buckets)
             yield batch_of({"b": [x for x, _ in found], "f": [y for _, y in found]}, arrow)
+        while passed:
+            yield passed.pop()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = pa.schema([("k", pa.int64()), ("c", pa.int32()), ("runs", pa.binary())])
-        blobs = [_unpack(x.as_py(), "<u4") for batch in batches for x in batch.column("f")]
-        if not blobs:
-            return
-        keys, pos = (np.concatenate(c) for c in zip(*blobs, strict=True))
-        blobs.clear()
-        order = np.lexsort((pos, keys["c"], keys["k"]))
-        keys, pos = keys[order], pos[order].astype(np.int64)
-        other = np.ones(len(keys), bool)
-        other[1:] = keys[1:] != keys[:-1]
-        new = other.copy()
-        new[1:] |= pos[1:] - before > pos[:-1] + after
-        first = np.flatnonzero(new)
-        runs = np.stack((np.maximum(pos[first] - before, 0), pos[np.append(first[1:], len(pos)) - 1] + after), axis=1).astype("<u4")
-        docs = np.flatnonzero(other[first])
-        ends = np.append(docs[1:], len(first))
-        for a in range(0, len(docs), 4096):
-            some = [(keys[first[x]], runs[x:y].tobytes()) for x, y in zip(docs[a : a + 4096].tolist(), ends[a : a + 4096].tolist(), strict=True)]
-            yield batch_of({"k": [k["k"] for k, _ in some], "c": [k["c"] for k, _ in some], "runs": [r for _, r in some]}, arrow)
-
-    flags = df.repartitionById(parts, F.col("b")).mapInArrow(met, "b int, f binary")
-    return flags.repartitionById(parts, F.col("b")).mapInArrow(merged, "k long, c int, runs binary")
+        arrow = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("runs", pa.binary())])
+        for keys, pos in _by_bucket(batches, "f", "<u4"):
+            order = np.lexsort((pos, keys["c"], keys["k"]))
+            keys, pos = keys[order], pos[order].astype(np.int64)
+            other = np.ones(len(keys), bool)
+            other[1:] = keys[1:] != keys[:-1]
+            new = other.copy()
+            new[1:] |= pos[1:] - before > pos[:-1] + after
+            first = np.flatnonzero(new)
+            runs = np.stack((np.maximum(pos[first] - before, 0), pos[np.append(first[1:], len(pos)) - 1] + after), axis=1).astype("<u4")
+            docs = np.flatnonzero(other[first])
+            ends = np.append(docs[1:], len(first))
+            own = keys[first[docs]]
+            for a in range(0, len(docs), 4096):
+                some = [runs[x:y].tobytes() for x, y in zip(docs[a : a + 4096].tolist(), ends[a : a + 4096].tolist(), strict=True)]
+                yield batch_of({"k": own["k"][a : a + 4096], "c": own["c"][a : a + 4096], "runs": some}, arrow)
+
+    flags = df.repartitionById(parts, F.col("b")).sortWithinPartitions("b").mapInArrow(trimmed(met), "b int, f binary")
+    return flags.repartitionById(parts, F.col("b")).sortWithinPartitions("b").mapInArrow(trimmed(merged), "k long, c long, runs binary")
 
 
 def _shared_anchors(keys: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +184,12 @@ def _shared_anchors(keys: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tupl
 
 def _later(keys: np.ndarray, high: np.ndarray, low: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal windows, those that start after the first."""
-    some = _not_first(keys["k"], high, low, pos)
+    some = _not_first(keys, high, low, pos)
     return keys[some], pos[some]
 
 
 def _not_first(keys: np.ndarray, high: np.ndarray, low: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    order = np.lexsort((pos, keys, low, high))
+    order = np.lexsort((keys["c"], pos, keys["c"] >= 0, keys["k"], low, high))
     new = np.ones(len(order), bool)
     new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
@@ -192,26 +211,31 @@ def _covered(runs: bytes, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, partitions: int | None = None, spacing: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, partitions: int | None = None, spacing: bool = False, carry: tuple[str, ...] = (), bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept binary, runs array<struct<start,stop>>): each document without the
     words covered by a window whose word sequence starts earlier (smaller id, or the same id and an
     earlier start). Words are split at ASCII white space and compared as they are; ``kept`` has one
     space between words; ``runs`` are the removed ranges of word positions.
 
-    ``id_col`` is an integer. Null text has no words. Null ids come before all others. Rows that
-    repeat an id and a text are the same place and keep what one of them keeps. Texts under
-    ``window`` words stay whole. Other columns are ignored but for those in ``carry``, which come back
+    ``id_col`` is an integer. Null text has no words. Null ids come before all others. Of different texts
+    of one id (or of none) the earlier start comes first, then the smaller hash of the text. Rows that repeat an id and a text are the
+    same place and keep what one of them keeps. Texts under
+    ``window`` words stay whole; a document all of whose words repeat keeps its row with an empty text. Other columns are ignored but for those in ``carry``, which come back
     in a struct ``row``. With ``spacing``, ``kept`` keeps the white space before each word that stays,
-    and a text that loses nothing comes back as it is. ``partitions`` (default: the session's
-    shuffle partitions) has to grow with the input: a task holds the entries of one partition.
+    and a text that loses nothing comes back as it is. Exchanges have ``partitions`` (default: the session's
+    shuffle partitions); a task holds the entries of one bucket, about ``bucket_bytes`` of text.
     """
     if modulus not in COVERS or window <= modulus:
         raise ValueError(f"modulus must be one of {sorted(COVERS)} and below the window")
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     span = window - modulus + 1
     cover = np.isin(np.arange(modulus), COVERS[modulus])
-    # c tells texts of one id apart
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), as_bytes(text_col).alias("t"), *([F.struct(*carry).alias("row")] if carry else []))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = parts * max(1, -(-total // (bucket_bytes * parts)))
+    # c tells texts of one id apart, and null ids from the least id
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.shiftleft(F.hash(whole).cast("long") + F.lit(1 << 31), 31).bitwiseOR(F.xxhash64(whole).bitwiseAND(F.lit((1 << 31) - 1)))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.when(F.col(id_col).isNull(), F.bitwise_not(digest)).otherwise(digest).alias("c"), as_bytes(text_col).alias("t"), *([F.struct(*carry).alias("row")] if carry else []))
     carried = f", row {texts.schema['row'].dataType.simpleString()}" if carry else ""
 
     def keys_of(part: pa.RecordBatch) -> np.ndarray:
@@ -220,7 +244,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
         return keys
 
     def anchors(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, "t", 24 << 20):
+        for part in slices(batch, "t", _SLICE):
             keys = keys_of(part)
             tags, docs_, pos = [], [], []
             for i, text in enumerate(part.column("t")):
@@ -233,14 +257,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
             tag, doc, at = _joined(tags, np.uint64), _joined(docs_, np.int64), _joined(pos, np.uint32)
             _, first, back, count = np.unique(tag, return_index=True, return_inverse=True, return_counts=True)
             here = count[back] > 1
-            flagged = _flags(keys[doc[here]], at[here], parts)
+            flagged = _flags(keys[doc[here]], at[here], buckets)
             first.sort()
             tag, doc, at = tag[first], doc[first], at[first]
-            bucket = ((tag >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            bucket = (splitmix(tag >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             yield _rows(list(_pack(bucket, doc, keys, tag.astype(np.uint32), at)), flagged)
 
     def windows(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, "t", 24 << 20):
+        for part in slices(batch, "t", _SLICE):
             keys, runs = keys_of(part), part.column("runs").to_pylist()
             high, low, docs_, pos = [], [], [], []
             for i, text in enumerate(part.column("t")):
@@ -256,17 +280,17 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
             if not high:
                 continue
             h, l, doc, at = np.concatenate(high), np.concatenate(low), np.concatenate(docs_), np.concatenate(pos)
-            later = _not_first(keys["k"][doc], h, l, at)
-            flagged = _flags(keys[doc[later]], at[later], parts)
+            later = _not_first(keys[doc], h, l, at)
+            flagged = _flags(keys[doc[later]], at[later], buckets)
             keep = ~later
             h, l, doc, at = h[keep], l[keep], doc[keep], at[keep]
-            bucket = (h % np.uint64(parts)).astype(np.int64)
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
             yield _rows(list(_pack(bucket, doc, keys, h, l, at)), flagged)
 
     def kept(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "t"):
             out: dict[str, list] = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept", "runs")}
-            for key, text, found in zip(part.column("k").to_pylist(), part.column("t"), part.column("runs").to_pylist(), strict=True):
+            for key, c, text, found in zip(part.column("k").to_pylist(), part.column("c").to_pylist(), part.column("t"), part.column("runs").to_pylist(), strict=True):
                 words, runs = text.as_py().split(), []
                 n, gone = len(words), 0
                 if found:
@@ -278,14 +302,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, part
                         words = _SPACED.findall(text.as_py())
                     words = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
                 whole = b" ".join(words) if not spacing else b"".join(words).lstrip() if gone else text.as_py()
-                for c, v in zip(out, (None if key == NULL_ID else key, n, gone, whole, runs), strict=True):
-                    out[c].append(v)
+                for name, v in zip(out, (None if c < 0 else key, n, gone, whole, runs), strict=True):
+                    out[name].append(v)
             yield out | ({"row": part.column("row")} if carry else {})
 
     def with_runs(runs: DataFrame) -> DataFrame:
         return texts.join(runs, ["k", "c"], "left").select("k", "c", "t", *(["row"] if carry else []), "runs")
 
     # an anchor at q is in the windows that start from q - modulus + 1 to q; a window covers its words
-    first = _settle(arrow_map(texts, anchors, _SENT), parts, _shared_anchors, modulus - 1, 1, "<u4", "<u4")
-    second = _settle(arrow_map(with_runs(first), windows, _SENT), parts, _later, 0, window, "<u8", "<u4", "<u4")
+    first = _settle(arrow_map(texts, anchors, _SENT), parts, buckets, _shared_anchors, modulus - 1, 1, "<u4", "<u4")
+    second = _settle(arrow_map(with_runs(first), windows, _SENT), parts, buckets, _later, 0, window, "<u8", "<u4", "<u4")
     return arrow_map(with_runs(second), kept, "doc_id long, n_words long, n_removed long, kept binary, runs array<struct<start:long,stop:long>>" + carried)

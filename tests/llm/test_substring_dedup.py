@@ -62,3 +62,29 @@ def test_spacing_and_carried_columns(docs_of):
     rows = [(1, text, "x"), (2, "head\n\nof it  " + text + "\ttail ", None), (3, " as  it is ", "z"), (None, None, "n")]
     got = sub.remove_repeats(docs_of(rows, "doc_id long, text string, k string"), spacing=True, carry=("doc_id", "k")).collect()
     assert sorted((r.row.doc_id or 9, bytes(r.kept).decode(), r.row.k) for r in got) == [(1, text, "x"), (2, "head\n\nof it\ttail", None), (3, " as  it is ", "z"), (9, "", "n")]
+
+
+def test_one_bucket_at_a_time(docs_of):
+    """Many buckets in few partitions give what one bucket does; a task never holds more than a bucket."""
+    rows = corpus(9, 120)
+    whole = sub.remove_repeats(docs_of(rows), partitions=1).collect()
+    fine = sub.remove_repeats(docs_of(rows), partitions=2, bucket_bytes=200).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, fine))
+    held = [len(c[0]) for c in sub._by_bucket(iter([_sorted_rows(50, 40)]), "e", "<u4")]
+    assert held == [40] * 50
+
+
+def _sorted_rows(buckets, entries):
+    import numpy as np
+    import pyarrow as pa
+
+    keys = np.zeros(entries, sub._KEY)
+    blob = next(sub._pack(np.zeros(entries, np.int64), np.arange(entries), keys, np.arange(entries, dtype="<u4")))[1]
+    return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([blob] * buckets, pa.binary())], names=["b", "e"])
+
+
+def test_null_ids_come_first_and_stay_apart_from_the_least_id(docs_of):
+    text = " ".join(f"a{i}" for i in range(25))
+    rows = [(-(1 << 63), text), (None, text), (None, "other " * 3), (7, text)]
+    got = sub.remove_repeats(docs_of(rows)).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in got} == {(None, 25, 0), (None, 3, 0), (-(1 << 63), 25, 25), (7, 25, 25)}
