@@ -13,20 +13,32 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import MIX, arrow_map, batch_of, cached_hashes, salt, slices, splitmix
 
-#: Words longer than this also give overlapping pieces, for text without spaces.
+#: Words longer than this also give their overlapping pieces, for text without spaces.
 LONG_WORD, PIECE = 32, 8
 _BLOCK = 1 << 13
 
 
+def _sequence(words: list[bytes]) -> np.ndarray:
+    """Hashes of words in order, each long one followed by its pieces, one for each of its bytes but the last few."""
+    h = cached_hashes(words)
+    long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+    if not long:
+        return h
+    out, at = [], 0
+    for k in long:
+        pieces = np.lib.stride_tricks.sliding_window_view(np.frombuffer(words[k], np.uint8), PIECE)
+        out += [h[at : k + 1], splitmix(np.ascontiguousarray(pieces).view("<u8").ravel() + MIX)]
+        at = k + 1
+    return np.concatenate([*out, h[at:]])
+
+
 def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of the terms of a text: words and pairs of neighbouring words, ASCII letters
-    lower-cased. A term weighs 1 + ln(times), a word half of that."""
+    lower-cased; pieces of long words count as words after them. A term weighs 1 + ln(times), a word half of that."""
     words = text.lower().split()
-    if any(len(w) > LONG_WORD for w in words):
-        words = [p for w in words for p in ([w] if len(w) <= LONG_WORD else [w[k : k + PIECE] for k in range(0, len(w) - PIECE + 1, 2)])]
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.float32)
-    h = cached_hashes(words)
+    h = _sequence(words)
     one, n1 = np.unique(h, return_counts=True)
     two, n2 = np.unique(splitmix(h[:-1] * MIX + h[1:]), return_counts=True)
     return np.concatenate((one, two)), np.concatenate(((1 + np.log(n1)) / 2, 1 + np.log(n2))).astype(np.float32)
@@ -63,19 +75,24 @@ def fingerprints(docs: DataFrame, *, bits: int = 256, id_col: str = "doc_id", te
 
 
 def _distance(a: str, b: str, size: int) -> Column:
-    words = [F.bit_count(F.conv(F.hex(F.substring(a, 8 * k + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(b, 8 * k + 1, 8)), 16, -10).cast("long"))) for k in range(size // 8)]
+    part = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
+    words = [F.bit_count(part(a, k).bitwiseXOR(part(b, k))) for k in range(-(-size // 8))]
     return sum(words[1:], words[0])
 
 
-def within_radius(prints: DataFrame, queries: DataFrame, *, radius: int = 3, blocks: int | None = None, bits: int = 64) -> DataFrame:
+def within_radius(prints: DataFrame, queries: DataFrame, *, radius: int = 3, blocks: int | None = None, bits: int | None = None) -> DataFrame:
     """(query, found, distance): every two fingerprints at ``radius`` or fewer differing bits, one row for
     each pair of distinct values; which documents have a value is in the inputs.
 
-    Both inputs have a column ``fingerprint`` (binary, ``bits`` long); null is ignored. The bits are
+    Both inputs have a column ``fingerprint`` (binary, ``bits`` long, by default as long as the first one);
+    null is ignored, another length is an error. The bits are
     cut into ``blocks`` (default radius + 2). As at most ``radius`` blocks can differ, some
     ``blocks - radius`` blocks are equal: each choice of them is one permuted table, keyed by those
-    blocks. Values are distinct before they are exchanged, so copies cost nothing.
+    blocks. Values are distinct before they are exchanged, so copies cost nothing. Other columns are ignored.
     """
+    if bits is None:
+        one = prints.where(F.col("fingerprint").isNotNull()).select(F.length("fingerprint")).first()
+        bits = 8 * one[0] if one else 64
     blocks = blocks or radius + 2
     size = bits // 8
     if not radius < blocks <= size:
@@ -84,14 +101,24 @@ def within_radius(prints: DataFrame, queries: DataFrame, *, radius: int = 3, blo
     choices = list(combinations(range(blocks), blocks - radius))
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        value = df.where(F.col("fingerprint").isNotNull()).select(F.col("fingerprint").alias(name)).distinct()
-        keys = [F.concat(F.lit(f"{k}:").cast("binary"), *[F.substring(name, cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in c]) for k, c in enumerate(choices)]
+        right = F.when(F.length("fingerprint") == size, F.col("fingerprint")).otherwise(F.raise_error(F.lit(f"a fingerprint isn't {bits} bits long")).cast("binary"))
+        value = df.where(F.col("fingerprint").isNotNull()).select(right.alias(name)).distinct()
+        keys = [F.xxhash64(F.lit(k), *[F.substring(name, cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in c]) for k, c in enumerate(choices)]
         return value.select(name, F.explode(F.array(*keys)).alias("block_key"))
 
     met = keyed(prints, "found").join(keyed(queries, "query"), "block_key")
     return met.select("query", "found", _distance("query", "found", size).alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def near_counts(prints: DataFrame, asked: Column, *, radius: int = 7, blocks: int | None = 8, bits: int | None = None) -> DataFrame:
+    """(fingerprint, n_near long): for each distinct fingerprint of the rows that ``asked`` selects, how many
+    rows of ``prints`` have one within ``radius`` bits of it, itself included; found by :func:`within_radius`."""
+    values = prints.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    met = within_radius(prints, prints.where(asked), radius=radius, blocks=blocks, bits=bits)
+    found = met.join(values.withColumnRenamed("fingerprint", "found"), "found")
+    return found.groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n_near"))
+
+
 def _rank(value: Column, splits: list[int]) -> Column:
     """How many of the sorted splits are below a value (null: 0), by a search in two steps."""
     if not splits:

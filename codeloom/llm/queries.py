@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import byte_bpe, embedding_dedup, fingerprint, language_id, packing, quality_knn, secret_scan, sharding, simhash_dedup, substring_dedup
-from codeloom.llm.common import held_out
+from codeloom.llm.common import held_out, stored
 from codeloom.runtime import table
 
 
@@ -30,9 +30,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near is for the query rows, whose id is divisible by 100: how many other documents have a fingerprint within 7 bits."""
     found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = stored(found.withColumn("edited", F.sha2("edited", 256)))
+    asked = F.col("doc_id") % 100 == 0
+    near = fingerprint.near_counts(found, asked, radius=7, blocks=8, bits=256)
+    counted = found.join(near, "fingerprint", "left")
     digits = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[v.alias(k) for k, v in digits.items()], "near_edited", "near_next")
+    return counted.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), *[v.alias(k) for k, v in digits.items()], "near_edited", "near_next", F.when(asked, F.col("n_near") - 1).alias("n_near"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

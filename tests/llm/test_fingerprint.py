@@ -45,3 +45,72 @@ def test_fingerprints_of_likes(docs_of):
     words = [f"t{i}" for i in range(400)]
     whole, half = fp.fingerprint(" ".join(words).encode()), fp.fingerprint(" ".join(words[:200] + [f"u{i}" for i in range(200)]).encode())
     assert 0.58 < fp.likeness(whole, half) < 0.78
+
+
+def brute_fingerprint(text, bits=256):
+    """One term after the other, in plain integers: the same hashes, weights and signs."""
+    import math
+
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    golden, row = 0x9E3779B97F4A7C15, []
+    for w in text.lower().split():
+        row.append(xxhash.xxh64_intdigest(w))
+        if len(w) > 32:
+            row += [mix(int.from_bytes(w[k : k + 8], "little") + golden & full) for k in range(len(w) - 7)]
+    terms = {}
+    for x in row:
+        terms[0, x] = terms.get((0, x), 0) + 1
+    for x, y in zip(row, row[1:]):
+        z = 1, mix(x * golden + y & full)
+        terms[z] = terms.get(z, 0) + 1
+    out = bytearray()
+    weights = {t: (1 + math.log(n)) / (1 if t[0] else 2) for t, n in terms.items()}
+    for k in range(bits // 64):
+        votes = [0.0] * 64
+        for (_, h), w in weights.items():
+            x = mix(h + golden * k & full)
+            for b in range(64):
+                votes[b] += w if x >> b & 1 else -w
+        word = sum(1 << b for b in range(64) if votes[b] > 1e-5)
+        out += word.to_bytes(8, "little")
+    return bytes(out)
+
+
+@pytest.mark.parametrize("text", ["", "One two two three", "x" * 33, "word " + "y" * 40 + "z tail", "ünï cödé " * 7, "a b " * 50])
+def test_fingerprint_equals_plain_votes(text):
+    assert fp.fingerprint(text.encode()) == brute_fingerprint(text.encode())
+
+
+def test_long_words_lose_no_byte():
+    for n in (33, 34, 41, 64, 65):
+        word = "abcdefghij" * 10
+        assert len({fp.fingerprint((word[: n - 1] + c).encode()) for c in "xyz"}) == 3
+    one, other = "漢字仮名" * 60, "あ" + "漢字仮名" * 60  # a shift by three bytes
+    assert fp.likeness(fp.fingerprint(one.encode()), fp.fingerprint(other.encode())) > 0.7
+
+
+def test_very_long_text_and_clashing_columns(docs_of):
+    text = " ".join(f"w{i % 997}x{i}" for i in range(60_000))
+    rows = [(2, text, "n", b"f", 1.0), (1, "second", "m", b"g", 2.0)]
+    got = {x.doc_id: x for x in fp.edited_fingerprints(docs_of(rows, "doc_id long, text string, i string, fingerprint binary, near_next double"), partitions=2).collect()}
+    half = len(text) // 2
+    assert bytes(got[2].edited).decode() == text[: len(text) - half] + "second" and got[1].n_chars == 6 and bytes(got[2].fingerprint) == fp.fingerprint(text.encode())
+
+
+def test_counts_within_the_radius(spark):
+    r = random.Random(9)
+    base = [r.getrandbits(256) for _ in range(12)]
+    values = [b ^ sum(1 << k for k in r.sample(range(256), r.choice([0, 0, 1, 5, 7, 8, 12]))) for b in base for _ in range(6)]
+    prints = spark.createDataFrame([(k, bytearray(v.to_bytes(32))) for k, v in enumerate(values)] + [(9999, None)], "doc_id long, fingerprint binary")
+    got = {int.from_bytes(x.fingerprint): x.n_near for x in fp.near_counts(prints, prints.doc_id % 3 == 0).collect()}
+    assert got == {v: sum((v ^ w).bit_count() <= 7 for w in values) for k, v in enumerate(values) if k % 3 == 0}
+    with pytest.raises(Exception, match="isn't 64 bits long"):
+        fp.within_radius(prints, prints, radius=3, bits=64).collect()
