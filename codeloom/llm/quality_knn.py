@@ -1,17 +1,17 @@
 """Quality of texts by votes of labelled neighbours in a latent-semantic space.
 
-Terms are the shapes of words (runs of letters, capitals, digits and signs, each run as one), and
-marks for a word that repeats one shortly before it. Weighted by frequency and idf, they are
-reduced to a few latent dimensions. The labelled vectors, a bounded sample with as many of each
+Terms are words, the shapes of words (runs of letters, capitals, digits and signs, each run as
+one), and marks for a word that repeats one shortly before it. Every term counts, by a hash to a
+column of its family, so there is no vocabulary to cut. Weighted by frequency and idf, they are
+reduced to a few latent dimensions by the singular vectors of the labelled texts. The labelled vectors, a bounded sample with as many of each
 label, are broadcast; each document's cosines with all of them are exact, computed in blocks, and
-the nearest vote with their similarity. The language and topic of a text hardly matter to shapes.
+the nearest vote with their similarity.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,61 +20,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_extend, arrow_map, as_bytes, slices, utf8
+from codeloom.llm.common import arrow_extend, arrow_map, as_bytes, cached_hashes, slices, utf8
 
 _SHAPE = bytes(
     0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else 0x20 if b == 0x20 or 9 <= b <= 13 else b for b in range(256)
 )
 #: A word counts as repeated if one of this many words before it is the same.
 LAGS = 3
+#: Columns of words, of shapes, and of the marks of repetition.
+WORDS, SHAPES = 4096, 1024
+COLUMNS = WORDS + SHAPES + LAGS
+FAMILIES = ("words", "shapes")
 _BLOCK = 512
 
 
-def terms(text: bytes) -> dict[bytes, float]:
-    """Frequencies of the terms among the words of a text."""
+def terms(text: bytes, families: tuple[str, ...] = FAMILIES) -> np.ndarray:
+    """Frequencies of the terms among the words of a text, by column; zeros for a text without words."""
+    out = np.zeros(COLUMNS, np.float32)
     words = text.split()
     if not words:
-        return {}
-    shape = np.frombuffer(text.translate(_SHAPE), np.uint8)
-    first = np.ones(len(shape), bool)
-    np.not_equal(shape[1:], shape[:-1], out=first[1:])
+        return out
     n = len(words)
-    out = {s[:16]: c / n for s, c in Counter(shape[first].tobytes().split()).items()}
-    for lag in range(1, LAGS + 1):
-        same = sum(map(bytes.__eq__, words[lag:], words))
-        if same:
-            out[b"repeats %d" % lag] = same / n
-    return out
+    if "words" in families:
+        h = cached_hashes(text.lower().split())
+        out[:WORDS] = np.bincount((h % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
+    if "shapes" in families:
+        shape = np.frombuffer(text.translate(_SHAPE), np.uint8)
+        first = np.ones(len(shape), bool)
+        np.not_equal(shape[1:], shape[:-1], out=first[1:])
+        h = cached_hashes(shape[first].tobytes().split())
+        out[WORDS : WORDS + SHAPES] = np.bincount((h % np.uint64(SHAPES)).astype(np.int64), minlength=SHAPES)
+        h = cached_hashes(words)
+        out[WORDS + SHAPES :] = [int((h[lag:] == h[:-lag]).sum()) for lag in range(1, LAGS + 1)]
+    return out / np.float32(n)
 
 
 @dataclass
 class QualityModel:
-    """Columns of terms, their weights, the latent projection, labelled unit vectors and their labels."""
+    """The latent projection of columns, labelled unit vectors and their labels."""
 
-    columns: dict[bytes, int]
     project: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     neighbours: int
     power: float
+    families: tuple[str, ...]
 
-    def embed(self, found: list[dict[bytes, float]]) -> np.ndarray:
-        x = np.zeros((len(found), len(self.columns)))
-        for row, of in zip(x, found, strict=True):
-            for term, share in of.items():
-                at = self.columns.get(term)
-                if at is not None:
-                    row[at] = np.sqrt(share)
-        return _units(x @ self.project)
+    def embed(self, found: np.ndarray) -> np.ndarray:
+        return _units(np.sqrt(found) @ self.project)
 
-    def scores(self, found: list[dict[bytes, float]]) -> np.ndarray:
+    def scores(self, texts: list[bytes]) -> np.ndarray:
         """0 to 1, higher for label 1; 0.5 without a neighbour (no known term, or no label learnt)."""
-        out = np.full(len(found), 0.5)
+        out = np.full(len(texts), 0.5)
         if not len(self.vectors):
             return out
         k = min(self.neighbours, len(self.vectors))
-        for a in range(0, len(found), _BLOCK):
-            near = self.embed(found[a : a + _BLOCK]) @ self.vectors.T
+        for a in range(0, len(texts), _BLOCK):
+            near = self.embed(np.stack([terms(t, self.families) for t in texts[a : a + _BLOCK]])) @ self.vectors.T
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(near, top, axis=1), 0.0) ** self.power
             total = weight.sum(axis=1)
@@ -83,15 +85,27 @@ class QualityModel:
         return out
 
 
+def _leading(x: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
+    """Right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
+    wide = min(dimensions + 16, *x.shape)
+    basis = np.random.default_rng(7).normal(size=(x.shape[1], wide)).astype(x.dtype)
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(x.T @ (x @ basis))
+    _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
+    return (basis @ turn.T)[:, :dimensions]
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, dimensions: int = 64, most_terms: int = 1024, neighbours: int = 15, power: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, dimensions: int = 64, neighbours: int = 15, power: float = 4.0, families: tuple[str, ...] = FAMILIES, word_weight: float = 0.25, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on about ``sample`` labelled documents of each label (all, where there are fewer), chosen by a
-    hash of the id; ``most_terms`` terms, by how many of them have it. So the model's size is bounded.
-    Null labels and ids teach nothing; of several labels of a document the greatest counts."""
+    hash of the id; each is a vector of ``COLUMNS`` numbers at most. So the model's size is bounded.
+    ``families`` names the terms; words, whose language and topic say less, weigh ``word_weight``. Null labels and ids teach nothing; of several labels of a document the greatest
+    counts. Rows that repeat an id and a text teach once; different texts of an id teach each, up to ``4 * sample``
+    rows in all. The order of rows makes no difference."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     seen = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     grain = 1 << 30
@@ -101,22 +115,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, dimensions: i
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "t"):
-            found = [terms(t) for t in part.column("t").to_pylist()]
-            yield {"y": part.column("y"), "i": part.column("i").cast(pa.string()), "found": [pickle.dumps(f) for f in found]}
-
-    rows = sorted(arrow_map(texts.select("i", "t", "y"), work, "y int, i string, found binary").collect(), key=lambda r: (r.i, bytes(r.found)))
-    found, y = [pickle.loads(r.found) for r in rows], np.array([r.y for r in rows], float)
-    df = Counter(t for f in found for t in f)
-    kept = sorted((t for t, n in df.items() if n >= 2), key=lambda t: (-df[t], t))[:most_terms]
-    columns = {t: k for k, t in enumerate(kept)}
-    if not kept:
-        return QualityModel({}, np.zeros((0, 1)), np.zeros((0, 1)), y, neighbours, power)
-    idf = 1 + np.log(len(found) / np.array([df[t] for t in kept]))
-    plain = QualityModel(columns, np.diag(idf), np.zeros((0, 1)), y, neighbours, power)
-    x = plain.embed(found)
-    _, vectors = np.linalg.eigh(x.T @ x)
-    project = idf[:, None] * vectors[:, ::-1][:, :dimensions]
-    model = QualityModel(columns, project, np.zeros((0, 1)), y, neighbours, power)
+            found = [terms(t, families) for t in part.column("t").to_pylist()]
+            at = [np.flatnonzero(f).astype("<u2") for f in found]
+            yield {"y": part.column("y"), "i": part.column("i").cast(pa.string()), "at": [k.tobytes() for k in at], "share": [f[k].tobytes() for f, k in zip(found, at, strict=True)]}
+
+    # repeated rows of an id are one, and only rows of many different texts under one id go beyond the sample: those are cut
+    rows = arrow_map(texts.select("i", "t", "y"), work, "y int, i string, at binary, share binary").distinct().orderBy("i", "at", "share").limit(4 * sample).collect()
+    if not rows:
+        return QualityModel(np.zeros((COLUMNS, 1)), np.zeros((0, 1)), np.zeros(0), neighbours, power, families)
+    found, y = np.zeros((len(rows), COLUMNS), np.float32), np.array([r.y for r in rows], float)
+    for row, r in zip(found, rows, strict=True):
+        row[np.frombuffer(r.at, "<u2")] = np.frombuffer(r.share, "<f4")
+    df = (found > 0).sum(axis=0)
+    idf = np.where(df > 0, 1 + np.log(len(found) / np.maximum(df, 1)), 0).astype(np.float32)
+    idf[:WORDS] *= np.float32(word_weight)
+    x = _units(np.sqrt(found) * idf)
+    model = QualityModel(idf[:, None] * _leading(x, dimensions), np.zeros((0, 1)), y, neighbours, power, families)
     model.vectors = model.embed(found)
     return model
 
@@ -134,7 +148,7 @@ def with_quality(docs: DataFrame, model: QualityModel, *, score_col: str = "scor
         if name not in _MODELS:
             _MODELS.clear()
             _MODELS[name] = pickle.loads(shipped.value)
-        return {score_col: _MODELS[name].scores([terms(t) for t in utf8(part.column(text_col))])}
+        return {score_col: _MODELS[name].scores(utf8(part.column(text_col)))}
 
     return arrow_extend(docs, work, f"{score_col} double", by=text_col)
 
