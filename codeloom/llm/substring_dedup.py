@@ -34,6 +34,8 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 NULL_ID = -(1 << 63)
 #: Bytes of text for each slice of the input.
 _SLICE = 12 << 20
+#: The most entries of a document in a row, as their number is in 16 bits.
+_RUN = 1 << 15
 _BASES = (MIX, np.uint64(0xD6E8FEB86659FD93))
 _SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 _KEY = np.dtype([("k", "<i8"), ("c", "<i8")])
@@ -78,8 +80,10 @@ def _pack(bucket: np.ndarray, doc: np.ndarray, keys: np.ndarray, *columns: np.nd
     bucket, doc, columns = bucket[order], doc[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-        runs = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
-        sizes = np.diff(np.append(runs, b - a)).astype(np.uint32)
+        new = np.diff(doc[a:b], prepend=-1) != 0
+        within = np.arange(b - a) - np.maximum.accumulate(np.where(new, np.arange(b - a), 0))
+        runs = np.flatnonzero(within % _RUN == 0)  # a run of more entries is several
+        sizes = np.diff(np.append(runs, b - a)).astype(np.uint16)
         yield int(bucket[a]), b"".join((np.array([len(runs), b - a], np.uint32).tobytes(), keys[doc[a:b][runs]].tobytes(), sizes.tobytes(), *(c[a:b].tobytes() for c in columns)))
 
 
@@ -87,8 +91,8 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     """The keys, one for each entry, and the columns of a blob."""
     docs, entries = np.frombuffer(blob, np.uint32, 2).tolist()
     keys = np.frombuffer(blob, _KEY, docs, 8)
-    sizes = np.frombuffer(blob, np.uint32, docs, 8 + _KEY.itemsize * docs)
-    out, at = [np.repeat(keys, sizes)], 8 + (_KEY.itemsize + 4) * docs
+    sizes = np.frombuffer(blob, np.uint16, docs, 8 + _KEY.itemsize * docs)
+    out, at = [np.repeat(keys, sizes)], 8 + (_KEY.itemsize + 2) * docs
     for kind in kinds:
         out.append(np.frombuffer(blob, kind, entries, at))
         at += out[-1].nbytes
@@ -211,7 +215,7 @@ def _covered(runs: bytes, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, partitions: int | None = None, spacing: bool = False, carry: tuple[str, ...] = (), bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 20, modulus: int = 13, partitions: int | None = None, spacing: bool = False, carry: tuple[str, ...] = (), bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept binary, runs array<struct<start,stop>>): each document without the
     words covered by a window whose word sequence starts earlier (smaller id, or the same id and an
     earlier start). Words are split at ASCII white space and compared as they are; ``kept`` has one

@@ -88,3 +88,10 @@ def test_null_ids_come_first_and_stay_apart_from_the_least_id(docs_of):
     rows = [(-(1 << 63), text), (None, text), (None, "other " * 3), (7, text)]
     got = sub.remove_repeats(docs_of(rows)).collect()
     assert {(r.doc_id, r.n_words, r.n_removed) for r in got} == {(None, 25, 0), (None, 3, 0), (-(1 << 63), 25, 25), (7, 25, 25)}
+
+
+def test_very_long_text(docs_of, monkeypatch):
+    monkeypatch.setattr(sub, "_RUN", 50)  # runs of entries that go on after a cut
+    words = " ".join(f"w{i}" for i in range(9000))
+    got = sub.remove_repeats(docs_of([(1, words), (2, "head " + words + " tail")]), partitions=1).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got} == {(1, 9000, 0, words.encode()), (2, 9002, 9000, b"head tail")}
