@@ -14,6 +14,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,15 @@ LONGEST = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+_COUNTED = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.string()), ("n", pa.int64())])
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. Numerals that aren't decimal digits (as in Roman or fraction signs) are no letters."""
+    found = _WORD.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else ["".join(run) for word in found for is_letter, run in groupby(word, str.isalpha) if is_letter]
+
+
 def grams(word: str, n: int) -> list[str]:
     """Character n-grams of a word between two marks."""
     marked = f"<{word}>"
@@ -34,28 +44,30 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    """Log frequencies by language. ``counts`` has (language, kind, item, count): kind 0 is a word, n an n-gram.
+    """Log frequencies by language. ``counts`` has (lang, kind, item, n): kind 0 is a word, others the length of an n-gram.
 
     All items are rows of one matrix. The scores of words met so far are kept in a second one, up to a bound;
     a text's unseen words are worked out together.
     """
 
-    def __init__(self, counts: list[tuple[str, int, str, int]], documents: dict[str, int], alpha: float = 0.5) -> None:
+    def __init__(self, counts: list[tuple[str, int, str, int]] | pa.Table, documents: dict[str, int], alpha: float = 0.5) -> None:
         self.languages = sorted(documents)
-        at = {lang: k for k, lang in enumerate(self.languages)}
+        table = pa.table({c: [r[k] for r in counts] for k, c in enumerate(("lang", "kind", "item", "n"))}, schema=_COUNTED) if isinstance(counts, list) else counts
+        kinds, langs, n = (table.column(c).to_numpy() for c in ("kind", "lang", "n"))
+        lang = np.searchsorted(np.array(self.languages, object), langs) if len(langs) else np.empty(0, np.int64)
         self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        rows = 1  # row 0 is for words without a known n-gram
-        for _, kind, item, _ in counts:
-            if item not in self.tables[kind]:
-                self.tables[kind][item] = rows
-                rows += 1
-        matrix = np.zeros((rows, max(len(at), 1)))
-        for lang, kind, item, count in counts:
-            matrix[self.tables[kind][item], at[lang]] += count
-        for table in self.tables:
-            if table:
-                own = np.fromiter(table.values(), np.int64, len(table))
-                matrix[own] = np.log(matrix[own] + alpha) - np.log(matrix[own].sum(axis=0) + alpha * len(table))
+        parts, rows = [np.zeros((1, max(len(self.languages), 1)))], 1  # row 0 is for words without a known n-gram
+        for kind in range(LONGEST + 1):
+            own = np.flatnonzero(kinds == kind)
+            if len(own):
+                items = table.column("item").take(pa.array(own)).combine_chunks().dictionary_encode()
+                names = items.dictionary.to_pylist()
+                self.tables[kind] = dict(zip(names, range(rows, rows + len(names)), strict=True))
+                part = np.zeros((len(names), len(self.languages)))
+                np.add.at(part, (items.indices.to_numpy(), lang[own]), n[own])
+                parts.append(np.log(part + alpha) - np.log(part.sum(axis=0) + alpha * len(names)))
+                rows += len(names)
+        matrix = np.concatenate(parts)
         self.matrix = (matrix - matrix.mean(axis=1, keepdims=True)).astype(np.float32)
         self._index: dict[str, int] = {}
         self._known = np.zeros((0, self.matrix.shape[1]), np.float32)
@@ -90,7 +102,7 @@ class LanguageModel:
 
     def predict(self, text: str) -> tuple[str, float]:
         """(language, share of the softmax over the mean evidence); ``und`` with 0 if there is no letter."""
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.languages:
             return UNDETERMINED, 0.0
         known = self._index
@@ -107,7 +119,8 @@ class LanguageModel:
 
 def fit(train: DataFrame, *, documents: int = 2000, least_words: int = 2, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Fit on about ``documents`` documents of each language (all, where there are fewer), chosen by a hash
-    of the id. Items seen fewer than ``least_words`` times are left out, as unseen words then are scored by n-grams."""
+    of the id: the model that comes to the driver grows with the number of languages, not with the corpus. Rows that repeat
+    count each; null texts and languages teach nothing. Items seen fewer than ``least_words`` times are left out, as unseen words then are scored by n-grams."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     seen = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not seen:
@@ -119,7 +132,7 @@ def fit(train: DataFrame, *, documents: int = 2000, least_words: int = 2, text_c
     def count(batch: pa.RecordBatch) -> Iterator[dict]:
         found: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist(), strict=True):
-            found.setdefault(lang, Counter()).update(_WORD.findall(text.decode("utf-8", "replace").lower()))
+            found.setdefault(lang, Counter()).update(words_of(text.decode("utf-8", "replace")))
         out: Counter = Counter()
         for lang, words in found.items():
             for word, n in words.items():
@@ -131,8 +144,8 @@ def fit(train: DataFrame, *, documents: int = 2000, least_words: int = 2, text_c
 
     counted = arrow_map(chosen.select(F.col(lang_col).alias("lang"), as_bytes(text_col).alias("t")), count, "lang string, kind int, item string, n long")
     summed = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= least_words)
-    table = summed.toArrow()
-    return LanguageModel(list(zip(*(table.column(c).to_pylist() for c in ("lang", "kind", "item", "n")), strict=True)), seen)
+    # its order would change sums by rounding
+    return LanguageModel(summed.orderBy("kind", "item", "lang").toArrow().cast(_COUNTED), seen)
 
 
 _MODELS: dict[str, LanguageModel] = {}

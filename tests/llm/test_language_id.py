@@ -1,4 +1,8 @@
+import math
 import random
+from collections import Counter
+
+import pytest
 
 from codeloom.llm import language_id as li
 
@@ -35,3 +39,70 @@ def test_unseen_words_use_the_longest_known_grams():
 def test_no_labels(docs_of):
     model = li.fit(docs_of([(1, "a", None)], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in li.predict_language(docs_of([(1, "abc")]), model).collect()] == ["und"]
+
+
+def brute_predict(train, text, least=2, alpha=0.5):
+    """Word for word: log frequencies from plain counts, unseen words by their longest known n-grams."""
+    langs = sorted({lang for _, lang in train})
+    counts = {lang: [Counter() for _ in range(6)] for lang in langs}
+    words_of = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    for t, lang in train:
+        for w in words_of(t):
+            counts[lang][0][w] += 1
+            for n in range(1, 6):
+                for k in range(len(w) + 3 - n):
+                    counts[lang][n][f"<{w}>"[k : k + n]] += 1
+    for lang in langs:
+        counts[lang] = [Counter({x: c for x, c in table.items() if c >= least}) for table in counts[lang]]
+    known = [set().union(*(counts[lang][n] for lang in langs)) for n in range(6)]
+
+    def evidence(kind, item):
+        logs = [math.log(counts[lang][kind][item] + alpha) - math.log(sum(counts[lang][kind].values()) + alpha * len(known[kind])) for lang in langs]
+        return [x - sum(logs) / len(logs) for x in logs]
+
+    score, words = [0.0] * len(langs), words_of(text)
+    if not words:
+        return "und", 0.0
+    for w in words:
+        if w in known[0]:
+            found, scale = [(0, w)], 1.0
+        else:
+            found, scale = [], 1.0
+            for n in range(min(5, len(w) + 2), 0, -1):
+                found = [(n, g) for k in range(len(w) + 3 - n) if (g := f"<{w}>"[k : k + n]) in known[n]]
+                if found:
+                    scale = 1 / n
+                    break
+        for f in found:
+            score = [s + scale * e for s, e in zip(score, evidence(*f))]
+    share = [math.exp((s - max(score)) / math.sqrt(len(words))) for s in score]
+    best = share.index(max(share))
+    return langs[best], share[best] / sum(share)
+
+
+def test_predictions_equal_plain_counts(docs_of):
+    rows = corpus(60, 3)
+    model = li.fit(docs_of(rows[:40], "doc_id long, text string, lang string, score int"))
+    texts = [t for _, t, *_ in rows[40:]] + ["zzz qqqq xyxy", "", "ciónheit th", "Ⅷ ½ word", "a1b2"]
+    for text in texts:
+        want, got = brute_predict([(t, lang) for _, t, lang, _ in rows[:40]], text), model.predict(text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-4)
+
+
+@pytest.mark.parametrize("text", ["½ ²", "Ⅷ", "١٢٣", "___", "\t\n", "12 34!", "①"])
+def test_no_letter_is_undetermined(docs_of, text):
+    model = li.LanguageModel([("a", 0, "wort", 5), ("b", 1, "m", 5)], {"a": 1, "b": 1})
+    assert model.predict(text) == ("und", 0.0) and model.predict("ª")[0] in "ab"
+
+
+def test_repeats_ties_long_texts_and_clashing_columns(docs_of):
+    rows = corpus(40, 5)
+    schema = "doc_id long, text string, lang string, i int, t string, lang_pred string"
+    wide = [(i, t, lang, 1, "x", "y") for i, t, lang, _ in rows]
+    model = li.fit(docs_of(wide + wide[:3], schema))
+    assert (li.fit(docs_of((wide + wide[:3])[::-1], schema).repartition(3)).matrix == model.matrix).all()
+    long = (1000, "schung mente " * 100_000, None, 0, None, None)
+    got = [(r.doc_id, r.lang_pred, r.score) for r in li.predict_language(docs_of([*wide, wide[0], long], schema), model).collect()]
+    assert len(got) == 42 and len({x for x in got if x[0] == 0}) == 1
+    even = li.LanguageModel([("b", 0, "wort", 5), ("a", 0, "wort", 5)], {"b": 1, "a": 1})
+    assert even.predict("wort") == ("a", 0.5)  # a tie goes to the first language by name
