@@ -56,25 +56,29 @@ class BestFit:
         return number
 
 
-def vocabulary(path: str) -> tuple[dict[bytes, int], int]:
-    """Byte tokens with their ids, and how many ids there are, of a byte-level BPE file in JSON."""
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Byte tokens with their ids, and the special tokens with theirs, of a byte-level BPE file in JSON."""
     with open(path, encoding="utf-8") as file:
-        tokens = json.load(file)["model"]["vocab"]
+        whole = json.load(file)
     # the file shows each byte as a character: printable ones as themselves, others from 256 on
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     back = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    return {bytes(back[c] for c in token): i for token, i in tokens.items()}, len(tokens)
+    added = whole.get("added_tokens", [])
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("special tokens that strip or look around them aren't supported")
+    special = {t["content"]: t["id"] for t in added}
+    return {bytes(back[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in special}, special
 
 
 _ENCODERS: dict[int, object] = {}
 
 
-def _encoder(pattern: str, ranks: dict[bytes, int]):
+def _encoder(pattern: str, ranks: dict[bytes, int], special: dict[str, int]):
     import tiktoken
 
-    key = hash((pattern, len(ranks), zlib.crc32(b"\0".join(sorted(ranks, key=ranks.get)))))
+    key = hash((pattern, len(ranks), zlib.crc32(b"\0".join(sorted(ranks, key=ranks.get))), tuple(special.items())))
     if key not in _ENCODERS:
-        _ENCODERS[key] = tiktoken.Encoding(f"codeloom-{key}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[key] = tiktoken.Encoding(f"codeloom-{key}", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[key]
 
 
@@ -85,16 +89,17 @@ def cut(length: int, size: int) -> list[tuple[int, int]]:
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, *, size: int = 2048, end: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): documents as ids, ended by ``end``, in pieces of at most ``size``."""
-    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path)[0])
+    """(doc_id, piece, start, length, ids_crc32[, ids]): documents as ids, ended by ``end``, in pieces of at most
+    ``size``. A special token's string in a text gives that token's id, as the file's own library does by default."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        encode = _encoder(pattern, ranks.value).encode_ordinary
+        encoder = _encoder(pattern, *known.value)
         for part in slices(batch, "t", 8 << 20):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, text in zip(part.column("i").to_pylist(), part.column("t"), strict=True):
-                ids = np.array([*encode(text.as_py().decode("utf-8", "replace")), end], "<u4")
+                ids = np.array([*encoder.encode(text.as_py().decode("utf-8", "replace"), allowed_special="all"), end], "<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), size)):
                     own = ids[start : start + length]
                     for c, v in zip(out, (doc, piece, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None), strict=True):
@@ -108,15 +113,17 @@ def tokenized_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, *, siz
 def pack_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, size: int = 2048, end: int = 0, open_bins: int = 4096, block: int = 8192, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: (doc_id, piece int, start, length, ids_crc32, sequence_id, offset long[, ids array<int>]).
 
-    Pieces are dealt by hash and packed in each partition by itself, in blocks of ``block``. Null text
-    is empty: a piece of the end mark alone. Null ids and repeated rows are packed like others; no rows
-    give no rows. Other columns are ignored. Sequence numbers are distinct, not dense. The vocabulary,
+    Pieces are dealt by their number in the partition that made them, so no id or text is dealt to one task,
+    and packed in each partition by itself, in blocks of ``block``. Null text
+    is empty: a piece of the end mark alone. Null ids and repeated rows are packed like others; of pieces as
+    long as each other the one that arrives first is placed first; no rows give no rows. Other columns are ignored. Sequence numbers are distinct, not dense. The vocabulary,
     whose size doesn't depend on the input, is broadcast.
     """
     ship(docs.sparkSession)
     pieces = tokenized_pieces(docs, vocabulary_path, pattern, size=size, end=end, with_ids=with_ids, id_col=id_col, text_col=text_col)
     # without a number of partitions, small ones are merged, which packs better
-    dealt = pieces.repartition("doc_id", "piece").sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32", "length")
+    salted = pieces.withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = salted.repartition("deal").sortWithinPartitions("deal").drop("deal")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 

@@ -42,7 +42,7 @@ def test_packing_frame(docs_of):
     texts = {i: " ".join(r.choice(["the", "of", "naïve", "Straße", "x9", "<|endoftext|>"]) for _ in range(r.choice([0, 3, 50, 700, 5000]))) for i in range(150)}
     rows = [(i, t, 0) for i, t in texts.items()] + [(500, None, 0), (None, "null id", 0)]
     theirs = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    theirs.encode_special_tokens = True
+    assert theirs.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     got = packing.pack_documents(docs_of(rows, "doc_id long, text string, piece int"), P.path("byte_bpe_50k.json"), P.PATTERN, with_ids=True).collect()
     by_doc, by_bin = {}, {}
     for p in got:
@@ -71,3 +71,54 @@ def test_best_fit_is_near_the_bound():
         used[b] = at + n
         assert fit.open <= 64
     assert max(used.values()) <= 2048 and len(used) <= 1.03 * sum(lengths) / 2048
+
+
+def brute_best_fit(lengths, size, most):
+    """Places by a plain look at all open bins: (free space taken from, whether the bin is new)."""
+    free, out = [], []
+    for n in lengths:
+        fits = [f for f in free if f >= n]
+        space = min(fits) if fits else size
+        if fits:
+            free.remove(space)
+        elif len(free) >= most and n < size:
+            free.remove(min(free))  # the fullest closes
+        out.append((space, not fits))
+        if space > n:
+            free.append(space - n)
+    return out
+
+
+@pytest.mark.parametrize(("most", "seed"), [(1, 1), (3, 2), (16, 3), (1000, 4)])
+def test_best_fit_equals_a_plain_one(most, seed):
+    r = random.Random(seed)
+    lengths = [r.choice([r.randrange(1, 65), 64, 1, 32, 33]) for _ in range(2000)]
+    fit, seen, got = packing.BestFit(64, most), set(), []
+    for n in lengths:
+        b, at = fit.place(n)
+        got.append((64 - at, b not in seen))
+        seen.add(b)
+    assert got == brute_best_fit(lengths, 64, most)
+
+
+def test_a_hot_row_is_dealt_to_all_tasks(docs_of):
+    """Rows that are all alike, and null ids, meet in no single task."""
+    rows = [(None, "same text", 0)] * 3000 + [(5, "same text", 0)] * 3000
+    docs = docs_of(rows, "doc_id long, text string, piece int").repartition(4)
+    got = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), P.PATTERN)
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(deal" in plan
+    assert sorted((x.doc_id is None, x.n) for x in got.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()) == [(False, 3000), (True, 3000)]
+
+
+def test_ties_and_clashing_columns(docs_of):
+    rows = [(i, "tie", 7, "x", 3) for i in range(50)] + [(1, "x " * 30_000, 8, "y", 4)]
+    got = packing.pack_documents(docs_of(rows, "doc_id long, text string, length int, ids string, sequence_id int"), P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+    by_bin = {}
+    for x in got:
+        by_bin.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for parts in by_bin.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+    ids = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert sum(x.length for x in got) == sum(len(ids.encode(t, add_special_tokens=False).ids) + 1 for _, t, *_ in rows)
