@@ -41,7 +41,7 @@ _SIGNS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isaln
 _NAME = r"[A-Za-z_$][\w$.\-]*"
 _QUOTED = r"(?:[bBrRuUfF]{0,2})(?:\"\"\"(?P<q3>(?:[^\\]|\\.)*?)\"\"\"|\"(?P<q2>(?:[^\"\\\n]|\\.)*)\"|'(?P<q1>(?:[^'\\\n]|\\.)*)'|`(?P<q0>[^`\n]*)`)"
 _STATEMENT = re.compile(
-    rf"(?:\[\s*[\"'](?P<index>[^\"'\n]{{1,80}})[\"']\s*\]|[\"'](?P<quoted>{_NAME})[\"']|(?<![\w$.\-])(?P<name>{_NAME}))"
+    rf"(?:\[\s*[\"'](?P<index>[^\"'\n]+)[\"']\s*\]|[\"'](?P<quoted>{_NAME})[\"']|(?<![\w$.\-])(?P<name>{_NAME}))"
     rf"\s*(?::\s*[A-Za-z_][\w.<>\[\]]*\s*(?==)(?!==))?(?P<op>:=|=>|=(?!=)|:)[ \t]*"
     rf"(?:{_QUOTED}|(?P<ref>[A-Za-z_$][\w$.]*)(?=\s*(?:[;,)\]}}\n]|$))|(?P<bare>[^\s;,\"'`<>(){{}}\[\]]+))",
     re.ASCII | re.DOTALL,

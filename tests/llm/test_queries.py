@@ -63,3 +63,45 @@ def test_held_out_accuracy(spark, con):
 def test_digests_of_spans(spark):
     r = q.op5_secret_scan(spark, FOLDER).where("n_assign > 0").first()
     assert r is None or r.base_sha256 == hashlib.sha256(",".join(x for x in r.spans.split(",") if not x.startswith("lexed")).encode()).hexdigest()
+
+
+# what SQL can state of queries that it can't state as a whole
+STATED = {
+    "op4_fingerprints": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS x FROM d)
+        SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t[1:length(t) - length(t) // 2] || x[1:length(t) // 2]) AS edited_sha256 FROM n""",
+    "op5_secret_scan": r"""SELECT doc_id,
+        CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+        CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access,
+        CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex FROM documents""",
+    "op9_histogram_sharding": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, 'bytes' AS law FROM documents",
+    "op10_byte_bpe": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+    "op3_best_fit_packing": "SELECT doc_id FROM documents",
+    "op1_simhash_dedup": "SELECT doc_id FROM documents",
+    "op2_quality_knn": "SELECT doc_id FROM documents",
+    "op8_language_id": "SELECT doc_id FROM documents",
+}
+
+
+@pytest.mark.parametrize("name", sorted(STATED))
+def test_stated_columns_equal_sql(spark, con, name):
+    want = con.sql(STATED[name])
+    got = q.queries()[name](spark, FOLDER).select(*want.columns)
+    assert_same(got.distinct() if name.startswith("op3") else got, con, STATED[name])
+
+
+def test_search_within_the_radius_is_whole(spark):
+    """Every query row's count, against all pairs of fingerprints."""
+    rows = [(r.doc_id, int(r.fingerprint, 16), r.n_near) for r in q.op4_fingerprints(spark, FOLDER).collect()]
+    for i, f, n in rows:
+        assert n == (sum((f ^ g).bit_count() <= 7 for _, g, _ in rows) - 1 if i % 100 == 0 else None)
+
+
+def test_shards_hold_near_equal_bytes(spark):
+    rows = q.op9_histogram_sharding(spark, FOLDER).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.shard, []).append(r)
+    mean, largest = sum(r["size"] for r in rows) / 24, max(r["size"] for r in rows)
+    assert all(abs(sum(r["size"] for r in own) - mean) <= 0.002 * mean + largest for own in shards.values())
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in shards.values())

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -75,3 +76,45 @@ def test_frames(docs_of):
 def test_hostile_texts_take_linear_time():
     for text in ("token " * 50_000, "a=" * 50_000, "secret" + "=" * 100_000, '"' * 50_000 + "key", "password: '" + "\\" * 50_000, "<key>" * 20_000):
         ss.scan_text(text)
+
+
+def _value(r, n=18):
+    return "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+
+
+FORMS = ['{n} = "{v}"\n', "{n}: '{v}'\n", "{n} := `{v}`\n", '"{n}" => "{v}",\n', 'cfg["{n}"] = "{v}"\n', "const {n}: string = '{v}';\n", '{n} = """{v}"""\n']
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_generated_programs_equal_a_walk_over_their_statements(seed):
+    """Programs of known statements: what the lexer finds is what a plain walk over the statements says."""
+    r = random.Random(seed)
+    plain, sensitive = ["colour", "width", "path_name", "x1", "title"], ["db_password", "clientSecret", "auth-token", "API_KEY", "pwd", "pass_phrase"]
+    text, known, want = "", {}, {}
+    for _ in range(25):
+        name = r.choice(plain + sensitive)
+        if (refs := [k for k in known if "-" not in k]) and r.random() < 0.3:
+            name, other = name.replace("-", "_"), r.choice(refs)
+            text += f"{name} = {other};\n"
+            known[name] = known[other]
+        else:
+            form, value = r.choice(FORMS), _value(r)
+            if form.startswith("const"):
+                name = name.replace("-", "_")
+            at = len(text) + len(form[: form.index("{v}")].replace("{n}", name))
+            text += form.replace("{n}", name).replace("{v}", value)
+            known[name] = (at, at + len(value), value)
+        a, b, value = known[name]
+        if ss.name_score(name) * ss.literal_score(value, True) >= 0.6:
+            want[a, b] = max(want.get((a, b), 0), ss.name_score(name) * ss.literal_score(value, True))
+    assert {(a, b): score for a, b, _, score in ss.lexed_spans(text)} == want
+
+
+@pytest.mark.parametrize("name", ["x" * 200 + "_password", "a.b[0] secret"])
+def test_long_index_names(name):
+    assert [text for text in (f'cfg["{name}"] = "Xk93jdk2LLq9ZZ"',) if ss.lexed_spans(text)]
+
+
+@pytest.mark.parametrize("name", ["db-pass", "pass_phrase", "pass-word", "Pass_Wd", "api.key", "secret_key"])
+def test_the_gate_lets_every_sensitive_name_through(name):
+    assert ss.name_score(name) < 0.6 or ss.lexed_spans(f'{name} = "Xk93jdk2LLq9ZZ"')
