@@ -12,7 +12,7 @@ _ROOT = "org.acme.p0.C1"
 _IDS = "hid AS (SELECT c.id AS child, p.id AS parent FROM h JOIN classes c ON c.class_name = h.child JOIN classes p ON p.class_name = h.parent)"
 _UP = f"{_HIER}, {_IDS}, up0 AS (SELECT id, id AS ancestor, 0 AS depth FROM classes UNION SELECT up0.id, parent, depth + 1 FROM up0 JOIN hid ON child = ancestor), up AS (SELECT id, ancestor, min(depth) AS depth FROM up0 GROUP BY 1, 2)"
 _OVERRIDES = f"""{_UP}, mm AS (SELECT m.*, regexp_replace(split_part(class_name, '$', 1), '\\.[^.]*$', '') AS package FROM class_members m JOIN classes c ON c.id = class_id WHERE m.kind = 'METHOD'),
-    ov AS (SELECT b.class_id AS base_id, o.class_id AS id, o.name, o.descriptor, depth FROM up JOIN mm b ON b.class_id = ancestor JOIN mm o ON o.class_id = up.id AND o.name = b.name AND o.parameter_types = b.parameter_types
+    ov AS (SELECT b.class_id AS base_id, o.class_id AS id, o.name, o.descriptor, depth, contains(o.modifiers, 'abstract') AS abstract FROM up JOIN mm b ON b.class_id = ancestor JOIN mm o ON o.class_id = up.id AND o.name = b.name AND o.parameter_types = b.parameter_types
     WHERE depth > 0 AND NOT contains(b.modifiers, 'private') AND NOT contains(b.modifiers, 'static') AND NOT contains(b.modifiers, 'final') AND NOT contains(o.modifiers, 'private') AND NOT contains(o.modifiers, 'static')
     AND (contains(b.modifiers, 'public') OR contains(b.modifiers, 'protected') OR b.package = o.package))"""
 _CALLS = "c AS (SELECT concat_ws('#', caller_class_id, caller_method, caller_descriptor) AS src, concat_ws('#', target_class_id, target_method, target_descriptor) AS dst, * FROM method_calls), b AS (SELECT src AS node FROM c GROUP BY 1 ORDER BY count(DISTINCT dst) DESC, 1 LIMIT 1)"
@@ -47,20 +47,27 @@ register(
     f"{CUR}, {_HIER}, b AS (SELECT '{_ROOT}' AS node), {_walk('h', 'parent', 'child', 'b', 50)} SELECT id, class_name, CAST(depth AS INTEGER) AS depth FROM w JOIN cur ON class_name = node WHERE depth > 0 AND kind <> 'INTERFACE'",
 )
 register("supertype_closure", g.ancestors, f"{_UP} SELECT id, ancestor, CAST(depth AS INTEGER) AS depth FROM up")
-register("method_overrides", g.method_overrides, f"{_OVERRIDES} SELECT base_id, id, name, descriptor, CAST(depth AS INTEGER) AS depth FROM ov")
-register(
-    "resolved_owners",
-    lambda s: filled(g.resolved_owners(s), "owner_id"),
-    f"""{_UP}, q AS (SELECT DISTINCT target_class_id AS id, target_method AS name, target_descriptor AS descriptor FROM method_calls),
-    f AS (SELECT q.*, ancestor, depth, min(depth) OVER (PARTITION BY q.id, q.name, q.descriptor) AS best FROM q JOIN up ON up.id = q.id JOIN class_members m ON m.class_id = ancestor AND m.name = q.name AND m.descriptor = q.descriptor AND m.kind = 'METHOD'),
-    r AS (SELECT id, name, descriptor, min(ancestor) AS a, count(*) AS n FROM f WHERE depth = best GROUP BY 1, 2, 3)
-    SELECT q.id, q.name, q.descriptor, CASE WHEN n = 1 THEN a ELSE -1 END AS owner_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'absent' END AS status FROM q LEFT JOIN r ON r.id = q.id AND r.name = q.name AND r.descriptor = q.descriptor""",
-)
+register("method_overrides", g.method_overrides, f"{_OVERRIDES} SELECT base_id, id, name, descriptor, CAST(depth AS INTEGER) AS depth, abstract FROM ov")
+RESOLVED = """q AS (SELECT DISTINCT target_class_id AS id, target_method AS name, target_descriptor AS descriptor FROM method_calls), known AS (SELECT class_name AS node, id AS node_id, kind AS node_kind FROM classes),
+    ch0 AS (SELECT id, class_name AS node, 0 AS depth FROM classes WHERE id IN (SELECT id FROM q) UNION SELECT ch0.id, c.superclass, depth + 1 FROM ch0 JOIN classes c ON c.class_name = node AND c.superclass IS NOT NULL AND c.kind <> 'INTERFACE'),
+    ch AS (SELECT ch0.id, ch0.node, depth, node_id FROM ch0 LEFT JOIN known ON known.node = ch0.node),
+    fc0 AS (SELECT DISTINCT ch.id, c.interface_name AS node FROM ch JOIN classes c ON c.class_name = node AND c.interface_name IS NOT NULL UNION SELECT fc0.id, c.interface_name FROM fc0 JOIN classes c ON c.class_name = node AND c.interface_name IS NOT NULL),
+    fc AS (SELECT fc0.id, fc0.node, node_id, node_kind FROM fc0 LEFT JOIN known ON known.node = fc0.node),
+    dm AS (SELECT class_id, name, descriptor, contains(modifiers, 'static') OR contains(modifiers, 'private') AS bound FROM class_members WHERE kind IN ('METHOD', 'CONSTRUCTOR')),
+    byc AS (SELECT q.id, q.name, q.descriptor, min(depth) AS depth, arg_min(node_id, depth) AS owner FROM q JOIN ch ON ch.id = q.id JOIN dm ON dm.class_id = node_id AND dm.name = q.name AND dm.descriptor = q.descriptor GROUP BY 1, 2, 3),
+    off AS (SELECT q.id, q.name, q.descriptor, node, node_id FROM q JOIN fc ON fc.id = q.id JOIN dm ON dm.class_id = node_id AND dm.name = q.name AND dm.descriptor = q.descriptor AND NOT bound),
+    sup AS (SELECT class_name AS below, interface_name AS node FROM classes WHERE interface_name IS NOT NULL UNION SELECT sup.below, c.interface_name FROM sup JOIN classes c ON c.class_name = sup.node AND c.interface_name IS NOT NULL),
+    mx AS (SELECT id, name, descriptor, count(DISTINCT node_id) AS n, min(node_id) AS owner FROM off a WHERE NOT EXISTS (SELECT 1 FROM off b JOIN sup ON sup.below = b.node AND sup.node = a.node WHERE b.id = a.id AND b.name = a.name AND b.descriptor = a.descriptor) GROUP BY 1, 2, 3),
+    rz AS (SELECT q.*, CASE WHEN byc.depth = 0 THEN 'declared' WHEN byc.depth > 0 THEN 'inherited_class_declaration' WHEN NOT EXISTS (SELECT 1 FROM classes c WHERE c.id = q.id) OR EXISTS (SELECT 1 FROM ch WHERE ch.id = q.id AND node_id IS NULL) OR EXISTS (SELECT 1 FROM fc WHERE fc.id = q.id AND node_id IS NULL) THEN 'ancestor_not_indexed'
+    WHEN EXISTS (SELECT 1 FROM fc WHERE fc.id = q.id AND node_kind <> 'INTERFACE') THEN 'invalid_interface_hierarchy' WHEN mx.n = 1 THEN 'inherited_interface_declaration' WHEN mx.n > 1 THEN 'interface_declaration_ambiguous' ELSE 'declaration_not_indexed' END AS status, byc.owner AS class_owner, mx.owner AS face_owner
+    FROM q LEFT JOIN byc ON byc.id = q.id AND byc.name = q.name AND byc.descriptor = q.descriptor LEFT JOIN mx ON mx.id = q.id AND mx.name = q.name AND mx.descriptor = q.descriptor),
+    ro AS (SELECT id, name, descriptor, CASE WHEN status IN ('declared', 'inherited_class_declaration') THEN class_owner WHEN status = 'inherited_interface_declaration' THEN face_owner END AS owner_id, status FROM rz)"""
+register("resolved_owners", lambda s: filled(g.resolved_owners(s), "owner_id"), f"{RESOLVED} SELECT id, name, descriptor, coalesce(owner_id, -1) AS owner_id, status FROM ro")
 register(
     "dispatch_candidates",
     g.dispatch_candidates,
     f"""{_OVERRIDES}, q AS (SELECT DISTINCT target_class_id AS base_id, target_method AS name, target_descriptor AS descriptor FROM method_calls WHERE invocation_kind IN ('virtual', 'interface')),
-    p AS (SELECT q.base_id, q.name, q.descriptor, ov.id, row_number() OVER (PARTITION BY q.base_id, q.name, q.descriptor ORDER BY ov.id) AS place FROM q JOIN ov ON ov.base_id = q.base_id AND ov.name = q.name AND ov.descriptor = q.descriptor)
+    p AS (SELECT q.base_id, q.name, q.descriptor, ov.id, row_number() OVER (PARTITION BY q.base_id, q.name, q.descriptor ORDER BY ov.id) AS place FROM q JOIN ov ON ov.base_id = q.base_id AND ov.name = q.name AND ov.descriptor = q.descriptor AND NOT abstract)
     SELECT base_id, name, descriptor, count(*) AS candidates, string_agg(id, ',' ORDER BY id) FILTER (WHERE place <= 20) AS first_ids FROM p GROUP BY 1, 2, 3""",
 )
 for _way, _src, _dst in (("outbound", "src", "dst"), ("inbound", "dst", "src")):
@@ -95,11 +102,11 @@ register("subtype_closure", lambda s: g.closure_of(s, s.classes.where("id IN (2,
 register("specialization_chains", g.specialization_chains, "t AS (SELECT id, specializes_id AS specialized FROM beans WHERE specializes_id IS NOT NULL UNION SELECT t.id, b.specializes_id FROM t JOIN beans b ON b.id = specialized WHERE b.specializes_id IS NOT NULL) SELECT * FROM t")
 register(
     "inherited_mappings",
-    lambda s: g.inherited_mappings(s, s.class_members.where("annotations = 'org.acme.Route'").select(F.col("class_id").alias("id"))),
-    """m AS (SELECT DISTINCT class_id AS id FROM class_members WHERE annotations = 'org.acme.Route'), f AS (SELECT c.id, min(p.id) AS owner_id FROM classes c JOIN classes p ON p.class_name = c.interface_name WHERE p.id IN (SELECT id FROM m) GROUP BY 1 HAVING count(DISTINCT p.id) = 1),
+    lambda s: filled(g.inherited_mappings(s, s.class_members.where("annotations = 'jakarta.ws.rs.GET'").select(F.col("class_id").alias("id"))), "owner_id"),
+    """m AS (SELECT DISTINCT class_id AS id FROM class_members WHERE annotations = 'jakarta.ws.rs.GET'), f AS (SELECT c.id, CASE WHEN count(DISTINCT p.id) = 1 THEN min(p.id) ELSE -1 END AS owner_id FROM classes c JOIN classes p ON p.class_name = c.interface_name WHERE p.id IN (SELECT id FROM m) GROUP BY 1),
     u AS (SELECT c.id, p.id AS a, 1 AS depth FROM classes c JOIN classes p ON p.class_name = c.superclass UNION SELECT u.id, p.id, depth + 1 FROM u JOIN classes c ON c.id = u.a JOIN classes p ON p.class_name = c.superclass),
     x AS (SELECT id, id AS owner_id, 0 AS rank FROM m UNION ALL SELECT id, owner_id, 1 FROM f UNION ALL SELECT id, a, depth + 1 FROM u WHERE a IN (SELECT id FROM m))
-    SELECT id, owner_id, CASE rank WHEN 0 THEN 'own' WHEN 1 THEN 'interface' ELSE 'superclass' END AS source FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, owner_id) = 1""",
+    SELECT id, owner_id, CASE WHEN rank = 0 THEN 'own' WHEN owner_id = -1 THEN 'ambiguous' WHEN rank = 1 THEN 'interface' ELSE 'superclass' END AS source FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, owner_id) = 1""",
 )
 _CFG = "SELECT DISTINCT user_id % 40 AS method, event_id % 9 AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) % 9 AS dst FROM {events}"
 register(

@@ -57,8 +57,8 @@ register(
 )
 register(
     "annotated_symbols",
-    lambda s: m.annotated_symbols(s, "org.junit.Test"),
-    "SELECT class_id, kind AS target, name || descriptor AS member FROM class_members WHERE annotations = 'org.junit.Test' UNION ALL SELECT DISTINCT class_id, 'TYPE', NULL FROM class_annotations WHERE annotation_name = 'org.junit.Test'",
+    lambda s: m.annotated_symbols(s, "io.quarkus.scheduler.Scheduled"),
+    "SELECT class_id, kind AS target, name || descriptor AS member FROM class_members WHERE annotations = 'io.quarkus.scheduler.Scheduled' UNION ALL SELECT DISTINCT class_id, 'TYPE', NULL FROM class_annotations WHERE annotation_name = 'io.quarkus.scheduler.Scheduled'",
 )
 register(
     "package_graph",
@@ -88,8 +88,8 @@ register("coverage_scopes", m.coverage_scopes, f"{CUR} SELECT coalesce(module, '
 register(
     "reference_caveats",
     m.reference_caveats,
-    """h AS (SELECT to_class_id AS id, count(*) AS n FROM dependencies WHERE kind = 'TYPE_USE' GROUP BY 1), c AS (SELECT id, count(*) AS n FROM (SELECT caller_class_id AS id FROM method_calls WHERE invocation_kind = 'interface'
-    UNION ALL SELECT target_class_id FROM method_calls WHERE invocation_kind = 'interface' AND target_class_id <> caller_class_id) GROUP BY 1)
+    """h AS (SELECT to_class_id AS id, count(*) AS n FROM dependencies WHERE kind IN ('METHOD_HANDLE_REFERENCE', 'FIELD_HANDLE_REFERENCE') GROUP BY 1), c AS (SELECT id, count(*) AS n FROM (SELECT caller_class_id AS id FROM method_calls WHERE invocation_kind = 'dynamic'
+    UNION ALL SELECT target_class_id FROM method_calls WHERE invocation_kind = 'dynamic' AND target_class_id <> caller_class_id) GROUP BY 1)
     SELECT coalesce(h.id, c.id) AS id, coalesce(h.n, 0) AS handles, coalesce(c.n, 0) AS calls FROM h FULL JOIN c ON h.id = c.id""",
 )
 register("sole_anchors", m.sole_anchors, f"{CUR} SELECT module, min(source_file) AS path, count(DISTINCT source_file) = 1 AS sole FROM cur WHERE module IS NOT NULL GROUP BY 1")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeloom.catalogue import CUR, filled, register
+from codeloom.catalogue.graphs import RESOLVED
 from codeloom.operators import configuration, injection, metrics, risk, unused, usage
 
 _S = "CASE WHEN {x} <= {a} THEN 0.0 WHEN {x} >= {d} THEN 10.0 WHEN {x} <= {b} THEN 5.0 * ({x} - {a}) / ({b} - {a}) WHEN {x} <= {c} THEN 5 + 3.0 * ({x} - {b}) / ({c} - {b}) ELSE 8 + 2.0 * ({x} - {c}) / ({d} - {c}) END"
@@ -22,29 +23,40 @@ _RISK = f"""{CUR}, e AS (SELECT * FROM dependencies WHERE from_class_id IN (SELE
     FROM cur c LEFT JOIN fi ON fi.id = c.id LEFT JOIN fo ON fo.id = c.id LEFT JOIN gf ON gf.class_id = c.id LEFT JOIN cc ON cc.file_path = gf.file_path),
     risk AS (SELECT *, floor((0.3 * {_scale('fan_in', 0, 3, 8, 15)} + 0.1 * {_scale('fan_out', 0, 3, 5, 8)} + 0.25 * {_scale('churn', 2, 10, 30, 50)} + 0.2 * {_BUS.format(x='authors')} + 0.15 * {_scale('co_changed', 0, 3, 5, 8)}) * 10 + 0.5) / 10 AS score FROM w)"""
 register("class_risk", risk.class_risk, f"{_RISK} SELECT *, {_LEVEL} AS level FROM risk")
-_CRIT = """CASE WHEN b IN ('pom.xml', 'build.gradle', 'build.gradle.kts', 'settings.gradle', 'settings.gradle.kts') THEN 10 WHEN contains(p, '/.github/') OR starts_with(p, '.github/') OR b IN ('dockerfile', 'jenkinsfile') THEN 9
-    WHEN starts_with(b, 'application.') OR starts_with(b, 'application-') OR ends_with(b, '.properties') THEN 8 WHEN contains(p, '/test/') THEN 3 WHEN ends_with(b, '.sql') THEN 7 WHEN ends_with(b, '.java') OR ends_with(b, '.kt') THEN 5 WHEN ends_with(b, '.md') OR ends_with(b, '.txt') THEN 1 ELSE 4 END"""
+_CRIT = """CASE WHEN regexp_matches(p, '(^|/)META-INF/services/') THEN 10 WHEN b IN ('pom.xml', 'build.gradle', 'build.gradle.kts', 'settings.gradle', 'settings.gradle.kts', 'gradle.properties', 'maven-wrapper.properties', 'gradle-wrapper.properties') OR regexp_matches(p, '(^|/)buildSrc/') OR regexp_matches(p, '(^|/)gradle/libs\\.versions\\.') THEN 9
+    WHEN regexp_matches(p, '(^|/)\\.github/workflows/') THEN 8 WHEN regexp_matches(p, '(^|/)src/main/resources/') THEN 7 WHEN regexp_matches(p, '(^|/)src/main/') THEN 5 WHEN regexp_matches(p, '(^|/)src/test/') THEN 3 WHEN b LIKE '%.md' OR b LIKE '%.adoc' THEN 1 ELSE 4 END"""
 register(
     "file_risk",
     risk.file_risk,
-    f"""{_GIT}, n AS (SELECT gf.*, coalesce(co, 0) AS co, lower(gf.file_path) AS p, lower(regexp_extract(gf.file_path, '[^/]*$')) AS b FROM gf LEFT JOIN cc ON cc.file_path = gf.file_path), k AS (SELECT *, {_CRIT} AS criticality FROM n),
+    f"""{_GIT}, n AS (SELECT gf.*, coalesce(co, 0) AS co, gf.file_path AS p, regexp_extract(gf.file_path, '[^/]*$') AS b FROM gf LEFT JOIN cc ON cc.file_path = gf.file_path), k AS (SELECT *, {_CRIT} AS criticality FROM n),
     r AS (SELECT file_path, criticality, floor((0.5 * criticality + 0.2 * {_scale('churn', 2, 10, 30, 50)} + 0.15 * {_BUS.format(x='authors')} + 0.15 * {_scale('co', 0, 3, 5, 8)}) * 10 + 0.5) / 10 AS score FROM k) SELECT *, {_LEVEL} AS level FROM r""",
 )
+_NAMES = ("pom.xml", "a/build.gradle.kts", "buildSrc/x.kt", "gradle/libs.versions.toml", "x/.github/workflows/ci.yml", ".github/CODEOWNERS", "m/src/main/resources/META-INF/services/a.B", "src/main/resources/application.yml", "README.md", "docs/a.adoc", "src/test/java/ATest.java", "notes.txt", "sql/a.sql")
+_PATHS = "SELECT DISTINCT path FROM (SELECT path FROM {resources} UNION ALL SELECT source_file FROM {classes} UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") AS v(path))"
+
+
+def _paths(s):
+    return s.spark.sql(_PATHS, resources=s.resources, classes=s.classes)
+
+
 register(
     "file_criticality",
-    lambda s: s.resources.select("path", risk.file_criticality(F.col("path")).alias("criticality")).distinct(),
-    f"n AS (SELECT DISTINCT path, lower(path) AS p, lower(regexp_extract(path, '[^/]*$')) AS b FROM resources) SELECT path, {_CRIT} AS criticality FROM n",
+    lambda s: _paths(s).select("path", risk.file_criticality(F.col("path")).alias("criticality")).distinct(),
+    f"n AS (SELECT path, path AS p, regexp_extract(path, '[^/]*$') AS b FROM ({_PATHS.format(resources='resources', classes='classes')})) SELECT path, {_CRIT} AS criticality FROM n",
 )
 _TARGETS = lambda s: s.classes.where("id IN (0, 3, 17, 40)").select("id")
-_TESTS = "tests AS (SELECT id, class_name FROM cur WHERE source_set = 'test' OR contains(source_file, '/test/'))"
+_TESTS = "tests AS (SELECT id, class_name FROM cur WHERE source_set = 'test' OR regexp_matches(source_file, '(^|/)src/test/|(Test|Tests|IT|ITCase|Spec)\\.(java|kt)$'))"
 _REACH = "w0 AS (SELECT unnest([CAST(0 AS BIGINT), 3, 17, 40]) AS node, 0 AS depth UNION SELECT from_class_id, depth + 1 FROM w0 JOIN dependencies ON to_class_id = node WHERE depth < {d})"
+_IMPACTED = f"""{CUR}, {_TESTS}, {_REACH.format(d=3)}, wi AS (SELECT node AS id, min(depth) AS depth FROM w0 GROUP BY 1 HAVING min(depth) > 0),
+    j0 AS (SELECT b.class_id, b.file_path, t.id AS test FROM (SELECT commit_id, class_id FROM commit_files WHERE class_id IN (0, 3, 17, 40)) a JOIN commit_files b ON a.commit_id = b.commit_id AND (b.class_id IS NULL OR a.class_id <> b.class_id) LEFT JOIN tests t ON t.id = b.class_id),
+    j AS (SELECT test AS id, count(*) AS n FROM j0 WHERE test IS NOT NULL GROUP BY 1), jf AS (SELECT file_path, count(*) AS n FROM j0 WHERE test IS NULL AND regexp_matches(file_path, '(^|/)src/test/|(Test|Tests|IT|ITCase|Spec)\\.(java|kt)$') GROUP BY 1),
+    it AS (SELECT t.id, class_name, depth, n FROM tests t LEFT JOIN wi ON wi.id = t.id LEFT JOIN j ON j.id = t.id WHERE depth IS NOT NULL OR n IS NOT NULL UNION ALL SELECT NULL, file_path, NULL, n FROM jf),
+    im AS (SELECT coalesce(id, -1) AS id, class_name, CAST(coalesce(depth, -1) AS INTEGER) AS depth, coalesce(n, 0) AS co_changes, CAST(least(100, CASE WHEN depth IS NULL THEN 0 ELSE greatest(20, 100 - (depth - 1) * 15) END + least(30, 5 * coalesce(n, 0))) AS BIGINT) AS score,
+    CASE WHEN depth <= 1 THEN 'high' WHEN depth IS NOT NULL OR n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM it)"""
 register(
     "impacted_tests",
-    lambda s: filled(risk.impacted_tests(s, _TARGETS(s)), "depth"),
-    f"""{CUR}, {_TESTS}, {_REACH.format(d=3)}, w AS (SELECT node AS id, min(depth) AS depth FROM w0 GROUP BY 1 HAVING min(depth) > 0),
-    j AS (SELECT b.class_id AS id, count(*) AS n FROM (SELECT commit_id, class_id FROM commit_files WHERE class_id IN (0, 3, 17, 40)) a JOIN commit_files b ON a.commit_id = b.commit_id AND a.class_id <> b.class_id GROUP BY 1)
-    SELECT t.id, class_name, CAST(coalesce(depth, -1) AS INTEGER) AS depth, coalesce(n, 0) AS co_changes, CAST(least(100, CASE WHEN depth IS NULL THEN 0 ELSE greatest(20, 100 - (depth - 1) * 15) END + least(30, 5 * coalesce(n, 0))) AS BIGINT) AS score,
-    CASE WHEN depth <= 1 THEN 'high' WHEN depth IS NOT NULL OR n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM tests t LEFT JOIN w ON w.id = t.id LEFT JOIN j ON j.id = t.id WHERE depth IS NOT NULL OR n IS NOT NULL""",
+    lambda s: filled(risk.impacted_tests(s, _TARGETS(s)), "depth", "id"),
+    f"{_IMPACTED} SELECT * FROM im",
 )
 register(
     "design_impact",
@@ -58,7 +70,7 @@ _EVID = f"""{CUR}, ev AS (SELECT id, class_name, kind, origin, source_set, is_be
     (SELECT count(DISTINCT from_class_id) FROM dependencies d JOIN cur u ON u.id = from_class_id WHERE to_class_id = c.id AND coalesce(u.source_set, 'main') <> 'test') AS inbound,
     (SELECT count(*) FROM cur x WHERE x.superclass = c.class_name) + (SELECT count(*) FROM cur x WHERE x.interface_name = c.class_name) AS subtypes,
     (SELECT count(*) FROM class_annotations a WHERE a.class_id = c.id AND direct) AS annotations,
-    EXISTS (SELECT 1 FROM class_members m WHERE m.class_id = c.id AND m.name = 'run' AND contains(modifiers, 'static')) AS has_main FROM cur c)"""
+    EXISTS (SELECT 1 FROM class_members m WHERE m.class_id = c.id AND m.name = 'main' AND m.descriptor = '([Ljava/lang/String;)V' AND modifiers = 'public static') AS has_main FROM cur c)"""
 register("unused_class_evidence", unused.class_evidence, f"{_EVID} SELECT * FROM ev")
 _FREE = "inbound = 0 AND subtypes = 0 AND NOT is_bean AND annotations = 0 AND NOT has_main"
 register("unused_classes", lambda s: unused.unused_classes(s, limit=200), f"{_EVID} SELECT id, class_name, source_tokens, CASE WHEN kind = 'CLASS' AND origin = 'source' THEN 'medium' ELSE 'low' END AS confidence FROM ev WHERE {_FREE} ORDER BY confidence DESC, source_tokens DESC, class_name LIMIT 200")
@@ -68,61 +80,66 @@ register(
     f"""{_EVID} SELECT * FROM (SELECT 'inbound' AS reason, count(*) AS classes FROM ev WHERE inbound > 0 UNION ALL SELECT 'hierarchy', count(*) FROM ev WHERE subtypes > 0 UNION ALL SELECT 'bean', count(*) FROM ev WHERE is_bean
     UNION ALL SELECT 'annotated', count(*) FROM ev WHERE annotations > 0 UNION ALL SELECT 'main', count(*) FROM ev WHERE has_main) WHERE classes > 0""",
 )
-_HANDLES = "ho AS (SELECT to_class_id AS class_id FROM dependencies WHERE kind = 'CONSTRUCTS' GROUP BY 1 HAVING count(*) >= 2)"
-_MV = f"""{CUR}, {_HANDLES}, mv AS (SELECT m.class_id, class_name, name, descriptor, CASE WHEN m.class_id IN (SELECT class_id FROM ho) THEN 'handle_owner' WHEN annotations <> '' THEN 'annotated' WHEN contains(modifiers, 'native') THEN 'native'
+_HANDLES = "ho AS (SELECT DISTINCT to_class_id AS class_id FROM dependencies WHERE kind = '{0}_HANDLE_REFERENCE')"
+_MV = f"""{CUR}, {_HANDLES.format('METHOD')}, mv AS (SELECT m.class_id, class_name, name, descriptor, CASE WHEN m.class_id IN (SELECT class_id FROM ho) THEN 'handle_owner' WHEN annotations <> '' THEN 'annotated' WHEN contains(modifiers, 'native') THEN 'native'
     WHEN EXISTS (SELECT 1 FROM method_calls x WHERE x.target_class_id = m.class_id AND x.target_method = m.name AND x.target_descriptor = m.descriptor AND x.caller_class_id IN (SELECT id FROM cur)) THEN 'used' ELSE 'unused' END AS verdict
     FROM class_members m JOIN cur ON cur.id = m.class_id WHERE m.kind = 'METHOD' AND contains(modifiers, 'private'))"""
 register("unused_methods", unused.method_verdicts, f"{_MV} SELECT * FROM mv")
 register("unused_method_exclusions", lambda s: unused.exclusions(unused.method_verdicts(s)), f"{_MV} SELECT verdict, count(*) AS members FROM mv GROUP BY 1")
-_FV = f"""{CUR}, {_HANDLES}, h AS (SELECT class_name AS child, superclass AS parent FROM classes UNION ALL SELECT class_name, interface_name FROM classes), se AS (SELECT class_name AS name FROM classes WHERE id = 5 UNION SELECT child FROM se JOIN h ON parent = name),
+_FV = f"""{CUR}, {_HANDLES.format('FIELD')}, h AS (SELECT class_name AS child, superclass AS parent FROM classes UNION ALL SELECT class_name, interface_name FROM classes), se AS (SELECT class_name AS name FROM classes WHERE interface_name = 'java.io.Serializable' UNION SELECT child FROM se JOIN h ON parent = name),
     fa AS (SELECT owner_class_id, field_name, count(*) FILTER (WHERE access_kind LIKE 'read%') AS r, count(*) FILTER (WHERE access_kind LIKE 'write%') AS w FROM field_accesses WHERE accessor_class_id IN (SELECT id FROM cur) GROUP BY 1, 2),
     fv AS (SELECT m.class_id, class_name, name, CASE WHEN m.class_id IN (SELECT class_id FROM ho) THEN 'handle_owner' WHEN annotations <> '' THEN 'annotated' WHEN contains(modifiers, 'static final') THEN 'constant' WHEN class_name IN (SELECT name FROM se) THEN 'serializable'
     WHEN r > 0 THEN 'read' WHEN w > 0 THEN 'write_only' ELSE 'unused' END AS verdict FROM class_members m JOIN cur ON cur.id = m.class_id LEFT JOIN fa ON fa.owner_class_id = m.class_id AND fa.field_name = m.name WHERE m.kind = 'FIELD' AND contains(modifiers, 'private'))"""
 register("unused_fields", unused.field_verdicts, f"{_FV} SELECT * FROM fv")
-_KIND = "CASE {k} WHEN 'CONSTRUCTS' THEN 'INSTANTIATION' WHEN 'CALLS' THEN 'CALL' ELSE 'TYPE_REFERENCE' END"
-register(
-    "class_usages",
-    lambda s: usage.class_usages(s, _TARGETS(s)),
-    f"""{CUR}, i AS (SELECT c.id, c.kind, c.superclass AS parent, 'EXTENDS' AS relation FROM classes c UNION ALL SELECT id, kind, interface_name, CASE kind WHEN 'INTERFACE' THEN 'EXTENDS_INTERFACE' ELSE 'IMPLEMENTS' END FROM classes)
-    SELECT to_class_id AS target_id, from_class_id AS user_id, class_name, {_KIND.format(k='d.kind')} AS usage, d.kind, occurrence_count AS occurrences,
+_KIND = "CASE {k} WHEN 'CONSTRUCTS' THEN 'constructor_call' WHEN 'CALLS' THEN 'method_call' WHEN 'METHOD_HANDLE_REFERENCE' THEN 'method_handle_reference' WHEN 'FIELD_HANDLE_REFERENCE' THEN 'field_handle_reference' WHEN 'CDI_INJECT' THEN 'injection' ELSE 'type_reference' END"
+_USES = f"""i AS (SELECT c.id, c.kind, c.superclass AS parent, 'EXTENDS' AS relation FROM classes c UNION ALL SELECT id, kind, interface_name, CASE kind WHEN 'INTERFACE' THEN 'EXTENDS_INTERFACE' ELSE 'IMPLEMENTS' END FROM classes),
+    cu AS (SELECT to_class_id AS target_id, from_class_id AS user_id, class_name, {_KIND.format(k='d.kind')} AS usage, d.kind, occurrence_count AS occurrences,
     (SELECT string_agg(line, ',' ORDER BY line) FROM dependency_lines l WHERE l.from_class_id = d.from_class_id AND l.to_class_id = d.to_class_id AND l.kind = d.kind) AS lines
     FROM dependencies d JOIN cur u ON u.id = from_class_id WHERE to_class_id IN (0, 3, 17, 40)
-    UNION ALL SELECT t.id, cur.id, cur.class_name, relation, relation, CAST(count(*) AS BIGINT), '' FROM i JOIN cur ON cur.id = i.id JOIN classes t ON t.class_name = i.parent WHERE t.id IN (0, 3, 17, 40) GROUP BY 1, 2, 3, 4""",
-)
-register("field_usages", lambda s: usage.field_usages(s, s.classes.select("id"), access="write"), "SELECT * FROM field_accesses WHERE owner_class_id < 60 AND access_kind LIKE 'write%'")
+    UNION ALL SELECT t.id, cur.id, cur.class_name, 'inheritance', relation, CAST(count(*) AS BIGINT), '' FROM i JOIN cur ON cur.id = i.id JOIN classes t ON t.class_name = i.parent WHERE t.id IN (0, 3, 17, 40) GROUP BY 1, 2, 3, 4, 5
+    UNION ALL SELECT t.id, cur.id, cur.class_name, 'annotation', CASE WHEN bool_or(direct) THEN 'ANNOTATED_WITH' ELSE 'META_ANNOTATED_WITH' END, 1, '' FROM class_annotations a JOIN cur ON cur.id = a.class_id JOIN classes t ON t.class_name = annotation_name WHERE t.id IN (0, 3, 17, 40) GROUP BY 1, 2, 3)"""
+register("class_usages", lambda s: usage.class_usages(s, _TARGETS(s)), f"{CUR}, {_USES} SELECT * FROM cu")
+register("field_usages", lambda s: usage.field_usages(s, s.classes.select("id"), access="write"), "SELECT * FROM field_accesses WHERE access_kind LIKE 'write%'")
 register(
     "method_usages",
     lambda s: usage.method_usages(s, s.classes.select("id")),
-    """h AS (SELECT c.id AS child, p.id AS parent FROM classes c JOIN classes p ON p.class_name IN (c.superclass, c.interface_name)), up0 AS (SELECT id, id AS ancestor, 0 AS depth FROM classes UNION SELECT up0.id, parent, depth + 1 FROM up0 JOIN h ON child = ancestor),
-    up AS (SELECT id, ancestor, min(depth) AS depth FROM up0 GROUP BY 1, 2), q AS (SELECT DISTINCT target_class_id AS id, target_method AS name, target_descriptor AS descriptor FROM method_calls),
-    f AS (SELECT q.*, ancestor, depth, min(depth) OVER (PARTITION BY q.id, q.name, q.descriptor) AS best FROM q JOIN up ON up.id = q.id JOIN class_members m ON m.class_id = ancestor AND m.name = q.name AND m.descriptor = q.descriptor AND m.kind = 'METHOD'),
-    r AS (SELECT id, name, descriptor, min(ancestor) AS owner_id FROM f WHERE depth = best GROUP BY 1, 2, 3 HAVING count(*) = 1)
-    SELECT owner_id, name, descriptor, id AS named_id, caller_class_id, caller_method, occurrence_count FROM r JOIN method_calls ON target_class_id = id AND target_method = name AND target_descriptor = descriptor WHERE owner_id < 60""",
+    f"""{RESOLVED} SELECT owner_id, x.target_method AS name, x.target_descriptor AS descriptor, x.target_class_id AS named_id, caller_class_id, caller_method, occurrence_count FROM ro JOIN method_calls x ON target_class_id = id AND target_method = name AND target_descriptor = descriptor WHERE owner_id IS NOT NULL""",
 )
 register(
     "class_cards",
     lambda s: usage.class_cards(s, s.classes.select("id")),
     f"""{CUR}, e AS (SELECT * FROM dependencies WHERE from_class_id IN (SELECT id FROM cur) AND to_class_id IN (SELECT id FROM cur)) SELECT id, class_name, (SELECT count(DISTINCT from_class_id) FROM e WHERE to_class_id = c.id) AS fan_in, (SELECT count(DISTINCT to_class_id) FROM e WHERE from_class_id = c.id) AS fan_out,
     (SELECT count(*) FROM class_members m WHERE m.class_id = c.id AND m.kind = 'METHOD') AS methods, (SELECT count(*) FROM class_members m WHERE m.class_id = c.id AND m.kind = 'FIELD') AS fields, (SELECT count(*) FROM class_members m WHERE m.class_id = c.id AND m.kind = 'CONSTRUCTOR') AS constructors,
-    (SELECT count(DISTINCT external_type) FROM external_deps x WHERE x.class_id = c.id) AS external_types, coalesce((SELECT string_agg(DISTINCT annotation_name, ',' ORDER BY annotation_name) FROM class_annotations a WHERE a.class_id = c.id AND direct), '') AS annotations FROM cur c WHERE id % 50 = 3""",
+    (SELECT count(DISTINCT external_type) FROM external_deps x WHERE x.class_id = c.id) AS external_types, coalesce((SELECT string_agg(DISTINCT annotation_name, ',' ORDER BY annotation_name) FROM class_annotations a WHERE a.class_id = c.id AND direct), '') AS annotations FROM cur c""",
 )
 register(
     "state_lifecycle",
     lambda s: usage.state_lifecycle(s, s.classes.select("id")),
-    """r AS (SELECT to_class_id AS target_id, from_class_id AS class_id, '' AS method, 'create' AS event, occurrence_count FROM dependencies WHERE kind = 'CONSTRUCTS' AND to_class_id < 100
-    UNION ALL SELECT owner_class_id, accessor_class_id, accessor_method, CASE WHEN access_kind LIKE 'read%' THEN 'read' ELSE 'write' END, occurrence_count FROM field_accesses WHERE owner_class_id < 100),
+    """r AS (SELECT to_class_id AS target_id, from_class_id AS class_id, '' AS method, 'create' AS event, occurrence_count FROM dependencies WHERE kind = 'CONSTRUCTS'
+    UNION ALL SELECT owner_class_id, accessor_class_id, accessor_method, CASE WHEN access_kind LIKE 'read%' THEN 'read' ELSE 'write' END, occurrence_count FROM field_accesses),
     g AS (SELECT target_id, class_id, class_name, method, event, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM r JOIN classes ON id = class_id GROUP BY ALL),
-    x AS (SELECT *, CASE WHEN contains(method, 'get1') THEN 'persistence' WHEN contains(method, 'get2') THEN 'dispatch' WHEN contains(method, 'get3') THEN 'recovery' WHEN contains(method, 'get4') THEN 'serialization' ELSE '' END AS roles FROM g)
+    x AS (SELECT *, CASE WHEN contains(method, 'Store') THEN 'persistence' WHEN contains(method, 'Worker') THEN 'dispatch' WHEN contains(method, 'Timer') THEN 'recovery' WHEN contains(method, 'Codec') THEN 'serialization' ELSE '' END AS roles FROM g)
     SELECT *, CASE WHEN event = 'create' THEN 'high' WHEN roles <> '' THEN 'medium' ELSE 'low' END AS confidence FROM x""",
 )
-_INJ = """sp AS (SELECT id, specializes_id AS specialized FROM beans WHERE specializes_id IS NOT NULL UNION SELECT sp.id, b.specializes_id FROM sp JOIN beans b ON b.id = specialized WHERE b.specializes_id IS NOT NULL),
-    q AS (SELECT p.id AS point_id, b.id AS candidate_id, b.qualifier = p.qualifier AS fits, b.is_default, b.is_alternative, coalesce(b.priority, -1) AS rank FROM injection_points p JOIN beans b ON bean_type = target_type),
-    s1 AS (SELECT *, fits AND EXISTS (SELECT 1 FROM q o JOIN sp ON sp.id = o.candidate_id WHERE o.point_id = q.point_id AND o.fits AND sp.specialized = q.candidate_id) AS replaced FROM q),
-    s2 AS (SELECT *, CASE WHEN NOT fits OR replaced THEN false WHEN EXISTS (SELECT 1 FROM s1 o WHERE o.point_id = s1.point_id AND o.fits AND NOT o.replaced AND NOT o.is_default) THEN NOT is_default
-    ELSE rank = (SELECT max(rank) FROM s1 o WHERE o.point_id = s1.point_id AND o.fits AND NOT o.replaced AND o.is_default) END AS inside FROM s1),
-    s3 AS (SELECT *, inside AND (NOT EXISTS (SELECT 1 FROM s2 o WHERE o.point_id = s2.point_id AND o.inside AND o.is_alternative) OR (is_alternative AND rank = (SELECT max(rank) FROM s2 o WHERE o.point_id = s2.point_id AND o.inside AND o.is_alternative))) AS won FROM s2),
-    cand AS (SELECT point_id, candidate_id, CASE WHEN won AND (SELECT count(*) FROM s3 o WHERE o.point_id = s3.point_id AND o.won) = 1 THEN 'SELECTED' WHEN won THEN 'ELIGIBLE' ELSE 'EXCLUDED' END AS disposition,
-    CASE WHEN NOT fits THEN 'qualifier' WHEN replaced THEN 'specialized' WHEN NOT inside THEN 'default' WHEN NOT won THEN 'alternative' ELSE '' END AS reason FROM s3),
+_FITS = "len(list_filter(string_split({w}, ','), lambda x: x <> '@Any' AND NOT list_contains(string_split({h}, ','), x))) = 0"
+_SP = "sp AS (SELECT id, specializes_id AS specialized FROM beans WHERE specializes_id IS NOT NULL UNION SELECT sp.id, b.specializes_id FROM sp JOIN beans b ON b.id = specialized WHERE b.specializes_id IS NOT NULL)"
+
+
+def _steps(key: str) -> str:
+    """Resolution of ``q0`` (keys, candidate_id, fits, is_default, is_alternative, priority), step by step, to ``s6`` with reasons."""
+    same = " AND ".join(f"o.{k} = q.{k}" for k in key.split(", "))
+    return f"""s1 AS (SELECT *, fits AND EXISTS (SELECT 1 FROM q0 o JOIN sp ON sp.id = o.candidate_id WHERE {same} AND o.fits AND sp.specialized = q.candidate_id) AS replaced FROM q0 q),
+    s2 AS (SELECT *, fits AND NOT replaced AS alive, bool_or(fits AND NOT replaced AND NOT is_default) OVER w AS others FROM s1 WINDOW w AS (PARTITION BY {key})),
+    s3 AS (SELECT *, alive AND coalesce(priority, 0) = max(CASE WHEN alive THEN coalesce(priority, 0) END) OVER w AS top, max(CASE WHEN alive AND NOT is_default AND is_alternative THEN priority END) OVER w AS best FROM s2 WINDOW w AS (PARTITION BY {key})),
+    s4 AS (SELECT *, alive AND NOT is_default AND CASE WHEN best IS NULL THEN NOT is_alternative ELSE is_alternative AND coalesce(priority = best, false) END AS won FROM s3),
+    s5 AS (SELECT *, count(*) FILTER (WHERE won) OVER w AS winners, count(*) FILTER (WHERE top) OVER w AS tops FROM s4 WINDOW w AS (PARTITION BY {key})),
+    s6 AS (SELECT *, CASE WHEN NOT fits THEN 'QUALIFIER_MISMATCH' WHEN replaced THEN 'SPECIALIZED_BY' WHEN others AND is_default THEN 'DEFAULT_BEAN_SUPPRESSED' WHEN NOT others AND NOT top THEN 'LOWER_PRIORITY_DEFAULT_BEAN'
+    WHEN NOT others AND tops = 1 THEN 'DEFAULT_BEAN_FALLBACK_SELECTED' WHEN NOT others THEN 'SAME_PRIORITY_DEFAULT_BEAN' WHEN best IS NOT NULL AND NOT won THEN 'LOWER_PRIORITY_OR_NON_ALTERNATIVE' WHEN best IS NOT NULL AND winners = 1 THEN 'HIGHEST_PRIORITY_ALTERNATIVE'
+    WHEN best IS NOT NULL THEN 'SAME_PRIORITY_ALTERNATIVE' WHEN NOT won THEN 'INACTIVE_ALTERNATIVE' WHEN winners = 1 THEN 'UNIQUE_ELIGIBLE_CANDIDATE' ELSE 'MULTIPLE_ELIGIBLE_CANDIDATES' END AS reason FROM s5),
+    cand AS (SELECT {key}, candidate_id, CASE WHEN reason IN ('DEFAULT_BEAN_FALLBACK_SELECTED', 'HIGHEST_PRIORITY_ALTERNATIVE', 'UNIQUE_ELIGIBLE_CANDIDATE') THEN 'SELECTED' WHEN reason IN ('SAME_PRIORITY_DEFAULT_BEAN', 'SAME_PRIORITY_ALTERNATIVE', 'MULTIPLE_ELIGIBLE_CANDIDATES') THEN 'ELIGIBLE' ELSE 'EXCLUDED' END AS disposition, reason FROM s6)"""
+
+
+_INJ = f"""{_SP}, q0 AS (SELECT p.id AS point_id, b.id AS candidate_id, {_FITS.format(w='p.qualifier', h='b.qualifier')} AS fits, b.is_default, b.is_alternative, b.priority FROM injection_points p JOIN beans b ON bean_type = target_type), {_steps('point_id')},
     res AS (SELECT p.id AS point_id, max(candidate_id) FILTER (WHERE disposition = 'SELECTED') AS bean_id, count(*) FILTER (WHERE disposition IN ('SELECTED', 'ELIGIBLE')) AS n FROM injection_points p LEFT JOIN cand c ON c.point_id = p.id GROUP BY 1),
     rs AS (SELECT point_id, bean_id, CASE WHEN bean_id IS NOT NULL THEN 'RESOLVED' WHEN n > 0 THEN 'AMBIGUOUS' ELSE 'UNSATISFIED' END AS status FROM res)"""
 register("injection_candidates", injection.candidates, f"{_INJ} SELECT * FROM cand")
@@ -132,17 +149,18 @@ register("injection_points_of_class", lambda s: filled(injection.injection_point
 register(
     "named_resolution",
     lambda s: filled(injection.named_resolution(s), "bean_id"),
-    """q AS (SELECT p.id AS point_id, b.id AS c, is_default FROM injection_points p JOIN beans b ON bean_type = target_type WHERE p.qualifier = '@Default' OR p.qualifier = b.qualifier),
-    g AS (SELECT p.id AS point_id, count(c) AS n, min(c) AS lone, count(*) FILTER (WHERE is_default) AS d, min(c) FILTER (WHERE is_default) AS prim FROM injection_points p LEFT JOIN q ON q.point_id = p.id GROUP BY 1)
+    f"""q AS (SELECT p.id AS point_id, b.id AS c, is_primary FROM injection_points p JOIN beans b ON bean_type = target_type WHERE p.qualifier = '@Default' OR {_FITS.format(w='p.qualifier', h='b.qualifier')}),
+    g AS (SELECT p.id AS point_id, count(c) AS n, min(c) AS lone, count(*) FILTER (WHERE is_primary) AS d, min(c) FILTER (WHERE is_primary) AS prim FROM injection_points p LEFT JOIN q ON q.point_id = p.id GROUP BY 1)
     SELECT point_id, CASE WHEN n = 1 THEN lone WHEN d = 1 THEN prim ELSE -1 END AS bean_id, CASE WHEN n = 0 THEN 'UNSATISFIED' WHEN n = 1 OR d = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status FROM g""",
 )
 _VIS = "v AS (SELECT DISTINCT module, module AS visible FROM classes UNION SELECT v.module, e.visible FROM v JOIN module_edges e ON e.module = v.visible AND relation = 'compile')"
 register(
     "context_resolution",
     injection.in_context,
-    f"""{_VIS}, k AS (SELECT p.id AS point_id, v.module AS application, target_type, qualifier FROM injection_points p JOIN v ON v.visible = p.module),
-    o AS (SELECT k.point_id, k.application, count(DISTINCT b.id) AS n, min(b.id) AS bean FROM k LEFT JOIN (SELECT beans.id, bean_type, qualifier, v.module AS application FROM beans JOIN v ON v.visible = beans.module) b ON b.application = k.application AND bean_type = target_type AND b.qualifier = k.qualifier GROUP BY 1, 2),
-    w AS (SELECT point_id, application, CASE WHEN n = 0 THEN 'UNSATISFIED' WHEN n = 1 THEN 'RESOLVED:' || bean ELSE 'AMBIGUOUS' END AS outcome FROM o)
+    f"""{_VIS}, {_SP}, k AS (SELECT p.id AS point_id, v.module AS application, target_type, qualifier FROM injection_points p JOIN v ON v.visible = p.module), bv AS (SELECT beans.*, v.module AS application FROM beans JOIN v ON v.visible = beans.module),
+    q0 AS (SELECT k.point_id, k.application, b.id AS candidate_id, {_FITS.format(w='k.qualifier', h='b.qualifier')} AS fits, b.is_default, b.is_alternative, b.priority FROM k JOIN bv b ON b.application = k.application AND bean_type = target_type), {_steps('point_id, application')},
+    o2 AS (SELECT k.point_id, k.application, count(*) FILTER (WHERE disposition <> 'EXCLUDED') AS n, max(candidate_id) FILTER (WHERE disposition = 'SELECTED') AS bean FROM k LEFT JOIN cand ON cand.point_id = k.point_id AND cand.application = k.application GROUP BY 1, 2),
+    w AS (SELECT point_id, application, CASE WHEN bean IS NOT NULL THEN 'RESOLVED:' || bean WHEN n > 0 THEN 'AMBIGUOUS' ELSE 'UNSATISFIED' END AS outcome FROM o2)
     SELECT point_id, count(*) AS contexts, CASE WHEN count(DISTINCT outcome) = 1 THEN split_part(min(outcome), ':', 1) ELSE 'CONTEXT_REQUIRED' END AS status FROM w GROUP BY 1""",
 )
 _KEYS = "mk AS (SELECT u.class_id, u.kind, u.key, d.key AS definition FROM configuration_usages u JOIN (SELECT DISTINCT key FROM configuration_definitions) d ON d.key = u.key OR (u.kind = 'prefix' AND d.key LIKE u.key || '.%'))"

@@ -15,7 +15,7 @@ register(
     f"""{CUR}, a AS (SELECT class_name, kind AS symbol_kind, regexp_extract(class_name, '[^.]*$') AS symbol_name, '' AS signature FROM cur UNION ALL
     SELECT class_name, m.kind, m.name, m.name || m.descriptor FROM class_members m JOIN cur ON cur.id = m.class_id) SELECT * FROM a WHERE symbol_name ILIKE '%get1%' OR signature ILIKE '%get1%' ORDER BY symbol_name, class_name, signature LIMIT 200""",
 )
-register("search_properties", lambda s: q.search_properties(s, "1*2.STATE"), "SELECT class_id, name FROM class_members WHERE kind = 'FIELD' AND regexp_matches(class_id || '.' || name, '1.*2\\.state', 'i')")
+register("search_properties", lambda s: q.search_properties(s, "p1*.C*2.STATE"), f"{CUR} SELECT class_id, class_name, name FROM class_members m JOIN cur ON cur.id = class_id WHERE m.kind = 'FIELD' AND regexp_matches(class_name || '.' || name, 'p1.*\\.C.*2\\.state', 'i')")
 register(
     "search_files",
     lambda s: q.search_files(s, "*/fr/**", limit=200),
@@ -41,21 +41,30 @@ register("list_beans_of_profile", lambda s: q.list_beans(s, profile="prod", kind
 register(
     "project_dependencies",
     q.project_dependencies,
-    """d AS (SELECT visible AS artifact, module, 'direct' AS how, relation FROM module_edges UNION ALL SELECT b.visible, a.module, 'transitive', b.relation FROM module_edges a JOIN module_edges b ON a.visible = b.module)
+    """t AS (SELECT module, visible, visible AS node FROM module_edges UNION SELECT t.module, t.visible, e.visible FROM t JOIN module_edges e ON e.module = t.node),
+    d AS (SELECT visible AS artifact, module, 'direct' AS how, relation FROM module_edges UNION ALL SELECT e.visible, t.module, 'transitive', e.relation FROM (SELECT DISTINCT module, node FROM t) t JOIN module_edges e ON e.module = t.node)
     SELECT artifact, count(DISTINCT module) AS consumers, string_agg(DISTINCT relation, ',' ORDER BY relation) AS scopes, CASE WHEN count(DISTINCT how) > 1 THEN 'mixed' ELSE min(how) END AS directness FROM d GROUP BY 1""",
 )
-register(
-    "framework_endpoints",
-    lambda s: q.framework_endpoints(s, http_method="GET", path_prefix="/m"),
-    f"""{CUR}, r AS (SELECT c.id AS class_id, class_name, m.name, CASE c.id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'ANY' END AS http_method, unnest(['/' || lower(c.kind), '/m' || regexp_extract(module, '[0-9]+')]) || '/' || m.name AS path
-    FROM class_members m JOIN cur c ON c.id = m.class_id WHERE annotations = 'org.acme.Route') SELECT * FROM r WHERE http_method IN ('GET', 'ANY') AND starts_with(path, '/m')""",
-)
+_ROUTES = f"""{CUR}, em AS (SELECT *, CASE WHEN starts_with(annotation, 'org.springframework') THEN 'spring' ELSE 'jax-rs' END AS framework, CASE WHEN annotation LIKE '%.PostMapping' THEN 'POST' WHEN annotation LIKE '%.GET' THEN 'GET' ELSE verbs END AS vs FROM endpoint_marks),
+    mv AS (SELECT class_id, name, descriptor, framework, unnest(string_split(vs, ',')) AS verb FROM em WHERE vs <> ''), mp AS (SELECT class_id, name, descriptor, framework, unnest(string_split(paths, ',')) AS path FROM em WHERE paths <> ''),
+    mt AS (SELECT DISTINCT class_id, class_name, em.name, descriptor, framework FROM em JOIN cur ON cur.id = class_id WHERE em.name <> ''),
+    r3 AS (SELECT DISTINCT mt.*, coalesce(mv.verb, CASE mt.framework WHEN 'spring' THEN 'ANY' ELSE 'SUBRESOURCE' END) AS http_method, regexp_replace('/' || coalesce(b.path, '') || '/' || coalesce(p.path, ''), '/+', '/', 'g') AS whole
+    FROM mt LEFT JOIN mv ON mv.class_id = mt.class_id AND mv.framework = mt.framework AND ((mv.name = mt.name AND mv.descriptor = mt.descriptor) OR mv.name = '')
+    LEFT JOIN mp p ON p.class_id = mt.class_id AND p.framework = mt.framework AND p.name = mt.name AND p.descriptor = mt.descriptor LEFT JOIN mp b ON b.class_id = mt.class_id AND b.framework = mt.framework AND b.name = ''),
+    ep AS (SELECT class_id, class_name, name, descriptor, framework, http_method, CASE WHEN length(whole) > 1 THEN regexp_replace(whole, '/$', '') ELSE whole END AS path FROM r3)"""
+register("framework_endpoints", q.framework_endpoints, f"{_ROUTES} SELECT * FROM ep")
+register("framework_endpoints_of_verb", lambda s: q.framework_endpoints(s, http_method="GET", path_prefix="/m"), f"{_ROUTES} SELECT * FROM ep WHERE http_method IN ('GET', 'ANY') AND starts_with(path, '/m')")
 register(
     "entry_points",
     q.entry_points,
-    f"""{CUR} SELECT c.id AS class_id, class_name, m.name, descriptor, CASE annotations WHEN 'org.junit.Test' THEN 'test' ELSE 'endpoint' END AS entry_kind, 'high' AS confidence FROM class_members m JOIN cur c ON c.id = m.class_id WHERE annotations IN ('org.junit.Test', 'org.acme.Route')
-    UNION ALL SELECT c.id, class_name, 'run', descriptor, 'main', 'high' FROM class_members m JOIN cur c ON c.id = m.class_id WHERE m.name = 'run' AND modifiers = 'public' AND descriptor = '()V'
-    UNION ALL SELECT c.id, class_name, '<type>', '', 'component', CASE WHEN bool_or(direct) THEN 'high' ELSE 'medium' END FROM class_annotations a JOIN cur c ON c.id = a.class_id WHERE annotation_name = 'jakarta.inject.Singleton' GROUP BY 1, 2""",
+    f"""{CUR}, o AS (SELECT id AS class_id, class_name FROM cur WHERE origin <> 'generated' AND coalesce(source_set, 'main') <> 'test'), ms AS (SELECT o.*, name, descriptor, modifiers, ' ' || annotations || ' ' AS marks FROM class_members m JOIN o ON o.class_id = m.class_id WHERE m.kind = 'METHOD'),
+    pr AS (SELECT class_name FROM classes WHERE superclass = 'javax.annotation.processing.AbstractProcessor' UNION SELECT c.class_name FROM pr JOIN classes c ON pr.class_name IN (c.superclass, c.interface_name))
+    SELECT class_id, class_name, name, descriptor, 'rest_endpoint' AS entry_kind, 'high' AS confidence FROM ms WHERE marks LIKE '% jakarta.ws.rs.GET %' OR marks LIKE '%.PostMapping %' UNION ALL SELECT class_id, class_name, name, descriptor, 'observer', 'high' FROM ms WHERE marks LIKE '%.Observes %'
+    UNION ALL SELECT class_id, class_name, name, descriptor, 'scheduled', 'high' FROM ms WHERE marks LIKE '%.Scheduled %' UNION ALL SELECT class_id, class_name, name, descriptor, 'message_consumer', 'high' FROM ms WHERE marks LIKE '%.KafkaListener %'
+    UNION ALL SELECT class_id, class_name, name, descriptor, 'main', 'high' FROM ms WHERE name = 'main' AND modifiers = 'public static' AND descriptor = '([Ljava/lang/String;)V'
+    UNION ALL SELECT o.class_id, class_name, '<type>', '', 'rest_resource', CASE WHEN bool_or(direct) THEN 'high' ELSE 'medium' END FROM class_annotations a JOIN o ON o.class_id = a.class_id WHERE annotation_name IN ('jakarta.ws.rs.Path', 'org.springframework.web.bind.annotation.RequestMapping') GROUP BY 1, 2
+    UNION ALL SELECT class_id, class_name, '<type>', '', kind, 'high' FROM (SELECT class_id, class_name, 'annotation_processor' AS kind FROM o WHERE class_name IN (SELECT class_name FROM pr)
+    UNION SELECT o.class_id, class_name, CASE WHEN service_type LIKE '%annotation.processing.Processor' THEN 'annotation_processor' ELSE 'service_provider' END FROM service_registrations r JOIN o ON o.class_id = r.class_id)""",
 )
 register(
     "architecture_violations",
@@ -69,10 +78,10 @@ register("enclosing_classes", lambda s: q.enclosing_classes(s, "src/main/java/C1
 register("resolve_target", lambda s: q.resolve_target(s, "C15"), f"{CUR} SELECT id, class_name, 3 AS step FROM cur WHERE regexp_extract(class_name, '[^.]*$') = 'C15' ORDER BY class_name LIMIT 5")
 register(
     "symbol_candidates",
-    lambda s: q.symbol_candidates(s, "get2", "src/main/java/C12.java", 30, context="call"),
+    lambda s: q.symbol_candidates(s, "get2Worker", "src/main/java/C12.java", 30, context="call"),
     """live AS (SELECT * FROM classes WHERE lifecycle = 'current'), near AS (SELECT id FROM live WHERE source_file = 'src/main/java/C12.java' AND source_line <= 30 ORDER BY source_line DESC, class_name LIMIT 1),
-    c AS (SELECT id AS class_id, class_name AS name, kind, source_file = 'src/main/java/C12.java' AS same_file FROM live WHERE regexp_extract(class_name, '[^.]*$') = 'get2'
-    UNION ALL SELECT m.class_id, class_name || '#' || m.name || descriptor, m.kind, source_file = 'src/main/java/C12.java' FROM class_members m JOIN live ON live.id = m.class_id WHERE m.name = 'get2'),
+    c AS (SELECT id AS class_id, class_name AS name, kind, source_file = 'src/main/java/C12.java' AS same_file FROM live WHERE regexp_extract(class_name, '[^.]*$') = 'get2Worker'
+    UNION ALL SELECT m.class_id, class_name || '#' || m.name || descriptor, m.kind, source_file = 'src/main/java/C12.java' FROM class_members m JOIN live ON live.id = m.class_id WHERE m.name = 'get2Worker'),
     f AS (SELECT * FROM c ORDER BY same_file DESC, name LIMIT 200), s AS (SELECT name, kind, CAST(CASE WHEN same_file THEN 20 ELSE 0 END + CASE WHEN class_id IN (SELECT id FROM near) THEN 25 ELSE 0 END + CASE WHEN kind = 'METHOD' THEN 80 ELSE -30 END AS INTEGER) AS score FROM f)
     SELECT name, kind, score, CAST(row_number() OVER (ORDER BY score DESC, name) AS INTEGER) AS place, row_number() OVER (ORDER BY score DESC, name) = 1 AND coalesce(lead(score) OVER (ORDER BY score DESC, name), -10000) < score AS decisive FROM s""",
 )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeloom.catalogue import CUR, register
-from codeloom.catalogue.rules import _RISK
+from codeloom.catalogue.rules import _IMPACTED, _LEVEL, _RISK, _USES
 from codeloom.operators import composite, execution, workspace
 from codeloom.streaming.events import debounced
 
@@ -11,14 +11,13 @@ _T = lambda s: s.classes.where("id IN (0, 3, 17, 40)").select("id")  # noqa: E73
 register("repositories", workspace.repositories, f"{CUR} SELECT repository, count(DISTINCT module) AS modules, count(*) AS classes, count(*) FILTER (WHERE is_bean) AS beans, CAST(sum(source_tokens) AS BIGINT) AS tokens FROM cur GROUP BY 1")
 _CROSS = "x AS (SELECT a.repository AS consumer, b.repository AS provider, from_class_id, occurrence_count FROM dependencies JOIN cur a ON a.id = from_class_id JOIN cur b ON b.id = to_class_id WHERE a.repository <> b.repository)"
 register("workspace_dependencies", workspace.cross_dependencies, f"{CUR}, {_CROSS} SELECT consumer, provider, count(DISTINCT from_class_id) AS classes, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM x GROUP BY 1, 2")
-_PROV = "pr AS (SELECT module AS coordinate, repository, max(substr(source_file, 1, 4)) AS version FROM cur GROUP BY 1, 2)"
-_DECL = "d AS (SELECT DISTINCT c.repository AS consumer, e.visible AS coordinate, CASE WHEN length(e.visible) = 7 THEN 'src/' ELSE 'other' END AS version FROM module_edges e JOIN cur c ON c.module = e.module)"
+_PROV = "pr AS (SELECT a.* FROM module_artifacts a WHERE EXISTS (SELECT 1 FROM cur WHERE cur.module = a.coordinate AND cur.repository = a.repository))"
+_DECL = "d AS (SELECT DISTINCT c.repository AS consumer, e.visible AS coordinate, e.version FROM module_edges e JOIN cur c ON c.module = e.module)"
 
 
 def _declared(s):
     of = s.current().select("module", F.col("repository").alias("consumer")).distinct()
-    version = F.when(F.length("visible") == 7, "src/").otherwise("other")
-    return s.module_edges.join(of, "module").select("consumer", F.col("visible").alias("coordinate"), version.alias("version")).distinct()
+    return s.module_edges.join(of, "module").select("consumer", F.col("visible").alias("coordinate"), "version").distinct()
 
 
 register(
@@ -46,7 +45,7 @@ register(
 register(
     "workspace_usages",
     lambda s: workspace.usages_across(s, s.classes.select("id")),
-    f"{CUR} SELECT to_class_id AS target_id, a.repository AS consumer, d.kind, count(DISTINCT from_class_id) AS classes, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM dependencies d JOIN cur a ON a.id = from_class_id JOIN cur b ON b.id = to_class_id WHERE a.repository <> b.repository AND to_class_id < 60 GROUP BY 1, 2, 3",
+    f"{CUR} SELECT to_class_id AS target_id, a.repository AS consumer, d.kind, count(DISTINCT from_class_id) AS classes, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM dependencies d JOIN cur a ON a.id = from_class_id JOIN cur b ON b.id = to_class_id WHERE a.repository <> b.repository GROUP BY 1, 2, 3",
 )
 register(
     "workspace_change_risk",
@@ -59,7 +58,7 @@ register(
 register(
     "provider_fallback",
     lambda s: workspace.provider_fallback(s, "PROMO", s.classes.select("class_name")),
-    f"""{CUR}, m AS (SELECT DISTINCT class_name FROM classes WHERE id < 100 AND class_name NOT IN (SELECT class_name FROM cur WHERE repository = 'PROMO')), g AS (SELECT class_name, count(DISTINCT repository) AS n, min(repository) AS r FROM cur WHERE class_name IN (SELECT class_name FROM m) GROUP BY 1)
+    f"""{CUR}, m AS (SELECT DISTINCT class_name FROM classes WHERE class_name NOT IN (SELECT class_name FROM cur WHERE repository = 'PROMO')), g AS (SELECT class_name, count(DISTINCT repository) AS n, min(repository) AS r FROM cur WHERE class_name IN (SELECT class_name FROM m) GROUP BY 1)
     SELECT class_name, CASE WHEN n = 1 THEN 'routed' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN r END AS repository FROM g""",
 )
 register("consumer_evidence", workspace.consumer_evidence, "SELECT 0 AS rank, 'bean:' || bean_type AS evidence, class_id, 1 AS occurrences FROM beans UNION ALL SELECT 1, 'type:' || external_type, class_id, 1 FROM external_deps ORDER BY 1, 2, 3 LIMIT 100")
@@ -72,12 +71,18 @@ register(
 register(
     "change_context",
     lambda s: composite.change_context(s, _T(s)),
-    f"""{_RISK}, i AS (SELECT id, superclass AS parent FROM cur UNION ALL SELECT id, interface_name FROM cur), u AS (SELECT to_class_id AS id, from_class_id AS u, occurrence_count AS n FROM e WHERE to_class_id IN (0, 3, 17, 40) UNION ALL SELECT t.id, i.id, 1 FROM i JOIN classes t ON t.class_name = i.parent WHERE t.id IN (0, 3, 17, 40)),
+    f"""{_RISK}, i AS (SELECT id, superclass AS parent FROM cur UNION ALL SELECT id, interface_name FROM cur), u AS (SELECT to_class_id AS id, from_class_id AS u, occurrence_count AS n FROM e WHERE to_class_id IN (0, 3, 17, 40) UNION ALL SELECT t.id, i.id, 1 FROM i JOIN classes t ON t.class_name = i.parent WHERE t.id IN (0, 3, 17, 40)
+    UNION ALL SELECT t.id, c.id, 1 FROM (SELECT DISTINCT class_id, annotation_name FROM class_annotations) a JOIN cur c ON c.id = a.class_id JOIN classes t ON t.class_name = annotation_name WHERE t.id IN (0, 3, 17, 40)),
     g AS (SELECT id, count(DISTINCT u) AS users, CAST(sum(n) AS BIGINT) AS uses FROM u GROUP BY 1)
     SELECT r.id, class_name, (SELECT count(*) FROM class_members m WHERE m.class_id = r.id AND kind = 'METHOD') AS methods, (SELECT count(*) FROM class_members m WHERE m.class_id = r.id AND kind = 'FIELD') AS fields, score,
     CASE WHEN score >= 8 THEN 'CRITICAL' WHEN score >= 6 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS level, coalesce(users, 0) AS users, coalesce(uses, 0) AS uses FROM risk r LEFT JOIN g ON g.id = r.id WHERE r.id IN (0, 3, 17, 40)""",
 )
-register("change_plan", lambda s: composite.change_plan(s, _T(s)))
+_PLAN = f"""{_RISK}, {_IMPACTED.removeprefix(f'{CUR}, ')}, {_USES}"""
+register(
+    "change_plan",
+    lambda s: composite.change_plan(s, _T(s)),
+    f"""{_PLAN} SELECT '1-change' AS step, class_name, {_LEVEL} AS detail FROM risk WHERE id IN (0, 3, 17, 40) UNION ALL SELECT DISTINCT '2-review', class_name, usage FROM cu WHERE user_id NOT IN (0, 3, 17, 40) UNION ALL SELECT '3-test', class_name, confidence FROM im""",
+)
 register(
     "call_report",
     composite.call_report,

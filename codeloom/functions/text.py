@@ -60,6 +60,11 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def is_main() -> Column:
+    """Whether a member is a program's entry: public static void main(String[])."""
+    return (F.col("kind") == "METHOD") & (F.col("name") == "main") & (F.col("descriptor") == "([Ljava/lang/String;)V") & has_modifier(F.col("modifiers"), "public") & has_modifier(F.col("modifiers"), "static")
+
+
 def has_modifier(modifiers: Column, flag: str) -> Column:
     """Whether a space-separated list of modifiers has this one."""
     return F.array_contains(F.split(modifiers, r"\s+"), flag)

@@ -69,7 +69,8 @@ def resolve_entities(s: Snapshot, targets: list[str]) -> DataFrame:
     """Paths by exact path or by base name: current, historical or not found."""
     wanted = s.spark.createDataFrame([(t,) for t in targets], "target string")
     known = s.classes.select(F.col("source_file").alias("path"), "lifecycle").unionByName(s.files.select("path", "lifecycle"))
-    match = (F.col("path") == F.col("target")) | (F.substring_index("path", "/", -1) == F.col("target"))
-    found = F.broadcast(wanted).join(known, match).groupBy("target").agg(F.count(F.lit(1)).alias("candidates"), F.max((F.col("lifecycle") == "current").cast("int")).alias("current"))
+    # one equality join: each path is known by itself and by its base name
+    names = known.select("path", "lifecycle", F.explode(F.array_distinct(F.array("path", F.substring_index("path", "/", -1)))).alias("target"))
+    found = wanted.distinct().join(names, "target").groupBy("target").agg(F.count(F.lit(1)).alias("candidates"), F.max((F.col("lifecycle") == "current").cast("int")).alias("current"))
     state = F.when(F.col("current") == 1, "current").when(F.col("current") == 0, "historical").otherwise("not_found")
     return wanted.join(found, "target", "left").select("target", F.coalesce("candidates", F.lit(0)).alias("candidates"), state.alias("resolution"))

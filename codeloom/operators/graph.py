@@ -21,6 +21,11 @@ from codeloom.runtime import drop_stored, stored
 DRIVER_EDGES = 50_000
 
 
+# The root of all classes, and its methods.
+OBJECT = "java.lang.Object"
+OBJECT_METHODS = ("toString", "hashCode", "equals", "getClass", "clone", "finalize", "wait", "notify", "notifyAll")
+
+
 def distances(edges: DataFrame, starts: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(origin?, node, depth): the least number of edges (src, dst) from a start (node, and origin if
     given); starts have depth 0. Without ``max_depth``, all that can be reached."""
@@ -115,28 +120,57 @@ def method_overrides(s: Snapshot) -> DataFrame:
     free = lambda *flags: ~F.arrays_overlap(F.split("modifiers", r"\s+"), F.array(*map(F.lit, flags)))
     named = s.classes.select(F.col("id").alias("class_id"), package_name(F.col("class_name"), "").alias("package"))
     base = methods.where(free("private", "static", "final")).join(named, "class_id").select(F.col("class_id").alias("base_id"), "name", "parameter_types", F.col("package").alias("base_package"), (~(has_modifier(F.col("modifiers"), "public") | has_modifier(F.col("modifiers"), "protected"))).alias("package_private"))
-    over = methods.where(free("private", "static")).join(named, "class_id").select(F.col("class_id").alias("id"), "name", "parameter_types", "package", "descriptor")
-    below = ancestors(s).where("depth > 0")
-    found = below.join(base, F.col("ancestor") == F.col("base_id")).join(over, ["id", "name", "parameter_types"])
-    return found.where("NOT package_private OR package = base_package").select("base_id", "id", "name", "descriptor", "depth")
+    over = methods.where(free("private", "static")).join(named, "class_id").select(F.col("class_id").alias("id"), "name", "parameter_types", "package", "descriptor", has_modifier(F.col("modifiers"), "abstract").alias("abstract"))
+    # from the override up: a class has few ancestors, while a root class may have any number of subtypes
+    below = over.join(ancestors(s).where("depth > 0").withColumnRenamed("ancestor", "base_id"), "id")
+    found = below.join(base, ["base_id", "name", "parameter_types"])
+    return found.where("NOT package_private OR package = base_package").select("base_id", "id", "name", "descriptor", "depth", "abstract")
 
 
 def resolved_owners(s: Snapshot) -> DataFrame:
-    """For each called method, the nearest class at or above the named one that declares it: owner and
-    status resolved, ambiguous (several at the least distance) or absent."""
+    """For each called method, the class whose declaration the named class has, and how it is known: the class chain is
+    walked first (``declared``, ``inherited_class_declaration``), then the interfaces of all that were walked
+    (``inherited_interface_declaration``: the only declaration, neither static nor private, that no interface below
+    declares again). Without an owner: ``declaration_not_indexed``, ``interface_declaration_ambiguous``,
+    ``ancestor_not_indexed`` (the walk leaves the index first; the root of all classes may be absent, where there are interfaces and
+    the method isn't one of its own) or ``invalid_interface_hierarchy``. The superclass of an interface isn't walked."""
     called = s.method_calls.select(F.col("target_class_id").alias("id"), F.col("target_method").alias("name"), F.col("target_descriptor").alias("descriptor")).distinct()
-    declared = s.class_members.where("kind = 'METHOD'").select(F.col("class_id").alias("ancestor"), "name", "descriptor")
-    found = called.join(ancestors(s), "id").join(declared, ["ancestor", "name", "descriptor"])
-    near = found.groupBy("id", "name", "descriptor").agg(F.min("depth").alias("depth"))
-    best = found.join(near, ["id", "name", "descriptor", "depth"]).groupBy("id", "name", "descriptor", "depth").agg(F.min("ancestor").alias("owner_id"), F.count(F.lit(1)).alias("n"))
-    status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("absent")
-    return called.join(best, ["id", "name", "descriptor"], "left").select("id", "name", "descriptor", F.when(F.col("n") == 1, F.col("owner_id")).alias("owner_id"), status.alias("status"))
+    ids = s.classes.select(F.col("id").alias("node_id"), F.col("class_name").alias("node"), F.col("kind").alias("node_kind"))
+    owners = called.select("id").distinct()
+    starts = owners.join(s.classes.select("id", "class_name"), "id").select(F.col("id").alias("origin"), F.col("class_name").alias("node"))
+    supers = s.classes.where("superclass is not null AND kind <> 'INTERFACE'").select(F.col("class_name").alias("src"), F.col("superclass").alias("dst"))
+    chain = stored(distances(supers, starts).join(ids, "node", "left").select(F.col("origin").alias("id"), "node", "depth", "node_id", "node_kind"))
+    faces = s.classes.where("interface_name is not null").select(F.col("class_name").alias("src"), F.col("interface_name").alias("dst"))
+    roots = chain.join(faces, F.col("node") == F.col("src")).select(F.col("id").alias("origin"), F.col("dst").alias("node")).distinct()
+    met = stored(distances(faces, roots).join(ids, "node", "left").select(F.col("origin").alias("id"), "node", "node_id", "node_kind"))
+    own = s.class_members.where("kind IN ('METHOD', 'CONSTRUCTOR')").select(F.col("class_id").alias("node_id"), "name", "descriptor", "modifiers")
+    key = ["id", "name", "descriptor"]
+    in_chain = called.join(chain.where("node_id is not null").select("id", "node_id", "depth"), "id").join(own.drop("modifiers"), ["node_id", "name", "descriptor"])
+    by_class = in_chain.groupBy(*key).agg(F.min(F.struct("depth", "node_id")).alias("c")).select(*key, F.col("c.depth").alias("depth"), F.col("c.node_id").alias("class_owner"))
+    free = own.where(~(has_modifier(F.col("modifiers"), "static") | has_modifier(F.col("modifiers"), "private"))).drop("modifiers")
+    offered = called.join(met.where("node_id is not null").select("id", "node_id", "node"), "id").join(free, ["node_id", "name", "descriptor"])
+    # an interface above one that declares the method too is shadowed
+    above = distances(faces, offered.select(F.col("node").alias("origin"), "node").distinct()).where("depth > 0").select(F.col("origin").alias("below"), "node")
+    shadowed = offered.select(*key, F.col("node").alias("below")).join(above, "below").select(*key, "node").distinct()
+    by_face = offered.join(shadowed, [*key, "node"], "left_anti").groupBy(*key).agg(F.countDistinct("node_id").alias("maximal"), F.min("node_id").alias("face_owner"))
+    out = F.col("node_id").isNull()
+    ends = chain.groupBy("id").agg(F.max((out & (F.col("node") != OBJECT)).cast("int")).alias("chain_lost"), F.max((out & (F.col("node") == OBJECT)).cast("int")).alias("object_lost"))
+    lost = ends.join(met.groupBy("id").agg(F.max(F.col("node_id").isNull().cast("int")).alias("face_lost"), F.max((F.col("node_kind") != "INTERFACE").cast("int")).alias("not_face")), "id", "left")
+    whole = called.join(by_class, key, "left").join(by_face, key, "left").join(lost, "id", "left")
+    status = (
+        F.when(F.col("depth") == 0, "declared").when(F.col("depth") > 0, "inherited_class_declaration").when(F.col("name").isin("<init>", "<clinit>"), "declaration_not_indexed")
+        .when(F.coalesce("chain_lost", F.lit(1)) == 1, "ancestor_not_indexed")
+        .when((F.col("object_lost") == 1) & (F.col("face_lost").isNull() | F.col("name").isin(*OBJECT_METHODS)), "ancestor_not_indexed").when(F.col("face_lost") == 1, "ancestor_not_indexed").when(F.col("not_face") == 1, "invalid_interface_hierarchy")
+        .when(F.col("maximal") == 1, "inherited_interface_declaration").when(F.col("maximal") > 1, "interface_declaration_ambiguous").otherwise("declaration_not_indexed")
+    )
+    found = whole.withColumn("status", status)
+    return found.select(*key, F.when(F.col("depth").isNotNull(), F.col("class_owner")).when(F.col("status") == "inherited_interface_declaration", F.col("face_owner")).alias("owner_id"), "status")
 
 
 def dispatch_candidates(s: Snapshot, *, most: int = 20) -> DataFrame:
-    """For each method called virtually or through an interface: overrides below its class, their number and the first ones."""
+    """For each method called virtually or through an interface: overrides below its class that aren't abstract, their number and the first ones."""
     called = s.method_calls.where(F.col("invocation_kind").isin("virtual", "interface")).select(F.col("target_class_id").alias("base_id"), F.col("target_method").alias("name"), F.col("target_descriptor").alias("descriptor")).distinct()
-    found = called.join(method_overrides(s), ["base_id", "name", "descriptor"])
+    found = called.join(method_overrides(s).where("NOT abstract"), ["base_id", "name", "descriptor"])
     place = F.row_number().over(Window.partitionBy("base_id", "name", "descriptor").orderBy("id"))
     first = found.withColumn("place", place)
     return first.groupBy("base_id", "name", "descriptor").agg(F.count(F.lit(1)).alias("candidates"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col("id")))), ",").alias("first_ids"))
@@ -336,18 +370,18 @@ def specialization_chains(s: Snapshot) -> DataFrame:
 
 
 def inherited_mappings(s: Snapshot, mappings: DataFrame) -> DataFrame:
-    """(id, owner_id, status): each class's mapping: its own, else of its only mapped interface (several: ambiguous),
-    else of the nearest mapped superclass. ``mappings`` (id)."""
+    """(id, owner_id, source): each class's mapping: its own, else of its only mapped interface (several are
+    ambiguous, without an owner, and hide the superclasses), else of the nearest mapped superclass. ``mappings`` (id)."""
     ids = s.classes.select("id", "class_name")
     mapped = mappings.select("id").distinct()
     own = mapped.select("id", F.col("id").alias("owner_id"), F.lit(0).alias("rank"))
     faces = s.classes.where("interface_name is not null").select("id", "interface_name").join(ids.select(F.col("class_name").alias("interface_name"), F.col("id").alias("owner_id")), "interface_name").join(mapped.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
-    by_face = faces.groupBy("id").agg(F.min("owner_id").alias("owner_id"), F.countDistinct("owner_id").alias("n")).where("n = 1").select("id", "owner_id", F.lit(1).alias("rank"))
+    by_face = faces.groupBy("id").agg(F.min("owner_id").alias("owner_id"), F.countDistinct("owner_id").alias("n")).select("id", F.when(F.col("n") == 1, F.col("owner_id")).alias("owner_id"), F.lit(1).alias("rank"))
     supers = s.classes.where("superclass is not null").join(ids.select(F.col("class_name").alias("superclass"), F.col("id").alias("dst")), "superclass").select(F.col("id").alias("src"), "dst")
     up = distances(supers, ids.select(F.col("id").alias("origin"), F.col("id").alias("node"))).where("depth > 0")
     above = up.join(mapped.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("origin").alias("id"), F.col("node").alias("owner_id"), (F.col("depth") + 1).alias("rank"))
     best = Window.partitionBy("id").orderBy("rank", "owner_id")
-    return own.unionByName(by_face).unionByName(above).withColumn("place", F.row_number().over(best)).where("place = 1").select("id", "owner_id", F.when(F.col("rank") == 0, "own").when(F.col("rank") == 1, "interface").otherwise("superclass").alias("source"))
+    return own.unionByName(by_face).unionByName(above).withColumn("place", F.row_number().over(best)).where("place = 1").select("id", "owner_id", F.when(F.col("rank") == 0, "own").when(F.col("owner_id").isNull(), "ambiguous").when(F.col("rank") == 1, "interface").otherwise("superclass").alias("source"))
 
 
 def dominators(edges: DataFrame) -> DataFrame:

@@ -2,37 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.graph import module_visibility, specialization_chains
 from codeloom.plans.snapshot import Snapshot
 
 
+def _set(column: str) -> Column:
+    return F.split(column, ",")
+
+
+def qualifies(wanted: str = "wanted", has: str = "qualifier") -> Column:
+    """Whether a bean has every qualifier that is wanted; any bean has ``@Any``."""
+    return F.size(F.array_except(F.array_remove(_set(wanted), "@Any"), _set(has))) == 0
+
+
+def _selected(rows: DataFrame, of: list[str], replaced: DataFrame) -> DataFrame:
+    """``rows`` (keys ``of``, candidate_id, qualified, is_default, is_alternative, priority) with disposition and reason."""
+    fit = rows.where("qualified").select(*of, F.col("candidate_id").alias("by_id"))
+    out = rows.where("qualified").join(replaced, "candidate_id").join(fit, [*of, "by_id"], "left_semi").select(*of, "candidate_id", F.lit(True).alias("specialized")).distinct()
+    rows = rows.join(out, [*of, "candidate_id"], "left").withColumn("specialized", F.coalesce("specialized", F.lit(False)))
+    each = Window.partitionBy(*of)
+    count = lambda c: F.sum(c.cast("int")).over(each)
+    rows = rows.withColumn("alive", F.col("qualified") & ~F.col("specialized"))
+    rows = rows.withColumn("others", count(F.col("alive") & ~F.col("is_default")) > 0)
+    # default beans count only if nothing else is left; then the highest priority wins, none is zero
+    rank = F.coalesce("priority", F.lit(0))
+    rows = rows.withColumn("best_default", F.max(F.when(F.col("alive"), rank)).over(each)).withColumn("top", F.col("alive") & (rank == F.col("best_default"))).withColumn("tops", count(F.col("top")))
+    rows = rows.withColumn("plain", F.col("alive") & ~F.col("is_default"))
+    # alternatives compete only with a priority; without one they are out
+    rows = rows.withColumn("best", F.max(F.when(F.col("plain") & F.col("is_alternative"), F.col("priority"))).over(each))
+    rows = rows.withColumn("won", F.col("plain") & F.when(F.col("best").isNotNull(), F.coalesce(F.col("is_alternative") & (F.col("priority") == F.col("best")), F.lit(False))).otherwise(~F.col("is_alternative")))
+    rows = rows.withColumn("winners", count(F.col("won")))
+    one = F.col("winners") == 1
+    reason = (
+        F.when(~F.col("qualified"), "QUALIFIER_MISMATCH").when(F.col("specialized"), "SPECIALIZED_BY").when(F.col("others") & F.col("is_default"), "DEFAULT_BEAN_SUPPRESSED")
+        .when(~F.col("others"), F.when(~F.col("top"), "LOWER_PRIORITY_DEFAULT_BEAN").when(F.col("tops") == 1, "DEFAULT_BEAN_FALLBACK_SELECTED").otherwise("SAME_PRIORITY_DEFAULT_BEAN"))
+        .when(F.col("best").isNotNull(), F.when(~F.col("won"), "LOWER_PRIORITY_OR_NON_ALTERNATIVE").when(one, "HIGHEST_PRIORITY_ALTERNATIVE").otherwise("SAME_PRIORITY_ALTERNATIVE"))
+        .otherwise(F.when(~F.col("won"), "INACTIVE_ALTERNATIVE").when(one, "UNIQUE_ELIGIBLE_CANDIDATE").otherwise("MULTIPLE_ELIGIBLE_CANDIDATES"))
+    )
+    disposition = F.when(F.col("reason").isin("DEFAULT_BEAN_FALLBACK_SELECTED", "HIGHEST_PRIORITY_ALTERNATIVE", "UNIQUE_ELIGIBLE_CANDIDATE"), "SELECTED").when(F.col("reason").isin("SAME_PRIORITY_DEFAULT_BEAN", "SAME_PRIORITY_ALTERNATIVE", "MULTIPLE_ELIGIBLE_CANDIDATES"), "ELIGIBLE").otherwise("EXCLUDED")
+    return rows.withColumn("reason", reason).withColumn("disposition", disposition)
+
+
+def _replaced(s: Snapshot) -> DataFrame:
+    return specialization_chains(s).select(F.col("id").alias("by_id"), F.col("specialized").alias("candidate_id"))
+
+
 def candidates(s: Snapshot) -> DataFrame:
-    """Beans of each injection point's type, with what becomes of them by type-safe resolution: they need the qualifier;
-    a bean that another candidate specializes is out; default beans are out if others are left, else
-    the one of highest priority stays; alternatives of the highest priority win; else all are eligible."""
+    """Beans of each injection point's type, with what becomes of them by type-safe resolution, and why: they need all
+    its qualifiers; a bean that another candidate specializes, directly or through others, is out; default beans are out if others are left, else
+    those of the highest priority stay; alternatives of the highest priority win over all else; alternatives without a priority are out."""
     points = s.injection_points.select(F.col("id").alias("point_id"), F.col("target_type").alias("bean_type"), F.col("qualifier").alias("wanted"))
     beans = s.beans.select(F.col("id").alias("candidate_id"), "bean_type", "qualifier", "is_default", "is_alternative", "priority")
-    rows = points.join(beans, "bean_type").withColumn("qualified", F.col("qualifier") == F.col("wanted"))
-    replaced = specialization_chains(s).select(F.col("id").alias("by_id"), F.col("specialized").alias("candidate_id"))
-    fit = rows.where("qualified").select("point_id", F.col("candidate_id").alias("by_id"))
-    out = rows.where("qualified").join(replaced, "candidate_id").join(fit, ["point_id", "by_id"], "left_semi").select("point_id", "candidate_id", F.lit(True).alias("specialized")).distinct()
-    rows = rows.join(out, ["point_id", "candidate_id"], "left").withColumn("specialized", F.coalesce("specialized", F.lit(False)))
-    of = Window.partitionBy("point_id")
-    alive = F.col("qualified") & ~F.col("specialized")
-    rows = rows.withColumn("alive", alive).withColumn("others", F.max((F.col("alive") & ~F.col("is_default")).cast("int")).over(of))
-    # priority of the default beans counts only if nothing else is left
-    rank = F.coalesce("priority", F.lit(-1))
-    rows = rows.withColumn("best_default", F.max(F.when(F.col("alive") & F.col("is_default"), rank)).over(of))
-    rows = rows.withColumn("in", F.col("alive") & F.when(F.col("others") == 1, ~F.col("is_default")).otherwise(rank == F.col("best_default")))
-    rows = rows.withColumn("best_alternative", F.max(F.when(F.col("in") & F.col("is_alternative"), rank)).over(of))
-    rows = rows.withColumn("won", F.col("in") & F.when(F.col("best_alternative").isNotNull(), F.col("is_alternative") & (rank == F.col("best_alternative"))).otherwise(F.lit(True)))
-    rows = rows.withColumn("winners", F.sum(F.col("won").cast("int")).over(of))
-    disposition = F.when(F.col("won") & (F.col("winners") == 1), "SELECTED").when(F.col("won"), "ELIGIBLE").otherwise("EXCLUDED")
-    reason = F.when(~F.col("qualified"), "qualifier").when(F.col("specialized"), "specialized").when(~F.col("in"), "default").when(~F.col("won"), "alternative").otherwise("")
-    return rows.select("point_id", "candidate_id", disposition.alias("disposition"), reason.alias("reason"))
+    rows = points.join(beans, "bean_type").withColumn("qualified", qualifies())
+    return _selected(rows, ["point_id"], _replaced(s)).select("point_id", "candidate_id", "disposition", "reason")
 
 
 def resolved_points(s: Snapshot, found: DataFrame | None = None) -> DataFrame:
@@ -44,27 +69,30 @@ def resolved_points(s: Snapshot, found: DataFrame | None = None) -> DataFrame:
 
 
 def named_resolution(s: Snapshot) -> DataFrame:
-    """Candidates of injection points by a primary-bean rule: those whose qualifier is named and equal, else all; one
-    is resolved, of several the only one marked as default."""
+    """Candidates of injection points by a primary-bean rule: those that have the qualifiers, all if none but the default
+    is wanted; one is resolved, of several the only primary one."""
     points = s.injection_points.select(F.col("id").alias("point_id"), F.col("target_type").alias("bean_type"), F.col("qualifier").alias("wanted"))
-    rows = points.join(s.beans.select(F.col("id").alias("candidate_id"), "bean_type", "qualifier", "is_default"), "bean_type").where((F.col("wanted") == "@Default") | (F.col("qualifier") == F.col("wanted")))
-    by = rows.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.min("candidate_id").alias("only"), F.count_if("is_default").alias("primaries"), F.min(F.when(F.col("is_default"), F.col("candidate_id"))).alias("primary"))
+    rows = points.join(s.beans.select(F.col("id").alias("candidate_id"), "bean_type", "qualifier", "is_primary"), "bean_type").where((F.col("wanted") == "@Default") | qualifies())
+    by = rows.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.min("candidate_id").alias("only"), F.count_if("is_primary").alias("primaries"), F.min(F.when(F.col("is_primary"), F.col("candidate_id"))).alias("primary"))
     whole = points.select("point_id").join(by, "point_id", "left")
     bean = F.when(F.col("n") == 1, F.col("only")).when(F.col("primaries") == 1, F.col("primary"))
     return whole.select("point_id", bean.alias("bean_id"), F.when(F.col("n").isNull(), "UNSATISFIED").when(bean.isNotNull(), "RESOLVED").otherwise("AMBIGUOUS").alias("status"))
 
 
 def in_context(s: Snapshot) -> DataFrame:
-    """Each point resolved again for every module that sees its own, with the beans that module sees: one common
-    outcome is the outcome, different ones need the context."""
+    """Each point resolved again, by all steps of :func:`candidates`, for every module that sees its own, with the beans that
+    module sees: one common outcome is the outcome, different ones need the context."""
     sees = module_visibility(s)
     points = s.injection_points.select(F.col("id").alias("point_id"), "module", F.col("target_type").alias("bean_type"), F.col("qualifier").alias("wanted"))
     contexts = points.join(sees.select(F.col("visible").alias("module"), F.col("module").alias("application")), "module").drop("module")
-    beans = s.beans.select(F.col("id").alias("candidate_id"), "bean_type", F.col("qualifier").alias("wanted"), "module").join(sees.select(F.col("visible").alias("module"), F.col("module").alias("application")), "module").drop("module")
-    by = contexts.join(beans, ["application", "bean_type", "wanted"], "left").groupBy("point_id", "application").agg(F.countDistinct("candidate_id").alias("n"), F.min("candidate_id").alias("bean"))
-    outcome = F.when(F.col("n") == 0, "UNSATISFIED").when(F.col("n") == 1, F.concat(F.lit("RESOLVED:"), "bean")).otherwise("AMBIGUOUS")
-    whole = by.withColumn("outcome", outcome).groupBy("point_id").agg(F.countDistinct("outcome").alias("outcomes"), F.min("outcome").alias("outcome"), F.count(F.lit(1)).alias("contexts"))
-    return whole.select("point_id", "contexts", F.when(F.col("outcomes") == 1, F.substring_index("outcome", ":", 1)).otherwise("CONTEXT_REQUIRED").alias("status"))
+    beans = s.beans.select(F.col("id").alias("candidate_id"), "bean_type", "qualifier", "is_default", "is_alternative", "priority", "module")
+    beans = beans.join(sees.select(F.col("visible").alias("module"), F.col("module").alias("application")), "module").drop("module")
+    found = _selected(contexts.join(beans, ["application", "bean_type"]).withColumn("qualified", qualifies()), ["point_id", "application"], _replaced(s))
+    by = found.groupBy("point_id", "application").agg(F.count_if(F.col("disposition") != "EXCLUDED").alias("n"), F.max(F.when(F.col("disposition") == "SELECTED", F.col("candidate_id"))).alias("bean"))
+    whole = contexts.select("point_id", "application").join(by, ["point_id", "application"], "left")
+    outcome = F.when(F.col("bean").isNotNull(), F.concat(F.lit("RESOLVED:"), "bean")).when(F.coalesce("n", F.lit(0)) > 0, "AMBIGUOUS").otherwise("UNSATISFIED")
+    by_point = whole.withColumn("outcome", outcome).groupBy("point_id").agg(F.countDistinct("outcome").alias("outcomes"), F.min("outcome").alias("outcome"), F.count(F.lit(1)).alias("contexts"))
+    return by_point.select("point_id", "contexts", F.when(F.col("outcomes") == 1, F.substring_index("outcome", ":", 1)).otherwise("CONTEXT_REQUIRED").alias("status"))
 
 
 def injection_points_of(s: Snapshot, bean_class: int) -> DataFrame:

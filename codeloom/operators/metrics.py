@@ -179,9 +179,9 @@ def coverage_scopes(s: Snapshot) -> DataFrame:
 
 
 def reference_caveats(s: Snapshot) -> DataFrame:
-    """Per class what static usage can't cover: handle-like dependencies on it, interface calls that touch it."""
-    handles = s.dependencies.where(F.col("kind") == "TYPE_USE").groupBy(F.col("to_class_id").alias("id")).agg(F.count(F.lit(1)).alias("handles"))
-    calls = s.method_calls.where(F.col("invocation_kind") == "interface")
+    """Per class what static usage can't cover: member handles that refer to it, dynamic calls that touch it."""
+    handles = s.dependencies.where(F.col("kind").isin("METHOD_HANDLE_REFERENCE", "FIELD_HANDLE_REFERENCE")).groupBy(F.col("to_class_id").alias("id")).agg(F.count(F.lit(1)).alias("handles"))
+    calls = s.method_calls.where(F.col("invocation_kind") == "dynamic")
     touched = calls.select(F.explode(F.array_distinct(F.array("caller_class_id", "target_class_id"))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("calls"))
     return handles.join(touched, "id", "full").select("id", F.coalesce("handles", F.lit(0)).alias("handles"), F.coalesce("calls", F.lit(0)).alias("calls"))
 

@@ -16,43 +16,59 @@ from codeloom.plans.snapshot import Snapshot
 CO_CHANGES_COUNTED = 100
 
 
-def co_change_counts(s: Snapshot) -> DataFrame:
-    """Per file, the number of other files that change with it (at most 100 count). A commit of more than
+def co_change_counts(s: Snapshot, files: DataFrame | None = None) -> DataFrame:
+    """Per file (or only ``files``, file_path), the number of other files that change with it (at most 100 count). A commit of more than
     100 other files settles that by its size alone; only pairs within smaller ones are enumerated."""
     rows = s.commit_files.select("commit_id", "file_path").distinct()
+    if files is not None:
+        rows = rows.join(rows.join(files, "file_path", "left_semi").select("commit_id").distinct(), "commit_id", "left_semi")
     sizes = rows.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"))
     sized = rows.join(sizes, "commit_id")
     large = sized.where(F.col("n") > CO_CHANGES_COUNTED).select("file_path", F.lit(CO_CHANGES_COUNTED).cast("long").alias("co_changed"))
     small = sized.where(F.col("n") <= CO_CHANGES_COUNTED).select("commit_id", "file_path")
-    pairs = small.join(small.withColumnRenamed("file_path", "other"), "commit_id").where("file_path <> other").select("file_path", "other").distinct()
+    ones = small if files is None else small.join(files, "file_path", "left_semi")
+    pairs = ones.join(small.withColumnRenamed("file_path", "other"), "commit_id").where("file_path <> other").select("file_path", "other").distinct()
     counted = pairs.groupBy("file_path").agg(F.least(F.count(F.lit(1)), F.lit(CO_CHANGES_COUNTED)).alias("co_changed"))
     return counted.unionByName(large).groupBy("file_path").agg(F.max("co_changed").alias("co_changed"))
 
 
-def class_risk(s: Snapshot) -> DataFrame:
-    """Score (0 to 10), level and what they are made of, of each current class."""
-    history = file_rollup(s).join(co_change_counts(s), "file_path", "left").where("class_id is not null")
+def class_risk(s: Snapshot, targets: DataFrame | None = None) -> DataFrame:
+    """Score (0 to 10), level and what they are made of, of each current class, or only of the targets (id)."""
+    rollup = file_rollup(s).where("class_id is not null")
+    files = None
+    if targets is not None:
+        rollup = rollup.join(targets.select(F.col("id").alias("class_id")), "class_id", "left_semi")
+        files = s.commit_files.join(targets.select(F.col("id").alias("class_id")), "class_id", "left_semi").select("file_path").distinct()
+    history = rollup.join(co_change_counts(s, files), "file_path", "left")
     git = history.select(F.col("class_id").alias("id"), F.col("commit_count").alias("churn"), F.col("distinct_authors").alias("authors"), F.coalesce("co_changed", F.lit(0)).alias("co_changed"))
-    whole = fan_metrics(s).join(git, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("churn", "authors", "co_changed")})
+    fans = fan_metrics(s) if targets is None else fan_metrics(s).join(targets.select("id"), "id", "left_semi")
+    whole = fans.join(git, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("churn", "authors", "co_changed")})
     score = half_up(
         0.30 * scaled(F.col("fan_in"), 0, 3, 8, 15) + 0.10 * scaled(F.col("fan_out"), 0, 3, 5, 8) + 0.25 * scaled(F.col("churn"), 2, 10, 30, 50) + 0.20 * bus_factor(F.col("authors")) + 0.15 * scaled(F.col("co_changed"), 0, 3, 5, 8), 1
     )
     return whole.select("id", "class_name", "fan_in", "fan_out", "churn", "authors", "co_changed", score.alias("score"), risk_level(score).alias("level"))
 
 
+# Files that configure a build.
+BUILD_FILES = ("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "gradle.properties", "maven-wrapper.properties", "gradle-wrapper.properties")
+
+
 def file_criticality(path: Column) -> Column:
-    """How much depends on a file by its kind: the first rule that fits."""
-    name, low = F.lower(base_name(path)), F.lower(path)
+    """How much depends on a file by its place and name: the first rule that fits."""
+    whole = F.translate(path, "\\", "/")
+    name = base_name(whole)
+    below = lambda folder: whole.startswith(f"{folder}/") | whole.contains(f"/{folder}/")
+    build = name.isin(*BUILD_FILES) | below("buildSrc") | whole.startswith("gradle/libs.versions.") | whole.contains("/gradle/libs.versions.")
     return (
-        F.when(name.isin("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts"), 10)
-        .when(low.contains("/.github/") | low.startswith(".github/") | name.isin("dockerfile", "jenkinsfile"), 9)
-        .when(name.startswith("application.") | name.startswith("application-") | name.endswith(".properties"), 8)
-        .when(low.contains("/test/"), 3)
-        .when(name.endswith(".sql"), 7)
-        .when(name.endswith(".java") | name.endswith(".kt"), 5)
-        .when(name.endswith(".md") | name.endswith(".txt"), 1)
-        .otherwise(4)
-    )
+        F.when(below("META-INF/services"), 10).when(build, 9).when(below(".github/workflows"), 8).when(below("src/main/resources"), 7)
+        .when(below("src/main"), 5).when(below("src/test"), 3).when(name.endswith(".md") | name.endswith(".adoc"), 1).otherwise(4)
+    )
+
+
+def is_test_path(path: Column) -> Column:
+    """Below src/test, or named as tests are."""
+    whole = F.translate(path, "\\", "/")
+    return F.coalesce(whole.startswith("src/test/") | whole.contains("/src/test/") | base_name(whole).rlike(r"(Test|Tests|IT|ITCase|Spec)\.(java|kt)$"), F.lit(False))
 
 
 def file_risk(s: Snapshot) -> DataFrame:
@@ -62,30 +78,43 @@ def file_risk(s: Snapshot) -> DataFrame:
     return whole.select("file_path", file_criticality(F.col("file_path")).alias("criticality"), score.alias("score"), risk_level(score).alias("level"))
 
 
+def _test_classes(s: Snapshot) -> DataFrame:
+    return s.current().where((F.col("source_set") == "test") | is_test_path(F.col("source_file")))
+
+
 def impacted_tests(s: Snapshot, targets: DataFrame, *, max_depth: int = 3, transitive: bool = True) -> DataFrame:
-    """Tests that a change of the targets (id) may touch: classes that reach one, and test files that change
-    with one. Score: 100 less 15 for each step after the first, 20 at least, and 5 for each joint
+    """Tests that a change of the targets (id) may touch: test classes that reach one, and test classes and test files
+    without a current class (id null) that change with one. Score: 100 less 15 for each step after the first, 20 at least, and 5 for each joint
     change, 30 at most; 100 in all. Confidence: high at depth 1, medium if reached or changed together twice."""
     edges = s.dependencies.select(F.col("to_class_id").alias("src"), F.col("from_class_id").alias("dst"))
-    tests = s.current().where((F.col("source_set") == "test") | F.col("source_file").contains("/test/")).select("id", "class_name")
+    tests = _test_classes(s).select("id", "class_name")
     reach = distances(edges, targets.select(F.col("id").alias("node")), max_depth=max_depth if transitive else 1).where("depth > 0")
-    static = reach.select(F.col("node").alias("id"), "depth", F.greatest(F.lit(20), 100 - (F.col("depth") - 1) * 15).alias("static"))
+    static = reach.select(F.col("node").alias("id"), "depth", F.greatest(F.lit(20), 100 - (F.col("depth") - 1) * 15).alias("static")).join(tests, "id", "left_semi")
     own = s.commit_files.join(targets.select(F.col("id").alias("class_id")), "class_id", "left_semi").select("commit_id", F.col("class_id").alias("target"))
-    joint = own.join(s.commit_files, "commit_id").where("class_id <> target").groupBy(F.col("class_id").alias("id")).agg(F.count(F.lit(1)).alias("co_changes"))
-    found = static.join(joint, "id", "full").join(tests, "id")
+    joint = own.join(s.commit_files, "commit_id").where("class_id IS NULL OR class_id <> target").join(tests.withColumnsRenamed({"id": "class_id"}), "class_id", "left")
+    joint = joint.where(F.col("class_name").isNotNull() | is_test_path(F.col("file_path")))
+    # a class that is no longer current leaves its file
+    joint = joint.groupBy(F.when(F.col("class_name").isNotNull(), F.col("class_id")).alias("id"), F.when(F.col("class_name").isNull(), F.col("file_path")).alias("file")).agg(F.count(F.lit(1)).alias("co_changes"))
+    found = _merged(static, joint)
     together = F.coalesce("co_changes", F.lit(0))
     score = F.least(F.lit(100), F.coalesce("static", F.lit(0)) + F.least(F.lit(30), 5 * together))
     confidence = F.when(F.coalesce("depth", F.lit(99)) <= 1, "high").when(F.col("static").isNotNull() | (together >= 2), "medium").otherwise("low")
-    return found.select("id", "class_name", "depth", together.alias("co_changes"), score.cast("long").alias("score"), confidence.alias("confidence"))
+    return found.join(tests, "id", "left").select("id", F.coalesce("class_name", "file").alias("class_name"), "depth", together.alias("co_changes"), score.cast("long").alias("score"), confidence.alias("confidence"))
+
+
+def _merged(static: DataFrame, joint: DataFrame) -> DataFrame:
+    of_class = static.join(joint.where("id is not null").drop("file"), "id", "full").withColumn("file", F.lit(None).cast("string"))
+    of_file = joint.where("id is null").select("id", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("int").alias("static"), "co_changes", "file")
+    return of_class.unionByName(of_file)
 
 
 def design_impact(s: Snapshot, candidates: DataFrame, *, depth: int = 3) -> DataFrame:
     """Candidates (id) by what changing them would cost: .6 risk, .25 users, .15 tests; cheapest first."""
     edges = s.dependencies.select(F.col("to_class_id").alias("src"), F.col("from_class_id").alias("dst"))
     reach = distances(edges, candidates.select(F.col("id").alias("origin"), F.col("id").alias("node")), max_depth=depth).where("depth > 0")
-    tests = s.current().where((F.col("source_set") == "test") | F.col("source_file").contains("/test/")).select(F.col("id").alias("node"))
+    tests = _test_classes(s).select(F.col("id").alias("node"))
     counted = reach.join(tests, "node", "left_semi").groupBy(F.col("origin").alias("id")).agg(F.count(F.lit(1)).alias("tests"))
-    whole = class_risk(s).join(F.broadcast(candidates.select("id")), "id").join(counted, "id", "left")
+    whole = class_risk(s, candidates).join(candidates.select("id"), "id").join(counted, "id", "left")
     tests_n = F.coalesce("tests", F.lit(0))
     cost = half_up(0.6 * F.col("score") + 0.25 * F.least(F.lit(10.0), F.col("fan_in") / 2.0) + 0.15 * F.least(F.lit(10.0), tests_n / 5.0), 1)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("impact", "class_name"))

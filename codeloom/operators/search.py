@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import base_name, contains_pattern, has_modifier, outer_name, package_glob, package_name, path_glob, property_pattern, simple_name
-from codeloom.operators.graph import distances
+from codeloom.functions.text import base_name, contains_pattern, has_modifier, is_main, outer_name, package_glob, package_name, path_glob, property_pattern, simple_name
+from codeloom.operators.graph import closure_of, distances
 from codeloom.operators.metrics import edges_between_current
 from codeloom.plans.snapshot import Snapshot, is_production
 
@@ -43,8 +43,9 @@ def search_symbols(s: Snapshot, pattern: str, *, kind: str | None = None, limit:
 
 
 def search_properties(s: Snapshot, pattern: str) -> DataFrame:
-    """Fields by a pattern in which only ``*`` is special."""
-    return s.class_members.where((F.col("kind") == "FIELD") & F.concat_ws(".", F.col("class_id").cast("string"), F.col("name")).rlike(property_pattern(pattern))).select("class_id", "name")
+    """Fields of current classes by a pattern for ``class.name`` in which only ``*`` is special."""
+    fields = s.class_members.where(F.col("kind") == "FIELD").join(s.current().select(F.col("id").alias("class_id"), "class_name"), "class_id")
+    return fields.where(F.concat_ws(".", "class_name", "name").rlike(property_pattern(pattern))).select("class_id", "class_name", "name")
 
 
 def search_files(s: Snapshot, pattern: str, *, extension: str | None = None, directory: str | None = None, include_deleted: bool = False, limit: int = 50) -> DataFrame:
@@ -107,13 +108,40 @@ def project_dependencies(s: Snapshot, *, query: str | None = None) -> DataFrame:
     return found.where(F.lower("artifact").contains(query.lower())) if query else found
 
 
+# Route annotations, and the verbs that they stand for.
+JAX, SPRING = ("jakarta.ws.rs.", "javax.ws.rs."), "org.springframework.web.bind.annotation."
+JAX_VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+SPRING_VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
+REST_CLASSES = (*(f"{p}Path" for p in JAX), "org.springframework.stereotype.Controller", f"{SPRING}RestController", f"{SPRING}RequestMapping")
+REST_METHODS = (*(f"{p}{v}" for p in JAX for v in ("Path", *JAX_VERBS)), f"{SPRING}RequestMapping", *(f"{SPRING}{m}" for m in SPRING_VERBS))
+
+
+def _parts(column: str) -> Column:
+    return F.filter(F.split(column, ","), lambda x: x != "")
+
+
 def framework_endpoints(s: Snapshot, *, http_method: str | None = None, path_prefix: str | None = None) -> DataFrame:
-    """Routes: class paths with method paths, for members with a route annotation."""
-    routes = s.class_members.where(F.array_contains(F.split("annotations", " "), "org.acme.Route")).select("class_id", "name", "descriptor")
-    owners = s.current().select(F.col("id").alias("class_id"), "class_name", F.array_distinct(F.array(F.concat(F.lit("/"), F.lower(F.col("kind"))), F.concat(F.lit("/m"), F.regexp_extract("module", r"(\d+)", 1)))).alias("bases"))
-    verb = F.when(F.col("class_id") % 3 == 0, "GET").when(F.col("class_id") % 3 == 1, "POST").otherwise("ANY")
-    rows = routes.join(owners, "class_id").select("class_id", "class_name", "name", verb.alias("http_method"), F.explode("bases").alias("base"))
-    found = rows.select("class_id", "class_name", "name", "http_method", F.concat("base", F.lit("/"), "name").alias("path"))
+    """Routes of current classes: class paths with method paths, one row for each verb and path. ``endpoint_marks``
+    has the values of route annotations: of a class where the name is empty, else of a method. Spring's verbs without
+    one are ANY, a JAX-RS path without a verb is a SUBRESOURCE. Slashes between parts are one."""
+    name = F.col("annotation")
+    spring = name.startswith(SPRING)
+    marks = s.endpoint_marks.withColumn("framework", F.when(spring, "spring").when(name.startswith(JAX[0]) | name.startswith(JAX[1]), "jax-rs")).where("framework is not null")
+    short = F.substring_index("annotation", ".", -1)
+    implied = F.when(spring, F.coalesce(*[F.when(short == m, F.array(F.lit(v))) for m, v in SPRING_VERBS.items()])).otherwise(F.when(short.isin(*JAX_VERBS), F.array(short)))
+    marks = marks.withColumn("v", F.coalesce(implied, _parts("verbs"))).withColumn("p", _parts("paths"))
+    of = lambda rows: [F.array_distinct(F.flatten(F.collect_list(c))).alias(n) for c, n in rows]
+    own = marks.where("name <> ''").groupBy("class_id", "name", "descriptor", "framework").agg(*of((("v", "verbs"), ("p", "paths"))))
+    above = marks.where("name = ''").groupBy("class_id", "framework").agg(*of((("v", "class_verbs"), ("p", "bases"))))
+    rows = own.join(above, ["class_id", "framework"], "left").join(s.current().select(F.col("id").alias("class_id"), "class_name"), "class_id")
+    empty = F.array(F.lit(""))
+    some = lambda c: F.when(F.size(F.coalesce(c, F.array())) > 0, F.col(c)).otherwise(empty)
+    verbs = F.array_distinct(F.concat("verbs", F.coalesce("class_verbs", F.array().cast("array<string>"))))
+    none = F.when(F.col("framework") == "spring", "ANY").otherwise("SUBRESOURCE")
+    wide = rows.select("class_id", "class_name", "name", "descriptor", "framework", F.when(F.size(verbs) > 0, verbs).otherwise(F.array(none)).alias("verbs"), some("bases").alias("bases"), some("paths").alias("paths"))
+    wide = wide.withColumn("http_method", F.explode("verbs")).withColumn("base", F.explode("bases")).withColumn("path", F.explode("paths"))
+    whole = F.regexp_replace(F.concat_ws("/", F.lit(""), "base", "path"), "/+", "/")
+    found = wide.select("class_id", "class_name", "name", "descriptor", "framework", "http_method", F.when(F.length(whole) > 1, F.regexp_replace(whole, "/$", "")).otherwise(whole).alias("path")).distinct()
     if http_method:
         found = found.where((F.col("http_method") == http_method) | (F.col("http_method") == "ANY"))
     if path_prefix:
@@ -121,21 +149,45 @@ def framework_endpoints(s: Snapshot, *, http_method: str | None = None, path_pre
     return found
 
 
-# What makes a member an entry point, and how sure that is.
-ENTRY_RULES = (("test", "org.junit.Test", "high"), ("endpoint", "org.acme.Route", "high"))
-
-
-def entry_points(s: Snapshot) -> DataFrame:
-    """Main methods and annotated members, each once for each kind; direct evidence is high, else medium."""
-    members = s.class_members.join(s.current().select(F.col("id").alias("class_id"), "class_name"), "class_id")
-    rules = s.spark.createDataFrame(ENTRY_RULES, "entry_kind string, annotation string, confidence string")
-    annotated = members.select("class_id", "class_name", "name", "descriptor", F.explode(F.split("annotations", " ")).alias("annotation")).join(F.broadcast(rules), "annotation").drop("annotation")
-    beans = s.class_annotations.where(F.col("annotation_name") == "jakarta.inject.Singleton").join(s.current().select(F.col("id").alias("class_id"), "class_name"), "class_id")
-    started = beans.select("class_id", "class_name", F.lit("<type>").alias("name"), F.lit("").alias("descriptor"), F.lit("component").alias("entry_kind"), F.when(F.col("direct"), "high").otherwise("medium").alias("confidence"))
-    main = members.where((F.col("name") == "run") & (F.col("modifiers") == "public") & (F.col("descriptor") == "()V")).select("class_id", "class_name", "name", "descriptor", F.lit("main").alias("entry_kind"), F.lit("high").alias("confidence"))
-    whole = annotated.select(main.columns).unionByName(started).unionByName(main)
-    first = Window.partitionBy("class_id", "name", "descriptor", "entry_kind").orderBy(F.when(F.col("confidence") == "high", 0).otherwise(1))
-    return whole.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+# Annotations that make a class or a method an entry point, by kind.
+CLASS_RULES = {"rest_resource": REST_CLASSES}
+METHOD_RULES = {
+    "rest_endpoint": REST_METHODS,
+    "observer": ("jakarta.enterprise.event.Observes", "jakarta.enterprise.event.ObservesAsync", "javax.enterprise.event.Observes", "javax.enterprise.event.ObservesAsync"),
+    "scheduled": (
+        "io.quarkus.scheduler.Scheduled", "io.quarkus.scheduler.Scheduled.ConcurrentExecution", "org.springframework.scheduling.annotation.Scheduled", "jakarta.ejb.Schedule", "jakarta.ejb.Schedules",
+        "javax.ejb.Schedule", "javax.ejb.Schedules", "io.micronaut.scheduling.annotation.Scheduled",
+    ),
+    "message_consumer": (
+        "org.eclipse.microprofile.reactive.messaging.Incoming", "org.springframework.kafka.annotation.KafkaListener", "org.springframework.jms.annotation.JmsListener",
+        "org.springframework.amqp.rabbit.annotation.RabbitListener", "org.springframework.pulsar.annotation.PulsarListener", "io.quarkus.vertx.ConsumeEvent",
+    ),
+}
+PROCESSORS = ("javax.annotation.processing.Processor", "javax.annotation.processing.AbstractProcessor")
+
+
+def entry_points(s: Snapshot, *, include_generated: bool = False, include_tests: bool = False, class_rules: dict[str, tuple[str, ...]] = CLASS_RULES, method_rules: dict[str, tuple[str, ...]] = METHOD_RULES) -> DataFrame:
+    """Entry points of current classes, each once for each kind: program mains, annotated classes and methods, annotation
+    processors by their supertypes, and registered services. Direct evidence is high, an annotation of an annotation medium."""
+    classes = s.current()
+    if not include_generated:
+        classes = classes.where("origin <> 'generated'")
+    if not include_tests:
+        classes = classes.where(is_production())
+    owners = classes.select(F.col("id").alias("class_id"), "class_name")
+    rules = lambda r: F.broadcast(s.spark.createDataFrame([(k, a) for k, names in r.items() for a in names], "entry_kind string, annotation string"))
+    members = s.class_members.where("kind = 'METHOD'").join(owners, "class_id")
+    columns = ["class_id", "class_name", "name", "descriptor", "entry_kind", "confidence"]
+    marked = members.withColumn("annotation", F.explode(F.split("annotations", " "))).join(rules(method_rules), "annotation").withColumn("confidence", F.lit("high")).select(columns).distinct()
+    main = members.where(is_main()).withColumn("entry_kind", F.lit("main")).withColumn("confidence", F.lit("high")).select(columns)
+    whole = lambda df: df.withColumn("name", F.lit("<type>")).withColumn("descriptor", F.lit("")).select(columns)
+    resources = s.class_annotations.join(rules(class_rules), F.col("annotation_name") == F.col("annotation")).groupBy("class_id", "entry_kind").agg(F.max("direct").alias("direct"))
+    resources = whole(resources.join(owners, "class_id").withColumn("confidence", F.when(F.col("direct"), "high").otherwise("medium")))
+    processors = closure_of(s, s.spark.createDataFrame([(p,) for p in PROCESSORS], "name string")).withColumnRenamed("name", "class_name")
+    services = s.service_registrations.select("class_id", F.when(F.col("service_type").endswith("annotation.processing.Processor"), "annotation_processor").otherwise("service_provider").alias("entry_kind"))
+    typed = owners.join(processors, "class_name", "left_semi").withColumn("entry_kind", F.lit("annotation_processor")).select("class_id", "class_name", "entry_kind")
+    typed = whole(typed.unionByName(services.join(owners, "class_id").select("class_id", "class_name", "entry_kind")).distinct().withColumn("confidence", F.lit("high")))
+    return marked.unionByName(main).unionByName(resources).unionByName(typed)
 
 
 def architecture_violations(s: Snapshot, source: str, forbidden: list[str], *, limit: int = 100) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import has_modifier, simple_name
+from codeloom.functions.text import has_modifier, is_main, simple_name
 from codeloom.operators.graph import closure_of
 from codeloom.operators.metrics import field_usage, method_usage
 from codeloom.plans.snapshot import Snapshot, is_production
 
-# Methods that a runtime calls by name.
+# Interfaces whose fields a runtime writes, and methods that it calls by name.
+SERIALIZABLE = ("java.io.Serializable",)
 CALLBACKS = ("writeObject", "readObject", "readResolve", "writeReplace", "readObjectNoData", "finalize")
 
 
@@ -20,7 +21,7 @@ def class_evidence(s: Snapshot) -> DataFrame:
     inbound = s.dependencies.join(users, "from_class_id", "left_semi").groupBy(F.col("to_class_id").alias("id")).agg(F.countDistinct("from_class_id").alias("inbound"))
     parents = s.current().select(F.explode(F.array("superclass", "interface_name")).alias("class_name")).where("class_name is not null").groupBy("class_name").agg(F.count(F.lit(1)).alias("subtypes"))
     marks = s.class_annotations.where("direct").groupBy(F.col("class_id").alias("id")).agg(F.count(F.lit(1)).alias("annotations"))
-    main = s.class_members.where((F.col("name") == "run") & has_modifier(F.col("modifiers"), "static")).select(F.col("class_id").alias("id"), F.lit(True).alias("has_main")).distinct()
+    main = s.class_members.where(is_main()).select(F.col("class_id").alias("id"), F.lit(True).alias("has_main")).distinct()
     whole = s.current().join(inbound, "id", "left").join(parents, "class_name", "left").join(marks, "id", "left").join(main, "id", "left")
     return whole.select("id", "class_name", "kind", "origin", "source_set", "is_bean", "source_tokens", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inbound", "subtypes", "annotations")], F.coalesce("has_main", F.lit(False)).alias("has_main"))
 
@@ -49,16 +50,16 @@ def class_exclusions(s: Snapshot) -> DataFrame:
     return _reasons(class_evidence(s)).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("classes"))
 
 
-def _handle_owners(s: Snapshot) -> DataFrame:
-    """Classes that are referred to by handles; their members may be used without a trace."""
-    return s.dependencies.where(F.col("kind") == "CONSTRUCTS").groupBy(F.col("to_class_id").alias("class_id")).agg(F.count(F.lit(1)).alias("handles")).where("handles >= 2")
+def _handle_owners(s: Snapshot, kind: str) -> DataFrame:
+    """Classes that are referred to by handles of members of this kind; such members may be used without a trace."""
+    return s.dependencies.where(F.col("kind") == f"{kind}_HANDLE_REFERENCE").groupBy(F.col("to_class_id").alias("class_id")).agg(F.count(F.lit(1)).alias("handles"))
 
 
 def method_verdicts(s: Snapshot) -> DataFrame:
     """Private methods of current classes with the first reason to keep them, or unused."""
     used = method_usage(s).select(F.col("target_class_id").alias("class_id"), F.col("target_method").alias("name"), F.col("target_descriptor").alias("descriptor"), F.lit(True).alias("used"))
     methods = s.class_members.where((F.col("kind") == "METHOD") & has_modifier(F.col("modifiers"), "private")).join(s.current().select(F.col("id").alias("class_id"), "class_name"), "class_id")
-    whole = methods.join(_handle_owners(s), "class_id", "left").join(used, ["class_id", "name", "descriptor"], "left")
+    whole = methods.join(_handle_owners(s, "METHOD"), "class_id", "left").join(used, ["class_id", "name", "descriptor"], "left")
     verdict = (
         F.when(F.col("handles").isNotNull(), "handle_owner").when(F.col("annotations") != "", "annotated").when(has_modifier(F.col("modifiers"), "native"), "native")
         .when(F.col("name").isin(*CALLBACKS), "callback").when(F.col("descriptor").isNull(), "unresolved").when(F.col("used"), "used").otherwise("unused")
@@ -69,9 +70,9 @@ def method_verdicts(s: Snapshot) -> DataFrame:
 def field_verdicts(s: Snapshot, *, include_write_only: bool = False) -> DataFrame:
     """Private fields of current classes with the first reason to keep them, write_only, or unused."""
     usage = field_usage(s).select(F.col("owner_class_id").alias("class_id"), F.col("field_name").alias("name"), "reads", "writes")
-    serial = closure_of(s, s.classes.where("id = 5").select(F.col("class_name").alias("name"))).select(F.col("name").alias("class_name"), F.lit(True).alias("serial"))
+    serial = closure_of(s, s.spark.createDataFrame([(n,) for n in SERIALIZABLE], "name string")).select(F.col("name").alias("class_name"), F.lit(True).alias("serial"))
     fields = s.class_members.where((F.col("kind") == "FIELD") & has_modifier(F.col("modifiers"), "private")).join(s.current().select(F.col("id").alias("class_id"), "class_name"), "class_id")
-    whole = fields.join(_handle_owners(s), "class_id", "left").join(serial, "class_name", "left").join(usage, ["class_id", "name"], "left")
+    whole = fields.join(_handle_owners(s, "FIELD"), "class_id", "left").join(serial, "class_name", "left").join(usage, ["class_id", "name"], "left")
     constant = has_modifier(F.col("modifiers"), "static") & has_modifier(F.col("modifiers"), "final")
     verdict = (
         F.when(F.col("handles").isNotNull(), "handle_owner").when(F.col("annotations") != "", "annotated").when(constant, "constant").when(F.col("serial"), "serializable")

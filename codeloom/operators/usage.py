@@ -10,12 +10,17 @@ from codeloom.operators.metrics import fan_metrics
 from codeloom.plans.snapshot import Snapshot
 
 
+# Kinds of use by kind of dependency.
+USAGE_KINDS = {
+    "CONSTRUCTS": "constructor_call", "CALLS": "method_call", "CALLBACK_REFERENCE": "callback_reference", "METHOD_HANDLE_REFERENCE": "method_handle_reference",
+    "FIELD_HANDLE_REFERENCE": "field_handle_reference", "BOOTSTRAP_REFERENCE": "bootstrap_reference", "FIELD_ACCESS": "field_access", "CDI_INJECT": "injection", "SPRING_INJECT": "injection",
+    "SERVICE_PROVIDES": "service_loader", "SERVICE_CONSUMES": "service_loader",
+}
+
+
 def usage_kind(kind: Column) -> Column:
-    """A dependency kind as a kind of use."""
-    return (
-        F.when(kind == "CONSTRUCTS", "INSTANTIATION").when(kind == "CALLS", "CALL").when(kind == "FIELD_ACCESS", "FIELD_ACCESS").when(kind.isin("CDI_INJECT", "SPRING_INJECT"), "INJECTION")
-        .when(kind.endswith("_REFERENCE"), "REFERENCE").when(kind.startswith("SERVICE_"), "SERVICE").otherwise("TYPE_REFERENCE")
-    )
+    """A dependency kind as a kind of use; others are type references."""
+    return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in USAGE_KINDS.items()], F.lit("type_reference"))
 
 
 def class_usages(s: Snapshot, targets: DataFrame) -> DataFrame:
@@ -24,12 +29,14 @@ def class_usages(s: Snapshot, targets: DataFrame) -> DataFrame:
     users = s.current().select(F.col("id").alias("user_id"), "class_name")
     chosen = targets.select(F.col("id").alias("target_id"))
     lines = s.dependency_lines.select("from_class_id", "to_class_id", "kind", "line")
-    deps = s.dependencies.join(F.broadcast(chosen), F.col("to_class_id") == F.col("target_id")).select("target_id", F.col("from_class_id").alias("user_id"), usage_kind(F.col("kind")).alias("usage"), "kind", "occurrence_count")
-    seen = lines.join(F.broadcast(chosen), F.col("to_class_id") == F.col("target_id")).select("target_id", F.col("from_class_id").alias("user_id"), usage_kind(F.col("kind")).alias("usage"), "kind", "line")
+    deps = s.dependencies.join(chosen, F.col("to_class_id") == F.col("target_id")).select("target_id", F.col("from_class_id").alias("user_id"), usage_kind(F.col("kind")).alias("usage"), "kind", "occurrence_count")
+    seen = lines.join(chosen, F.col("to_class_id") == F.col("target_id")).select("target_id", F.col("from_class_id").alias("user_id"), usage_kind(F.col("kind")).alias("usage"), "kind", "line")
     ids = s.classes.select(F.col("id").alias("user_id"), F.col("class_name").alias("child"))
-    names = s.classes.select(F.col("id").alias("target_id"), F.col("class_name").alias("parent")).join(F.broadcast(chosen), "target_id")
-    up = hierarchy_edges(s).join(F.broadcast(names), "parent").join(ids, "child").select("target_id", "user_id", F.col("relation").alias("usage"), F.col("relation").alias("kind"), F.lit(1).cast("long").alias("occurrence_count"))
-    rows = deps.unionByName(up).groupBy("target_id", "user_id", "usage", "kind").agg(F.sum("occurrence_count").alias("occurrences"))
+    names = s.classes.select(F.col("id").alias("target_id"), F.col("class_name").alias("parent")).join(chosen, "target_id")
+    up = hierarchy_edges(s).join(names, "parent").join(ids, "child").select("target_id", "user_id", F.lit("inheritance").alias("usage"), F.col("relation").alias("kind"), F.lit(1).cast("long").alias("occurrence_count"))
+    marked = s.class_annotations.groupBy("class_id", "annotation_name").agg(F.max("direct").alias("direct")).join(names, F.col("annotation_name") == F.col("parent"))
+    marks_of = marked.select("target_id", F.col("class_id").alias("user_id"), F.lit("annotation").alias("usage"), F.when(F.col("direct"), "ANNOTATED_WITH").otherwise("META_ANNOTATED_WITH").alias("kind"), F.lit(1).cast("long").alias("occurrence_count"))
+    rows = deps.unionByName(up).unionByName(marks_of).groupBy("target_id", "user_id", "usage", "kind").agg(F.sum("occurrence_count").alias("occurrences"))
     marks = seen.groupBy("target_id", "user_id", "usage", "kind").agg(F.array_join(F.array_sort(F.collect_set("line")), ",").alias("lines"))
     return rows.join(marks, ["target_id", "user_id", "usage", "kind"], "left").join(users, "user_id").select("target_id", "user_id", "class_name", "usage", "kind", "occurrences", F.coalesce("lines", F.lit("")).alias("lines"))
 
@@ -59,10 +66,10 @@ def class_cards(s: Snapshot, targets: DataFrame) -> DataFrame:
 
 # Terms that tell what a place does with a state.
 STATE_TERMS = {
-    "persistence": ("repository", "persist", "save", "store", "dao", "get1"),
-    "dispatch": ("dispatch", "publish", "emit", "send", "get2"),
-    "recovery": ("recover", "retry", "restore", "rollback", "get3"),
-    "serialization": ("serial", "marshal", "json", "get4"),
+    "persistence": ("persist", "save", "store", "repository", "persistence", "entitymanager", "session", "dao"),
+    "dispatch": ("dispatch", "submit", "publish", "send", "enqueue", "worker", "invoke", "execute"),
+    "recovery": ("recover", "restore", "resume", "replay", "retry", "timer", "schedule", "timeout"),
+    "serialization": ("serialize", "deserialize", "mapper", "codec", "json", "marshal", "unmarshal"),
 }
 
 

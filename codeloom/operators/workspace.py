@@ -18,8 +18,9 @@ def repositories(s: Snapshot) -> DataFrame:
 
 
 def providers(s: Snapshot) -> DataFrame:
-    """(coordinate, version, repository): what each repository provides; a module's coordinate is its name."""
-    return s.current().groupBy(F.col("module").alias("coordinate"), "repository").agg(F.max(F.substring("source_file", 1, 4)).alias("version"))
+    """(coordinate, version, repository): what each repository provides, by its modules that have current classes."""
+    live = s.current().select(F.col("module").alias("coordinate"), "repository").distinct()
+    return s.module_artifacts.join(live, ["coordinate", "repository"], "left_semi").select("coordinate", "repository", "version")
 
 
 def cross_dependencies(s: Snapshot) -> DataFrame:
@@ -66,7 +67,7 @@ def resolve_across(s: Snapshot, targets: list[str]) -> DataFrame:
     wanted = s.spark.createDataFrame([(t,) for t in targets], "target string")
     names = s.current().select("class_name", "repository")
     keyed = names.select(F.col("class_name").alias("target"), "class_name", "repository").unionByName(names.select(simple_name(F.col("class_name")).alias("target"), "class_name", "repository")).distinct()
-    by = F.broadcast(wanted).join(keyed, "target").groupBy("target").agg(F.count(F.lit(1)).alias("matches"), F.min("repository").alias("repository"))
+    by = wanted.join(keyed, "target").groupBy("target").agg(F.count(F.lit(1)).alias("matches"), F.min("repository").alias("repository"))
     n = F.coalesce("matches", F.lit(0))
     return wanted.join(by, "target", "left").select("target", n.alias("matches"), F.when(n == 0, "not_found").when(n == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(n == 1, F.col("repository")).alias("repository"))
 

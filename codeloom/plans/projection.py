@@ -21,7 +21,8 @@ def _name(i: str) -> str:
 
 
 _PARENT = "CAST(floor(p_partkey / 4) AS BIGINT)"
-_METHOD = "CASE WHEN {line} % 2 = 0 THEN 'run' ELSE concat('get', CAST({id} % 5 AS STRING)) END"
+_GETTER = "concat('get', CAST({id} % 5 AS STRING), CASE {id} % 5 WHEN 1 THEN 'Store' WHEN 2 THEN 'Worker' WHEN 3 THEN 'Timer' WHEN 4 THEN 'Codec' ELSE '' END)"
+_METHOD = f"CASE WHEN {{line}} % 2 = 0 THEN 'run' ELSE {_GETTER} END"
 _DESC = "CASE WHEN {line} % 2 = 0 THEN '()V' ELSE '(I)Ljava/lang/String;' END"
 _TARGET = "(CASE WHEN l_suppkey % 4 = 0 THEN (l_suppkey * 13 + l_partkey) % (l_partkey + 1) ELSE l_partkey - l_partkey % 10 + (l_suppkey * 11 + l_linenumber * 7 + l_partkey) % 10 END)"
 
@@ -29,8 +30,8 @@ _TARGET = "(CASE WHEN l_suppkey % 4 = 0 THEN (l_suppkey * 13 + l_partkey) % (l_p
 RELATIONS: dict[str, str] = {
     "classes": f"""SELECT p_partkey AS id, {_name('p_partkey')} AS class_name,
         CASE WHEN p_partkey < 7 THEN 'INTERFACE' ELSE 'CLASS' END AS kind,
-        CASE WHEN {_PARENT} >= 7 THEN {_name(_PARENT)} END AS superclass,
-        CASE WHEN p_partkey = 0 THEN NULL WHEN {_PARENT} < 7 THEN {_name(_PARENT)} WHEN p_partkey % 6 = 0 THEN {_name('(p_partkey % 7)')} END AS interface_name,
+        CASE WHEN p_partkey % 59 = 58 THEN 'javax.annotation.processing.AbstractProcessor' WHEN {_PARENT} >= 7 THEN {_name(_PARENT)} END AS superclass,
+        CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 12 = 6 AND p_partkey > 7 THEN 'java.io.Serializable' WHEN {_PARENT} < 7 THEN {_name(_PARENT)} WHEN p_partkey % 6 = 0 THEN {_name('(p_partkey % 7)')} END AS interface_name,
         concat('src/', CASE WHEN p_partkey % 5 = 0 THEN 'test' ELSE 'main' END, '/java/C', CAST(p_partkey AS STRING), '.java') AS source_file,
         CAST(p_partkey % 40 + 1 AS BIGINT) AS source_line, p_partkey % 3 = 0 AS is_bean, CAST(p_size * 10 AS BIGINT) AS source_tokens,
         CASE WHEN p_partkey % 97 = 96 THEN 'orphan_output' WHEN p_partkey % 11 = 10 THEN 'generated' ELSE 'source' END AS origin,
@@ -40,7 +41,7 @@ RELATIONS: dict[str, str] = {
     "dependency_rows": """SELECT l_partkey AS from_class_id, l_partkey - l_partkey % 10 + (l_suppkey * 7 + l_linenumber * 3) % 10 AS to_class_id,
         'CALLS' AS kind, CAST(l_quantity AS BIGINT) AS quantity, l_linenumber AS line FROM lineitem WHERE l_quantity >= 46 AND l_returnflag = 'R'
         UNION ALL SELECT l_partkey, (l_suppkey * 13 + l_linenumber * 5 + l_partkey) % nullif(l_partkey - l_partkey % 10, 0),
-        CASE WHEN l_linenumber % 2 = 0 THEN 'TYPE_USE' ELSE 'CONSTRUCTS' END, CAST(l_quantity AS BIGINT), l_linenumber
+        CASE WHEN l_linenumber % 2 = 1 THEN 'CONSTRUCTS' WHEN l_suppkey % 5 = 0 THEN 'METHOD_HANDLE_REFERENCE' WHEN l_suppkey % 5 = 1 THEN 'FIELD_HANDLE_REFERENCE' WHEN l_suppkey % 5 = 2 THEN 'CDI_INJECT' ELSE 'TYPE_USE' END, CAST(l_quantity AS BIGINT), l_linenumber
         FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'A' AND l_partkey >= 10""",
     "dependencies": """SELECT from_class_id, to_class_id, kind, CAST(sum(quantity) AS BIGINT) AS occurrence_count
         FROM dependency_rows WHERE from_class_id <> to_class_id GROUP BY from_class_id, to_class_id, kind""",
@@ -49,19 +50,31 @@ RELATIONS: dict[str, str] = {
         UNION ALL SELECT p_partkey, 'Brand#3', 'test', 'out/shared' FROM part WHERE p_partkey % 9 = 0""",
     "class_annotations": """SELECT p_partkey AS class_id, CASE WHEN p_partkey % 8 = 0 THEN 'jakarta.inject.Singleton' ELSE 'org.acme.Service' END AS annotation_name,
         p_partkey % 16 < 8 AS direct, CASE WHEN p_partkey % 16 >= 8 THEN concat('org.acme.Stereo', CAST(p_partkey % 3 AS STRING)) END AS via_annotation
-        FROM part WHERE p_partkey % 8 IN (0, 3) UNION ALL SELECT p_partkey, 'org.acme.Service', false, 'org.acme.Base' FROM part WHERE p_partkey % 24 = 3""",
-    "class_members": """SELECT p_partkey AS class_id, 'METHOD' AS kind, 'run' AS name, '()V' AS descriptor, '' AS parameter_types,
-        CASE p_partkey % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'private' WHEN 2 THEN 'protected' ELSE 'private static' END AS modifiers,
-        CASE WHEN p_partkey % 9 = 0 THEN 'org.junit.Test' ELSE '' END AS annotations FROM part
-        UNION ALL SELECT p_partkey, 'METHOD', concat('get', CAST(p_partkey % 5 AS STRING)), '(I)Ljava/lang/String;', 'int',
+        FROM part WHERE p_partkey % 8 IN (0, 3) UNION ALL SELECT p_partkey, 'org.acme.Service', false, 'org.acme.Base' FROM part WHERE p_partkey % 24 = 3
+        UNION ALL SELECT p_partkey, 'org.acme.p0.C3', p_partkey % 2 = 0, CASE WHEN p_partkey % 2 = 1 THEN 'org.acme.Base' END FROM part WHERE p_partkey % 33 = 4
+        UNION ALL SELECT p_partkey, 'jakarta.ws.rs.Path', true, NULL FROM part WHERE p_partkey % 14 = 0
+        UNION ALL SELECT p_partkey, 'org.springframework.web.bind.annotation.RequestMapping', p_partkey % 28 = 3, CASE WHEN p_partkey % 28 <> 3 THEN 'org.acme.Api' END FROM part WHERE p_partkey % 14 = 3""",
+    "endpoint_marks": f"""SELECT p_partkey AS class_id, '' AS name, '' AS descriptor, 'jakarta.ws.rs.Path' AS annotation, concat('/m', substr(p_brand, 7)) AS paths, '' AS verbs FROM part WHERE p_partkey % 14 = 0
+        UNION ALL SELECT p_partkey, '', '', 'org.springframework.web.bind.annotation.RequestMapping', concat('/m', CAST(p_partkey % 5 AS STRING), ',b/'), '' FROM part WHERE p_partkey % 14 = 3
+        UNION ALL SELECT p_partkey, {_GETTER.format(id='p_partkey')}, '(I)Ljava/lang/String;', 'jakarta.ws.rs.GET', '', '' FROM part WHERE p_partkey % 7 = 0
+        UNION ALL SELECT p_partkey, {_GETTER.format(id='p_partkey')}, '(I)Ljava/lang/String;', 'jakarta.ws.rs.Path', concat('item/', CAST(p_partkey % 3 AS STRING)), '' FROM part WHERE p_partkey % 21 = 0
+        UNION ALL SELECT p_partkey, {_GETTER.format(id='p_partkey')}, '(I)Ljava/lang/String;', 'org.springframework.web.bind.annotation.PostMapping', '/save,put', '' FROM part WHERE p_partkey % 7 = 3
+        UNION ALL SELECT p_partkey, 'run', '()V', 'org.springframework.web.bind.annotation.RequestMapping', '/run', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'GET,PUT' END FROM part WHERE p_partkey % 28 = 3
+        UNION ALL SELECT p_partkey, 'run', '()V', 'jakarta.ws.rs.Path', 'sub', '' FROM part WHERE p_partkey % 28 = 14""",
+    "module_artifacts": "SELECT DISTINCT p_brand AS coordinate, p_type AS repository, CASE WHEN length(p_type) > 5 THEN '1.0' ELSE '1.1' END AS version FROM part",
+    "service_registrations": "SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'javax.annotation.processing.Processor' ELSE 'org.acme.spi.Service' END AS service_type, s_suppkey * 7 AS class_id FROM supplier WHERE s_suppkey % 3 = 1",    "class_members": f"""SELECT p_partkey AS class_id, 'METHOD' AS kind, 'run' AS name, '()V' AS descriptor, '' AS parameter_types,
+        CASE WHEN p_partkey % 12 = 8 THEN 'public abstract' WHEN p_partkey % 4 = 0 THEN 'public' WHEN p_partkey % 4 = 1 THEN 'private' WHEN p_partkey % 4 = 2 THEN 'protected' ELSE 'private static' END AS modifiers,
+        CASE WHEN p_partkey % 9 = 0 THEN 'io.quarkus.scheduler.Scheduled' WHEN p_partkey % 9 = 4 THEN 'org.acme.Marked org.springframework.kafka.annotation.KafkaListener' WHEN p_partkey % 9 = 5 THEN 'jakarta.enterprise.event.Observes' ELSE '' END AS annotations FROM part
+        UNION ALL SELECT p_partkey, 'METHOD', 'main', '([Ljava/lang/String;)V', 'java.lang.String[]', CASE WHEN p_partkey % 8 = 3 THEN 'public static' ELSE 'static' END, '' FROM part WHERE p_partkey % 4 = 3
+        UNION ALL SELECT p_partkey, 'METHOD', {_GETTER.format(id='p_partkey')}, '(I)Ljava/lang/String;', 'int',
         CASE p_partkey % 6 WHEN 0 THEN 'public' WHEN 1 THEN 'private' WHEN 2 THEN 'public final' WHEN 3 THEN 'private native' WHEN 4 THEN '' ELSE 'public static' END,
-        CASE WHEN p_partkey % 7 = 0 THEN 'org.acme.Route' ELSE '' END FROM part
+        CASE WHEN p_partkey % 7 = 0 THEN 'jakarta.ws.rs.GET' WHEN p_partkey % 7 = 3 THEN 'org.springframework.web.bind.annotation.PostMapping' ELSE '' END FROM part
         UNION ALL SELECT p_partkey, 'CONSTRUCTOR', '<init>', '()V', '', 'public', '' FROM part WHERE p_partkey >= 7
         UNION ALL SELECT p_partkey, 'FIELD', 'state', 'I', '', CASE p_partkey % 5 WHEN 0 THEN 'private' WHEN 1 THEN 'private static final' WHEN 2 THEN 'public' WHEN 3 THEN 'private' ELSE 'protected' END,
         CASE WHEN p_partkey % 17 = 0 THEN 'jakarta.inject.Inject' ELSE '' END FROM part""",
     "method_calls": f"""SELECT l_partkey AS caller_class_id, {_METHOD.format(line='l_linenumber', id='l_partkey')} AS caller_method, {_DESC.format(line='l_linenumber')} AS caller_descriptor,
         {_TARGET} AS target_class_id, {_METHOD.format(line='l_suppkey', id=_TARGET)} AS target_method, {_DESC.format(line='l_suppkey')} AS target_descriptor,
-        CASE l_linenumber % 4 WHEN 0 THEN 'virtual' WHEN 1 THEN 'static' WHEN 2 THEN 'interface' ELSE 'special' END AS invocation_kind, CAST(count(*) AS BIGINT) AS occurrence_count
+        CASE WHEN l_linenumber = 7 THEN 'dynamic' WHEN l_linenumber % 4 = 0 THEN 'virtual' WHEN l_linenumber % 4 = 1 THEN 'static' WHEN l_linenumber % 4 = 2 THEN 'interface' ELSE 'special' END AS invocation_kind, CAST(count(*) AS BIGINT) AS occurrence_count
         FROM lineitem WHERE l_returnflag = 'N' AND l_quantity >= 42 GROUP BY 1, 2, 3, 4, 5, 6, 7""",
     "field_accesses": f"""SELECT l_partkey AS accessor_class_id, {_METHOD.format(line='l_linenumber', id='l_partkey')} AS accessor_method, {_TARGET} AS owner_class_id, 'state' AS field_name,
         CASE l_linenumber % 4 WHEN 0 THEN 'write_instance' WHEN 1 THEN 'read_instance' WHEN 2 THEN 'write_static' ELSE 'read_static' END AS access_kind, CAST(count(*) AS BIGINT) AS occurrence_count
@@ -72,11 +85,11 @@ RELATIONS: dict[str, str] = {
         CASE WHEN l_linenumber = 1 THEN 'ADD' ELSE 'MODIFY' END AS change_type FROM lineitem""",
     "beans": """SELECT s_suppkey AS id, s_suppkey * 7 AS class_id, CASE WHEN s_suppkey % 5 = 0 THEN 'PRODUCER_METHOD' ELSE 'MANAGED' END AS kind,
         CASE s_suppkey % 3 WHEN 0 THEN 'ApplicationScoped' WHEN 1 THEN 'RequestScoped' ELSE 'Dependent' END AS scope, concat('T', CAST(s_nationkey AS STRING)) AS bean_type,
-        CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE '@Default' END AS qualifier, s_suppkey % 4 = 0 AS is_default, s_suppkey % 7 = 0 AS is_alternative,
+        CASE WHEN s_suppkey % 9 = 0 THEN 'BUILDING,MACHINERY' WHEN s_suppkey % 3 = 0 THEN 'BUILDING' WHEN s_suppkey % 3 = 1 THEN 'MACHINERY' ELSE '@Default' END AS qualifier, s_suppkey % 4 = 0 AS is_default, s_suppkey % 8 = 2 AS is_primary, s_suppkey % 7 = 0 AS is_alternative,
         CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 5 AS BIGINT) END AS priority, CASE WHEN s_suppkey % 6 = 0 THEN 'prod' WHEN s_suppkey % 6 = 3 THEN 'dev' END AS profile,
         CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 5 END AS specializes_id, concat('Brand#', CAST(s_suppkey % 25 + 1 AS STRING)) AS module FROM supplier""",
     "injection_points": """SELECT c_custkey AS id, c_custkey % 50 AS bean_id, concat('T', CAST(c_nationkey AS STRING)) AS target_type,
-        CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE '@Default' END AS qualifier, concat('field', CAST(c_custkey % 4 AS STRING)) AS field_name,
+        CASE WHEN c_custkey % 11 = 0 THEN '@Any' WHEN c_custkey % 11 = 1 THEN 'MACHINERY,BUILDING' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE '@Default' END AS qualifier, concat('field', CAST(c_custkey % 4 AS STRING)) AS field_name,
         concat('Brand#', CAST(c_custkey % 25 + 1 AS STRING)) AS module FROM customer""",
     "configuration_definitions": """SELECT lower(concat(p_type, '.', replace(p_brand, '#', ''), '.', replace(p_name, ' ', '.'))) AS key, 'properties' AS kind, concat('conf/', lower(p_type), '.properties') AS file, CAST(p_partkey AS BIGINT) AS line, p_brand AS module FROM part""",
     "configuration_usages": """SELECT lower(concat(p_type, '.', replace(p_brand, '#', ''), '.', replace(p_name, ' ', '.'))) AS key, 'value' AS kind, p_partkey AS class_id FROM part WHERE p_partkey % 4 = 0
@@ -86,9 +99,9 @@ RELATIONS: dict[str, str] = {
         UNION ALL SELECT concat('dyn', CAST(p_partkey AS STRING)), 'dynamic', p_partkey FROM part WHERE p_partkey % 67 = 0""",
     "resources": "SELECT page_id AS id, concat('web/src/main/resources/i18n/m', CAST(page_id % 20 AS STRING), CASE WHEN page_id % 3 = 0 THEN '.properties' WHEN page_id % 3 = 1 THEN concat('_l', CAST(page_id % 5 AS STRING), '.properties') ELSE '.xml' END) AS path FROM pages",
     "resource_usages": "SELECT p_partkey AS class_id, CASE WHEN p_partkey % 2 = 0 THEN 'bundle' ELSE 'file' END AS kind, concat('i18n/m', CAST(p_partkey % 23 AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN '.properties' ELSE '.xml' END) AS resource_path FROM part WHERE p_partkey % 5 = 0",
-    "module_edges": """SELECT DISTINCT p_brand AS module, concat('Brand#', CAST(CAST(substr(p_brand, 7) AS BIGINT) * 2 AS STRING)) AS visible, 'compile' AS relation FROM part WHERE CAST(substr(p_brand, 7) AS BIGINT) * 2 <= 25
-        UNION ALL SELECT DISTINCT p_brand, concat('Brand#', CAST(CAST(substr(p_brand, 7) AS BIGINT) + 7 AS STRING)), 'test' FROM part WHERE CAST(substr(p_brand, 7) AS BIGINT) % 3 = 0 AND CAST(substr(p_brand, 7) AS BIGINT) + 7 <= 25
-        UNION ALL SELECT DISTINCT p_brand, 'Brand#2', 'compile' FROM part WHERE p_brand = 'Brand#16'""",
+    "module_edges": """SELECT DISTINCT p_brand AS module, concat('Brand#', CAST(CAST(substr(p_brand, 7) AS BIGINT) * 2 AS STRING)) AS visible, 'compile' AS relation, CASE WHEN length(p_brand) = 7 THEN '1.0' ELSE '2.0' END AS version FROM part WHERE CAST(substr(p_brand, 7) AS BIGINT) * 2 <= 25
+        UNION ALL SELECT DISTINCT p_brand, concat('Brand#', CAST(CAST(substr(p_brand, 7) AS BIGINT) + 7 AS STRING)), 'test', '1.1' FROM part WHERE CAST(substr(p_brand, 7) AS BIGINT) % 3 = 0 AND CAST(substr(p_brand, 7) AS BIGINT) + 7 <= 25
+        UNION ALL SELECT DISTINCT p_brand, 'Brand#2', 'compile', '1.0' FROM part WHERE p_brand = 'Brand#16'""",
     "external_deps": """SELECT p_partkey AS class_id, CASE WHEN p_partkey % 19 = 0 THEN 'Plain' WHEN p_partkey % 7 = 0 THEN concat('lib.', lower(p_type)) ELSE concat('org.', lower(p_type), '.', replace(p_name, ' ', '.')) END AS external_type,
         CASE p_partkey % 3 WHEN 0 THEN 'ANNOTATION' WHEN 1 THEN 'FIELD' ELSE 'METHOD' END AS usage_kind FROM part WHERE p_partkey % 2 = 0""",
     "files": "SELECT page_id AS id, substr(split_part(url, '?', 1), 8) AS path, CASE WHEN page_id % 17 = 0 THEN 'deleted' ELSE 'current' END AS lifecycle FROM pages",
