@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from codeloom.runtime import drop_stored, ship, stored
 
-__all__ = ["CACHE_WORDS", "MIX", "arrow_extend", "arrow_map", "as_bytes", "batch_of", "cached_hashes", "drop_stored", "held_out", "salt", "slices", "splitmix", "stored", "trimmed", "utf8"]
+__all__ = ["CACHE_WORDS", "MIX", "arrow_extend", "arrow_map", "as_bytes", "batch_of", "cached_hashes", "drop_stored", "held_out", "salt", "slices", "splitmix", "stored", "trim", "trimmed", "utf8"]
 
 #: A worker's memo of word hashes is emptied at this size, so its memory is bounded.
 CACHE_WORDS = 200_000
@@ -30,6 +30,14 @@ def as_bytes(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``; at its end the worker, which lives on, gives freed memory back to the system."""
 
@@ -37,10 +45,7 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return whole
 

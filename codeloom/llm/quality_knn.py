@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_extend, arrow_map, as_bytes, cached_hashes, slices, utf8
+from codeloom.llm.common import arrow_extend, arrow_map, as_bytes, cached_hashes, slices, trim, utf8
 
 _SHAPE = bytes(
     0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else 0x20 if b == 0x20 or 9 <= b <= 13 else b for b in range(256)
@@ -129,9 +129,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, dimensions: i
     df = (found > 0).sum(axis=0)
     idf = np.where(df > 0, 1 + np.log(len(found) / np.maximum(df, 1)), 0).astype(np.float32)
     idf[:WORDS] *= np.float32(word_weight)
-    x = _units(np.sqrt(found) * idf)
-    model = QualityModel(idf[:, None] * _leading(x, dimensions), np.zeros((0, 1)), y, neighbours, power, families)
-    model.vectors = model.embed(found)
+    # in place: this is the largest thing that the driver holds, ``4 * sample * COLUMNS`` numbers at most
+    np.sqrt(found, out=found)
+    found *= idf
+    norms = np.linalg.norm(found, axis=1, keepdims=True)
+    np.divide(found, norms, out=found, where=norms > 0)
+    leading = _leading(found, dimensions)
+    # a row's length makes no difference to its unit vector
+    model = QualityModel(idf[:, None] * leading, _units(found @ leading), y, neighbours, power, families)
+    del found, rows
+    trim()
     return model
 
 

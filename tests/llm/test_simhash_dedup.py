@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -91,20 +92,64 @@ def test_near_copies_with_unlike_texts_between(docs_of, monkeypatch, between, ro
     assert got == {i: {900: 1, 901: 0}.get(i, i) for i, _ in texts}
 
 
-def test_runs_over_batches(docs_of, spark):
+def test_runs_of_values():
     r = random.Random(2)
     sizes = [r.choice([2, 3, 40, 63, 64, 65, 66, 200]) for _ in range(80)]
-    rows = [(v, k % 3, 1000 * v + k, k % 5) for v, n in enumerate(sizes) for k in range(n)]
-    df = docs_of(rows, "variant long, flipped int, i long, c long").coalesce(1).sortWithinPartitions("variant")
-    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
-        got = sd._within_values(df).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-    pairs = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and sizes[a[0]] <= 64 and a[2] < b[2] and a[3] != b[3] and (a[1] != b[1] or not a[1])}
-    assert {(x.a, x.b) for x in got if x.variant is None} == pairs
-    assert sorted((x.variant, x.flipped, x.a, x.b) for x in got if x.variant is not None) == sorted(x for x in rows if sizes[x[0]] > 64)
+    rows = sorted((v, k % 3, 1000 * v + k, k % 5) for v, n in enumerate(sizes) for k in range(n))
+    v, f, i, c = (np.array(x) for x in zip(*rows))
+    pairs, meets, crowds = sd._within_values(v, f, i, c.astype(np.uint32), np.zeros(len(v), bool))
+    want = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and sizes[a[0]] <= 64 and a[2] < b[2] and a[3] != b[3] and (a[1] < b[1] or a[1] == b[1] == 0)}
+    assert set(zip(*(x.tolist() for x in pairs))) == want and not len(meets[0])
+    assert sorted(zip(*(x.tolist() for x in (crowds[2], crowds[3], crowds[0], crowds[1])))) == [x for x in rows if sizes[x[0]] > 64]
+
+
+def test_runs_with_large_groups():
+    r = random.Random(4)
+    rows = sorted((v, k % 4, 100 * v + k, r.randrange(6)) for v in range(40) for k in range(r.randrange(2, 30)))
+    v, f, i, c = (np.array(x) for x in zip(*rows))
+    pairs, meets, crowds = sd._within_values(v, f, i, c.astype(np.uint32), c < 2)
+    group = dict(zip(i.tolist(), c.tolist()))
+    want = {(a[2], b[3]) for a in rows for b in rows if a[0] == b[0] and a[3] != b[3] and b[3] < 2 and ((a[1] - b[1]) * (a[3] - b[3]) > 0 or a[1] == b[1] == 0)}
+    assert {(x, group[y]) for x, y in zip(*(m.tolist() for m in meets))} == want
+    want = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and min(a[3], b[3]) > 1 and a[2] < b[2] and a[3] != b[3] and (a[1] < b[1] or a[1] == b[1] == 0)}
+    assert set(zip(*(x.tolist() for x in pairs))) == want and not len(crowds[0])
+
+
+def test_what_meets_a_large_group_is_compared_with_all_of_it(docs_of, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: [f"w{r.randrange(100_000)}" for _ in range(n)]
+    base = text(200)
+    copies = [" ".join(base[: 200 - k]) for k in range(40)]  # neighbours are alike, the ends are not
+    tail = " ".join([*base[: 200 - 39], *text(30)])
+    rows = [*enumerate(copies), (100, tail), (101, " ".join(text(120)))]
+    monkeypatch.setattr(sd, "_ROWS", 16)
+    monkeypatch.setattr(sd, "_LARGE", 4)
+    monkeypatch.setattr(sd, "fingerprints", lambda d, *, words64, **_: d.selectExpr("doc_id AS i", *[f"0L AS f{k}" for k in range(words64)]))
+    got = {x.doc_id: x.component_id for x in sd.near_duplicates(docs_of(rows), tables=2, first=1).collect()}
+    assert got == {i: 101 if i == 101 else 0 for i, _ in rows}
+
+
+def test_near_duplicates_of_repeated_ids(docs_of):
+    r = random.Random(6)
+    one, two = (" ".join(f"w{r.randrange(10_000)}" for _ in range(80)) for _ in range(2))
+    rows = [(7, one), (7, two), (7, one), (8, two + " end"), (3, "alone")]
+    got = sd.near_duplicates(docs_of(rows)).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(3, 3), (7, 7), (7, 7), (8, 7)] and len({x.node for x in got}) == 4
+
+
+@pytest.mark.parametrize("share", [0.805, 0.83, 0.87])
+def test_recall_by_band(docs_of, share):
+    """Pairs just above the threshold: at least nine of ten are found, by fingerprints that meet by chance."""
+    r = random.Random(int(share * 1000))
+    rows, n = [], 400
+    for k in range(150):
+        words = [f"w{r.randrange(1_000_000)}" for _ in range(n)]
+        own = round((n - 4) * (1 - share) / (1 + share)) + 0  # shingles that each side has for itself
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[: n - own], *(f"x{r.randrange(1_000_000)}" for _ in range(own))]))]
+    true = [k for k in range(150) if sd.jaccard(*(np.unique(sd.shingle_hashes(rows[2 * k + j][1].encode(), 5).astype(np.uint32)).tobytes() for j in (0, 1))) >= 0.8]
+    got = {x.doc_id: x.component_id for x in sd.near_duplicates(docs_of(rows)).collect()}
+    assert len(true) > 100 and sum(got[2 * k + 1] == 2 * k for k in true) >= 0.9 * len(true)
+    assert all(c in (i, i - i % 2) for i, c in got.items())
 
 
 def test_near_duplicates_with_lines_repeated_more_or_less(docs_of):
