@@ -26,11 +26,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity
-    of 0.8 or more). Documents without an id have no group and stay."""
-    groups = simhash_dedup.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): that with
+    the smallest id, of several texts of that id the one with the smallest hash. Of rows that repeat its id and
+    text, the least by the other columns stays. Documents without an id have no group and stay."""
+    groups = stored(simhash_dedup.near_duplicates(docs))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("node").alias("kept"))
+    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    found = docs.withColumn("node", node).join(first, (F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("kept")), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id", node.alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "node")
+    if repeated.isEmpty():
+        kept = found.select(docs.columns)
+    else:
+        repeated = stored(repeated)
+        one = found.join(repeated, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min(F.struct(*others, "text")).alias("r"))
+        again = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
+        kept = found.join(repeated, ["doc_id", "node"], "left_anti").select(docs.columns).unionByName(again)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
