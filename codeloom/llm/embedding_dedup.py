@@ -185,7 +185,8 @@ def near_duplicate_vectors(rows: DataFrame, *, threshold: float = 0.98, block: i
     shared = keys.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     met = shared.select("bucket", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q")).select("bucket", "cid", "block", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"))
     with_vectors = met.join(arrow_map(numbered, united, "cid long, n long, label long, v binary"), "cid")
-    dealt = with_vectors.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
+    # the work is in the comparisons, not in the bytes, so the number of tasks is given
+    dealt = with_vectors.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
