@@ -35,11 +35,17 @@ register(
     f"""b AS (SELECT CAST(3 AS BIGINT) AS node), {_walk('dependencies', 'to_class_id', 'from_class_id', 'b', 2)}
     SELECT 'inbound' AS direction, CAST(depth + 1 AS INTEGER) AS depth, from_class_id, to_class_id, kind, occurrence_count FROM dependencies JOIN w ON node = to_class_id""",
 )
+def _ways(name: str, src: str, dst: str, depth: int) -> str:
+    return f"""{name}0 AS (SELECT node, 0 AS depth, node || '>' AS path, '' AS relations FROM b UNION SELECT {dst}, depth + 1, path || {dst} || '>', relations || relation || '>' FROM {name}0 JOIN hr ON {src} = node WHERE depth < {depth}),
+    {name} AS (SELECT node, depth, min(path) AS path, arg_min(relations, path) AS relations FROM {name}0 x WHERE depth = (SELECT min(depth) FROM {name}0 y WHERE y.node = x.node) GROUP BY 1, 2)"""
+
+
+_RELATED = "hr AS (SELECT class_name AS child, superclass AS parent, 'EXTENDS' AS relation FROM classes WHERE superclass IS NOT NULL UNION ALL SELECT class_name, interface_name, CASE kind WHEN 'INTERFACE' THEN 'EXTENDS_INTERFACE' ELSE 'IMPLEMENTS' END FROM classes WHERE interface_name IS NOT NULL)"
 register(
     "type_hierarchy",
     lambda s: g.type_hierarchy(s, _ROOT, max_depth=4),
-    f"""{CUR}, {_HIER}, b AS (SELECT '{_ROOT}' AS node), {_walk('h', 'parent', 'child', 'b', 4)}, a0 AS (SELECT node, 0 AS depth FROM b UNION SELECT parent, depth + 1 FROM a0 JOIN h ON child = node WHERE depth < 4), a AS (SELECT node, min(depth) AS depth FROM a0 GROUP BY 1)
-    SELECT 'descendant' AS direction, CAST(depth AS INTEGER) AS depth, node AS name, node IN (SELECT class_name FROM cur) AS indexed FROM w WHERE depth > 0 UNION ALL SELECT 'ancestor', depth, node, node IN (SELECT class_name FROM cur) FROM a WHERE depth > 0""",
+    f"""{CUR}, {_RELATED}, b AS (SELECT '{_ROOT}' AS node), {_ways('dn', 'parent', 'child', 4)}, {_ways('an', 'child', 'parent', 4)}
+    SELECT 'descendant' AS direction, CAST(depth AS INTEGER) AS depth, node AS name, node IN (SELECT class_name FROM cur) AS indexed, path, relations FROM dn WHERE depth > 0 UNION ALL SELECT 'ancestor', depth, node, node IN (SELECT class_name FROM cur), path, relations FROM an WHERE depth > 0""",
 )
 register(
     "implementations",
@@ -74,14 +80,23 @@ for _way, _src, _dst in (("outbound", "src", "dst"), ("inbound", "dst", "src")):
     register(
         f"call_hierarchy_{_way}",
         lambda s, way=_way: g.call_hierarchy(s, direction=way, max_depth=3, scope="cross_class"),
-        f"""{_CALLS}, {_walk('c', _src, _dst, 'b', 2)} SELECT CAST(depth + 1 AS INTEGER) AS depth, src, dst, invocation_kind, occurrence_count FROM c JOIN w ON node = {_src} WHERE caller_class_id <> target_class_id""",
+        f"""{_CALLS}, {_walk('c', _src, _dst, 'b', 2)} SELECT '{_way}' AS direction, CAST(depth + 1 AS INTEGER) AS depth, src, dst, invocation_kind, occurrence_count FROM c JOIN w ON node = {_src} WHERE caller_class_id <> target_class_id""",
     )
 register(
     "call_hierarchy_cross_package",
     lambda s: g.call_hierarchy(s, max_depth=5, scope="cross_package"),
     f"""{_CALLS}, k AS (SELECT id, regexp_replace(split_part(class_name, '$', 1), '\\.[^.]*$', '') AS package FROM classes), {_walk('c', 'src', 'dst', 'b', 4)}
-    SELECT CAST(depth + 1 AS INTEGER) AS depth, src, dst, invocation_kind, occurrence_count FROM c JOIN w ON node = src JOIN k p ON p.id = caller_class_id JOIN k q ON q.id = target_class_id WHERE p.package <> q.package""",
+    SELECT 'outbound' AS direction, CAST(depth + 1 AS INTEGER) AS depth, src, dst, invocation_kind, occurrence_count FROM c JOIN w ON node = src JOIN k p ON p.id = caller_class_id JOIN k q ON q.id = target_class_id WHERE p.package <> q.package""",
+)
+register(
+    "call_hierarchy_of_method",
+    lambda s: g.call_hierarchy(s, "org.acme.p0.C4", "run", direction="both", max_depth=2),
+    f"""{_CALLS.partition(', b AS')[0]}, b AS (SELECT DISTINCT concat_ws('#', class_id, name, descriptor) AS node FROM class_members m JOIN classes k ON k.id = class_id WHERE class_name = 'org.acme.p0.C4' AND name = 'run'),
+    o0 AS (SELECT node, 0 AS depth FROM b UNION SELECT dst, depth + 1 FROM o0 JOIN c ON src = node WHERE depth < 1), i0 AS (SELECT node, 0 AS depth FROM b UNION SELECT src, depth + 1 FROM i0 JOIN c ON dst = node WHERE depth < 1),
+    z AS (SELECT 'outbound' AS direction, node, min(depth) AS depth FROM o0 GROUP BY 2 UNION ALL SELECT 'inbound', node, min(depth) FROM i0 GROUP BY 2)
+    SELECT direction, CAST(depth + 1 AS INTEGER) AS depth, src, dst, invocation_kind, occurrence_count FROM z JOIN c ON node = CASE direction WHEN 'outbound' THEN src ELSE dst END""",
 )
+register("class_cycle_paths", g.class_cycle_paths)
 register(
     "forwarded_callers",
     lambda s: g.forwarded_callers(g.dependency_edges(s).select("src", "dst"), s.classes.where("id % 10 IN (3, 4)").select(F.col("id").alias("node"))),

@@ -13,9 +13,10 @@ def clamp(value: int | None, default: int, most: int, least: int = 1) -> int:
     return max(least, min(most, default if value is None else value))
 
 
-def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Rows of an ordered frame from ``offset``."""
-    return (df.offset(offset) if offset else df).limit(limit)
+def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """Rows of an ordered frame from ``offset``; all without a limit."""
+    rest = df.offset(offset) if offset else df
+    return rest if limit is None else rest.limit(limit)
 
 
 def envelope(showing: int, total: int, limit: int, offset: int) -> dict:
@@ -24,6 +25,18 @@ def envelope(showing: int, total: int, limit: int, offset: int) -> dict:
     return {"showing": showing, "total": total, "limit": limit, "offset": offset, "has_more": more, "truncated": offset > 0 or more, "next_offset": offset + showing if more else None}
 
 
+def answer(df: DataFrame, *, limit: int | None = None, default: int = 50, most: int = 500, offset: int = 0, cursor: str | None = None, traversal: str = "", budget: int = 256 * 1024) -> dict:
+    """A page of an ordered, unlimited frame as an answer: its rows, how many there are in all, whether there are more and the
+    cursor to them. ``cursor`` continues the traversal of that name; last rows go where the answer is beyond ``budget`` bytes."""
+    start = decode_cursor(cursor, traversal=traversal) if cursor else max(offset, 0)
+    size = clamp(limit, default, most)
+    total = df.count()
+    rows = [r.asDict(recursive=True) for r in page(df, size, start).collect()]
+    whole = within_budget({"results": json.loads(json.dumps(rows, default=str))}, budget)
+    about = envelope(len(whole["results"]), total, size, start)
+    return whole | about | {"next_cursor": encode_cursor(traversal=traversal, offset=about["next_offset"]) if about["has_more"] else None}
+
+
 def encode_cursor(**state: object) -> str:
     """An opaque cursor for a traversal's state."""
     return base64.urlsafe_b64encode(json.dumps({"v": 1, **state}, sort_keys=True).encode()).decode().rstrip("=")

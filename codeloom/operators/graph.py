@@ -55,6 +55,22 @@ def distances(edges: DataFrame, starts: DataFrame, *, max_depth: int | None = No
     return whole
 
 
+def shortest_paths(edges: DataFrame, starts: DataFrame, *, max_depth: int) -> DataFrame:
+    """(node, depth, path, labels): of the shortest ways from the starts (node) over ``edges`` (src, dst, label) the first by
+    the names on it; names and labels end with ``>`` each. Starts have depth 0."""
+    links = stored(edges.select("src", "dst", "label").distinct())
+    level = stored(starts.select("node", F.lit(0).alias("depth"), F.concat(F.col("node").cast("string"), F.lit(">")).alias("path"), F.lit("").alias("labels")).distinct())
+    whole = level
+    for depth in range(1, max_depth + 1):
+        ways = level.join(links, level.node == links.src).select(F.col("dst").alias("node"), F.struct(F.concat("path", F.col("dst").cast("string"), F.lit(">")).alias("path"), F.concat("labels", "label", F.lit(">")).alias("labels")).alias("way"))
+        found = ways.join(whole.select("node"), "node", "left_anti").groupBy("node").agg(F.min("way").alias("way"))
+        level = stored(found.select("node", F.lit(depth).alias("depth"), "way.path", "way.labels"))
+        if level.isEmpty():
+            break
+        whole = whole.unionByName(level)
+    return whole
+
+
 def busiest_source(edges: DataFrame) -> DataFrame:
     """The node with most distinct outgoing edges, of several the smallest."""
     return edges.groupBy("src").agg(F.countDistinct("dst").alias("n")).orderBy(F.desc("n"), "src").limit(1).select(F.col("src").alias("node"))
@@ -87,16 +103,17 @@ def hierarchy_edges(s: Snapshot) -> DataFrame:
 
 
 def type_hierarchy(s: Snapshot, target: str, *, direction: str = "both", max_depth: int = 5) -> DataFrame:
-    """Ancestors and descendants of a type by name: direction, depth, name and whether it is indexed."""
+    """Ancestors and descendants of a type by name: direction, depth, name, whether it is indexed, and a shortest way
+    there: the types on it and the relations between them, each ended by ``>``."""
     edges, start = hierarchy_edges(s), s.spark.createDataFrame([(target,)], "node string")
     out = []
     for way, src, dst in (("ancestor", "child", "parent"), ("descendant", "parent", "child")):
         if direction in (way, "both"):
-            reach = distances(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")), start, max_depth=max_depth).where("depth > 0")
-            out.append(reach.select(F.lit(way).alias("direction"), "depth", F.col("node").alias("name")))
+            reach = shortest_paths(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col("relation").alias("label")), start, max_depth=max_depth).where("depth > 0")
+            out.append(reach.select(F.lit(way).alias("direction"), "depth", F.col("node").alias("name"), "path", F.col("labels").alias("relations")))
     whole = out[0] if len(out) == 1 else out[0].unionByName(out[1])
-    known = s.current().select(F.col("class_name").alias("name"), F.lit(True).alias("indexed"))
-    return whole.join(known, "name", "left").select("direction", "depth", "name", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+    known = s.current().select(F.col("class_name").alias("name"), F.lit(True).alias("indexed")).distinct()
+    return whole.join(known, "name", "left").select("direction", "depth", "name", F.coalesce("indexed", F.lit(False)).alias("indexed"), "path", "relations")
 
 
 def implementations(s: Snapshot, target: str, *, transitive: bool = True) -> DataFrame:
@@ -184,20 +201,31 @@ def call_edges(s: Snapshot) -> DataFrame:
     return s.method_calls.select(_method_key("caller").alias("src"), _method_key("target").alias("dst"), "caller_class_id", "target_class_id", "invocation_kind", "occurrence_count")
 
 
-def call_hierarchy(s: Snapshot, *, direction: str = "outbound", max_depth: int = 3, scope: str = "all") -> DataFrame:
-    """Calls within ``max_depth`` levels of the method that calls most; the scope (all, cross_class or
+def call_hierarchy(s: Snapshot, target: str | None = None, method: str | None = None, *, descriptor: str | None = None, direction: str = "outbound", max_depth: int = 3, scope: str = "all") -> DataFrame:
+    """Calls within ``max_depth`` levels of a class's methods of a name (and descriptor), of all its methods without a name, or
+    without a target of the method that calls most. ``direction`` is outbound, inbound or both; the scope (all, cross_class or
     cross_package) holds for what is shown, not for what is followed."""
     edges = call_edges(s)
-    start = stored(busiest_source(edges))
-    turned = edges if direction == "outbound" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    reach = distances(turned, start, max_depth=max_depth - 1)
-    hit = edges.join(reach, F.col("src" if direction == "outbound" else "dst") == F.col("node"))
+    if target is None:
+        start = stored(busiest_source(edges))
+    else:
+        own = s.class_members.where("kind IN ('METHOD', 'CONSTRUCTOR')").join(s.classes.where(F.col("class_name") == target).select(F.col("id").alias("class_id")), "class_id")
+        for name, value in (("name", method), ("descriptor", descriptor)):
+            if value is not None:
+                own = own.where(F.col(name) == value)
+        start = stored(own.select(F.concat_ws("#", F.col("class_id").cast("string"), "name", "descriptor").alias("node")).distinct())
+    out = []
+    for way, src, dst in (("outbound", "src", "dst"), ("inbound", "dst", "src")):
+        if direction in (way, "both"):
+            reach = distances(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")), start, max_depth=max_depth - 1)
+            out.append(edges.join(reach, F.col(src) == F.col("node")).withColumn("direction", F.lit(way)))
+    hit = out[0] if len(out) == 1 else out[0].unionByName(out[1])
     if scope != "all":
         hit = hit.where("caller_class_id <> target_class_id")
     if scope == "cross_package":
         named = s.classes.select("id", package_name(F.col("class_name")).alias("package"))
         hit = hit.join(named.select(F.col("id").alias("caller_class_id"), F.col("package").alias("p1")), "caller_class_id").join(named.select(F.col("id").alias("target_class_id"), F.col("package").alias("p2")), "target_class_id").where("p1 <> p2")
-    return hit.select((F.col("depth") + 1).alias("depth"), "src", "dst", "invocation_kind", "occurrence_count")
+    return hit.select("direction", (F.col("depth") + 1).alias("depth"), "src", "dst", "invocation_kind", "occurrence_count")
 
 
 def forwarded_callers(edges: DataFrame, forwarders: DataFrame, *, max_depth: int = 32) -> DataFrame:
@@ -305,20 +333,21 @@ def module_cycles(s: Snapshot) -> DataFrame:
     return strong_components(s.module_edges.select(F.col("module").alias("src"), F.col("visible").alias("dst")))
 
 
-def cycle_paths(edges: DataFrame, members: DataFrame, *, most: int = 100) -> dict[object, list]:
-    """For the components of a page (node, component, name), each of at most ``most`` nodes: a shortest way
-    from the first node by name back to it, neighbours in ascending order of names."""
-    rows = members.join(members.groupBy("component").count().where(F.col("count") <= most), "component").collect()
-    name = {r.node: r.name for r in rows}
-    home = {r.node: r.component for r in rows}
-    inside = edges.join(F.broadcast(members.select(F.col("node").alias("src"))), "src", "left_semi").select("src", "dst").distinct().collect()
-    out: dict = {}
-    for e in inside:
-        if e.src in home and home.get(e.dst) == home[e.src]:
-            out.setdefault(e.src, []).append(e.dst)
-    paths = {}
-    for component in set(home.values()):
-        start = min((n for n in home if home[n] == component), key=name.get)
+def cycle_path_rows(edges: DataFrame, members: DataFrame, *, most: int = 100) -> DataFrame:
+    """(component, place, node): for each component (``members``: node, component, name) of at most ``most`` nodes a shortest way
+    from its first node by name back to it, neighbours in ascending order of names. A component is one group; its edges have a
+    bound, as its nodes have."""
+    small = members.groupBy("component").count().where(F.col("count") <= most).select("component")
+    of = members.join(small, "component").select("component", "node", "name")
+    ends = of.select(F.col("node").alias("src"), F.col("component"), F.col("name").alias("src_name")), of.select(F.col("node").alias("dst"), F.col("component").alias("other"), F.col("name").alias("dst_name"))
+    inside = edges.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").where("component = other").drop("other")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = dict(zip(pdf.src, pdf.src_name, strict=True)) | dict(zip(pdf.dst, pdf.dst_name, strict=True))
+        out: dict = {}
+        for a, b in zip(pdf.src, pdf.dst, strict=True):
+            out.setdefault(a, []).append(b)
+        start = min(name, key=name.get)
         before, todo = {}, [start]
         while todo and start not in before:
             node = todo.pop(0)
@@ -327,12 +356,32 @@ def cycle_paths(edges: DataFrame, members: DataFrame, *, most: int = 100) -> dic
                     before[n] = node
                     todo.append(n)
         path = [start]
-        while len(path) == 1 or path[-1] != start:
-            path.append(before[path[-1]])
-        paths[component] = path[::-1]
+        if start in before:
+            path.append(before[start])
+            while path[-1] != start:
+                path.append(before[path[-1]])
+        return pd.DataFrame({"component": pdf.component.iloc[0], "place": range(len(path)), "node": path[::-1]})
+
+    kinds = {c: members.schema[c].dataType.simpleString() for c in ("component", "node")}
+    return inside.groupBy("component").applyInPandas(walk, f"component {kinds['component']}, place int, node {kinds['node']}")
+
+
+def cycle_paths(edges: DataFrame, members: DataFrame, *, most: int = 100) -> dict[object, list]:
+    """The ways of :func:`cycle_path_rows` by component, for the components of a page."""
+    paths: dict = {}
+    for r in cycle_path_rows(edges, members, most=most).orderBy("component", "place").collect():
+        paths.setdefault(r.component, []).append(r.node)
     return paths
 
 
+def class_cycle_paths(s: Snapshot, *, most: int = 100) -> DataFrame:
+    """(component, place, class_name): a shortest cycle of each component of classes."""
+    edges = stored(collapsed_edges(s).select("src", "dst"))
+    named = s.classes.select(F.col("id").alias("node"), F.col("class_name").alias("name"))
+    found = cycle_path_rows(edges, strong_components(edges).join(named, "node"), most=most)
+    return found.join(named, "node").select("component", "place", F.col("name").alias("class_name"))
+
+
 def module_visibility(s: Snapshot) -> DataFrame:
     """(module, visible, distance): modules each module sees through compile edges, itself at 0."""
     modules = s.classes.select(F.col("module").alias("origin"), F.col("module").alias("node")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.paging import page
 from codeloom.functions.text import base_name, contains_pattern, has_modifier, is_main, outer_name, package_glob, package_name, path_glob, property_pattern, simple_name
 from codeloom.operators.graph import closure_of, distances
 from codeloom.operators.metrics import edges_between_current
@@ -23,14 +24,14 @@ def in_module(s: Snapshot, classes: DataFrame, module: str | None, source_set: s
     return classes.join(of.where(fits).select("id"), "id", "left_semi").unionByName(classes.where(fits).join(of.select("id"), "id", "left_anti"))
 
 
-def search_classes(s: Snapshot, pattern: str, *, module: str | None = None, source_set: str | None = None, limit: int = 30, offset: int = 0) -> DataFrame:
+def search_classes(s: Snapshot, pattern: str, *, module: str | None = None, source_set: str | None = None, limit: int | None = 30, offset: int = 0) -> DataFrame:
     """Current classes by name, case-insensitively: a substring, or a pattern with ``*``."""
     found = in_module(s, s.current().where(F.col("class_name").ilike(contains_pattern(pattern))), module, source_set)
     found = found.select("id", "class_name", "kind", "source_file", "module").orderBy("class_name")
-    return (found.offset(offset) if offset else found).limit(limit)
+    return page(found, limit, offset)
 
 
-def search_symbols(s: Snapshot, pattern: str, *, kind: str | None = None, limit: int = 50) -> DataFrame:
+def search_symbols(s: Snapshot, pattern: str, *, kind: str | None = None, limit: int | None = 50) -> DataFrame:
     """Current classes by simple name and their members by name or signature."""
     like = contains_pattern(pattern)
     types = s.current().select("class_name", F.col("kind").alias("symbol_kind"), simple_name(F.col("class_name")).alias("symbol_name"), F.lit("").alias("signature")).where(F.col("symbol_name").ilike(like))
@@ -39,7 +40,7 @@ def search_symbols(s: Snapshot, pattern: str, *, kind: str | None = None, limit:
     found = types.unionByName(members)
     if kind:
         found = found.where(F.col("symbol_kind") == kind)
-    return found.orderBy("symbol_name", "class_name", "signature").limit(limit)
+    return page(found.orderBy("symbol_name", "class_name", "signature"), limit)
 
 
 def search_properties(s: Snapshot, pattern: str) -> DataFrame:
@@ -48,7 +49,7 @@ def search_properties(s: Snapshot, pattern: str) -> DataFrame:
     return fields.where(F.concat_ws(".", "class_name", "name").rlike(property_pattern(pattern))).select("class_id", "class_name", "name")
 
 
-def search_files(s: Snapshot, pattern: str, *, extension: str | None = None, directory: str | None = None, include_deleted: bool = False, limit: int = 50) -> DataFrame:
+def search_files(s: Snapshot, pattern: str, *, extension: str | None = None, directory: str | None = None, include_deleted: bool = False, limit: int | None = 50) -> DataFrame:
     """Files by glob or, without a wildcard, by substring; ranked: exact path, exact base name, path
     prefix, base-name prefix, glob, substring; then by path. A glob without ``/`` is for base names."""
     path, low, name = F.col("path"), F.lower("path"), F.lower(base_name(F.col("path")))
@@ -60,24 +61,24 @@ def search_files(s: Snapshot, pattern: str, *, extension: str | None = None, dir
         found = found.where(path.startswith(directory.rstrip("/") + "/"))
     if extension:
         found = found.where(path.endswith("." + extension.lstrip(".")))
-    return found.where(match).select("path", "lifecycle", rank.alias("rank")).orderBy("rank", "path").limit(limit)
+    return page(found.where(match).select("path", "lifecycle", rank.alias("rank")).orderBy("rank", "path"), limit)
 
 
-def project_tree(s: Snapshot, *, depth: int = 2, limit: int = 100) -> DataFrame:
+def project_tree(s: Snapshot, *, depth: int = 2, limit: int | None = 100) -> DataFrame:
     """Folders and files down to a depth: path, whether it is a file, files below."""
     parts = F.split("path", "/")
     levels = F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))))
     rows = s.files.where("lifecycle <> 'deleted'").select("path", levels.alias("level"))
     prefix = F.array_join(F.slice(F.split("path", "/"), 1, F.col("level")), "/")
-    return rows.select(prefix.alias("entry"), "level", (prefix == F.col("path")).alias("file")).groupBy("entry").agg(F.min("level").alias("level"), F.max("file").alias("is_file"), F.count(F.lit(1)).alias("files")).orderBy("entry").limit(limit)
+    return page(rows.select(prefix.alias("entry"), "level", (prefix == F.col("path")).alias("file")).groupBy("entry").agg(F.min("level").alias("level"), F.max("file").alias("is_file"), F.count(F.lit(1)).alias("files")).orderBy("entry"), limit)
 
 
-def search_external(s: Snapshot, pattern: str, *, mode: str = "contains", limit: int = 50) -> DataFrame:
+def search_external(s: Snapshot, pattern: str, *, mode: str = "contains", limit: int | None = 50) -> DataFrame:
     """External types whose qualified or simple name is equal to, starts with or contains a text; stars are dropped."""
     want = pattern.replace("*", "").lower()
     test = {"exact": lambda c: c == want, "prefix": lambda c: c.startswith(want), "contains": lambda c: c.contains(want)}[mode]
     names = s.external_deps.select("external_type").distinct()
-    return names.where(test(F.lower("external_type")) | test(F.lower(simple_name(F.col("external_type"))))).orderBy("external_type").limit(limit)
+    return page(names.where(test(F.lower("external_type")) | test(F.lower(simple_name(F.col("external_type"))))).orderBy("external_type"), limit)
 
 
 def external_details(s: Snapshot, name: str) -> DataFrame:
@@ -85,7 +86,7 @@ def external_details(s: Snapshot, name: str) -> DataFrame:
     return s.external_deps.where(F.col("external_type") == name).groupBy("external_type", "usage_kind").agg(F.countDistinct("class_id").alias("classes"))
 
 
-def list_beans(s: Snapshot, *, scope: str | None = None, kind: str | None = None, profile: str | None = None, qualifier: str | None = None, module: str | None = None, limit: int = 50) -> DataFrame:
+def list_beans(s: Snapshot, *, scope: str | None = None, kind: str | None = None, profile: str | None = None, qualifier: str | None = None, module: str | None = None, limit: int | None = 50) -> DataFrame:
     """Beans with their classes; every filter that is given has to hold (the qualifier as a part)."""
     found = s.beans
     for name, value in (("scope", scope), ("kind", kind), ("profile", profile), ("module", module)):
@@ -94,7 +95,7 @@ def list_beans(s: Snapshot, *, scope: str | None = None, kind: str | None = None
     if qualifier is not None:
         found = found.where(F.col("qualifier").contains(qualifier))
     named = s.classes.select(F.col("id").alias("class_id"), "class_name", "origin")
-    return found.join(named, "class_id").select("id", "class_name", "origin", "kind", "scope", "qualifier").orderBy("class_name", "origin", "kind", "id").limit(limit)
+    return page(found.join(named, "class_id").select("id", "class_name", "origin", "kind", "scope", "qualifier").orderBy("class_name", "origin", "kind", "id"), limit)
 
 
 def project_dependencies(s: Snapshot, *, query: str | None = None) -> DataFrame:
@@ -190,13 +191,13 @@ def entry_points(s: Snapshot, *, include_generated: bool = False, include_tests:
     return marked.unionByName(main).unionByName(resources).unionByName(typed)
 
 
-def architecture_violations(s: Snapshot, source: str, forbidden: list[str], *, limit: int = 100) -> DataFrame:
+def architecture_violations(s: Snapshot, source: str, forbidden: list[str], *, limit: int | None = 100) -> DataFrame:
     """Dependencies of production code in packages that match ``source`` on packages that match one of
     ``forbidden``, named by the first that does; most occurrences first."""
     edges = edges_between_current(s, "class_name", "origin", "source_set").where(is_production("from_") & is_production("to_") & (F.col("from_origin") != "generated") & (F.col("to_origin") != "generated"))
     rule = F.coalesce(*[F.when(package_name(F.col("to_class_name"), "").rlike(package_glob(p)), F.lit(p)) for p in forbidden])
     hits = edges.where(package_name(F.col("from_class_name"), "").rlike(package_glob(source))).withColumn("rule", rule).where("rule is not null")
-    return hits.select(F.col("from_class_name").alias("source"), F.col("to_class_name").alias("target"), "kind", "occurrence_count", "rule").orderBy(F.desc("occurrence_count"), "source", "target", "kind").limit(limit)
+    return page(hits.select(F.col("from_class_name").alias("source"), F.col("to_class_name").alias("target"), "kind", "occurrence_count", "rule").orderBy(F.desc("occurrence_count"), "source", "target", "kind"), limit)
 
 
 def enclosing_classes(s: Snapshot, path: str, line: int) -> DataFrame:
@@ -224,7 +225,7 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).withColumn("decisive", (F.col("place") == 1) & (F.coalesce(F.lead("score").over(order), F.lit(-10_000)) < F.col("score")))
 
 
-def symbol_candidates(s: Snapshot, identifier: str, path: str, line: int, *, context: str = "none", limit: int = 200) -> DataFrame:
+def symbol_candidates(s: Snapshot, identifier: str, path: str, line: int, *, context: str = "none", limit: int | None = 200) -> DataFrame:
     """Declarations that an identifier at a line of a file may mean, ranked: current classes by simple name and
     their members by name, those of the same file first. The class that begins nearest above the line encloses it."""
     here = (F.col("source_file") == path).alias("same_file")
@@ -233,7 +234,7 @@ def symbol_candidates(s: Snapshot, identifier: str, path: str, line: int, *, con
     types = live.where(simple_name(F.col("class_name")) == identifier).select(F.col("id").alias("class_id"), F.col("class_name").alias("name"), "kind", here)
     owners = live.select(F.col("id").alias("class_id"), "class_name", "source_file")
     members = s.class_members.where(F.col("name") == identifier).join(owners, "class_id").select("class_id", F.concat("class_name", F.lit("#"), "name", "descriptor").alias("name"), "kind", here)
-    found = types.unionByName(members).orderBy(F.desc("same_file"), "name").limit(limit).join(F.broadcast(near), "class_id", "left")
+    found = types.unionByName(members).orderBy(F.desc("same_file"), "name").limit(limit or 200).join(F.broadcast(near), "class_id", "left")
     return rank_candidates(found.select(F.lit(0).alias("group"), "name", "kind", "same_file", F.coalesce("enclosing", F.lit(False)).alias("enclosing"), F.lit(context).alias("context"), F.lit("none").alias("arguments"))).select("name", "kind", "score", "place", "decisive")
 
 

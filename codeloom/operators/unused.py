@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.paging import page
 from codeloom.functions.text import has_modifier, is_main, simple_name
 from codeloom.operators.graph import closure_of
 from codeloom.operators.metrics import field_usage, method_usage
@@ -38,11 +39,11 @@ def _reasons(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("reasons", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])))
 
 
-def unused_classes(s: Snapshot, *, limit: int = 50) -> DataFrame:
+def unused_classes(s: Snapshot, *, limit: int | None = 50) -> DataFrame:
     """Current classes without any evidence of use: medium confidence for classes in source, else low."""
     found = _reasons(class_evidence(s)).where(F.size("reasons") == 0)
     sure = F.when((F.col("kind") == "CLASS") & (F.col("origin") == "source"), "medium").otherwise("low")
-    return found.select("id", "class_name", "source_tokens", sure.alias("confidence")).orderBy(F.when(F.col("confidence") == "medium", 0).otherwise(1), F.desc("source_tokens"), "class_name").limit(limit)
+    return page(found.select("id", "class_name", "source_tokens", sure.alias("confidence")).orderBy(F.when(F.col("confidence") == "medium", 0).otherwise(1), F.desc("source_tokens"), "class_name"), limit)
 
 
 def class_exclusions(s: Snapshot) -> DataFrame:

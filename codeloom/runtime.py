@@ -35,8 +35,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's, the session's checkpoint folder, or in local mode
-    one of our own that goes when the process ends."""
+    """The folder for intermediate tables: the cluster's, the session's checkpoint folder, or in local mode, where all
+    share one disk, one of our own that goes when the process ends. A cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if named:
         return named.rstrip("/")
@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
             _OWN.add(own)
             atexit.register(shutil.rmtree, own, ignore_errors=True)
         return f"file://{own}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_codeloom"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:

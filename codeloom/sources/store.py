@@ -20,11 +20,17 @@ class GenerationStore:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        """Numbers of the reference files, ascending."""
+        root = self._path(self.root)
+        names = [str(f.getPath().getName()) for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(n[5:-5]) for n in names if n.startswith("refs-") and n.endswith(".json") and n[5:-5].isdigit())
+
     def _read(self) -> dict:
-        target = f"{self.root}/refs.json"
-        if not self._fs.exists(self._path(target)):
+        numbers = self._numbers()
+        if not numbers:
             return {"order": [], "refs": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(target).collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/refs-{numbers[-1]}.json").collect()))
 
     def publish(self, snapshot: Snapshot, names: list[str], index_id: str, ref: str) -> None:
         """Write a generation beside its place, move it there, then point ``ref`` at it; older ones beyond the newest five
@@ -46,12 +52,18 @@ class GenerationStore:
             self._fs.delete(self._path(f"{self.root}/{i}"), True)
 
     def _write(self, state: dict) -> None:
-        staged, target = self._path(f"{self.root}/.refs.json"), self._path(f"{self.root}/refs.json")
+        """References go to a file with the next number, which appears by a rename; the one before stays until then, so
+        there are always whole ones. Of two writers at once the second fails."""
+        numbers = self._numbers()
+        number = numbers[-1] + 1 if numbers else 1
+        staged, target = self._path(f"{self.root}/.refs-{number}"), self._path(f"{self.root}/refs-{number}.json")
         out = self._fs.create(staged, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(target, False)
-        self._fs.rename(staged, target)
+        if self._fs.exists(target) or not self._fs.rename(staged, target):
+            raise OSError(f"{self.root} has been written by another")
+        for old in numbers[:-1]:
+            self._fs.delete(self._path(f"{self.root}/refs-{old}.json"), False)
 
     def open(self, ref: str) -> Snapshot:
         """The generation that a reference points to."""

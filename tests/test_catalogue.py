@@ -21,7 +21,8 @@ def test_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.ORACLES) == set(catalogue.QUERIES)
+    # a shortest cycle needs a search that SQL has no bounded form for: tests of the operators walk them
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"class_cycle_paths"}
 
 
 #: Queries of all classes, and rows that are not all of them: the SQL states the whole, too.

@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from codeloom.functions import paging
 from codeloom.operators import compare, composite, execution, git, graph, risk, search, unused, workspace
 from codeloom.plans.snapshot import Snapshot
 
@@ -170,3 +171,52 @@ def test_large_commits_settle_co_changes(index, spark):
     s = Snapshot.of(spark, {"commit_files": spark.createDataFrame(files, "commit_id long, file_path string")})
     got = {r.file_path: r.co_changed for r in risk.co_change_counts(s).collect()}
     assert got == {f"f{k}": 100 for k in range(101)} | {"x": 2, "y": 1}
+
+
+def test_cycle_paths_equal_a_plain_search(spark):
+    import random
+
+    r = random.Random(3)
+    edges = {(a, b) for a in range(30) for b in r.sample(range(30), 2) if a != b}
+    frame = spark.createDataFrame(sorted(edges), "src long, dst long")
+    members = graph.strong_components(frame).selectExpr("node", "component", "concat('n', lpad(node, 3, '0')) AS name")
+    home = {x.node: x.component for x in members.collect()}
+    got = graph.cycle_paths(frame, members)
+    assert set(got) == set(home.values())
+    for component, path in got.items():
+        start = min(n for n in home if home[n] == component)
+        ways = [[start]]
+        while not any(len(w) > 1 and w[-1] == start for w in ways):  # all walks, one step longer each time
+            ways = [[*w, b] for w in ways for a, b in sorted(edges) if a == w[-1] and home.get(b) == component and b not in w[1:]]
+        assert path == min(w for w in ways if w[-1] == start)
+
+
+def test_answers_have_totals_and_cursors(spark):
+    rows = spark.range(25).selectExpr("id", "concat('row ', id) AS name").orderBy("id")
+    first = paging.answer(rows, limit=10, traversal="rows")
+    assert [x["id"] for x in first["results"]] == list(range(10)) and first["total"] == 25 and first["has_more"]
+    last = paging.answer(rows, limit=20, cursor=first["next_cursor"], traversal="rows")
+    assert [x["id"] for x in last["results"]] == list(range(10, 25)) and last["next_cursor"] is None
+    with pytest.raises(ValueError, match="another traversal"):
+        paging.answer(rows, cursor=first["next_cursor"], traversal="other")
+    wide = spark.range(40).selectExpr("id", "repeat('x', 500) AS name").orderBy("id")
+    cut = paging.answer(wide, limit=40, budget=5000, traversal="wide")
+    assert cut["budget_truncated"] and cut["has_more"] and 0 < cut["showing"] < 40
+    assert paging.answer(wide, limit=40, cursor=cut["next_cursor"], traversal="wide")["results"][0]["id"] == cut["showing"]
+
+
+def test_a_cluster_has_to_name_a_folder(spark, monkeypatch):
+    from codeloom import runtime
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"getOrElse": staticmethod(lambda x: x)}))}))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session)
