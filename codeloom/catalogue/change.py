@@ -26,19 +26,30 @@ register(
 )
 register("delta_applied", lambda s: compare.apply_delta(s.baseline_dependencies, s.dependencies), "SELECT * FROM dependencies")
 _VISIBLE = "CASE WHEN contains({m}, 'public') THEN 3 WHEN contains({m}, 'protected') THEN 2 WHEN contains({m}, 'private') THEN 0 WHEN {m} IS NULL THEN NULL ELSE 1 END"
-_API = f"""a AS (SELECT * FROM classes WHERE coalesce(source_set, 'main') = 'main'), b AS (SELECT * FROM baseline_classes WHERE coalesce(source_set, 'main') = 'main'),
-    o AS (SELECT coalesce(a.class_name, b.class_name) AS class_name, a.id, b.id AS was_id, a.kind, b.kind AS was_kind FROM a FULL JOIN b ON a.class_name = b.class_name AND a.module = b.module),
-    n AS (SELECT class_name, m.kind || ' ' || name || ' ' || descriptor AS member, modifiers FROM class_members m JOIN o ON o.id = class_id WHERE o.id IS NOT NULL AND was_id IS NOT NULL),
-    w AS (SELECT class_name, m.kind || ' ' || name || ' ' || descriptor AS member, modifiers FROM baseline_members m JOIN o ON o.was_id = class_id WHERE o.id IS NOT NULL AND was_id IS NOT NULL),
-    p AS (SELECT coalesce(n.class_name, w.class_name) AS class_name, coalesce(n.member, w.member) AS member, n.modifiers AS m, w.modifiers AS wm, {_VISIBLE.format(m='n.modifiers')} AS v, {_VISIBLE.format(m='w.modifiers')} AS wv FROM n FULL JOIN w ON n.class_name = w.class_name AND n.member = w.member),
-    api AS (SELECT class_name, '' AS member, CASE WHEN was_id IS NULL THEN 'class_added' WHEN id IS NULL THEN 'class_removed' ELSE 'kind_changed' END AS rule FROM o WHERE was_id IS NULL OR id IS NULL OR kind <> was_kind
-    UNION ALL SELECT class_name, member, 'member_added' FROM p WHERE wm IS NULL AND v >= 2 UNION ALL SELECT class_name, member, 'member_removed' FROM p WHERE m IS NULL AND wv >= 2 UNION ALL SELECT class_name, member, 'visibility_reduced' FROM p WHERE v < wv AND wv >= 2
-    UNION ALL SELECT class_name, member, 'visibility_increased' FROM p WHERE v > wv UNION ALL SELECT class_name, member, 'static_changed' FROM p WHERE contains(m, 'static') <> contains(wm, 'static') AND wv >= 2 UNION ALL SELECT class_name, member, 'final_added' FROM p WHERE contains(m, 'final') AND NOT contains(wm, 'final') AND wv >= 2),
-    fin AS (SELECT *, CASE WHEN rule IN ('class_added', 'member_added') THEN 'compatible' WHEN rule = 'visibility_increased' THEN 'review' ELSE 'breaking' END AS verdict FROM api)"""
-register("api_findings", compare.api_findings, f"{_API} SELECT * FROM fin")
-register("api_verdicts", lambda s: compare.api_verdict(compare.api_findings(s)), f"{_API} SELECT class_name, CASE WHEN bool_or(verdict = 'breaking') THEN 'breaking' WHEN bool_or(verdict = 'review') THEN 'review' ELSE 'compatible' END AS verdict, count(*) AS findings FROM fin GROUP BY 1")
+_OWN = """{n} AS (SELECT class_name, coalesce(module, '') AS module, coalesce(source_set, '') AS source_set, count(*) AS n, min(id) AS id, min(kind) AS kind, min(coalesce(superclass, '')) AS superclass, min(coalesce(interface_name, '')) AS interface_name,
+    min(coalesce((SELECT string_agg(DISTINCT annotation_name, ',' ORDER BY annotation_name) FROM {a} x WHERE x.class_id = c.id), '')) AS marks FROM {t} c WHERE coalesce(source_set, 'main') = 'main' GROUP BY 1, 2, 3)"""
+_OTHER = "list_sort(list_filter(string_split({m}, ' '), lambda x: x NOT IN ('', 'public', 'protected', 'private', 'static', 'final', 'abstract')))"
+_API = f"""{_OWN.format(n='a', a="(SELECT * FROM class_annotations WHERE direct)", t='classes')}, {_OWN.format(n='b', a='baseline_annotations', t='baseline_classes')},
+    o AS (SELECT coalesce(a.class_name, b.class_name) AS class_name, coalesce(a.module, b.module) AS module, coalesce(a.source_set, b.source_set) AS source_set, a.id, b.id AS was_id, a.kind, b.kind AS was_kind, a.superclass || '|' || a.interface_name AS up, b.superclass || '|' || b.interface_name AS was_up, a.marks, b.marks AS was_marks,
+    coalesce(a.n, 1) > 1 OR coalesce(b.n, 1) > 1 AS twice FROM a FULL JOIN b ON a.class_name = b.class_name AND a.module = b.module AND a.source_set = b.source_set), k AS (SELECT * FROM o WHERE NOT twice AND id IS NOT NULL AND was_id IS NOT NULL),
+    n AS (SELECT class_name, module, source_set, m.kind || ' ' || name || ' ' || descriptor AS member, m.kind AS sort, modifiers, parameter_types, annotations FROM class_members m JOIN k ON k.id = class_id),
+    w AS (SELECT class_name, module, source_set, m.kind || ' ' || name || ' ' || descriptor AS member, modifiers, parameter_types, annotations FROM baseline_members m JOIN k ON k.was_id = class_id),
+    p AS (SELECT coalesce(n.class_name, w.class_name) AS class_name, coalesce(n.module, w.module) AS module, coalesce(n.source_set, w.source_set) AS source_set, coalesce(n.member, w.member) AS member, sort, n.modifiers AS m, w.modifiers AS wm, n.parameter_types AS pt, w.parameter_types AS wpt, n.annotations AS an, w.annotations AS wan,
+    {_VISIBLE.format(m='n.modifiers')} AS v, {_VISIBLE.format(m='w.modifiers')} AS wv FROM n FULL JOIN w ON n.class_name = w.class_name AND n.module = w.module AND n.source_set = w.source_set AND n.member = w.member),
+    q AS (SELECT * FROM p WHERE coalesce(v, 0) >= 2 OR coalesce(wv, 0) >= 2), c AS (SELECT * FROM q WHERE m IS NOT NULL AND wm IS NOT NULL),
+    api AS (SELECT class_name, module, source_set, '' AS member, 'AMBIGUOUS_OWNER' AS reason, 'unknown' AS assessment FROM o WHERE twice UNION ALL SELECT class_name, module, source_set, '', 'CLASS_ADDED', 'review_required' FROM o WHERE NOT twice AND was_id IS NULL
+    UNION ALL SELECT class_name, module, source_set, '', 'CLASS_REMOVED', 'potentially_breaking' FROM o WHERE NOT twice AND id IS NULL UNION ALL SELECT class_name, module, source_set, '', 'CLASS_KIND_CHANGED', 'potentially_breaking' FROM k WHERE kind <> was_kind
+    UNION ALL SELECT class_name, module, source_set, '', 'HIERARCHY_CHANGED', 'potentially_breaking' FROM k WHERE up <> was_up UNION ALL SELECT class_name, module, source_set, '', 'CLASS_ANNOTATIONS_CHANGED', 'review_required' FROM k WHERE marks <> was_marks
+    UNION ALL SELECT class_name, module, source_set, member, CASE WHEN sort = 'METHOD' AND contains(m, 'abstract') AND NOT contains(m, 'static') THEN 'ABSTRACT_METHOD_ADDED' ELSE 'MEMBER_ADDED' END, CASE WHEN sort = 'METHOD' AND contains(m, 'abstract') AND NOT contains(m, 'static') THEN 'potentially_breaking' ELSE 'review_required' END FROM q WHERE wm IS NULL
+    UNION ALL SELECT class_name, module, source_set, member, 'MEMBER_REMOVED_OR_DESCRIPTOR_CHANGED', 'potentially_breaking' FROM q WHERE m IS NULL UNION ALL SELECT class_name, module, source_set, member, 'VISIBILITY_NARROWED', 'potentially_breaking' FROM c WHERE v < wv
+    UNION ALL SELECT class_name, module, source_set, member, 'VISIBILITY_WIDENED', 'review_required' FROM c WHERE v > wv UNION ALL SELECT class_name, module, source_set, member, 'STATIC_INSTANCE_CHANGED', 'potentially_breaking' FROM c WHERE contains(m, 'static') <> contains(wm, 'static')
+    UNION ALL SELECT class_name, module, source_set, member, 'FINAL_ADDED', 'potentially_breaking' FROM c WHERE contains(m, 'final') AND NOT contains(wm, 'final') UNION ALL SELECT class_name, module, source_set, member, 'ABSTRACT_ADDED', 'potentially_breaking' FROM c WHERE contains(m, 'abstract') AND NOT contains(wm, 'abstract')
+    UNION ALL SELECT class_name, module, source_set, member, 'SOURCE_SIGNATURE_CHANGED', 'review_required' FROM c WHERE pt <> wpt UNION ALL SELECT class_name, module, source_set, member, 'ANNOTATIONS_CHANGED', 'review_required' FROM c WHERE an <> wan
+    UNION ALL SELECT class_name, module, source_set, member, 'OTHER_MODIFIERS_CHANGED', 'review_required' FROM c WHERE {_OTHER.format(m='m')} <> {_OTHER.format(m='wm')} OR (contains(wm, 'final') AND NOT contains(m, 'final')) OR (contains(wm, 'abstract') AND NOT contains(m, 'abstract')))"""
+register("api_findings", compare.api_findings, f"{_API} SELECT * FROM api")
+register("api_verdicts", lambda s: compare.api_verdict(compare.api_findings(s)), f"{_API} SELECT class_name, CASE WHEN bool_or(assessment = 'potentially_breaking') THEN 'potentially_breaking' WHEN bool_or(assessment = 'unknown') THEN 'unknown' ELSE 'review_required' END AS verdict, count(*) AS findings FROM api GROUP BY 1")
 register(
     "api_finding_impact",
     compare.finding_impact,
-    f"{_API} SELECT class_name, count(DISTINCT from_class_id) AS users, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM baseline_dependencies JOIN baseline_classes c ON c.id = to_class_id WHERE class_name IN (SELECT class_name FROM fin WHERE verdict = 'breaking') GROUP BY 1",
+    f"{_API} SELECT class_name, count(DISTINCT from_class_id) AS users, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM baseline_dependencies JOIN baseline_classes c ON c.id = to_class_id WHERE class_name IN (SELECT class_name FROM api WHERE assessment = 'potentially_breaking') GROUP BY 1",
 )

@@ -66,47 +66,68 @@ def _visibility(modifiers: str) -> Column:
     return F.when(m.isNull(), F.lit(None)).when(has_modifier(m, "public"), 3).when(has_modifier(m, "protected"), 2).when(has_modifier(m, "private"), 0).otherwise(1)
 
 
+# What a change of a declaration means to those who use it.
+ASSESSMENTS = {
+    "AMBIGUOUS_OWNER": "unknown", "CLASS_ADDED": "review_required", "CLASS_REMOVED": "potentially_breaking", "CLASS_KIND_CHANGED": "potentially_breaking", "HIERARCHY_CHANGED": "potentially_breaking",
+    "CLASS_ANNOTATIONS_CHANGED": "review_required", "ABSTRACT_METHOD_ADDED": "potentially_breaking", "MEMBER_ADDED": "review_required", "MEMBER_REMOVED_OR_DESCRIPTOR_CHANGED": "potentially_breaking",
+    "VISIBILITY_NARROWED": "potentially_breaking", "VISIBILITY_WIDENED": "review_required", "STATIC_INSTANCE_CHANGED": "potentially_breaking", "FINAL_ADDED": "potentially_breaking",
+    "ABSTRACT_ADDED": "potentially_breaking", "SOURCE_SIGNATURE_CHANGED": "review_required", "ANNOTATIONS_CHANGED": "review_required", "OTHER_MODIFIERS_CHANGED": "review_required",
+}
+_KEY = ["class_name", "module", "source_set"]
+
+
+def _owners(classes: DataFrame, annotations: DataFrame, was: str) -> DataFrame:
+    """Production classes by key; of a key that several have, none can be compared."""
+    live = classes.where(F.coalesce("source_set", F.lit("main")) == "main").withColumns({c: F.coalesce(c, F.lit("")) for c in _KEY[1:]})
+    marks = annotations.groupBy(F.col("class_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("annotation_name")), ",").alias("marks"))
+    facts = live.join(marks, "id", "left").select(*_KEY, "id", "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("superclass", "interface_name", "marks")])
+    return facts.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("id", "kind", "superclass", "interface_name", "marks")]).withColumnsRenamed({c: f"{was}{c}" for c in ("n", "id", "kind", "superclass", "interface_name", "marks")})
+
+
 def api_findings(s: Snapshot) -> DataFrame:
-    """(class_name, member, rule, verdict): changes of production classes and their members that users may
-    feel; owners are told apart by name, module and source set."""
-    live = lambda df: df.where(F.coalesce("source_set", F.lit("main")) == "main")
-    key = ["class_name", "module"]
-    before = live(s.baseline_classes).select(*key, F.col("id").alias("was_id"), F.col("kind").alias("was_kind"), F.lit(True).alias("was"))
-    after = live(s.classes).select(*key, "id", "kind", F.lit(True).alias("now"))
-    owners = after.join(before, key, "full")
-    rule = F.when(F.col("was").isNull(), "class_added").when(F.col("now").isNull(), "class_removed").when(F.col("kind") != F.col("was_kind"), "kind_changed")
-    of_classes = owners.select("class_name", F.lit("").alias("member"), rule.alias("rule")).where("rule is not null")
-    kept = owners.where("was AND now").select("class_name", "kind", "id", "was_id")
-    mine = lambda df, i, m: df.select(F.col("class_id").alias(i), F.concat_ws(" ", F.col("kind"), F.col("name"), F.col("descriptor")).alias("member"), F.col("modifiers").alias(m))
-    now = kept.join(mine(s.class_members, "id", "modifiers"), "id").select("class_name", "kind", "member", "modifiers")
-    was = kept.join(mine(s.baseline_members, "was_id", "was_modifiers"), "was_id").select("class_name", "member", "was_modifiers")
-    members = now.join(was, ["class_name", "member"], "full")
-    visible, was_visible = _visibility("modifiers"), _visibility("was_modifiers")
-    flag = lambda f: has_modifier(F.col("modifiers"), f) & ~has_modifier(F.col("was_modifiers"), f)
-    rules = F.array_compact(
-        F.array(
-            F.when(F.col("was_modifiers").isNull() & (visible >= 2), F.lit("member_added")),
-            F.when(F.col("modifiers").isNull() & (was_visible >= 2), F.lit("member_removed")),
-            F.when((visible < was_visible) & (was_visible >= 2), F.lit("visibility_reduced")),
-            F.when(visible > was_visible, F.lit("visibility_increased")),
-            F.when((has_modifier(F.col("modifiers"), "static") != has_modifier(F.col("was_modifiers"), "static")) & (was_visible >= 2), F.lit("static_changed")),
-            F.when(flag("final") & (was_visible >= 2), F.lit("final_added")),
-        )
-    )
-    of_members = members.select("class_name", "member", F.explode(rules).alias("rule"))
-    whole = of_classes.unionByName(of_members)
-    verdict = F.when(F.col("rule").isin("class_removed", "kind_changed", "member_removed", "visibility_reduced", "static_changed", "final_added"), "breaking").when(F.col("rule") == "visibility_increased", "review").otherwise("compatible")
-    return whole.withColumn("verdict", verdict)
+    """(class_name, module, source_set, member, reason, assessment): changes of production classes, and of their public and
+    protected members, since the baseline; owners are told apart by name, module and source set."""
+    now = _owners(s.classes, s.class_annotations.where("direct"), "")
+    owners = now.join(_owners(s.baseline_classes, s.baseline_annotations, "was_"), _KEY, "full")
+    clear = owners.where("coalesce(n, 1) = 1 AND coalesce(was_n, 1) = 1")
+    kept = clear.where("id IS NOT NULL AND was_id IS NOT NULL")
+    found = lambda *rules: F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules])))
+    one = owners.where("n > 1 OR was_n > 1").select(*_KEY, F.lit("AMBIGUOUS_OWNER").alias("reason"))
+    one = one.unionByName(clear.select(*_KEY, found(("CLASS_ADDED", F.col("was_id").isNull()), ("CLASS_REMOVED", F.col("id").isNull())).alias("reason")))
+    differs = lambda *names: reduce(lambda a, b: a | b, [F.col(c) != F.col(f"was_{c}") for c in names])
+    changed = found(("CLASS_KIND_CHANGED", differs("kind")), ("HIERARCHY_CHANGED", differs("superclass", "interface_name")), ("CLASS_ANNOTATIONS_CHANGED", differs("marks")))
+    of_classes = one.unionByName(kept.select(*_KEY, changed.alias("reason"))).select(*_KEY, F.lit("").alias("member"), "reason")
+
+    sides = []
+    for members, i, was in ((s.class_members, "id", ""), (s.baseline_members, "was_id", "was_")):
+        own = members.select(F.col("class_id").alias(i), F.concat_ws(" ", "kind", "name", "descriptor").alias("member"), (F.col("kind") == "METHOD").alias("method"), "modifiers", "parameter_types", F.concat_ws(" ", F.array_sort(F.split("annotations", " "))).alias("annotations"))
+        sides.append(kept.select(*_KEY, i).join(own, i).drop(i).withColumnsRenamed({c: f"{was}{c}" for c in ("method", "modifiers", "parameter_types", "annotations")}))
+    both = sides[0].join(sides[1], [*_KEY, "member"], "full")
+    level, was_level = _visibility("modifiers"), _visibility("was_modifiers")
+    both = both.where((F.coalesce(level, F.lit(0)) >= 2) | (F.coalesce(was_level, F.lit(0)) >= 2))
+    has = lambda f, was="": has_modifier(F.col(f"{was}modifiers"), f)
+    there = F.col("modifiers").isNotNull() & F.col("was_modifiers").isNotNull()
+    abstract = F.col("was_modifiers").isNull() & F.col("method") & has("abstract") & ~has("static")
+    other = lambda was: F.array_sort(F.array_except(F.split(f"{was}modifiers", r"\s+"), F.array(*map(F.lit, ("public", "protected", "private", "static", "final", "abstract", "")))))
+    rules = found(
+        ("ABSTRACT_METHOD_ADDED", abstract), ("MEMBER_ADDED", F.col("was_modifiers").isNull() & ~abstract), ("MEMBER_REMOVED_OR_DESCRIPTOR_CHANGED", F.col("modifiers").isNull()),
+        ("VISIBILITY_NARROWED", there & (level < was_level)), ("VISIBILITY_WIDENED", there & (level > was_level)), ("STATIC_INSTANCE_CHANGED", there & (has("static") != has("static", "was_"))),
+        ("FINAL_ADDED", there & has("final") & ~has("final", "was_")), ("ABSTRACT_ADDED", there & has("abstract") & ~has("abstract", "was_")), ("SOURCE_SIGNATURE_CHANGED", there & differs("parameter_types")),
+        ("ANNOTATIONS_CHANGED", there & differs("annotations")),
+        ("OTHER_MODIFIERS_CHANGED", there & ((other("") != other("was_")) | has("final", "was_") & ~has("final") | has("abstract", "was_") & ~has("abstract"))),
+    )
+    whole = of_classes.unionByName(both.select(*_KEY, "member", rules.alias("reason")))
+    return whole.withColumn("assessment", F.coalesce(*[F.when(F.col("reason") == k, F.lit(v)) for k, v in ASSESSMENTS.items()]))
 
 
 def api_verdict(findings: DataFrame) -> DataFrame:
-    """The gravest verdict of each class."""
-    rank = F.when(F.col("verdict") == "breaking", 3).when(F.col("verdict") == "unknown", 2).when(F.col("verdict") == "review", 1).otherwise(0)
-    return findings.groupBy("class_name").agg(F.max_by("verdict", rank).alias("verdict"), F.count(F.lit(1)).alias("findings"))
+    """The gravest assessment of each class, and how many findings it has."""
+    rank = F.when(F.col("assessment") == "potentially_breaking", 2).when(F.col("assessment") == "unknown", 1).otherwise(0)
+    return findings.groupBy("class_name").agg(F.max_by("assessment", rank).alias("verdict"), F.count(F.lit(1)).alias("findings"))
 
 
 def finding_impact(s: Snapshot) -> DataFrame:
     """Baseline users of classes with breaking findings: distinct classes that depend on them."""
-    broken = api_findings(s).where("verdict = 'breaking'").select("class_name").distinct()
+    broken = api_findings(s).where("assessment = 'potentially_breaking'").select("class_name").distinct()
     ids = s.baseline_classes.select("class_name", F.col("id").alias("to_class_id")).join(broken, "class_name", "left_semi")
     return ids.join(s.baseline_dependencies, "to_class_id").groupBy("class_name").agg(F.countDistinct("from_class_id").alias("users"), F.sum("occurrence_count").alias("occurrences"))

@@ -105,9 +105,13 @@ RELATIONS: dict[str, str] = {
     "external_deps": """SELECT p_partkey AS class_id, CASE WHEN p_partkey % 19 = 0 THEN 'Plain' WHEN p_partkey % 7 = 0 THEN concat('lib.', lower(p_type)) ELSE concat('org.', lower(p_type), '.', replace(p_name, ' ', '.')) END AS external_type,
         CASE p_partkey % 3 WHEN 0 THEN 'ANNOTATION' WHEN 1 THEN 'FIELD' ELSE 'METHOD' END AS usage_kind FROM part WHERE p_partkey % 2 = 0""",
     "files": "SELECT page_id AS id, substr(split_part(url, '?', 1), 8) AS path, CASE WHEN page_id % 17 = 0 THEN 'deleted' ELSE 'current' END AS lifecycle FROM pages",
-    "baseline_classes": """SELECT id, class_name, CASE WHEN id % 41 = 7 THEN 'INTERFACE' ELSE kind END AS kind, superclass, interface_name, source_file, is_bean, origin, lifecycle, module, source_set
+    "baseline_classes": """SELECT id, class_name, CASE WHEN id % 41 = 7 THEN 'INTERFACE' ELSE kind END AS kind, CASE WHEN id % 43 = 9 THEN 'org.acme.Old' ELSE superclass END AS superclass, interface_name, source_file, is_bean, origin, lifecycle, module, source_set
         FROM classes WHERE id % 29 <> 4""",
-    "baseline_members": "SELECT class_id, kind, name, descriptor, CASE WHEN class_id % 23 = 1 THEN 'public' ELSE modifiers END AS modifiers, annotations FROM class_members WHERE NOT (name = 'run' AND class_id % 37 = 2) AND class_id % 29 <> 4",
+    "baseline_members": """SELECT class_id, kind, name, descriptor, CASE WHEN class_id % 45 = 10 THEN concat('final ', parameter_types) ELSE parameter_types END AS parameter_types,
+        CASE WHEN class_id % 23 = 1 THEN 'public' WHEN class_id % 24 = 8 AND name = 'run' THEN 'public' WHEN class_id % 35 = 2 THEN concat(modifiers, ' synchronized') ELSE modifiers END AS modifiers,
+        CASE WHEN class_id % 27 = 0 THEN '' ELSE annotations END AS annotations FROM class_members WHERE NOT (name = 'run' AND class_id % 37 IN (2, 8)) AND class_id % 29 <> 4
+        UNION ALL SELECT class_id, kind, 'gone', descriptor, parameter_types, modifiers, annotations FROM class_members WHERE name = 'run' AND class_id % 19 = 6 AND class_id % 29 <> 4""",
+    "baseline_annotations": "SELECT class_id, annotation_name FROM class_annotations WHERE direct AND class_id % 31 <> 8",
     "baseline_dependencies": "SELECT from_class_id, to_class_id, kind, CAST(sum(quantity) AS BIGINT) AS occurrence_count FROM dependency_rows WHERE from_class_id <> to_class_id AND line <= 6 GROUP BY from_class_id, to_class_id, kind",
     "calls_log": "SELECT event_id AS id, event_type AS tool, user_id, ts AS at, value AS elapsed_ms, event_type = 'error' AS failed FROM events",
 }
