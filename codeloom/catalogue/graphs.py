@@ -7,7 +7,7 @@ from codeloom.catalogue.metrics import COLLAPSED
 from codeloom.operators import graph as g
 
 _BUSY = "b AS (SELECT from_class_id AS node FROM dependencies GROUP BY 1 ORDER BY count(DISTINCT to_class_id) DESC, 1 LIMIT 1)"
-_HIER = "h AS (SELECT class_name AS child, superclass AS parent FROM classes WHERE superclass IS NOT NULL UNION ALL SELECT class_name, interface_name FROM classes WHERE interface_name IS NOT NULL)"
+_HIER = "h AS (SELECT class_name AS child, superclass AS parent FROM classes WHERE superclass IS NOT NULL UNION ALL SELECT class_name, ci.interface_name FROM classes JOIN class_interfaces ci ON ci.class_id = id)"
 _ROOT = "org.acme.p0.C1"
 _IDS = "hid AS (SELECT c.id AS child, p.id AS parent FROM h JOIN classes c ON c.class_name = h.child JOIN classes p ON p.class_name = h.parent)"
 _UP = f"{_HIER}, {_IDS}, up0 AS (SELECT id, id AS ancestor, 0 AS depth FROM classes UNION SELECT up0.id, parent, depth + 1 FROM up0 JOIN hid ON child = ancestor), up AS (SELECT id, ancestor, min(depth) AS depth FROM up0 GROUP BY 1, 2)"
@@ -40,7 +40,7 @@ def _ways(name: str, src: str, dst: str, depth: int) -> str:
     {name} AS (SELECT node, depth, min(path) AS path, arg_min(relations, path) AS relations FROM {name}0 x WHERE depth = (SELECT min(depth) FROM {name}0 y WHERE y.node = x.node) GROUP BY 1, 2)"""
 
 
-_RELATED = "hr AS (SELECT class_name AS child, superclass AS parent, 'EXTENDS' AS relation FROM classes WHERE superclass IS NOT NULL UNION ALL SELECT class_name, interface_name, CASE kind WHEN 'INTERFACE' THEN 'EXTENDS_INTERFACE' ELSE 'IMPLEMENTS' END FROM classes WHERE interface_name IS NOT NULL)"
+_RELATED = "hr AS (SELECT class_name AS child, superclass AS parent, 'EXTENDS' AS relation FROM classes WHERE superclass IS NOT NULL UNION ALL SELECT class_name, ci.interface_name, CASE kind WHEN 'INTERFACE' THEN 'EXTENDS_INTERFACE' ELSE 'IMPLEMENTS' END FROM classes JOIN class_interfaces ci ON ci.class_id = id)"
 register(
     "type_hierarchy",
     lambda s: g.type_hierarchy(s, _ROOT, max_depth=4),
@@ -57,12 +57,13 @@ register("method_overrides", g.method_overrides, f"{_OVERRIDES} SELECT base_id,
 RESOLVED = """q AS (SELECT DISTINCT target_class_id AS id, target_method AS name, target_descriptor AS descriptor FROM method_calls), known AS (SELECT class_name AS node, id AS node_id, kind AS node_kind FROM classes),
     ch0 AS (SELECT id, class_name AS node, 0 AS depth FROM classes WHERE id IN (SELECT id FROM q) UNION SELECT ch0.id, c.superclass, depth + 1 FROM ch0 JOIN classes c ON c.class_name = node AND c.superclass IS NOT NULL AND c.kind <> 'INTERFACE'),
     ch AS (SELECT ch0.id, ch0.node, depth, node_id FROM ch0 LEFT JOIN known ON known.node = ch0.node),
-    fc0 AS (SELECT DISTINCT ch.id, c.interface_name AS node FROM ch JOIN classes c ON c.class_name = node AND c.interface_name IS NOT NULL UNION SELECT fc0.id, c.interface_name FROM fc0 JOIN classes c ON c.class_name = node AND c.interface_name IS NOT NULL),
+    cf AS (SELECT class_name, ci.interface_name FROM classes JOIN class_interfaces ci ON ci.class_id = classes.id),
+    fc0 AS (SELECT DISTINCT ch.id, c.interface_name AS node FROM ch JOIN cf c ON c.class_name = node UNION SELECT fc0.id, c.interface_name FROM fc0 JOIN cf c ON c.class_name = node),
     fc AS (SELECT fc0.id, fc0.node, node_id, node_kind FROM fc0 LEFT JOIN known ON known.node = fc0.node),
     dm AS (SELECT class_id, name, descriptor, contains(modifiers, 'static') OR contains(modifiers, 'private') AS bound FROM class_members WHERE kind IN ('METHOD', 'CONSTRUCTOR')),
     byc AS (SELECT q.id, q.name, q.descriptor, min(depth) AS depth, arg_min(node_id, depth) AS owner FROM q JOIN ch ON ch.id = q.id JOIN dm ON dm.class_id = node_id AND dm.name = q.name AND dm.descriptor = q.descriptor GROUP BY 1, 2, 3),
     off AS (SELECT q.id, q.name, q.descriptor, node, node_id FROM q JOIN fc ON fc.id = q.id JOIN dm ON dm.class_id = node_id AND dm.name = q.name AND dm.descriptor = q.descriptor AND NOT bound),
-    sup AS (SELECT class_name AS below, interface_name AS node FROM classes WHERE interface_name IS NOT NULL UNION SELECT sup.below, c.interface_name FROM sup JOIN classes c ON c.class_name = sup.node AND c.interface_name IS NOT NULL),
+    sup AS (SELECT class_name AS below, interface_name AS node FROM cf UNION SELECT sup.below, c.interface_name FROM sup JOIN cf c ON c.class_name = sup.node),
     mx AS (SELECT id, name, descriptor, count(DISTINCT node_id) AS n, min(node_id) AS owner FROM off a WHERE NOT EXISTS (SELECT 1 FROM off b JOIN sup ON sup.below = b.node AND sup.node = a.node WHERE b.id = a.id AND b.name = a.name AND b.descriptor = a.descriptor) GROUP BY 1, 2, 3),
     rz AS (SELECT q.*, CASE WHEN byc.depth = 0 THEN 'declared' WHEN byc.depth > 0 THEN 'inherited_class_declaration' WHEN NOT EXISTS (SELECT 1 FROM classes c WHERE c.id = q.id) OR EXISTS (SELECT 1 FROM ch WHERE ch.id = q.id AND node_id IS NULL) OR EXISTS (SELECT 1 FROM fc WHERE fc.id = q.id AND node_id IS NULL) THEN 'ancestor_not_indexed'
     WHEN EXISTS (SELECT 1 FROM fc WHERE fc.id = q.id AND node_kind <> 'INTERFACE') THEN 'invalid_interface_hierarchy' WHEN mx.n = 1 THEN 'inherited_interface_declaration' WHEN mx.n > 1 THEN 'interface_declaration_ambiguous' ELSE 'declaration_not_indexed' END AS status, byc.owner AS class_owner, mx.owner AS face_owner
@@ -118,7 +119,7 @@ register("specialization_chains", g.specialization_chains, "t AS (SELECT id, spe
 register(
     "inherited_mappings",
     lambda s: filled(g.inherited_mappings(s, s.class_members.where("annotations = 'jakarta.ws.rs.GET'").select(F.col("class_id").alias("id"))), "owner_id"),
-    """m AS (SELECT DISTINCT class_id AS id FROM class_members WHERE annotations = 'jakarta.ws.rs.GET'), f AS (SELECT c.id, CASE WHEN count(DISTINCT p.id) = 1 THEN min(p.id) ELSE -1 END AS owner_id FROM classes c JOIN classes p ON p.class_name = c.interface_name WHERE p.id IN (SELECT id FROM m) GROUP BY 1),
+    """m AS (SELECT DISTINCT class_id AS id FROM class_members WHERE annotations = 'jakarta.ws.rs.GET'), f AS (SELECT c.id, CASE WHEN count(DISTINCT p.id) = 1 THEN min(p.id) ELSE -1 END AS owner_id FROM class_interfaces ci JOIN classes c ON c.id = ci.class_id JOIN classes p ON p.class_name = ci.interface_name WHERE p.id IN (SELECT id FROM m) GROUP BY 1),
     u AS (SELECT c.id, p.id AS a, 1 AS depth FROM classes c JOIN classes p ON p.class_name = c.superclass UNION SELECT u.id, p.id, depth + 1 FROM u JOIN classes c ON c.id = u.a JOIN classes p ON p.class_name = c.superclass),
     x AS (SELECT id, id AS owner_id, 0 AS rank FROM m UNION ALL SELECT id, owner_id, 1 FROM f UNION ALL SELECT id, a, depth + 1 FROM u WHERE a IN (SELECT id FROM m))
     SELECT id, owner_id, CASE WHEN rank = 0 THEN 'own' WHEN owner_id = -1 THEN 'ambiguous' WHEN rank = 1 THEN 'interface' ELSE 'superclass' END AS source FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, owner_id) = 1""",

@@ -68,7 +68,7 @@ register(
 )
 _EVID = f"""{CUR}, ev AS (SELECT id, class_name, kind, origin, source_set, is_bean, source_tokens,
     (SELECT count(DISTINCT from_class_id) FROM dependencies d JOIN cur u ON u.id = from_class_id WHERE to_class_id = c.id AND coalesce(u.source_set, 'main') <> 'test') AS inbound,
-    (SELECT count(*) FROM cur x WHERE x.superclass = c.class_name) + (SELECT count(*) FROM cur x WHERE x.interface_name = c.class_name) AS subtypes,
+    (SELECT count(*) FROM cur x WHERE x.superclass = c.class_name) + (SELECT count(*) FROM class_interfaces ci JOIN cur x ON x.id = ci.class_id WHERE ci.interface_name = c.class_name) AS subtypes,
     (SELECT count(*) FROM class_annotations a WHERE a.class_id = c.id AND direct) AS annotations,
     EXISTS (SELECT 1 FROM class_members m WHERE m.class_id = c.id AND m.name = 'main' AND m.descriptor = '([Ljava/lang/String;)V' AND modifiers = 'public static') AS has_main FROM cur c)"""
 register("unused_class_evidence", unused.class_evidence, f"{_EVID} SELECT * FROM ev")
@@ -86,13 +86,13 @@ _MV = f"""{CUR}, {_HANDLES.format('METHOD')}, mv AS (SELECT m.class_id, class_na
     FROM class_members m JOIN cur ON cur.id = m.class_id WHERE m.kind = 'METHOD' AND contains(modifiers, 'private'))"""
 register("unused_methods", unused.method_verdicts, f"{_MV} SELECT * FROM mv")
 register("unused_method_exclusions", lambda s: unused.exclusions(unused.method_verdicts(s)), f"{_MV} SELECT verdict, count(*) AS members FROM mv GROUP BY 1")
-_FV = f"""{CUR}, {_HANDLES.format('FIELD')}, h AS (SELECT class_name AS child, superclass AS parent FROM classes UNION ALL SELECT class_name, interface_name FROM classes), se AS (SELECT class_name AS name FROM classes WHERE interface_name = 'java.io.Serializable' UNION SELECT child FROM se JOIN h ON parent = name),
+_FV = f"""{CUR}, {_HANDLES.format('FIELD')}, h AS (SELECT class_name AS child, superclass AS parent FROM classes UNION ALL SELECT class_name, ci.interface_name FROM classes JOIN class_interfaces ci ON ci.class_id = id), se AS (SELECT child AS name FROM h WHERE parent = 'java.io.Serializable' UNION SELECT child FROM se JOIN h ON parent = name),
     fa AS (SELECT owner_class_id, field_name, count(*) FILTER (WHERE access_kind LIKE 'read%') AS r, count(*) FILTER (WHERE access_kind LIKE 'write%') AS w FROM field_accesses WHERE accessor_class_id IN (SELECT id FROM cur) GROUP BY 1, 2),
     fv AS (SELECT m.class_id, class_name, name, CASE WHEN m.class_id IN (SELECT class_id FROM ho) THEN 'handle_owner' WHEN annotations <> '' THEN 'annotated' WHEN contains(modifiers, 'static final') THEN 'constant' WHEN class_name IN (SELECT name FROM se) THEN 'serializable'
     WHEN r > 0 THEN 'read' WHEN w > 0 THEN 'write_only' ELSE 'unused' END AS verdict FROM class_members m JOIN cur ON cur.id = m.class_id LEFT JOIN fa ON fa.owner_class_id = m.class_id AND fa.field_name = m.name WHERE m.kind = 'FIELD' AND contains(modifiers, 'private'))"""
 register("unused_fields", unused.field_verdicts, f"{_FV} SELECT * FROM fv")
 _KIND = "CASE {k} WHEN 'CONSTRUCTS' THEN 'constructor_call' WHEN 'CALLS' THEN 'method_call' WHEN 'METHOD_HANDLE_REFERENCE' THEN 'method_handle_reference' WHEN 'FIELD_HANDLE_REFERENCE' THEN 'field_handle_reference' WHEN 'CDI_INJECT' THEN 'injection' ELSE 'type_reference' END"
-_USES = f"""i AS (SELECT c.id, c.kind, c.superclass AS parent, 'EXTENDS' AS relation FROM classes c UNION ALL SELECT id, kind, interface_name, CASE kind WHEN 'INTERFACE' THEN 'EXTENDS_INTERFACE' ELSE 'IMPLEMENTS' END FROM classes),
+_USES = f"""i AS (SELECT c.id, c.kind, c.superclass AS parent, 'EXTENDS' AS relation FROM classes c UNION ALL SELECT id, kind, ci.interface_name, CASE kind WHEN 'INTERFACE' THEN 'EXTENDS_INTERFACE' ELSE 'IMPLEMENTS' END FROM classes JOIN class_interfaces ci ON ci.class_id = id),
     cu AS (SELECT to_class_id AS target_id, from_class_id AS user_id, class_name, {_KIND.format(k='d.kind')} AS usage, d.kind, occurrence_count AS occurrences,
     (SELECT string_agg(line, ',' ORDER BY line) FROM dependency_lines l WHERE l.from_class_id = d.from_class_id AND l.to_class_id = d.to_class_id AND l.kind = d.kind) AS lines
     FROM dependencies d JOIN cur u ON u.id = from_class_id WHERE to_class_id IN (0, 3, 17, 40)

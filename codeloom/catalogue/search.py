@@ -58,7 +58,8 @@ register(
     "entry_points",
     q.entry_points,
     f"""{CUR}, o AS (SELECT id AS class_id, class_name FROM cur WHERE origin <> 'generated' AND coalesce(source_set, 'main') <> 'test'), ms AS (SELECT o.*, name, descriptor, modifiers, ' ' || annotations || ' ' AS marks FROM class_members m JOIN o ON o.class_id = m.class_id WHERE m.kind = 'METHOD'),
-    pr AS (SELECT class_name FROM classes WHERE superclass = 'javax.annotation.processing.AbstractProcessor' UNION SELECT c.class_name FROM pr JOIN classes c ON pr.class_name IN (c.superclass, c.interface_name))
+    hh AS (SELECT class_name AS child, superclass AS parent FROM classes UNION ALL SELECT class_name, ci.interface_name FROM classes JOIN class_interfaces ci ON ci.class_id = classes.id),
+    pr AS (SELECT child AS class_name FROM hh WHERE parent IN ('javax.annotation.processing.AbstractProcessor', 'javax.annotation.processing.Processor') UNION SELECT child FROM pr JOIN hh ON parent = pr.class_name)
     SELECT class_id, class_name, name, descriptor, 'rest_endpoint' AS entry_kind, 'high' AS confidence FROM ms WHERE marks LIKE '% jakarta.ws.rs.GET %' OR marks LIKE '%.PostMapping %' UNION ALL SELECT class_id, class_name, name, descriptor, 'observer', 'high' FROM ms WHERE marks LIKE '%.Observes %'
     UNION ALL SELECT class_id, class_name, name, descriptor, 'scheduled', 'high' FROM ms WHERE marks LIKE '%.Scheduled %' UNION ALL SELECT class_id, class_name, name, descriptor, 'message_consumer', 'high' FROM ms WHERE marks LIKE '%.KafkaListener %'
     UNION ALL SELECT class_id, class_name, name, descriptor, 'main', 'high' FROM ms WHERE name = 'main' AND modifiers = 'public static' AND descriptor = '([Ljava/lang/String;)V'

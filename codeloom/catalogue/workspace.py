@@ -71,7 +71,7 @@ register(
 register(
     "change_context",
     lambda s: composite.change_context(s, _T(s)),
-    f"""{_RISK}, i AS (SELECT id, superclass AS parent FROM cur UNION ALL SELECT id, interface_name FROM cur), u AS (SELECT to_class_id AS id, from_class_id AS u, occurrence_count AS n FROM e WHERE to_class_id IN (0, 3, 17, 40) UNION ALL SELECT t.id, i.id, 1 FROM i JOIN classes t ON t.class_name = i.parent WHERE t.id IN (0, 3, 17, 40)
+    f"""{_RISK}, i AS (SELECT id, superclass AS parent FROM cur UNION ALL SELECT id, ci.interface_name FROM cur JOIN class_interfaces ci ON ci.class_id = id), u AS (SELECT to_class_id AS id, from_class_id AS u, occurrence_count AS n FROM e WHERE to_class_id IN (0, 3, 17, 40) UNION ALL SELECT t.id, i.id, 1 FROM i JOIN classes t ON t.class_name = i.parent WHERE t.id IN (0, 3, 17, 40)
     UNION ALL SELECT t.id, c.id, 1 FROM (SELECT DISTINCT class_id, annotation_name FROM class_annotations) a JOIN cur c ON c.id = a.class_id JOIN classes t ON t.class_name = annotation_name WHERE t.id IN (0, 3, 17, 40)),
     g AS (SELECT id, count(DISTINCT u) AS users, CAST(sum(n) AS BIGINT) AS uses FROM u GROUP BY 1)
     SELECT r.id, class_name, (SELECT count(*) FROM class_members m WHERE m.class_id = r.id AND kind = 'METHOD') AS methods, (SELECT count(*) FROM class_members m WHERE m.class_id = r.id AND kind = 'FIELD') AS fields, score,

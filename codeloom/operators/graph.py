@@ -95,11 +95,19 @@ def dependencies_of(s: Snapshot, target: int | None = None, *, direction: str =
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def interfaces(s: Snapshot) -> DataFrame:
+    """(id, class_name, kind, interface_name): the interfaces that classes name, one row for each; of an index without that
+    relation the one that each class has."""
+    if not s.has("class_interfaces"):
+        return s.classes.where("interface_name is not null").select("id", "class_name", "kind", "interface_name")
+    return s.class_interfaces.withColumnRenamed("class_id", "id").join(s.classes.select("id", "class_name", "kind"), "id").select("id", "class_name", "kind", "interface_name")
+
+
 def hierarchy_edges(s: Snapshot) -> DataFrame:
     """(child, parent) names with the relation, of all classes."""
-    up = s.classes.select(F.col("class_name").alias("child"), "kind", F.explode(F.array(F.struct(F.col("superclass").alias("parent"), F.lit(True).alias("super")), F.struct(F.col("interface_name").alias("parent"), F.lit(False).alias("super")))).alias("e"))
-    relation = F.when(F.col("e.super"), "EXTENDS").when(F.col("kind") == "INTERFACE", "EXTENDS_INTERFACE").otherwise("IMPLEMENTS")
-    return up.where("e.parent is not null").select("child", F.col("e.parent").alias("parent"), relation.alias("relation"))
+    up = s.classes.where("superclass is not null").select(F.col("class_name").alias("child"), F.col("superclass").alias("parent"), F.lit("EXTENDS").alias("relation"))
+    relation = F.when(F.col("kind") == "INTERFACE", "EXTENDS_INTERFACE").otherwise("IMPLEMENTS")
+    return up.unionByName(interfaces(s).select(F.col("class_name").alias("child"), F.col("interface_name").alias("parent"), relation.alias("relation")))
 
 
 def type_hierarchy(s: Snapshot, target: str, *, direction: str = "both", max_depth: int = 5) -> DataFrame:
@@ -157,7 +165,7 @@ def resolved_owners(s: Snapshot) -> DataFrame:
     starts = owners.join(s.classes.select("id", "class_name"), "id").select(F.col("id").alias("origin"), F.col("class_name").alias("node"))
     supers = s.classes.where("superclass is not null AND kind <> 'INTERFACE'").select(F.col("class_name").alias("src"), F.col("superclass").alias("dst"))
     chain = stored(distances(supers, starts).join(ids, "node", "left").select(F.col("origin").alias("id"), "node", "depth", "node_id", "node_kind"))
-    faces = s.classes.where("interface_name is not null").select(F.col("class_name").alias("src"), F.col("interface_name").alias("dst"))
+    faces = interfaces(s).select(F.col("class_name").alias("src"), F.col("interface_name").alias("dst"))
     roots = chain.join(faces, F.col("node") == F.col("src")).select(F.col("id").alias("origin"), F.col("dst").alias("node")).distinct()
     met = stored(distances(faces, roots).join(ids, "node", "left").select(F.col("origin").alias("id"), "node", "node_id", "node_kind"))
     own = s.class_members.where("kind IN ('METHOD', 'CONSTRUCTOR')").select(F.col("class_id").alias("node_id"), "name", "descriptor", "modifiers")
@@ -424,7 +432,7 @@ def inherited_mappings(s: Snapshot, mappings: DataFrame) -> DataFrame:
     ids = s.classes.select("id", "class_name")
     mapped = mappings.select("id").distinct()
     own = mapped.select("id", F.col("id").alias("owner_id"), F.lit(0).alias("rank"))
-    faces = s.classes.where("interface_name is not null").select("id", "interface_name").join(ids.select(F.col("class_name").alias("interface_name"), F.col("id").alias("owner_id")), "interface_name").join(mapped.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
+    faces = interfaces(s).select("id", "interface_name").join(ids.select(F.col("class_name").alias("interface_name"), F.col("id").alias("owner_id")), "interface_name").join(mapped.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
     by_face = faces.groupBy("id").agg(F.min("owner_id").alias("owner_id"), F.countDistinct("owner_id").alias("n")).select("id", F.when(F.col("n") == 1, F.col("owner_id")).alias("owner_id"), F.lit(1).alias("rank"))
     supers = s.classes.where("superclass is not null").join(ids.select(F.col("class_name").alias("superclass"), F.col("id").alias("dst")), "superclass").select(F.col("id").alias("src"), "dst")
     up = distances(supers, ids.select(F.col("id").alias("origin"), F.col("id").alias("node"))).where("depth > 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paging import page
 from codeloom.functions.text import has_modifier, is_main, simple_name
-from codeloom.operators.graph import closure_of
+from codeloom.operators.graph import closure_of, interfaces
 from codeloom.operators.metrics import field_usage, method_usage
 from codeloom.plans.snapshot import Snapshot, is_production
 
@@ -20,7 +20,8 @@ def class_evidence(s: Snapshot) -> DataFrame:
     """Per current class: inbound users, subtypes, direct annotations, whether it has a main method."""
     users = s.current().where(is_production()).select(F.col("id").alias("from_class_id"))
     inbound = s.dependencies.join(users, "from_class_id", "left_semi").groupBy(F.col("to_class_id").alias("id")).agg(F.countDistinct("from_class_id").alias("inbound"))
-    parents = s.current().select(F.explode(F.array("superclass", "interface_name")).alias("class_name")).where("class_name is not null").groupBy("class_name").agg(F.count(F.lit(1)).alias("subtypes"))
+    above = s.current().where("superclass is not null").select(F.col("superclass").alias("class_name"))
+    parents = above.unionByName(interfaces(s).join(s.current().select("id"), "id", "left_semi").select(F.col("interface_name").alias("class_name"))).groupBy("class_name").agg(F.count(F.lit(1)).alias("subtypes"))
     marks = s.class_annotations.where("direct").groupBy(F.col("class_id").alias("id")).agg(F.count(F.lit(1)).alias("annotations"))
     main = s.class_members.where(is_main()).select(F.col("class_id").alias("id"), F.lit(True).alias("has_main")).distinct()
     whole = s.current().join(inbound, "id", "left").join(parents, "class_name", "left").join(marks, "id", "left").join(main, "id", "left")

@@ -38,6 +38,8 @@ RELATIONS: dict[str, str] = {
         CASE WHEN p_partkey % 53 = 52 THEN 'historical' ELSE 'current' END AS lifecycle, p_brand AS module,
         CASE WHEN p_partkey % 13 = 12 THEN NULL WHEN p_partkey % 5 = 0 THEN 'test' ELSE 'main' END AS source_set, p_type AS repository
         FROM part""",
+    "class_interfaces": f"""SELECT id AS class_id, interface_name FROM classes WHERE interface_name IS NOT NULL
+        UNION ALL SELECT id, {_name('(id * 3 % 7)')} FROM classes WHERE id % 10 = 5 AND id > 7 AND coalesce(interface_name, '') <> {_name('(id * 3 % 7)')}""",
     "dependency_rows": """SELECT l_partkey AS from_class_id, l_partkey - l_partkey % 10 + (l_suppkey * 7 + l_linenumber * 3) % 10 AS to_class_id,
         'CALLS' AS kind, CAST(l_quantity AS BIGINT) AS quantity, l_linenumber AS line FROM lineitem WHERE l_quantity >= 46 AND l_returnflag = 'R'
         UNION ALL SELECT l_partkey, (l_suppkey * 13 + l_linenumber * 5 + l_partkey) % nullif(l_partkey - l_partkey % 10, 0),

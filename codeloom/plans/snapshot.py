@@ -14,13 +14,17 @@ SCHEMA_VERSION = 1
 class Snapshot:
     """Relations by name; each is built once and lazily."""
 
-    def __init__(self, spark: SparkSession, build: Callable[[str, Snapshot], DataFrame]) -> None:
-        self.spark, self._build, self._made = spark, build, {}
+    def __init__(self, spark: SparkSession, build: Callable[[str, Snapshot], DataFrame], names: set[str] | None = None) -> None:
+        self.spark, self._build, self._made, self._names = spark, build, {}, names
+
+    def has(self, name: str) -> bool:
+        """Whether there is such a relation, where that is known; else yes."""
+        return self._names is None or name in self._names
 
     @classmethod
     def of(cls, spark: SparkSession, relations: dict[str, DataFrame]) -> Snapshot:
         """A snapshot of given DataFrames."""
-        return cls(spark, lambda name, _: relations[name])
+        return cls(spark, lambda name, _: relations[name], set(relations))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Snapshot:
@@ -28,7 +32,7 @@ class Snapshot:
         manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
         if manifest["schema_version"] != SCHEMA_VERSION:
             raise ValueError(f"schema version {manifest['schema_version']}, not {SCHEMA_VERSION}")
-        return cls(spark, lambda name, _: spark.read.parquet(f"{path}/{name}"))
+        return cls(spark, lambda name, _: spark.read.parquet(f"{path}/{name}"), set(manifest["relations"]))
 
     def write(self, path: str, names: list[str]) -> None:
         """Write relations as Parquet; the manifest comes last, so a broken write can't be read."""
