@@ -1,7 +1,7 @@
 """Packing of documents into sequences: bounded-space online best fit.
 
 Documents become token ids and an end mark; longer ones than a sequence are cut. Pieces arrive in
-blocks, the longest of a block first. A fixed number of bins is open; a bitset keyed by free space
+an order that Spark sorts, in runs with the longest first, and each is placed when it arrives. A fixed number of bins is open; a bitset keyed by free space
 gives the bin with the least space that is enough. If a bin more is needed than may be open, the
 fullest closes. A piece's place is known when it arrives, so only the free spaces are held.
 """
@@ -110,11 +110,12 @@ def tokenized_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, *, siz
     return arrow_map(source, work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, size: int = 2048, end: int = 0, open_bins: int = 4096, block: int = 8192, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, size: int = 2048, end: int = 0, open_bins: int = 4096, run_rows: int = 4096, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: (doc_id, piece int, start, length, ids_crc32, sequence_id, offset long[, ids array<int>]).
 
     Pieces are dealt by their number in the partition that made them, so no id or text is dealt to one task,
-    and packed in each partition by itself, in blocks of ``block``. Null text
+    and packed in each partition by itself, one after the other as they arrive. They arrive in runs, of ``run_rows`` from
+    each partition that made them, the longest of a run first; nothing is held back. Null text
     is empty: a piece of the end mark alone. Null ids and repeated rows are packed like others; of pieces as
     long as each other the one that arrives first is placed first; no rows give no rows. Other columns are ignored. Sequence numbers are distinct, not dense. The vocabulary,
     whose size doesn't depend on the input, is broadcast.
@@ -122,18 +123,16 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, size:
     ship(docs.sparkSession)
     pieces = tokenized_pieces(docs, vocabulary_path, pattern, size=size, end=end, with_ids=with_ids, id_col=id_col, text_col=text_col)
     # without a number of partitions, small ones are merged, which packs better
-    salted = pieces.withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
-    dealt = salted.repartition("deal").sortWithinPartitions("deal").drop("deal")
+    place = F.monotonically_increasing_id()
+    salted = pieces.withColumn("deal", F.xxhash64(place)).withColumn("run", F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / run_rows))
+    dealt = salted.repartition("deal").sortWithinPartitions("run", F.desc("length"), "deal").drop("deal", "run")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, home = BestFit(size, open_bins), TaskContext.get().partitionId() << 40
-        for batch in _blocks(batches, block):
-            lengths = batch.column("length").to_numpy()
-            places = np.empty((len(lengths), 2), np.int64)
-            for k in np.argsort(-lengths, kind="stable").tolist():
-                places[k] = fit.place(int(lengths[k]))
+        for batch in batches:
+            places = np.array([fit.place(n) for n in batch.column("length").to_pylist()], np.int64).reshape(-1, 2)
             columns = [batch.column(n) for n in names] + [pa.array(places[:, 0] + home), pa.array(places[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
@@ -141,19 +140,6 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, size:
     return dealt.mapInArrow(run, schema)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``rows``."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        while sum(b.num_rows for b in held) >= rows:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            yield whole.slice(0, rows)
-            held = [whole.slice(rows)]
-    if sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def sequences(packed: DataFrame) -> DataFrame:
     """(sequence_id, ids array<int>, doc_ids array): whole sequences of packed pieces with ids; a group is one sequence at most."""
     by = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
