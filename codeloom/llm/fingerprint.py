@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from codeloom.llm.common import MIX, arrow_map, batch_of, cached_hashes, salt, slices, splitmix
+from codeloom.llm.common import MIX, arrow_map, batch_of, cached_hashes, salt, slices, splitmix, stored, trimmed
+from codeloom.runtime import ship
 
 #: Words longer than this also give their overlapping pieces, for text without spaces.
 LONG_WORD, PIECE = 32, 8
@@ -129,50 +134,116 @@ def _rank(value: Column, splits: list[int]) -> Column:
     return coarse * step + below(F.slice(F.array(*[F.lit(s) for s in splits]), coarse * step + 1, F.lit(step)))
 
 
+_EDITED = "doc_id long, n_chars long, edited binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+#: The first bytes of a text as a number, which orders texts as their bytes do as far as it goes.
+_START = "CAST(conv(hex(rpad(substring(t, 1, 6), 6, X'00')), 16, 10) AS BIGINT)"
+
+
+@dataclass
+class _Ranges:
+    """Ranges of rows in ascending order of id (null first) and text. ``splits`` are ids that end a range; ``within`` has, for
+    ids with more rows than a range should have, the starts of texts that end ranges within the id. No split has to be a row's."""
+
+    splits: list[int]
+    within: dict[int | None, list[int]]
+
+    def __len__(self) -> int:
+        return len(self.splits) + sum(map(len, self.within.values())) + 1
+
+    def home(self) -> Column:
+        """The number of a row's range, over i and p."""
+        out = _rank(F.col("i"), self.splits)
+        for i, cuts in self.within.items():
+            above = F.col("i").isNotNull() if i is None else F.coalesce(F.col("i") > i, F.lit(False))
+            out = out + F.when(above, len(cuts)).when(F.col("i").eqNullSafe(F.lit(i)), _rank(F.col("p"), cuts)).otherwise(0)
+        return out.cast("int")
+
+
+def _ranges(rows: DataFrame, parts: int) -> tuple[_Ranges, int]:
+    """About ``parts`` ranges of as many rows each, and how many rows there are; at most ``parts`` numbers come to the driver for each level."""
+    share = lambda c, n: F.expr(f"percentile_approx({c}, array({','.join(str(k / n) for k in range(1, n))}), {50 * n})") if n > 1 else F.array().cast("array<bigint>")
+    cut, n, nulls = rows.agg(share("i", parts), F.count(F.lit(1)), F.count_if(F.col("i").isNull())).first()
+    often = Counter(cut or ())
+    crowded = {i: k for i, k in often.items() if k > 1} | ({None: nulls * parts // n} if n and nulls * parts >= 2 * n else {})
+    within: dict[int | None, list[int]] = {}
+    if crowded:
+        some = rows.where(F.col("i").isin([i for i in crowded if i is not None]) | (F.col("i").isNull() if None in crowded else F.lit(False))).select("i", F.expr(_START).alias("p"))
+        of = [(F.when(F.col("i").eqNullSafe(F.lit(i)), F.col("p")), k + 1) for i, k in crowded.items()]
+        named = some.select(*[c.alias(f"p{j}") for j, (c, _) in enumerate(of)])
+        found = named.agg(*[share(f"p{j}", k).alias(f"c{j}") for j, (_, k) in enumerate(of)]).first()
+        within = {i: sorted(set(found[f"c{j}"] or ())) for j, i in enumerate(crowded)}
+    return _Ranges(sorted(often), within), n
+
+
 def edited_fingerprints(docs: DataFrame, *, bits: int = 256, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's fingerprint beside that of an edit: its last half replaced by the next document's start.
 
     Returns (doc_id, n_chars, edited binary, fingerprint, edited_fingerprint binary, near_edited,
     near_next). The next document has the next smaller id; after the smallest comes the largest.
     Null ids come after all others, rows of one id in the order of their texts, descending. Null text is
-    empty. A single document is its own next. Texts are exchanged once, by ranges of ids; the first of
-    each range also goes to the range before it, so no order over all rows is needed in one place.
+    empty. A single document is its own next. Texts are exchanged once, by ranges of ids, and within an id that very many rows
+    have (or none) by the starts of texts; the first row of
+    each range also goes to the range before it, so no order over all rows is needed in one place. Of rows that repeat an id
+    and a text very often all but one, whose next is their like, are worked out once. Other columns are ignored.
     """
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    ids = rows.select("i")
-    cut = ids.agg(F.expr(f"percentile_approx(i, array({','.join(str(k / parts) for k in range(1, parts))}), {50 * parts})") if parts > 1 else F.array().cast("array<bigint>"), F.max("i")).first()
-    # the ids that end a range: range k has the ids above splits[k - 1], up to splits[k]
-    splits, top = sorted(set(cut[0] or ())), cut[1]
-    splits = [s for s in splits if s != top]
-    n = len(splits) + 1
-    home = _rank(F.col("i"), splits)
-    own = rows.select(home.cast("int").alias("b"), F.lit(0).alias("guest"), "i", "t")
-    if top is None:
-        guests = rows.select(F.lit(0).alias("b"), F.lit(1).alias("guest"), "i", "t")
-    else:
-        # range k ends at the top of range k - 1; the lowest range at the top of all
-        ends = F.create_map(*[x for k, s in enumerate([*splits, top]) for x in (F.lit(s), F.lit((k + 1) % n))])
-        guests = rows.where(F.col("i").isin([*splits, top])).select(ends[F.col("i")].alias("b"), F.lit(1).alias("guest"), "i", "t")
-    dealt = own.unionByName(guests).repartitionById(n, F.col("b"))
+    ranges, total = _ranges(rows, parts)
+    if not total:
+        return spark.createDataFrame([], _EDITED)
+    again = None
+    if ranges.within:
+        # alike rows can't be told apart by any range: one of them stays in order
+        same = [F.col("i"), F.xxhash64("t").alias("h")]
+        many = rows.select(*same).groupBy("i", "h").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") * parts > total))
+        numbered = rows.withColumn("m", F.monotonically_increasing_id())
+        alike = stored(numbered.select(*same, "m").groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")).join(F.broadcast(many.select(F.col("i").alias("j"), F.col("h").alias("g"))), F.col("i").eqNullSafe(F.col("j")) & (F.col("h") == F.col("g")), "left_semi"))
+        first = stored(numbered.join(F.broadcast(alike.select("m", "n")), "m").select("i", "t", "n"))
+        keyed = rows.withColumn("h", F.xxhash64("t"))
+        gone = F.broadcast(alike.select(F.col("i").alias("j"), F.col("h").alias("g")))
+        rows = keyed.join(gone, F.col("i").eqNullSafe(F.col("j")) & (F.col("h") == F.col("g")), "left_anti").select("i", "t").unionByName(first.select("i", "t"))
+        again = first
+    started = rows.withColumn("p", F.expr(_START) if ranges.within else F.lit(None).cast("long"))
+    placed = started.withColumn("b", ranges.home())
+    own = placed.select("b", F.lit(0).alias("guest"), "i", "t")
+    # the greatest row of each range that has rows follows, in descending order, on the next one that has; that of the highest on the lowest
+    tops = placed.select("b", F.struct(F.col("i").isNotNull(), "i", "p").alias("k")).groupBy("b").agg(F.max("k").alias("k")).select("b", "k.i", "k.p").orderBy("b").collect()
+    ends = spark.createDataFrame([(r.i, r.p, r.b, following.b) for r, following in zip(tops, [*tops[1:], tops[0]], strict=True)], "j long, q long, o int, to int")
+    met = placed.join(F.broadcast(ends), (F.col("b") == F.col("o")) & F.col("i").eqNullSafe(F.col("j")) & F.col("p").eqNullSafe(F.col("q")))
+    guests = met.groupBy("to").agg(F.max("t").alias("t"), F.max("i").alias("i")).select(F.col("to").alias("b"), F.lit(1).alias("guest"), "i", "t")
+    dealt = own.unionByName(guests).repartitionById(len(ranges), F.col("b"))
     ordered = dealt.sortWithinPartitions("b", "guest", F.desc_nulls_last("i"), F.desc("t"))
-    schema = "doc_id long, n_chars long, edited binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+    ship(spark)
+    arrow = to_arrow_schema(_parse_datatype_string(_EDITED))
+
+    def listed(out: list[tuple]) -> pa.RecordBatch:
+        return batch_of({f.name: [r[k] for r in out] for k, f in enumerate(arrow)}, arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-        last, out = None, []
+        last = None
         for batch in batches:
             for part in slices(batch, "t"):
+                out = []
                 for i, t, guest in zip(part.column("i").to_pylist(), part.column("t").to_pylist(), part.column("guest").to_pylist(), strict=True):
                     now = (i, t.decode("utf-8", "replace"), fingerprint(t, bits))
                     if last is not None:
                         out.append(_beside(last, now, bits))
                     last = None if guest else now
-                yield batch_of({f.name: [r[k] for r in out] for k, f in enumerate(arrow)}, arrow)
-                out = []
+                yield listed(out)
 
-    return ordered.mapInArrow(run, schema)
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t, n in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                own = (i, t.decode("utf-8", "replace"), fingerprint(t, bits))
+                one = batch_of({f.name: [v] for f, v in zip(arrow, _beside(own, own, bits), strict=True)}, arrow)
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([n - 1], pa.int64())], names=[*one.schema.names, "copies"])
+
+    whole = ordered.mapInArrow(trimmed(run), _EDITED)
+    if again is None:
+        return whole
+    copies = again.mapInArrow(trimmed(alone), f"{_EDITED}, copies long")
+    return whole.unionByName(copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies"))
 
 
 def _beside(own: tuple, following: tuple, bits: int) -> tuple:

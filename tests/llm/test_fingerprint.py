@@ -114,3 +114,37 @@ def test_counts_within_the_radius(spark):
     assert got == {v: sum((v ^ w).bit_count() <= 7 for w in values) for k, v in enumerate(values) if k % 3 == 0}
     with pytest.raises(Exception, match="isn't 64 bits long"):
         fp.within_radius(prints, prints, radius=3, bits=64).collect()
+
+
+def in_order(rows):
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), [255 - b for b in x[1].encode()] + [256]))
+    return sorted(((i, t[: len(t) - len(t) // 2] + n[: len(t) // 2]) for (i, t), (_, n) in zip(order, order[1:] + order[:1])), key=repr)
+
+
+@pytest.mark.parametrize("hot", [None, 7, 0, 999])
+def test_an_id_with_a_third_of_the_rows(docs_of, hot):
+    """Different texts of one id (or none) go to several ranges, in their order."""
+    r = random.Random(3)
+    text = lambda: " ".join(f"{r.choice('abcdefghij')}{r.randrange(1000)}" for _ in range(r.randrange(1, 6)))
+    rows = [(hot, text()) for _ in range(120)] + [(r.randrange(1000), text()) for _ in range(240)] + [(None, "z last of none"), (5, None)]
+    r.shuffle(rows)
+    docs = docs_of(rows).repartition(3)
+    ranges, n = fp._ranges(docs.selectExpr("doc_id AS i", "CAST(coalesce(text, '') AS BINARY) AS t"), 12)
+    assert n == len(rows) and hot in ranges.within and len(ranges.within[hot]) >= 2
+    got = fp.edited_fingerprints(docs, partitions=12)
+    assert sorted(((x.doc_id, bytes(x.edited).decode()) for x in got.collect()), key=repr) == in_order(rows)
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_rows_that_are_all_alike(docs_of, hot):
+    rows = [(hot, "the same text in very many rows")] * 200 + [(i, f"text {i}") for i in range(100)] + [(hot, "another text"), (hot, "a third")]
+    got = fp.edited_fingerprints(docs_of(rows).repartition(4), partitions=8)
+    assert sorted(((x.doc_id, bytes(x.edited).decode()) for x in got.collect()), key=repr) == in_order(rows)
+    assert fp.edited_fingerprints(docs_of([(hot, "x y")] * 50), partitions=4).count() == 50
+
+
+def test_ids_beyond_the_precision_of_doubles(docs_of):
+    r = random.Random(8)
+    rows = [(r.getrandbits(63) * r.choice([1, -1]), f"text {k} {k * k}") for k in range(300)]
+    got = fp.edited_fingerprints(docs_of(rows).repartition(3), partitions=9)
+    assert sorted(((x.doc_id, bytes(x.edited).decode()) for x in got.collect()), key=repr) == in_order(rows)
