@@ -1,7 +1,8 @@
 """Queries that compare two generations."""
 
 from codeloom.catalogue import filled, register
-from codeloom.operators import compare
+from codeloom.catalogue.rules import _INJ
+from codeloom.operators import compare, injection
 
 _FP = """{n} AS (SELECT class_name, coalesce(kind, '') || '|' || coalesce(superclass, '') || '|' || coalesce(interface_name, '') || '|' || coalesce(source_file, '') || '|' || is_bean || '|' || origin || '|' || module || '|' || coalesce(source_set, '') || '|' ||
     coalesce((SELECT string_agg(kind || name || descriptor || modifiers || '#' || annotations, ';' ORDER BY kind, name, descriptor) FROM {m} m WHERE m.class_id = c.id), '') AS fp FROM {t} c)"""
@@ -53,3 +54,11 @@ register(
     compare.finding_impact,
     f"{_API} SELECT class_name, count(DISTINCT from_class_id) AS users, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM baseline_dependencies JOIN baseline_classes c ON c.id = to_class_id WHERE class_name IN (SELECT class_name FROM api WHERE assessment = 'potentially_breaking') GROUP BY 1",
 )
+_BEANS = "SELECT DISTINCT class_name || ' ' || b.kind || ' ' || scope || ' ' || qualifier AS bean FROM {t} b JOIN classes c ON c.id = b.class_id"
+register("compare_beans", compare.compare_beans, f"n AS ({_BEANS.format(t='beans')}), w AS ({_BEANS.format(t='baseline_beans')}) SELECT bean, 'added' AS change FROM (SELECT bean FROM n EXCEPT SELECT bean FROM w) UNION ALL SELECT bean, 'removed' FROM (SELECT bean FROM w EXCEPT SELECT bean FROM n)")
+register(
+    "compare_injections",
+    lambda s: filled(compare.compare_injections(s.baseline_injections, injection.resolved_points(s)), "was", "is_now"),
+    f"""{_INJ} SELECT coalesce(b.point_id, rs.point_id) AS point_id, CASE WHEN b.point_id IS NULL THEN 'added' WHEN rs.point_id IS NULL THEN 'removed' ELSE 'resolution_changed' END AS change, coalesce(b.bean_id, -1) AS was, coalesce(rs.bean_id, -1) AS is_now
+    FROM baseline_injections b FULL JOIN rs ON rs.point_id = b.point_id WHERE b.point_id IS NULL OR rs.point_id IS NULL OR b.bean_id IS DISTINCT FROM rs.bean_id""",
+)

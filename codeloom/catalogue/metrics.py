@@ -99,3 +99,6 @@ register(
     f"""{CUR} SELECT module, coalesce(source_set, 'main') AS source_set, target_class_id, target_method, target_descriptor, count(*) AS groups, CAST(sum(occurrence_count) AS BIGINT) AS occurrences
     FROM method_calls JOIN cur ON id = caller_class_id GROUP BY 1, 2, 3, 4, 5""",
 )
+register("external_bean_artifacts", m.external_bean_artifacts, "SELECT artifact, count(*) AS beans FROM external_beans WHERE artifact IS NOT NULL GROUP BY 1")
+register("required_configuration", m.required_configuration, "SELECT key, class_name AS bean, member FROM external_bean_settings x JOIN external_beans b ON b.id = bean_id WHERE key IS NOT NULL AND required")
+register("external_bean_summary", m.external_bean_summary, "SELECT (SELECT count(*) FROM external_beans) AS beans, count(DISTINCT class_name) AS beans_with_configuration, count(*) FILTER (WHERE required) AS required, count(*) FILTER (WHERE NOT required) AS defaulted FROM external_bean_settings JOIN external_beans b ON b.id = bean_id WHERE key IS NOT NULL")

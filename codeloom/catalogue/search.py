@@ -1,6 +1,6 @@
 """Queries of searches and listings."""
 
-from codeloom.catalogue import CUR, register
+from codeloom.catalogue import CUR, filled, register
 from codeloom.operators import search as q
 
 _IN = "(EXISTS (SELECT 1 FROM class_occurrences o WHERE o.class_id = c.id AND o.module = 'Brand#3') OR (NOT EXISTS (SELECT 1 FROM class_occurrences o WHERE o.class_id = c.id) AND c.module = 'Brand#3'))"
@@ -9,11 +9,17 @@ _PKG = "CASE WHEN contains(split_part({c}, '$', 1), '.') THEN regexp_replace(spl
 register("search_classes", lambda s: q.search_classes(s, "*P1*.c1*", limit=100), f"{CUR} SELECT id, class_name, kind, source_file, module FROM cur WHERE class_name ILIKE '%P1%.c1%' ORDER BY class_name LIMIT 100")
 register("search_classes_substring", lambda s: q.search_classes(s, "$N1", limit=50, offset=5), f"{CUR} SELECT id, class_name, kind, source_file, module FROM cur WHERE class_name ILIKE '%$N1%' ORDER BY class_name LIMIT 50 OFFSET 5")
 register("search_classes_in_module", lambda s: q.search_classes(s, "org", module="Brand#3", limit=100), f"{CUR} SELECT id, class_name, kind, source_file, module FROM cur c WHERE class_name ILIKE '%org%' AND {_IN} ORDER BY class_name LIMIT 100")
+_SYMBOLS = f"""{CUR}, sy AS (SELECT class_name, kind AS symbol_kind, regexp_extract(class_name, '[^.]*$') AS symbol_name, '' AS signature, '' AS semantic_name, CASE WHEN source_file LIKE '%.kt' THEN 'kotlin' ELSE 'java' END AS language FROM cur UNION ALL
+    SELECT class_name, m.kind, m.name, m.name || m.descriptor, coalesce(kd.name, ''), CASE WHEN source_file LIKE '%.kt' THEN 'kotlin' ELSE 'java' END FROM class_members m JOIN cur ON cur.id = m.class_id LEFT JOIN kotlin_declarations kd ON kd.class_id = m.class_id
+    AND ((kd.kind = 'FUNCTION' AND kd.jvm_name = m.name AND kd.descriptor = m.descriptor) OR (kd.kind = 'PROPERTY' AND kd.jvm_name = m.name AND (kd.descriptor = '' OR kd.descriptor = m.descriptor))) WHERE m.modifiers NOT LIKE '%bridge%' AND m.modifiers NOT LIKE '%synthetic%')"""
+for _name, _pattern in (("search_symbols", "get1"), ("search_symbols_by_kotlin_name", "ondit"), ("search_symbols_by_declaration", "xecute2")):
+    register(_name, lambda s, p=_pattern: q.search_symbols(s, p, limit=200), f"{_SYMBOLS} SELECT * FROM sy WHERE symbol_name ILIKE '%{_pattern}%' OR signature ILIKE '%{_pattern}%' OR semantic_name ILIKE '%{_pattern}%' ORDER BY symbol_name, class_name, signature, semantic_name LIMIT 200")
+register("class_by_path", lambda s: q.class_by_path(s, "src/main/java/C17.java"), f"{CUR} SELECT c.id, class_name, path AS file_path FROM cur c LEFT JOIN class_files x ON x.class_id = c.id LEFT JOIN files f ON f.id = file_id WHERE source_file = 'src/main/java/C17.java' OR path = 'src/main/java/C17.java' ORDER BY class_name LIMIT 1")
+register("di_problems", lambda s: filled(q.di_problems(s), "class_id"), "SELECT id, coalesce(class_id, -1) AS class_id, class_name, problem_type, message FROM di_problems")
 register(
-    "search_symbols",
-    lambda s: q.search_symbols(s, "get1", limit=200),
-    f"""{CUR}, a AS (SELECT class_name, kind AS symbol_kind, regexp_extract(class_name, '[^.]*$') AS symbol_name, '' AS signature FROM cur UNION ALL
-    SELECT class_name, m.kind, m.name, m.name || m.descriptor FROM class_members m JOIN cur ON cur.id = m.class_id) SELECT * FROM a WHERE symbol_name ILIKE '%get1%' OR signature ILIKE '%get1%' ORDER BY symbol_name, class_name, signature LIMIT 200""",
+    "project_tree_below",
+    lambda s: q.project_tree(s, "en", depth=1, limit=500),
+    "SELECT e AS entry, CAST(2 AS INTEGER) AS level, bool_or(e = path) AS is_file, count(*) AS files FROM (SELECT path, 'en/' || split_part(path, '/', 2) AS e FROM files WHERE lifecycle <> 'deleted' AND starts_with(path, 'en/')) GROUP BY 1 ORDER BY 1 LIMIT 500",
 )
 register("search_properties", lambda s: q.search_properties(s, "p1*.C*2.STATE"), f"{CUR} SELECT class_id, class_name, name FROM class_members m JOIN cur ON cur.id = class_id WHERE m.kind = 'FIELD' AND regexp_matches(class_name || '.' || name, 'p1.*\\.C.*2\\.state', 'i')")
 register(
@@ -38,13 +44,11 @@ register("search_external_prefix", lambda s: q.search_external(s, "org.small", m
 register("external_symbol_details", lambda s: q.external_details(s, "org.small.blue.bolt"), "SELECT external_type, usage_kind, count(DISTINCT class_id) AS classes FROM external_deps WHERE external_type = 'org.small.blue.bolt' GROUP BY 1, 2")
 register("list_beans", lambda s: q.list_beans(s, scope="Dependent", qualifier="Default", limit=100), "SELECT b.id, class_name, origin, b.kind, scope, qualifier FROM beans b JOIN classes c ON c.id = class_id WHERE scope = 'Dependent' AND contains(qualifier, 'Default') ORDER BY 2, 3, 4, 1 LIMIT 100")
 register("list_beans_of_profile", lambda s: q.list_beans(s, profile="prod", kind="MANAGED"), "SELECT b.id, class_name, origin, b.kind, scope, qualifier FROM beans b JOIN classes c ON c.id = class_id WHERE profile = 'prod' AND b.kind = 'MANAGED' ORDER BY 2, 3, 4, 1 LIMIT 50")
-register(
-    "project_dependencies",
-    q.project_dependencies,
-    """t AS (SELECT module, visible, visible AS node FROM module_edges UNION SELECT t.module, t.visible, e.visible FROM t JOIN module_edges e ON e.module = t.node),
-    d AS (SELECT visible AS artifact, module, 'direct' AS how, relation FROM module_edges UNION ALL SELECT e.visible, t.module, 'transitive', e.relation FROM (SELECT DISTINCT module, node FROM t) t JOIN module_edges e ON e.module = t.node)
-    SELECT artifact, count(DISTINCT module) AS consumers, string_agg(DISTINCT relation, ',' ORDER BY relation) AS scopes, CASE WHEN count(DISTINCT how) > 1 THEN 'mixed' ELSE min(how) END AS directness FROM d GROUP BY 1""",
-)
+_ARTIFACTS = """t AS (SELECT module, visible, visible AS node FROM module_edges UNION SELECT t.module, t.visible, e.visible FROM t JOIN module_edges e ON e.module = t.node),
+    d AS (SELECT visible AS artifact, module, 'direct' AS how, relation FROM module_edges UNION ALL SELECT e.visible, t.module, 'transitive', e.relation FROM (SELECT DISTINCT module, node FROM t) t JOIN module_edges e ON e.module = t.node),
+    pd AS (SELECT artifact, count(DISTINCT module) AS consumers, string_agg(DISTINCT relation, ',' ORDER BY relation) AS scopes, CASE WHEN count(DISTINCT how) > 1 THEN 'mixed' ELSE min(how) END AS directness FROM d GROUP BY 1)"""
+register("project_dependencies", q.project_dependencies, f"{_ARTIFACTS} SELECT * FROM pd")
+register("project_dependencies_of_scope", lambda s: q.project_dependencies(s, scope="test", directness="mixed"), f"{_ARTIFACTS} SELECT * FROM pd WHERE list_contains(string_split(scopes, ','), 'test') AND directness = 'mixed'")
 _ROUTES = f"""{CUR}, em AS (SELECT *, CASE WHEN starts_with(annotation, 'org.springframework') THEN 'spring' ELSE 'jax-rs' END AS framework, CASE WHEN annotation LIKE '%.PostMapping' THEN 'POST' WHEN annotation LIKE '%.GET' THEN 'GET' ELSE verbs END AS vs FROM endpoint_marks),
     mv AS (SELECT class_id, name, descriptor, framework, unnest(string_split(vs, ',')) AS verb FROM em WHERE vs <> ''), mp AS (SELECT class_id, name, descriptor, framework, unnest(string_split(paths, ',')) AS path FROM em WHERE paths <> ''),
     mt AS (SELECT DISTINCT class_id, class_name, em.name, descriptor, framework FROM em JOIN cur ON cur.id = class_id WHERE em.name <> ''),

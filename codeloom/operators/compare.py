@@ -61,6 +61,21 @@ def compare_dependencies(s: Snapshot) -> DataFrame:
     return both.select("dependency", change.alias("change"), "was", "is_now").where("change is not null")
 
 
+def compare_beans(s: Snapshot) -> DataFrame:
+    """(bean, change) of beans added or removed since the baseline, told apart by class, kind, scope and qualifiers."""
+    named = s.classes.select(F.col("id").alias("class_id"), "class_name")
+    listed = lambda beans: beans.join(named, "class_id").select(F.concat_ws(" ", "class_name", "kind", "scope", "qualifier").alias("bean")).distinct()
+    now, was = listed(s.beans), listed(s.baseline_beans)
+    return now.join(was, "bean", "left_anti").withColumn("change", F.lit("added")).unionByName(was.join(now, "bean", "left_anti").withColumn("change", F.lit("removed")))
+
+
+def compare_injections(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(point_id, change, was, is_now) of injection points (point_id, bean_id) that were added, removed or resolve to another bean, or to none."""
+    both = before.select("point_id", F.col("bean_id").alias("was"), F.lit(True).alias("b")).join(after.select("point_id", F.col("bean_id").alias("is_now"), F.lit(True).alias("a")), "point_id", "full")
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("is_now")), "resolution_changed")
+    return both.select("point_id", change.alias("change"), "was", "is_now").where("change is not null")
+
+
 def _visibility(modifiers: str) -> Column:
     m = F.col(modifiers)
     return F.when(m.isNull(), F.lit(None)).when(has_modifier(m, "public"), 3).when(has_modifier(m, "protected"), 2).when(has_modifier(m, "private"), 0).otherwise(1)

@@ -200,3 +200,21 @@ def member_usage_of_consumers(s: Snapshot) -> DataFrame:
 def injection_problem_counts(resolution: DataFrame) -> DataFrame:
     """Injection points by status."""
     return resolution.groupBy("status").agg(F.count(F.lit(1)).alias("points"))
+
+
+def external_bean_artifacts(s: Snapshot) -> DataFrame:
+    """Beans of dependencies by artifact; beans without a known artifact aren't listed."""
+    return s.external_beans.where("artifact is not null").groupBy("artifact").agg(F.count(F.lit(1)).alias("beans"))
+
+
+def required_configuration(s: Snapshot) -> DataFrame:
+    """(key, bean, member): settings that beans of dependencies need."""
+    beans = s.external_beans.select(F.col("id").alias("bean_id"), F.col("class_name").alias("bean"))
+    return s.external_bean_settings.where("key is not null AND required").join(beans, "bean_id").select("key", "bean", "member")
+
+
+def external_bean_summary(s: Snapshot) -> DataFrame:
+    """One row: beans of dependencies, those with settings, and settings that are required or have a default."""
+    known = s.external_bean_settings.where("key is not null").join(s.external_beans.select(F.col("id").alias("bean_id"), "class_name"), "bean_id")
+    settings = known.agg(F.countDistinct("class_name").alias("beans_with_configuration"), F.count_if("required").alias("required"), F.count_if(~F.col("required")).alias("defaulted"))
+    return s.external_beans.agg(F.count(F.lit(1)).alias("beans")).withColumn("one", F.lit(1)).join(settings.withColumn("one", F.lit(1)), "one").drop("one")

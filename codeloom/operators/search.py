@@ -31,16 +31,34 @@ def search_classes(s: Snapshot, pattern: str, *, module: str | None = None, sour
     return page(found, limit, offset)
 
 
-def search_symbols(s: Snapshot, pattern: str, *, kind: str | None = None, limit: int | None = 50) -> DataFrame:
-    """Current classes by simple name and their members by name or signature."""
+def declared_members(s: Snapshot) -> DataFrame:
+    """Members with their Kotlin declarations, null without one: functions by JVM name and descriptor, properties by JVM name and
+    their descriptor if they have one. The disjunction is a union of two equality joins and what neither finds."""
+    members = s.class_members
+    decl = s.kotlin_declarations.select("class_id", F.col("kind").alias("semantic_kind"), F.col("name").alias("semantic_name"), F.col("jvm_name").alias("name"), "descriptor")
+    exact = members.join(decl.where("semantic_kind = 'FUNCTION' OR descriptor <> ''"), ["class_id", "name", "descriptor"]).select(*members.columns, "semantic_kind", "semantic_name")
+    loose = members.join(decl.where("semantic_kind = 'PROPERTY' AND descriptor = ''").drop("descriptor"), ["class_id", "name"]).select(*members.columns, "semantic_kind", "semantic_name")
+    found = exact.unionByName(loose)
+    alone = members.join(found.select("class_id", "kind", "name", "descriptor"), ["class_id", "kind", "name", "descriptor"], "left_anti").select(*members.columns)
+    none = F.lit(None).cast("string")
+    return found.unionByName(alone.withColumn("semantic_kind", none).withColumn("semantic_name", none))
+
+
+def search_symbols(s: Snapshot, pattern: str, *, kind: str | None = None, language: str | None = None, limit: int | None = 50) -> DataFrame:
+    """Current classes by simple name and their members by name, signature or Kotlin name; neither bridges nor synthetic members.
+    ``kind`` is a class's or member's kind, ``language`` (java or kotlin) that of the source file."""
     like = contains_pattern(pattern)
-    types = s.current().select("class_name", F.col("kind").alias("symbol_kind"), simple_name(F.col("class_name")).alias("symbol_name"), F.lit("").alias("signature")).where(F.col("symbol_name").ilike(like))
-    signed = s.class_members.select("class_id", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name"), F.concat("name", "descriptor").alias("signature"), "modifiers").where(F.col("symbol_name").ilike(like) | F.col("signature").ilike(like))
-    members = signed.where(~has_modifier(F.col("modifiers"), "synthetic")).join(s.current().select(F.col("id").alias("class_id"), "class_name"), "class_id").select(types.columns)
+    source = s.current().select(F.col("id").alias("class_id"), "class_name", F.col("kind").alias("class_kind"), F.when(F.col("source_file").endswith(".kt"), "kotlin").otherwise("java").alias("language"))
+    none = F.lit("")
+    types = source.select("class_name", F.col("class_kind").alias("symbol_kind"), simple_name(F.col("class_name")).alias("symbol_name"), none.alias("signature"), none.alias("semantic_name"), "language").where(F.col("symbol_name").ilike(like))
+    own = declared_members(s) if s.has("kotlin_declarations") else s.class_members.withColumn("semantic_name", F.lit(None).cast("string"))
+    named = own.where(~(F.col("modifiers").contains("synthetic") | F.col("modifiers").contains("bridge"))).select("class_id", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name"), F.concat("name", "descriptor").alias("signature"), F.coalesce("semantic_name", none).alias("semantic_name"))
+    members = named.where(F.col("symbol_name").ilike(like) | F.col("signature").ilike(like) | F.col("semantic_name").ilike(like)).join(source, "class_id").select(types.columns)
     found = types.unionByName(members)
-    if kind:
-        found = found.where(F.col("symbol_kind") == kind)
-    return page(found.orderBy("symbol_name", "class_name", "signature"), limit)
+    for name, value in (("symbol_kind", kind), ("language", language)):
+        if value is not None:
+            found = found.where(F.col(name) == value)
+    return page(found.orderBy("symbol_name", "class_name", "signature", "semantic_name"), limit)
 
 
 def search_properties(s: Snapshot, pattern: str) -> DataFrame:
@@ -64,11 +82,14 @@ def search_files(s: Snapshot, pattern: str, *, extension: str | None = None, dir
     return page(found.where(match).select("path", "lifecycle", rank.alias("rank")).orderBy("rank", "path"), limit)
 
 
-def project_tree(s: Snapshot, *, depth: int = 2, limit: int | None = 100) -> DataFrame:
-    """Folders and files down to a depth: path, whether it is a file, files below."""
+def project_tree(s: Snapshot, path: str = "", *, depth: int = 2, limit: int | None = 100) -> DataFrame:
+    """Folders and files below a folder (or all) down to a depth from there: path, whether it is a file, files below."""
+    top = path.strip("/")
+    above = len(top.split("/")) if top else 0
     parts = F.split("path", "/")
-    levels = F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))))
-    rows = s.files.where("lifecycle <> 'deleted'").select("path", levels.alias("level"))
+    levels = F.explode(F.sequence(F.lit(above + 1), F.least(F.size(parts), F.lit(above + depth))))
+    files = s.files.where("lifecycle <> 'deleted'")
+    rows = (files.where(F.col("path").startswith(f"{top}/")) if top else files).select("path", levels.alias("level"))
     prefix = F.array_join(F.slice(F.split("path", "/"), 1, F.col("level")), "/")
     return page(rows.select(prefix.alias("entry"), "level", (prefix == F.col("path")).alias("file")).groupBy("entry").agg(F.min("level").alias("level"), F.max("file").alias("is_file"), F.count(F.lit(1)).alias("files")).orderBy("entry"), limit)
 
@@ -98,15 +119,20 @@ def list_beans(s: Snapshot, *, scope: str | None = None, kind: str | None = None
     return page(found.join(named, "class_id").select("id", "class_name", "origin", "kind", "scope", "qualifier").orderBy("class_name", "origin", "kind", "id"), limit)
 
 
-def project_dependencies(s: Snapshot, *, query: str | None = None) -> DataFrame:
-    """Visible modules: who sees them and whether directly, through any number of others or both."""
+def project_dependencies(s: Snapshot, *, query: str | None = None, scope: str | None = None, directness: str | None = None) -> DataFrame:
+    """Visible modules: who sees them and whether directly, through any number of others or both; by a part of the name, a scope
+    among theirs, and directness (direct, transitive or mixed)."""
     direct = s.module_edges.select(F.col("visible").alias("artifact"), F.col("module"), F.lit("direct").alias("how"), "relation")
     starts = s.module_edges.select(F.col("module").alias("origin"), F.col("visible").alias("node"))
     reach = distances(s.module_edges.select(F.col("module").alias("src"), F.col("visible").alias("dst")), starts)
     onward = reach.alias("a").join(s.module_edges.alias("b"), F.col("a.node") == F.col("b.module")).select(F.col("b.visible").alias("artifact"), F.col("a.origin").alias("module"), F.lit("transitive").alias("how"), F.col("b.relation"))
     by = direct.unionByName(onward).groupBy("artifact").agg(F.countDistinct("module").alias("consumers"), F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("scopes"), F.array_sort(F.collect_set("how")).alias("hows"))
     found = by.select("artifact", "consumers", "scopes", F.when(F.size("hows") > 1, "mixed").otherwise(F.col("hows")[0]).alias("directness"))
-    return found.where(F.lower("artifact").contains(query.lower())) if query else found
+    if query:
+        found = found.where(F.lower("artifact").contains(query.lower()))
+    if scope:
+        found = found.where(F.array_contains(F.split("scopes", ","), scope))
+    return found.where(F.col("directness") == directness) if directness else found
 
 
 # Route annotations, and the verbs that they stand for.
@@ -200,6 +226,18 @@ def architecture_violations(s: Snapshot, source: str, forbidden: list[str], *, l
     return page(hits.select(F.col("from_class_name").alias("source"), F.col("to_class_name").alias("target"), "kind", "occurrence_count", "rule").orderBy(F.desc("occurrence_count"), "source", "target", "kind"), limit)
 
 
+def class_by_path(s: Snapshot, path: str) -> DataFrame:
+    """The first current class by name whose source, or whose indexed file if it has one, is at a path."""
+    of = s.current().join(s.class_files.withColumnRenamed("class_id", "id"), "id", "left")
+    whole = of.join(s.files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id", "left")
+    return whole.where((F.col("source_file") == path) | (F.col("file_path") == path)).select("id", "class_name", "file_path").orderBy("class_name").limit(1)
+
+
+def di_problems(s: Snapshot, *, limit: int | None = None) -> DataFrame:
+    """Problems of dependency-injection specifications that the index has, in order; a class's id may be null."""
+    return page(s.di_problems.select("id", "class_id", "class_name", "problem_type", "message").orderBy("id"), limit)
+
+
 def enclosing_classes(s: Snapshot, path: str, line: int) -> DataFrame:
     """Classes of a file that begin at a line or above it, nearest first. Only history is left out."""
     return s.classes.where((F.col("source_file") == path) & (F.col("source_line") <= line) & (F.col("lifecycle") == "current")).select("id", "class_name", "source_line").orderBy(F.desc("source_line"), "class_name").limit(10)

@@ -115,6 +115,15 @@ RELATIONS: dict[str, str] = {
         UNION ALL SELECT class_id, kind, 'gone', descriptor, parameter_types, modifiers, annotations FROM class_members WHERE name = 'run' AND class_id % 19 = 6 AND class_id % 29 <> 4""",
     "baseline_annotations": "SELECT class_id, annotation_name FROM class_annotations WHERE direct AND class_id % 31 <> 8",
     "baseline_dependencies": "SELECT from_class_id, to_class_id, kind, CAST(sum(quantity) AS BIGINT) AS occurrence_count FROM dependency_rows WHERE from_class_id <> to_class_id AND line <= 6 GROUP BY from_class_id, to_class_id, kind",
+    "kotlin_declarations": f"""SELECT p_partkey AS class_id, 'FUNCTION' AS kind, concat('execute', CAST(p_partkey % 4 AS STRING)) AS name, 'run' AS jvm_name, '()V' AS descriptor FROM part WHERE p_partkey % 6 = 2
+        UNION ALL SELECT p_partkey, 'PROPERTY', 'condition', 'state', '' FROM part WHERE p_partkey % 6 = 2
+        UNION ALL SELECT p_partkey, 'PROPERTY', 'item', {_GETTER.format(id='p_partkey')}, CASE WHEN p_partkey % 4 = 0 THEN '(I)Ljava/lang/String;' ELSE '()V' END FROM part WHERE p_partkey % 6 IN (2, 3)""",
+    "class_files": "SELECT p_partkey AS class_id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 50 AS BIGINT) END AS file_id FROM part",
+    "external_beans": "SELECT s_suppkey AS id, concat('lib.Bean', CAST(s_suppkey AS STRING)) AS class_name, CASE WHEN s_suppkey % 7 > 0 THEN concat('org.lib:a', CAST(s_nationkey AS STRING)) END AS artifact FROM supplier",
+    "external_bean_settings": "SELECT c_custkey % 7 AS bean_id, concat('field', CAST(c_custkey % 5 AS STRING)) AS member, CASE WHEN c_custkey % 4 > 0 THEN concat('app.key', CAST(c_nationkey AS STRING)) END AS key, c_custkey % 3 = 0 AS required FROM customer",
+    "di_problems": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 90 AS BIGINT) END AS class_id, concat('org.acme.K', CAST(c_custkey % 90 AS STRING)) AS class_name, CASE WHEN c_custkey % 2 = 0 THEN 'UNSATISFIED' ELSE 'INVALID_SCOPE' END AS problem_type, c_mktsegment AS message FROM customer WHERE c_custkey % 6 = 1",
+    "baseline_beans": "SELECT id, class_id, kind, CASE WHEN id % 17 = 3 THEN 'Singleton' ELSE scope END AS scope, qualifier FROM beans WHERE id % 13 <> 5",
+    "baseline_injections": "SELECT id AS point_id, CASE WHEN id % 3 > 0 THEN CAST(id % 10 AS BIGINT) END AS bean_id FROM injection_points WHERE id % 9 <> 2",
     "calls_log": "SELECT event_id AS id, event_type AS tool, user_id, ts AS at, value AS elapsed_ms, event_type = 'error' AS failed FROM events",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
