@@ -81,3 +81,9 @@ def test_recall_at_the_threshold():
     one = np.zeros(len(a), np.int64)
     x, y = ed.cells(a, one, 0.98), ed.cells(b, one, 0.98)
     assert (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean() >= 0.9995
+
+
+def test_clashing_columns_and_ties(spark):
+    rows = [(1, [1.0, 0.0], 3, 7, 9, "x"), (2, [2.0, 0.0], 3, 7, 9, "y"), (3, [0.0, 1.0], 3, 7, 9, "z"), (4, [1.0, 0.0], 4, 7, 9, "w")]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ed.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long, cid int, n int, v string")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True)}
