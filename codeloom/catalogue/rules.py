@@ -28,8 +28,9 @@ _CRIT = """CASE WHEN regexp_matches(p, '(^|/)META-INF/services/') THEN 10 WHEN b
 register(
     "file_risk",
     risk.file_risk,
-    f"""{_GIT}, n AS (SELECT gf.*, coalesce(co, 0) AS co, gf.file_path AS p, regexp_extract(gf.file_path, '[^/]*$') AS b FROM gf LEFT JOIN cc ON cc.file_path = gf.file_path), k AS (SELECT *, {_CRIT} AS criticality FROM n),
-    r AS (SELECT file_path, criticality, floor((0.5 * criticality + 0.2 * {_scale('churn', 2, 10, 30, 50)} + 0.15 * {_BUS.format(x='authors')} + 0.15 * {_scale('co', 0, 3, 5, 8)}) * 10 + 0.5) / 10 AS score FROM k) SELECT *, {_LEVEL} AS level FROM r""",
+    f"""{_GIT}, af AS (SELECT file_path FROM commit_files UNION SELECT path FROM files WHERE lifecycle <> 'deleted'),
+    n AS (SELECT af.file_path, churn, authors, coalesce(co, 0) AS co, af.file_path AS p, regexp_extract(af.file_path, '[^/]*$') AS b FROM af LEFT JOIN gf ON gf.file_path = af.file_path LEFT JOIN cc ON cc.file_path = af.file_path), k AS (SELECT *, {_CRIT} AS criticality FROM n),
+    r AS (SELECT file_path, criticality, CASE WHEN churn IS NULL THEN CAST(criticality AS DOUBLE) ELSE floor((0.5 * criticality + 0.2 * {_scale('churn', 2, 10, 30, 50)} + 0.15 * {_BUS.format(x='authors')} + 0.15 * {_scale('co', 0, 3, 5, 8)}) * 10 + 0.5) / 10 END AS score FROM k) SELECT *, {_LEVEL} AS level FROM r""",
 )
 _NAMES = ("pom.xml", "a/build.gradle.kts", "buildSrc/x.kt", "gradle/libs.versions.toml", "x/.github/workflows/ci.yml", ".github/CODEOWNERS", "m/src/main/resources/META-INF/services/a.B", "src/main/resources/application.yml", "README.md", "docs/a.adoc", "src/test/java/ATest.java", "notes.txt", "sql/a.sql")
 _PATHS = "SELECT DISTINCT path FROM (SELECT path FROM {resources} UNION ALL SELECT source_file FROM {classes} UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") AS v(path))"
@@ -70,15 +71,15 @@ _EVID = f"""{CUR}, ev AS (SELECT id, class_name, kind, origin, source_set, is_be
     (SELECT count(DISTINCT from_class_id) FROM dependencies d JOIN cur u ON u.id = from_class_id WHERE to_class_id = c.id AND coalesce(u.source_set, 'main') <> 'test') AS inbound,
     (SELECT count(*) FROM cur x WHERE x.superclass = c.class_name) + (SELECT count(*) FROM class_interfaces ci JOIN cur x ON x.id = ci.class_id WHERE ci.interface_name = c.class_name) AS subtypes,
     (SELECT count(*) FROM class_annotations a WHERE a.class_id = c.id AND direct) AS annotations,
-    EXISTS (SELECT 1 FROM class_members m WHERE m.class_id = c.id AND m.name = 'main' AND m.descriptor = '([Ljava/lang/String;)V' AND modifiers = 'public static') AS has_main FROM cur c)"""
+    EXISTS (SELECT 1 FROM class_members m WHERE m.class_id = c.id AND m.name = 'main' AND m.descriptor = '([Ljava/lang/String;)V' AND modifiers = 'public static') AS has_main, EXISTS (SELECT 1 FROM service_registrations r WHERE r.class_id = c.id) AS provider FROM cur c)"""
 register("unused_class_evidence", unused.class_evidence, f"{_EVID} SELECT * FROM ev")
-_FREE = "inbound = 0 AND subtypes = 0 AND NOT is_bean AND annotations = 0 AND NOT has_main"
+_FREE = "inbound = 0 AND subtypes = 0 AND NOT is_bean AND annotations = 0 AND NOT has_main AND NOT provider"
 register("unused_classes", lambda s: unused.unused_classes(s, limit=200), f"{_EVID} SELECT id, class_name, source_tokens, CASE WHEN kind = 'CLASS' AND origin = 'source' THEN 'medium' ELSE 'low' END AS confidence FROM ev WHERE {_FREE} ORDER BY confidence DESC, source_tokens DESC, class_name LIMIT 200")
 register(
     "unused_class_exclusions",
     unused.class_exclusions,
     f"""{_EVID} SELECT * FROM (SELECT 'inbound' AS reason, count(*) AS classes FROM ev WHERE inbound > 0 UNION ALL SELECT 'hierarchy', count(*) FROM ev WHERE subtypes > 0 UNION ALL SELECT 'bean', count(*) FROM ev WHERE is_bean
-    UNION ALL SELECT 'annotated', count(*) FROM ev WHERE annotations > 0 UNION ALL SELECT 'main', count(*) FROM ev WHERE has_main) WHERE classes > 0""",
+    UNION ALL SELECT 'annotated', count(*) FROM ev WHERE annotations > 0 UNION ALL SELECT 'main', count(*) FROM ev WHERE has_main UNION ALL SELECT 'provider', count(*) FROM ev WHERE provider) WHERE classes > 0""",
 )
 _HANDLES = "ho AS (SELECT DISTINCT to_class_id AS class_id FROM dependencies WHERE kind = '{0}_HANDLE_REFERENCE')"
 _MV = f"""{CUR}, {_HANDLES.format('METHOD')}, mv AS (SELECT m.class_id, class_name, name, descriptor, CASE WHEN m.class_id IN (SELECT class_id FROM ho) THEN 'handle_owner' WHEN annotations <> '' THEN 'annotated' WHEN contains(modifiers, 'native') THEN 'native'

@@ -18,8 +18,8 @@ register("class_by_path", lambda s: q.class_by_path(s, "src/main/java/C17.java")
 register("di_problems", lambda s: filled(q.di_problems(s), "class_id"), "SELECT id, coalesce(class_id, -1) AS class_id, class_name, problem_type, message FROM di_problems")
 register(
     "project_tree_below",
-    lambda s: q.project_tree(s, "en", depth=1, limit=500),
-    "SELECT e AS entry, CAST(2 AS INTEGER) AS level, bool_or(e = path) AS is_file, count(*) AS files FROM (SELECT path, 'en/' || split_part(path, '/', 2) AS e FROM files WHERE lifecycle <> 'deleted' AND starts_with(path, 'en/')) GROUP BY 1 ORDER BY 1 LIMIT 500",
+    lambda s: q.project_tree(s, "blog.tionsh.example.net", depth=1, limit=500),
+    "SELECT e AS entry, CAST(2 AS INTEGER) AS level, bool_or(e = path) AS is_file, count(*) AS files FROM (SELECT path, 'blog.tionsh.example.net/' || split_part(path, '/', 2) AS e FROM files WHERE lifecycle <> 'deleted' AND starts_with(path, 'blog.tionsh.example.net/')) GROUP BY 1 ORDER BY 1 LIMIT 500",
 )
 register("search_properties", lambda s: q.search_properties(s, "p1*.C*2.STATE"), f"{CUR} SELECT class_id, class_name, name FROM class_members m JOIN cur ON cur.id = class_id WHERE m.kind = 'FIELD' AND regexp_matches(class_name || '.' || name, 'p1.*\\.C.*2\\.state', 'i')")
 register(

@@ -72,10 +72,13 @@ def is_test_path(path: Column) -> Column:
 
 
 def file_risk(s: Snapshot) -> DataFrame:
-    """Score of each file with history: criticality, churn, authors, coupling."""
-    whole = file_rollup(s).join(co_change_counts(s), "file_path", "left")
-    score = half_up(0.50 * file_criticality(F.col("file_path")) + 0.20 * scaled(F.col("commit_count"), 2, 10, 30, 50) + 0.15 * bus_factor(F.col("distinct_authors")) + 0.15 * scaled(F.coalesce("co_changed", F.lit(0)), 0, 3, 5, 8), 1)
-    return whole.select("file_path", file_criticality(F.col("file_path")).alias("criticality"), score.alias("score"), risk_level(score).alias("level"))
+    """Score of each file of the history or the index: criticality, churn, authors and coupling, or the criticality alone without history."""
+    paths = s.commit_files.select("file_path").unionByName(s.files.where("lifecycle <> 'deleted'").select(F.col("path").alias("file_path"))).distinct()
+    whole = paths.join(file_rollup(s), "file_path", "left").join(co_change_counts(s), "file_path", "left")
+    critical = file_criticality(F.col("file_path"))
+    known = half_up(0.50 * critical + 0.20 * scaled(F.col("commit_count"), 2, 10, 30, 50) + 0.15 * bus_factor(F.col("distinct_authors")) + 0.15 * scaled(F.coalesce("co_changed", F.lit(0)), 0, 3, 5, 8), 1)
+    score = F.when(F.col("commit_count").isNull(), critical.cast("double")).otherwise(known)
+    return whole.select("file_path", critical.alias("criticality"), score.alias("score"), risk_level(score).alias("level"))
 
 
 def _test_classes(s: Snapshot) -> DataFrame:

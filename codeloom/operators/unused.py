@@ -17,15 +17,16 @@ CALLBACKS = ("writeObject", "readObject", "readResolve", "writeReplace", "readOb
 
 
 def class_evidence(s: Snapshot) -> DataFrame:
-    """Per current class: inbound users, subtypes, direct annotations, whether it has a main method."""
+    """Per current class: inbound users, subtypes, direct annotations, whether it has a main method or is registered as a service."""
     users = s.current().where(is_production()).select(F.col("id").alias("from_class_id"))
     inbound = s.dependencies.join(users, "from_class_id", "left_semi").groupBy(F.col("to_class_id").alias("id")).agg(F.countDistinct("from_class_id").alias("inbound"))
     above = s.current().where("superclass is not null").select(F.col("superclass").alias("class_name"))
     parents = above.unionByName(interfaces(s).join(s.current().select("id"), "id", "left_semi").select(F.col("interface_name").alias("class_name"))).groupBy("class_name").agg(F.count(F.lit(1)).alias("subtypes"))
     marks = s.class_annotations.where("direct").groupBy(F.col("class_id").alias("id")).agg(F.count(F.lit(1)).alias("annotations"))
     main = s.class_members.where(is_main()).select(F.col("class_id").alias("id"), F.lit(True).alias("has_main")).distinct()
-    whole = s.current().join(inbound, "id", "left").join(parents, "class_name", "left").join(marks, "id", "left").join(main, "id", "left")
-    return whole.select("id", "class_name", "kind", "origin", "source_set", "is_bean", "source_tokens", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inbound", "subtypes", "annotations")], F.coalesce("has_main", F.lit(False)).alias("has_main"))
+    registered = (s.service_registrations if s.has("service_registrations") else s.spark.createDataFrame([], "class_id long")).select(F.col("class_id").alias("id"), F.lit(True).alias("provider")).distinct()
+    whole = s.current().join(registered, "id", "left").join(inbound, "id", "left").join(parents, "class_name", "left").join(marks, "id", "left").join(main, "id", "left")
+    return whole.select("id", "class_name", "kind", "origin", "source_set", "is_bean", "source_tokens", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inbound", "subtypes", "annotations")], F.coalesce("has_main", F.lit(False)).alias("has_main"), F.coalesce("provider", F.lit(False)).alias("provider"))
 
 
 def _reasons(evidence: DataFrame) -> DataFrame:
@@ -35,6 +36,7 @@ def _reasons(evidence: DataFrame) -> DataFrame:
         "bean": F.col("is_bean"),
         "annotated": F.col("annotations") > 0,
         "main": F.col("has_main"),
+        "provider": F.col("provider"),
         "descriptor": simple_name(F.col("class_name")).isin("package-info", "module-info"),
     }
     return evidence.withColumn("reasons", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])))
