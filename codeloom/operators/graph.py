@@ -47,8 +47,12 @@ def distances(edges: DataFrame, starts: DataFrame, *, max_depth: int | None = No
             whole = levels[0]
             for level in levels[1:]:
                 whole = whole.unionByName(level)
-            levels = [stored(whole)]
+            joined = stored(whole)
+            for level in levels:
+                drop_stored(level)
+            levels = [joined]
             frontier = levels[0].where(F.col("depth") == depth)
+    drop_stored(links)
     whole = levels[0]
     for level in levels[1:]:
         whole = whole.unionByName(level)
@@ -271,11 +275,13 @@ def strong_components(edges: DataFrame, *, driver_edges: int = DRIVER_EDGES) ->
             done.append(spark.createDataFrame(list(_kosaraju(pairs)), f"node {rest.schema['src'].dataType.simpleString()}, component {rest.schema['src'].dataType.simpleString()}"))
             break
         colours = stored(rest.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        last = colours
         while True:
             spread = rest.join(colours, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("other"))
             moved = stored(colours.join(spread, "node", "left").select("node", F.greatest("colour", "other").alias("colour"), (F.coalesce(F.col("other"), F.col("colour")) > F.col("colour")).alias("changed")))
             still = moved.where("changed").isEmpty()
-            colours = moved.select("node", "colour")
+            drop_stored(last)
+            last, colours = moved, moved.select("node", "colour")
             if still:
                 break
         same = rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
