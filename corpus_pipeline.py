@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import packing, quality_knn, secret_scan, simhash_dedup, substring_dedup
 from codeloom.llm.common import held_out
-from codeloom.runtime import stored, table
+from codeloom.runtime import drop_stored, stored, table
 
 QUALITY_LEAST = 0.3
 ORACLE_SQL = None
@@ -73,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from ``documents``; what the last returns."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        last, docs = docs, stored(stage(spark, docs, sf_dir))
+        drop_stored(last)
     return STAGES[-1][1](spark, docs, sf_dir)
