@@ -186,6 +186,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 20, firs
     for table in (prints, tagged, pairs, meets, *met):
         drop_stored(table)
     roots = connected_components(links.unionByName(whole))
+    for table in (groups, links, whole):
+        drop_stored(table)
     rooted = keyed.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(least, "root").select(F.col("id").alias("doc_id"), "node", "component_id")
