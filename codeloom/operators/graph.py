@@ -447,27 +447,69 @@ def inherited_mappings(s: Snapshot, mappings: DataFrame) -> DataFrame:
     return own.unionByName(by_face).unionByName(above).withColumn("place", F.row_number().over(best)).where("place = 1").select("id", "owner_id", F.when(F.col("rank") == 0, "own").when(F.col("owner_id").isNull(), "ambiguous").when(F.col("rank") == 1, "interface").otherwise("superclass").alias("source"))
 
 
+def _immediate(nodes: list, out: dict, before: dict, roots: list) -> dict:
+    """Of each node that the roots reach its nearest dominator, None for those that have only themselves: nodes in reverse
+    postorder, and the common dominator of what comes before them, until nothing changes."""
+    order, seen = [], set(roots)
+    for root in roots:
+        stack = [(root, iter(out.get(root, ())))]
+        while stack:
+            node, rest = stack[-1]
+            following = next((n for n in rest if n not in seen), None)
+            if following is None:
+                order.append(stack.pop()[0])
+            else:
+                seen.add(following)
+                stack.append((following, iter(out.get(following, ()))))
+    order.reverse()
+    place = {n: k + 1 for k, n in enumerate(order)}  # 0 is above all roots
+    above = {place[r]: 0 for r in roots} | {0: 0}
+
+    def common(x: int, y: int) -> int:
+        while x != y:
+            while x > y:
+                x = above[x]
+            while y > x:
+                y = above[y]
+        return x
+
+    top, changed = set(roots), True
+    while changed:
+        changed = False
+        for n in order:
+            if n in top:
+                continue
+            known = [place[p] for p in before[n] if place.get(p) in above]
+            new = known[0]
+            for other in known[1:]:
+                new = common(new, other)
+            if above.get(place[n]) != new:
+                above[place[n]], changed = new, True
+    return {n: order[above[place[n]] - 1] if above[place[n]] else None for n in order}
+
+
 def dominators(edges: DataFrame) -> DataFrame:
     """(method, node, dominator): for each method's control-flow edges (method, src, dst). The entry is
-    the least node; a node without predecessors is dominated by itself only. One method is one group."""
+    the least node; it and nodes without predecessors are dominated by themselves only; what no such node reaches is dominated
+    by all. One method is one group; a node's rows are its way up the tree of nearest dominators."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(set(pdf.src) | set(pdf.dst))
-        before: dict = {n: set() for n in nodes}
-        for a, b in zip(pdf.src, pdf.dst, strict=True):
-            before[b].add(a)
-        whole = set(nodes)
-        sets = {n: {n} if n == nodes[0] or not before[n] else set(whole) for n in nodes}
-        changed = True
-        while changed:
-            changed = False
-            for n in nodes[1:]:
-                if before[n]:
-                    new = {n} | set.intersection(*(sets[p] for p in before[n]))
-                    if new != sets[n]:
-                        sets[n], changed = new, True
-        rows = [(pdf["method"].iloc[0], n, d) for n in nodes for d in sorted(sets[n])]
-        return pd.DataFrame(rows, columns=["method", "node", "dominator"])
+        out: dict = {}
+        before: dict = {n: [] for n in nodes}
+        for a, b in sorted(set(zip(pdf.src, pdf.dst, strict=True))):
+            out.setdefault(a, []).append(b)
+            before[b].append(a)
+        nearest = _immediate(nodes, out, before, [n for n in nodes if n == nodes[0] or not before[n]])
+        rows = []
+        for n in nodes:
+            if n not in nearest:
+                rows += [(n, d) for d in nodes]
+            d = n if n in nearest else None
+            while d is not None:
+                rows.append((n, d))
+                d = nearest[d]
+        return pd.DataFrame([(pdf["method"].iloc[0], n, d) for n, d in rows], columns=["method", "node", "dominator"])
 
     kind = edges.schema["method"].dataType.simpleString()
     return edges.select("method", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).groupBy("method").applyInPandas(of, f"method {kind}, node long, dominator long")

@@ -220,3 +220,24 @@ def test_a_cluster_has_to_name_a_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         runtime.shared_dir(Session)
+
+
+def test_dominators_equal_sets(spark):
+    """Against the definition: the greatest sets that hold a node and what all nodes before it have in common."""
+    import random
+
+    r = random.Random(12)
+    edges = {(m, a, b) for m in range(25) for a, b in [(r.randrange(14), r.randrange(14)) for _ in range(r.choice([1, 6, 20, 40]))]}
+    got = {(x.method, x.node, x.dominator) for x in graph.dominators(spark.createDataFrame(sorted(edges), "method long, src long, dst long")).collect()}
+    want = set()
+    for m in range(25):
+        own = {(a, b) for n, a, b in edges if n == m}
+        nodes = sorted({x for e in own for x in e})
+        before = {n: {a for a, b in own if b == n} for n in nodes}
+        sets = {n: {n} if n == nodes[0] or not before[n] else set(nodes) for n in nodes}
+        for _ in range(len(nodes) + 1):
+            for n in nodes[1:]:
+                if before[n]:
+                    sets[n] = {n} | set.intersection(*(sets[p] for p in before[n]))
+        want |= {(m, n, d) for n in nodes for d in sets[n]}
+    assert got == want
