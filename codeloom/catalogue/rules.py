@@ -45,6 +45,13 @@ register(
     lambda s: _paths(s).select("path", risk.file_criticality(F.col("path")).alias("criticality")).distinct(),
     f"n AS (SELECT path, path AS p, regexp_extract(path, '[^/]*$') AS b FROM ({_PATHS.format(resources='resources', classes='classes')})) SELECT path, {_CRIT} AS criticality FROM n",
 )
+register(
+    "file_kinds",
+    lambda s: _paths(s).select("path", risk.file_kind(F.col("path")).alias("kind")).distinct(),
+    f"""SELECT path, CASE WHEN regexp_matches(path, '(^|/)META-INF/services/') THEN 'service_descriptor' WHEN regexp_extract(path, '[^/]*$') IN ('pom.xml', 'build.gradle', 'build.gradle.kts', 'settings.gradle', 'settings.gradle.kts', 'gradle.properties', 'maven-wrapper.properties', 'gradle-wrapper.properties')
+    OR regexp_matches(path, '(^|/)buildSrc/|(^|/)gradle/libs\\.versions\\.') THEN 'build_configuration' WHEN regexp_matches(path, '(^|/)\\.github/workflows/') THEN 'ci_configuration' WHEN contains(path, '/resources/') OR starts_with(path, 'src/main/resources/') THEN 'resource'
+    WHEN path LIKE '%.java' OR path LIKE '%.kt' THEN 'source' WHEN regexp_matches(path, '(^|/)src/test/') THEN 'test' WHEN path LIKE '%.md' OR path LIKE '%.adoc' THEN 'documentation' ELSE 'file' END AS kind FROM ({_PATHS.format(resources='resources', classes='classes')})""",
+)
 _TARGETS = lambda s: s.classes.where("id IN (0, 3, 17, 40)").select("id")
 _TESTS = "tests AS (SELECT id, class_name FROM cur WHERE source_set = 'test' OR regexp_matches(source_file, '(^|/)src/test/|(Test|Tests|IT|ITCase|Spec)\\.(java|kt)$'))"
 _REACH = "w0 AS (SELECT unnest([CAST(0 AS BIGINT), 3, 17, 40]) AS node, 0 AS depth UNION SELECT from_class_id, depth + 1 FROM w0 JOIN dependencies ON to_class_id = node WHERE depth < {d})"

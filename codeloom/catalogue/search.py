@@ -41,7 +41,14 @@ register(
 )
 register("search_external_symbols", lambda s: q.search_external(s, "Bolt*", limit=200), "SELECT DISTINCT external_type FROM external_deps WHERE contains(lower(external_type), 'bolt') ORDER BY 1 LIMIT 200")
 register("search_external_prefix", lambda s: q.search_external(s, "org.small", mode="prefix", limit=200), "SELECT DISTINCT external_type FROM external_deps WHERE starts_with(lower(external_type), 'org.small') OR starts_with(regexp_extract(lower(external_type), '[^.]*$'), 'org.small') ORDER BY 1 LIMIT 200")
-register("external_symbol_details", lambda s: q.external_details(s, "org.small.blue.bolt"), "SELECT external_type, usage_kind, count(DISTINCT class_id) AS classes FROM external_deps WHERE external_type = 'org.small.blue.bolt' GROUP BY 1, 2")
+register("search_external_of_library", lambda s: q.search_external(s, "s", kind="FIELD", library="org.small", class_name="p1", limit=200), f"{CUR} SELECT DISTINCT external_type FROM external_deps x JOIN cur ON cur.id = class_id WHERE contains(lower(external_type), 's') AND usage_kind = 'FIELD' AND starts_with(external_type, 'org.small.') AND contains(lower(class_name), 'p1') ORDER BY 1 LIMIT 200")
+for _name, _type in (("external_symbol_details", "org.small.blue.bolt"), ("external_symbol_details_by_simple_name", "bolt")):
+    register(
+        _name,
+        lambda s, n=_type: q.external_details(s, n),
+        f"""m AS (SELECT *, external_type = '{_type}' AS whole FROM external_deps WHERE external_type = '{_type}' OR regexp_extract(external_type, '[^.]*$') = '{_type}')
+        SELECT external_type, CASE WHEN (SELECT bool_or(whole) OR count(DISTINCT external_type) = 1 FROM m) THEN 'resolved' ELSE 'ambiguous' END AS status, usage_kind, count(DISTINCT class_id) AS classes FROM m WHERE whole = (SELECT bool_or(whole) FROM m) GROUP BY 1, 2, 3""",
+    )
 register("list_beans", lambda s: q.list_beans(s, scope="Dependent", qualifier="Default", limit=100), "SELECT b.id, class_name, origin, b.kind, scope, qualifier FROM beans b JOIN classes c ON c.id = class_id WHERE scope = 'Dependent' AND contains(qualifier, 'Default') ORDER BY 2, 3, 4, 1 LIMIT 100")
 register("list_beans_of_profile", lambda s: q.list_beans(s, profile="prod", kind="MANAGED"), "SELECT b.id, class_name, origin, b.kind, scope, qualifier FROM beans b JOIN classes c ON c.id = class_id WHERE profile = 'prod' AND b.kind = 'MANAGED' ORDER BY 2, 3, 4, 1 LIMIT 50")
 _ARTIFACTS = """t AS (SELECT module, visible, visible AS node FROM module_edges UNION SELECT t.module, t.visible, e.visible FROM t JOIN module_edges e ON e.module = t.node),

@@ -34,7 +34,7 @@ _COUNTED = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.s
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case. Numerals that aren't decimal digits (as in Roman or fraction signs) are no letters."""
     found = _WORD.findall(text.lower())
-    return found if all(map(str.isalpha, found)) else ["".join(run) for word in found for is_letter, run in groupby(word, str.isalpha) if is_letter]
+    return found if not found or "".join(found).isalpha() else ["".join(run) for word in found for is_letter, run in groupby(word, str.isalpha) if is_letter]
 
 
 def grams(word: str, n: int) -> list[str]:

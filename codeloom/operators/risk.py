@@ -65,6 +65,19 @@ def file_criticality(path: Column) -> Column:
     )
 
 
+def file_kind(path: Column) -> Column:
+    """What a file is, by its place and name: the first rule that fits."""
+    whole = F.translate(path, "\\", "/")
+    name = base_name(whole)
+    below = lambda folder: whole.startswith(f"{folder}/") | whole.contains(f"/{folder}/")
+    build = name.isin(*BUILD_FILES) | below("buildSrc") | whole.startswith("gradle/libs.versions.") | whole.contains("/gradle/libs.versions.")
+    return (
+        F.when(below("META-INF/services"), "service_descriptor").when(build, "build_configuration").when(below(".github/workflows"), "ci_configuration")
+        .when(whole.contains("/resources/") | whole.startswith("src/main/resources/"), "resource").when(name.endswith(".java") | name.endswith(".kt"), "source").when(below("src/test"), "test")
+        .when(name.endswith(".md") | name.endswith(".adoc"), "documentation").otherwise("file")
+    )
+
+
 def is_test_path(path: Column) -> Column:
     """Below src/test, or named as tests are."""
     whole = F.translate(path, "\\", "/")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.paging import page
-from codeloom.functions.text import base_name, contains_pattern, has_modifier, is_main, outer_name, package_glob, package_name, path_glob, property_pattern, simple_name
+from codeloom.functions.text import base_name, contains_pattern, has_modifier, is_main, library_of, outer_name, package_glob, package_name, path_glob, property_pattern, simple_name
 from codeloom.operators.graph import closure_of, distances
 from codeloom.operators.metrics import edges_between_current
 from codeloom.plans.snapshot import Snapshot, is_production
@@ -94,17 +94,30 @@ def project_tree(s: Snapshot, path: str = "", *, depth: int = 2, limit: int | No
     return page(rows.select(prefix.alias("entry"), "level", (prefix == F.col("path")).alias("file")).groupBy("entry").agg(F.min("level").alias("level"), F.max("file").alias("is_file"), F.count(F.lit(1)).alias("files")).orderBy("entry"), limit)
 
 
-def search_external(s: Snapshot, pattern: str, *, mode: str = "contains", limit: int | None = 50) -> DataFrame:
-    """External types whose qualified or simple name is equal to, starts with or contains a text; stars are dropped."""
+def search_external(s: Snapshot, pattern: str, *, mode: str = "contains", kind: str | None = None, class_name: str | None = None, library: str | None = None, limit: int | None = 50) -> DataFrame:
+    """External types whose qualified or simple name is equal to, starts with or contains a text; stars are dropped. Of those
+    that are used in a way (``kind``), by classes with a part of a name, or that are in a library (the first two parts of a name)."""
     want = pattern.replace("*", "").lower()
     test = {"exact": lambda c: c == want, "prefix": lambda c: c.startswith(want), "contains": lambda c: c.contains(want)}[mode]
-    names = s.external_deps.select("external_type").distinct()
+    used = s.external_deps
+    if kind is not None:
+        used = used.where(F.col("usage_kind") == kind)
+    if library is not None:
+        used = used.where(library_of(F.col("external_type")) == library)
+    if class_name is not None:
+        used = used.join(s.current().where(F.lower("class_name").contains(class_name.lower())).select(F.col("id").alias("class_id")), "class_id", "left_semi")
+    names = used.select("external_type").distinct()
     return page(names.where(test(F.lower("external_type")) | test(F.lower(simple_name(F.col("external_type"))))).orderBy("external_type"), limit)
 
 
 def external_details(s: Snapshot, name: str) -> DataFrame:
-    """Uses of an external type by kind."""
-    return s.external_deps.where(F.col("external_type") == name).groupBy("external_type", "usage_kind").agg(F.countDistinct("class_id").alias("classes"))
+    """(external_type, status, usage_kind, classes): uses by kind of the external type of a qualified name, or without one of the types of
+    that simple name; several of those are ambiguous."""
+    rows = s.external_deps.where((F.col("external_type") == name) | (simple_name(F.col("external_type")) == name))
+    found = rows.withColumn("whole", (F.col("external_type") == name).cast("int"))
+    best = found.agg(F.max("whole").alias("whole"), F.countDistinct("external_type").alias("types"))
+    kept = found.join(best.select("whole", F.when((F.col("whole") == 1) | (F.col("types") == 1), "resolved").otherwise("ambiguous").alias("status")), "whole")
+    return kept.groupBy("external_type", "status", "usage_kind").agg(F.countDistinct("class_id").alias("classes"))
 
 
 def list_beans(s: Snapshot, *, scope: str | None = None, kind: str | None = None, profile: str | None = None, qualifier: str | None = None, module: str | None = None, limit: int | None = 50) -> DataFrame:
