@@ -57,7 +57,7 @@ _ARTIFACTS = """t AS (SELECT module, visible, visible AS node FROM module_edges
 register("project_dependencies", q.project_dependencies, f"{_ARTIFACTS} SELECT * FROM pd")
 register("project_dependencies_of_scope", lambda s: q.project_dependencies(s, scope="test", directness="mixed"), f"{_ARTIFACTS} SELECT * FROM pd WHERE list_contains(string_split(scopes, ','), 'test') AND directness = 'mixed'")
 _ROUTES = f"""{CUR}, em AS (SELECT *, CASE WHEN starts_with(annotation, 'org.springframework') THEN 'spring' ELSE 'jax-rs' END AS framework, CASE WHEN annotation LIKE '%.PostMapping' THEN 'POST' WHEN annotation LIKE '%.GET' THEN 'GET' ELSE verbs END AS vs FROM endpoint_marks),
-    mv AS (SELECT class_id, name, descriptor, framework, unnest(string_split(vs, ',')) AS verb FROM em WHERE vs <> ''), mp AS (SELECT class_id, name, descriptor, framework, unnest(string_split(paths, ',')) AS path FROM em WHERE paths <> ''),
+    mv AS (SELECT class_id, name, descriptor, framework, unnest(string_split(vs, chr(10))) AS verb FROM em WHERE vs <> ''), mp AS (SELECT class_id, name, descriptor, framework, unnest(string_split(paths, chr(10))) AS path FROM em WHERE paths <> ''),
     mt AS (SELECT DISTINCT class_id, class_name, em.name, descriptor, framework FROM em JOIN cur ON cur.id = class_id WHERE em.name <> ''),
     r3 AS (SELECT DISTINCT mt.*, coalesce(mv.verb, CASE mt.framework WHEN 'spring' THEN 'ANY' ELSE 'SUBRESOURCE' END) AS http_method, regexp_replace('/' || coalesce(b.path, '') || '/' || coalesce(p.path, ''), '/+', '/', 'g') AS whole
     FROM mt LEFT JOIN mv ON mv.class_id = mt.class_id AND mv.framework = mt.framework AND ((mv.name = mt.name AND mv.descriptor = mt.descriptor) OR mv.name = '')

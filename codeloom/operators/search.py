@@ -157,12 +157,12 @@ REST_METHODS = (*(f"{p}{v}" for p in JAX for v in ("Path", *JAX_VERBS)), f"{SPRI
 
 
 def _parts(column: str) -> Column:
-    return F.filter(F.split(column, ","), lambda x: x != "")
+    return F.filter(F.split(column, "\n"), lambda x: x != "")
 
 
 def framework_endpoints(s: Snapshot, *, http_method: str | None = None, path_prefix: str | None = None) -> DataFrame:
     """Routes of current classes: class paths with method paths, one row for each verb and path. ``endpoint_marks``
-    has the values of route annotations: of a class where the name is empty, else of a method. Spring's verbs without
+    has the values of route annotations, joined by line ends: of a class where the name is empty, else of a method. Spring's verbs without
     one are ANY, a JAX-RS path without a verb is a SUBRESOURCE. Slashes between parts are one."""
     name = F.col("annotation")
     spring = name.startswith(SPRING)

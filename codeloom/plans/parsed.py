@@ -29,7 +29,7 @@ def _parameters(descriptor: str) -> Column:
 def snapshot_of(parsed: DataFrame, *, module: str | None = None, source_set: str | None = "main", repository: str | None = None) -> Snapshot:
     """A snapshot of the classes in ``parsed`` (see ``classfile.parsed_classes``), of one module and source set. A class's id is a
     hash of its name, so no order over all classes is needed; of several files with a class the first path counts. What class files
-    don't tell (history, configuration, routes' paths) is absent; dependencies on classes outside are left out, as they have no id."""
+    don't tell (history, configuration) is absent; dependencies on classes outside are left out, as they have no id."""
     one = parsed.where("problem is null").groupBy("class_name").agg(F.min_by(F.struct(*[c for c in parsed.columns if c != "class_name"]), "path").alias("c")).select("class_name", "c.*")
     beans = classfile.discovered_beans(one)
     marked = beans.where("kind = 'MANAGED'").select("class_name", F.lit(True).alias("is_bean")).distinct()
@@ -58,6 +58,6 @@ def snapshot_of(parsed: DataFrame, *, module: str | None = None, source_set: str
             "method_calls": calls.select(_id("class_name").alias("caller_class_id"), F.col("method").alias("caller_method"), F.col("descriptor").alias("caller_descriptor"), _id("owner").alias("target_class_id"), F.col("name").alias("target_method"), F.col("to").alias("target_descriptor"), "invocation_kind", "occurrence_count"),
             "field_accesses": accesses.select(_id("class_name").alias("accessor_class_id"), F.col("method").alias("accessor_method"), _id("owner").alias("owner_class_id"), F.col("name").alias("field_name"), "access_kind", "occurrence_count"),
             "service_registrations": none("service_type string, class_id long"),
-            "endpoint_marks": none("class_id long, name string, descriptor string, annotation string, paths string, verbs string"),
+            "endpoint_marks": classfile.endpoint_marks(one).withColumn("class_id", _id("class_name")).drop("class_name"),
         },
     )

@@ -57,11 +57,11 @@ RELATIONS: dict[str, str] = {
         UNION ALL SELECT p_partkey, 'jakarta.ws.rs.Path', true, NULL FROM part WHERE p_partkey % 14 = 0
         UNION ALL SELECT p_partkey, 'org.springframework.web.bind.annotation.RequestMapping', p_partkey % 28 = 3, CASE WHEN p_partkey % 28 <> 3 THEN 'org.acme.Api' END FROM part WHERE p_partkey % 14 = 3""",
     "endpoint_marks": f"""SELECT p_partkey AS class_id, '' AS name, '' AS descriptor, 'jakarta.ws.rs.Path' AS annotation, concat('/m', substr(p_brand, 7)) AS paths, '' AS verbs FROM part WHERE p_partkey % 14 = 0
-        UNION ALL SELECT p_partkey, '', '', 'org.springframework.web.bind.annotation.RequestMapping', concat('/m', CAST(p_partkey % 5 AS STRING), ',b/'), '' FROM part WHERE p_partkey % 14 = 3
+        UNION ALL SELECT p_partkey, '', '', 'org.springframework.web.bind.annotation.RequestMapping', concat('/m', CAST(p_partkey % 5 AS STRING), chr(10), 'b/'), '' FROM part WHERE p_partkey % 14 = 3
         UNION ALL SELECT p_partkey, {_GETTER.format(id='p_partkey')}, '(I)Ljava/lang/String;', 'jakarta.ws.rs.GET', '', '' FROM part WHERE p_partkey % 7 = 0
         UNION ALL SELECT p_partkey, {_GETTER.format(id='p_partkey')}, '(I)Ljava/lang/String;', 'jakarta.ws.rs.Path', concat('item/', CAST(p_partkey % 3 AS STRING)), '' FROM part WHERE p_partkey % 21 = 0
-        UNION ALL SELECT p_partkey, {_GETTER.format(id='p_partkey')}, '(I)Ljava/lang/String;', 'org.springframework.web.bind.annotation.PostMapping', '/save,put', '' FROM part WHERE p_partkey % 7 = 3
-        UNION ALL SELECT p_partkey, 'run', '()V', 'org.springframework.web.bind.annotation.RequestMapping', '/run', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'GET,PUT' END FROM part WHERE p_partkey % 28 = 3
+        UNION ALL SELECT p_partkey, {_GETTER.format(id='p_partkey')}, '(I)Ljava/lang/String;', 'org.springframework.web.bind.annotation.PostMapping', concat('/save', chr(10), 'put'), '' FROM part WHERE p_partkey % 7 = 3
+        UNION ALL SELECT p_partkey, 'run', '()V', 'org.springframework.web.bind.annotation.RequestMapping', '/run', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('GET', chr(10), 'PUT') END FROM part WHERE p_partkey % 28 = 3
         UNION ALL SELECT p_partkey, 'run', '()V', 'jakarta.ws.rs.Path', 'sub', '' FROM part WHERE p_partkey % 28 = 14""",
     "module_artifacts": "SELECT DISTINCT p_brand AS coordinate, p_type AS repository, CASE WHEN length(p_type) > 5 THEN '1.0' ELSE '1.1' END AS version FROM part",
     "service_registrations": "SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'javax.annotation.processing.Processor' ELSE 'org.acme.spi.Service' END AS service_type, s_suppkey * 7 AS class_id FROM supplier WHERE s_suppkey % 3 = 1",    "class_members": f"""SELECT p_partkey AS class_id, 'METHOD' AS kind, 'run' AS name, '()V' AS descriptor, '' AS parameter_types,

@@ -41,6 +41,7 @@ class ClassFile:
     flags: list[str]
     source_file: str | None = None
     annotations: list[str] = field(default_factory=list)
+    values: list[dict] = field(default_factory=list)
     members: list[dict] = field(default_factory=list)
     calls: list[dict] = field(default_factory=list)
     accesses: list[dict] = field(default_factory=list)
@@ -129,14 +130,14 @@ def parse(data: bytes) -> ClassFile:
             out.members.append(row)
             for attribute, body in _attributes(r, pool):
                 if attribute in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
-                    row["annotations"] += _annotations(body, pool)
+                    _mark(out, row["annotations"], _annotations(body, pool), name, descriptor)
                 elif attribute == "Code":
                     _code(body, pool, out, name, descriptor)
     for attribute, body in _attributes(r, pool):
         if attribute == "SourceFile":
             out.source_file = pool.text(struct.unpack(">H", body)[0])
         elif attribute in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
-            out.annotations += _annotations(body, pool)
+            _mark(out, out.annotations, _annotations(body, pool), "", "")
     return out
 
 
@@ -146,31 +147,35 @@ def _attributes(r: _Reader, pool: _Pool) -> Iterator[tuple[str, bytes]]:
         yield name, r.bytes(r.take("I"))
 
 
-def _annotations(body: bytes, pool: _Pool) -> list[str]:
-    r, out = _Reader(body), []
+def _annotations(body: bytes, pool: _Pool) -> list[tuple[str, dict[str, list[str]]]]:
+    """(name, values by element) of the annotations of one attribute; texts and names of enum constants and classes, others are empty."""
+    r = _Reader(body)
 
-    def value() -> None:
+    def value() -> list[str]:
         tag = chr(r.take("B"))
         if tag == "e":
-            r.take("I")
-        elif tag == "@":
-            annotation()
-        elif tag == "[":
-            for _ in range(r.take("H")):
-                value()
-        else:
             r.take("H")
+            return [pool.text(r.take("H"))]
+        if tag == "@":
+            annotation()
+            return []
+        if tag == "[":
+            return [v for _ in range(r.take("H")) for v in value()]
+        at = r.take("H")
+        return [pool.text(at)] if tag == "s" else [_type_name(pool.text(at)) or pool.text(at)] if tag == "c" else []
 
-    def annotation() -> str:
+    def annotation() -> tuple[str, dict[str, list[str]]]:
         name = _type_name(pool.text(r.take("H")))
-        for _ in range(r.take("H")):
-            r.take("H")
-            value()
-        return name
+        return name, {pool.text(r.take("H")): value() for _ in range(r.take("H"))}
 
-    for _ in range(r.take("H")):
-        out.append(annotation())
-    return out
+    return [annotation() for _ in range(r.take("H"))]
+
+
+def _mark(out: ClassFile, names: list[str], found: list[tuple[str, dict]], member: str, descriptor: str) -> None:
+    """Add annotations by name, and their values with the place that has them."""
+    for name, values in found:
+        names.append(name)
+        out.values += [{"member": member, "descriptor": descriptor, "annotation": name, "element": e, "values": v} for e, v in (values or {"": []}).items()]
 
 
 def _code(body: bytes, pool: _Pool, out: ClassFile, method: str, descriptor: str) -> None:
@@ -262,6 +267,7 @@ def _shape(code: bytes, at: int) -> tuple[int, list[int] | None]:
 
 
 _SCHEMA = """path string, class_name string, superclass string, interfaces array<string>, kind string, flags array<string>, source_file string, annotations array<string>,
+    values array<struct<member:string,descriptor:string,annotation:string,element:string,values:array<string>>>,
     members array<struct<kind:string,name:string,descriptor:string,modifiers:array<string>,annotations:array<string>>>,
     calls array<struct<method:string,descriptor:string,owner:string,name:string,to:string,invocation_kind:string,ordinal:int,line:int>>,
     accesses array<struct<method:string,descriptor:string,owner:string,name:string,to:string,access_kind:string,ordinal:int,line:int>>,
@@ -295,7 +301,7 @@ def parsed_classes(files: DataFrame) -> DataFrame:
         except (ValueError, IndexError, struct.error, TypeError) as e:
             yield {"path": path, "problem": str(e) or type(e).__name__}
             return
-        yield {"path": path, "class_name": c.name} | {k: getattr(c, k) for k in ("superclass", "interfaces", "kind", "flags", "source_file", "annotations", "members", "calls", "accesses", "references", "flow", "constants")}
+        yield {"path": path, "class_name": c.name} | {k: getattr(c, k) for k in ("superclass", "interfaces", "kind", "flags", "source_file", "annotations", "values", "members", "calls", "accesses", "references", "flow", "constants")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -325,6 +331,20 @@ def member_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("class_name", F.explode("members").alias("m")).select("class_name", "m.*")
 
 
+def annotation_values(parsed: DataFrame) -> DataFrame:
+    """(class_name, member, descriptor, annotation, element, values): what annotations of classes (no member) and members say; one row
+    for each element, with an empty one for annotations without any."""
+    return parsed.select("class_name", F.explode("values").alias("v")).select("class_name", "v.*")
+
+
+def endpoint_marks(parsed: DataFrame) -> DataFrame:
+    """(class_name, name, descriptor, annotation, paths, verbs): paths and verbs of annotations that have either by name or by
+    element, in the order of the file, joined by line ends. ``path`` goes before ``value``, as one is the other's alias."""
+    by = annotation_values(parsed).groupBy("class_name", F.col("member").alias("name"), "descriptor", "annotation")
+    of = lambda e: F.max(F.when(F.col("element") == e, F.when(F.size("values") > 0, F.array_join("values", "\n"))))
+    return by.agg(F.coalesce(of("path"), of("value"), F.lit("")).alias("paths"), F.coalesce(of("method"), F.lit("")).alias("verbs"))
+
+
 def call_rows(parsed: DataFrame) -> DataFrame:
     """Calls with their number, lines and places, one row for each caller, target and kind."""
     rows = parsed.select("class_name", F.explode("calls").alias("c")).select("class_name", "c.*")

@@ -68,3 +68,18 @@ def test_usages_and_calls(index):
     assert {r.direction for r in calls} == {"outbound", "inbound"}
     assert search.entry_points(index).count() == 0  # a library without mains, routes or services
     assert metrics.reference_caveats(index).count() >= 0
+
+
+def test_routes_of_class_files(spark):
+    """Resources of the engine's own status pages, annotated in class files."""
+    import zipfile
+
+    core = sorted(glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-core_*.jar")))[0]
+    with zipfile.ZipFile(core) as jar:
+        files = [(n, bytearray(jar.read(n))) for n in jar.namelist() if n.startswith("org/apache/spark/status/api/v1/ApiRootResource") or n.startswith("org/apache/spark/status/api/v1/OneApplicationResource")]
+    s = snapshot_of(stored(classfile.parsed_classes(spark.createDataFrame(files, "path string, content binary"))))
+    rows = {(r.class_name.rpartition(".")[2], r.name, r.http_method, r.path) for r in search.framework_endpoints(s).collect()}
+    assert ("ApiRootResource", "version", "GET", "/v1/version") in rows
+    assert ("ApiRootResource", "applicationList", "SUBRESOURCE", "/v1/applications") in rows
+    kinds = {(r.class_name.rpartition(".")[2], r.entry_kind) for r in search.entry_points(s).collect()}
+    assert ("ApiRootResource", "rest_resource") in kinds and ("ApiRootResource", "rest_endpoint") in kinds
