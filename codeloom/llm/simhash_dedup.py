@@ -148,9 +148,10 @@ def _farthest(similarity: float, bits: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 20, first: int = 4, batch: int = 4, radius: int = 2, min_similarity: float = 0.8, bucket_entries: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node long, component_id): groups of texts whose shingle sets have a Jaccard coefficient of
+    """(doc_id, node long, group long, component_id): groups of texts whose shingle sets have a Jaccard coefficient of
     ``min_similarity`` or more, found by ball hashing over ``tables`` 32-bit fingerprints. ``node`` is
-    the text's XXH64 (as Spark's ``xxhash64``), ``component_id`` the smallest id of the group.
+    the text's XXH64 (as Spark's ``xxhash64``), ``group`` the least node that a text reaches, and ``component_id`` the smallest
+    id of the group, which several groups may have if several texts have that id.
 
     In the ``first`` tables, neighbours within a value are proposed: a number linear in its rows, that
     joins most of a group of very many near copies. Then all tables, ``batch`` of them at a time,
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, tables: int = 20, firs
         drop_stored(table)
     rooted = keyed.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select(F.col("id").alias("doc_id"), "node", "component_id")
+    return rooted.join(least, "root").select(F.col("id").alias("doc_id"), "node", F.col("root").alias("group"), "component_id")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

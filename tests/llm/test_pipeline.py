@@ -53,3 +53,14 @@ def test_run(spark, folder):
     got = cp.run(spark, path).collect()
     assert got and not {r.doc_id for r in got} & set(range(400, 430))
     assert all(len(r.ids) == r.length for r in got)
+
+
+def test_ids_that_repeat(spark):
+    """An id with several texts keeps each that is no copy; rows that repeat an id and a text are one; rows without an id stay."""
+    r = random.Random(4)
+    one, two, three = (" ".join(f"w{r.randrange(10_000)}" for _ in range(60)) for _ in range(3))
+    rows = [(7, one, "en", "a", 1), (7, two, "en", "b", 1), (8, one + " end", "en", "c", 1), (9, two + " end", "en", "d", 1), (3, three, "en", "z", 1), (3, three, "de", "y", 1), (3, three, None, "x", None), (None, one, "en", "e", 1), (None, one, "en", "e", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((x.doc_id, x.text, x.lang, x.source) for x in cp.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(7, one, "en", "a"), (7, two, "en", "b"), (3, three, None, "x"), (None, one, "en", "e"), (None, one, "en", "e")], key=repr)
+    assert cp.near_duplicates(spark, docs.limit(0), "").collect() == []
