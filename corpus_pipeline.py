@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the smallest id, of several texts of that id the one with the smallest hash. Of rows that repeat its id and
     text, the least by the other columns stays. Documents without an id have no group and stay."""
     groups = stored(simhash_dedup.near_duplicates(docs))
-    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("node").alias("kept"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("group").agg(F.min("node").alias("kept"), F.min("component_id").alias("component_id"))
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     found = docs.withColumn("node", node).join(first, (F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("kept")), "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
