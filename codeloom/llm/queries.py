@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, embedding_dedup, fingerprint, language_id, packing, quality_knn, secret_scan, sharding, simhash_dedup, substring_dedup
+from codeloom.llm import byte_bpe, collocations, embedding_dedup, fill_middle, fingerprint, language_id, packing, quality_knn, secret_scan, sharding, simhash_dedup, substring_dedup, token_counts
 from codeloom.llm.common import held_out, stored
 from codeloom.runtime import table
 
@@ -73,6 +73,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), restored=True, digests=True)
+    return found.withColumnsRenamed({"output": "output_sha256", "restored": "restored_sha256"})
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -93,7 +106,31 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), c AS (SELECT x, min(y) AS leas
 SELECT vec_id, coalesce(n, 0) AS n_links, least AS component_id, vec_id = least AS kept FROM v JOIN c ON x = vec_id LEFT JOIN n ON a = vec_id"""
 
 
+_FILLED = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS x FROM documents),
+u AS (SELECT doc_id, t, x, CASE WHEN t = '' THEN [] ELSE list_filter(string_split(regexp_replace(t, '([^\x20\x09-\x0D])([\x20\x09-\x0D])', '\1' || chr(1) || chr(2) || '\2', 'g'), chr(1) || chr(2)), lambda y: y <> '') END AS w FROM d),
+h AS (SELECT *, len(w) AS n, list_transform([1, 9, 17, 25], lambda k: CAST(('0x' || substr(x, k, 8)) AS BIGINT)) AS h FROM u),
+f AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+g AS (SELECT *, list_sum(list_transform(w[1:a], lambda y: length(y))) AS pa, list_sum(list_transform(w[1:b], lambda y: length(y))) AS pb FROM f),
+p AS (SELECT *, substr(t, 1, coalesce(pa, 0)::BIGINT) AS pre, substr(t, coalesce(pa, 0)::BIGINT + 1, (coalesce(pb, 0) - coalesce(pa, 0))::BIGINT) AS mid, substr(t, coalesce(pb, 0)::BIGINT + 1) AS suf FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+_PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i:i + m - 1] AS w, m, count(*) AS f FROM i, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+k AS (SELECT lang, w, m, f, unnest(range(1, m)) AS k FROM g WHERE m > 1),
+s AS (SELECT k.lang, k.w, k.m, k.f AS a, k.k, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * k.f) // (l.f + r.f) AS score FROM k JOIN g l ON l.lang = k.lang AND l.w = k.w[1:k.k] JOIN g r ON r.lang = k.lang AND r.w = k.w[k.k + 1:]),
+c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+x AS (SELECT lang, w[i:j] AS w, max(f) AS most FROM (SELECT lang, w, f, m, i, unnest(range(i + 1, m + 1)) AS j FROM (SELECT *, unnest(range(1, m)) AS i FROM g WHERE m > 2)) WHERE j - i + 1 < m GROUP BY ALL),
+o AS (SELECT c.lang, array_to_string(c.w, ' ') AS phrase, a, l, r, score FROM c LEFT JOIN x ON x.lang = c.lang AND x.w = c.w WHERE most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT t.lang, rank, phrase, a, l, r, n.n AS n, CAST(score AS BIGINT) AS score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can state: the others hash, learn, tokenize or place rows in ways that SQL
     doesn't have; tests compare those with brute force, exact round trips or held-out labels."""
-    return {"op6_substring_dedup": _REPEATS, "op7_embedding_dedup": _LINKED}
+    return {"op6_substring_dedup": _REPEATS, "op7_embedding_dedup": _LINKED, "op11_fill_middle": _FILLED, "op12_collocations": _PHRASES}

@@ -22,6 +22,8 @@ COLUMNS = {
     "op8_language_id": "doc_id held_out lang_pred score",
     "op9_histogram_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11_fill_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13_token_counts": "doc_id n_bytes n_tokens over_limit",
 }
 
 
