@@ -6,6 +6,9 @@ column of its family, so there is no vocabulary to cut. Weighted by frequency an
 reduced to a few latent dimensions by the singular vectors of the labelled texts. The labelled vectors, a bounded sample with as many of each
 label, are broadcast; each document's cosines with all of them are exact, computed in blocks, and
 the nearest vote with their similarity.
+
+What is multiplied is rounded to fixed grids first, so that all sums are exact in double precision: a text's score depends neither on the
+block that it is in nor on the order of sums. Neighbours as near as each other count in the order of the labelled vectors.
 """
 
 from __future__ import annotations
@@ -66,8 +69,15 @@ class QualityModel:
     power: float
     families: tuple[str, ...]
 
+    def __post_init__(self) -> None:
+        # frequencies have 20 bits, the projection 19, a sum of COLUMNS products 13 more: 52
+        scale = np.abs(self.project).max(initial=0.0) or 1.0
+        self.grid = np.round(self.project.astype(np.float64) / scale * 2.0**19)
+        self.points = _on_grid(self.vectors.astype(np.float64))
+
     def embed(self, found: np.ndarray) -> np.ndarray:
-        return _units(np.sqrt(found) @ self.project)
+        """Unit vectors on a grid."""
+        return _on_grid(np.round(np.sqrt(found.astype(np.float64)) * 2.0**20) @ self.grid)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """0 to 1, higher for label 1; 0.5 without a neighbour (no known term, or no label learnt)."""
@@ -75,9 +85,12 @@ class QualityModel:
         if not len(self.vectors):
             return out
         k = min(self.neighbours, len(self.vectors))
+        last = len(self.vectors) - np.arange(len(self.vectors), dtype=np.float64)  # the first of equals is the greatest
         for a in range(0, len(texts), _BLOCK):
-            near = self.embed(np.stack([terms(t, self.families) for t in texts[a : a + _BLOCK]])) @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            near = self.embed(np.stack([terms(t, self.families) for t in texts[a : a + _BLOCK]])) @ self.points.T
+            order = np.rint(near * 2.0**20) * (len(self.vectors) + 1) + last  # whole numbers that are all different
+            top = np.argpartition(-order, k - 1, axis=1)[:, :k]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(order, top, axis=1), axis=1), axis=1)
             weight = np.maximum(np.take_along_axis(near, top, axis=1), 0.0) ** self.power
             total = weight.sum(axis=1)
             some = total > 0
@@ -85,6 +98,14 @@ class QualityModel:
         return out
 
 
+def _on_grid(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in multiples of 2 to the power of -22; zeros stay. All sums that are made of them are exact."""
+    greatest = np.abs(x).max(axis=1, keepdims=True, initial=0.0)
+    near = np.round(np.divide(x, greatest, out=np.zeros_like(x), where=greatest > 0) * 2.0**22)
+    norms = np.sqrt((near * near).sum(axis=1, keepdims=True))
+    return np.round(np.divide(near, norms, out=np.zeros_like(x), where=norms > 0) * 2.0**22) / 2.0**22
+
+
 def _leading(x: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
     """Right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
     wide = min(dimensions + 16, *x.shape)
@@ -105,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, dimensions: i
     hash of the id; each is a vector of ``COLUMNS`` numbers at most. So the model's size is bounded.
     ``families`` names the terms; words, whose language and topic say less, weigh ``word_weight``. Null labels and ids teach nothing; of several labels of a document the greatest
     counts. Rows that repeat an id and a text teach once; different texts of an id teach each, up to ``4 * sample``
-    rows in all. The order of rows makes no difference."""
+    rows in all, by a hash. The order of rows makes no difference."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     seen = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     grain = 1 << 30
@@ -120,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, dimensions: i
             yield {"y": part.column("y"), "i": part.column("i").cast(pa.string()), "at": [k.tobytes() for k in at], "share": [f[k].tobytes() for f, k in zip(found, at, strict=True)]}
 
     # repeated rows of an id are one, and only rows of many different texts under one id go beyond the sample: those are cut
-    rows = arrow_map(texts.select("i", "t", "y"), work, "y int, i string, at binary, share binary").distinct().orderBy("i", "at", "share").limit(4 * sample).collect()
+    rows = arrow_map(texts.select("i", "t", "y"), work, "y int, i string, at binary, share binary").distinct().orderBy(F.xxhash64("i", "at"), "i", "at", "share").limit(4 * sample).collect()
     if not rows:
         return QualityModel(np.zeros((COLUMNS, 1)), np.zeros((0, 1)), np.zeros(0), neighbours, power, families)
     found, y = np.zeros((len(rows), COLUMNS), np.float32), np.array([r.y for r in rows], float)

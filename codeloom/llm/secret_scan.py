@@ -2,17 +2,17 @@
 
 The lexer reads source and configuration syntax (``name = "literal"``, ``name: literal``, ``:=``,
 ``=>``, quoted and indexed names, XML elements, command-line options, passwords in URLs) into pairs
-of a name and a literal or another name. Constants are propagated: a name that is assigned another
-name gets that name's literal. A literal is scored by how sensitive the name is that it reaches and
-by its own shape, so ``key = "..."; db_password = key`` marks the literal in the first statement.
+of a name and a literal or another name. Constants are propagated over the whole text: a name that is
+assigned another name gets the literal that this one had last, or, if it had none yet, gets next. A literal is scored by how
+sensitive the name is that it reaches and by its own shape, so ``key = "..."; db_password = key`` marks the literal in the
+first statement, in either order. Time and memory are linear in a text: values are held by position,
+and those of one run of characters that end together (``a:b:c``) are scored in one pass from its end.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,22 +33,28 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authtoken": 1.0,
 }
 PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("auth", "key"): 0.9, ("db", "pass"): 0.9}
-PLACEHOLDER = re.compile(r"(?i)^(?:.*(?:example|changeme|change_me|placeholder|your[_-]|dummy|redacted|undefined).*|(.)\1*|none|null|true|false|\$\{.*\}|\{\{.*\}\}|<.*>|%\w+%)$")
+PLACEHOLDER = re.compile(r"(?i)example|changeme|change_me|placeholder|your[_-]|dummy|redacted|undefined")
+_LAST_LETTERS = max(map(len, ("example", "changeme", "change_me", "placeholder", "your_", "dummy", "redacted", "undefined")))
 
 #: What a sensitive name holds when only its letters are left: words may be in any case and parted by any sign.
 _HINTS = tuple(sorted({w.encode() for w in SENSITIVE} | {"".join(p).encode() for p in PAIRS}))
 _SIGNS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
 _NAME = r"[A-Za-z_$][\w$.\-]*"
 _QUOTED = r"(?:[bBrRuUfF]{0,2})(?:\"\"\"(?P<q3>(?:[^\\]|\\.)*?)\"\"\"|\"(?P<q2>(?:[^\"\\\n]|\\.)*)\"|'(?P<q1>(?:[^'\\\n]|\\.)*)'|`(?P<q0>[^`\n]*)`)"
+# what a value without quotes may hold; where it ends is looked up, so that nested ones don't read it again
+_BARE = re.compile(r"[^\s;,\"'`<>(){}\[\]]+", re.ASCII)
 _STATEMENT = re.compile(
     rf"(?:\[\s*[\"'](?P<index>[^\"'\n]+)[\"']\s*\]|[\"'](?P<quoted>{_NAME})[\"']|(?<![\w$.\-])(?P<name>{_NAME}))"
     rf"\s*(?::\s*[A-Za-z_][\w.<>\[\]]*\s*(?==)(?!==))?(?P<op>:=|=>|=(?!=)|:)[ \t]*"
-    rf"(?:{_QUOTED}|(?P<ref>[A-Za-z_$][\w$.]*)(?=\s*(?:[;,)\]}}\n]|$))|(?P<bare>[^\s;,\"'`<>(){{}}\[\]]+))",
+    # the value of a key may stand alone on the next line
+    rf"(?:(?<=[: \t])(?:[|>][+-]?[ \t]*)?\r?\n[ \t]+(?=[^\s:]+[ \t]*(?:\r?\n|$)))?"
+    rf"(?:{_QUOTED}|(?P<ref>[A-Za-z_$][\w$.]*)(?=\s*(?:[;,)\]}}\n]|$))|(?P<bare>(?=[^\s;,\"'`<>(){{}}\[\]])))",
     re.ASCII | re.DOTALL,
 )
 _ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>", re.ASCII)
 _OPTION = re.compile(rf"(?<!\S)--?(?P<name>{_NAME})[ =](?P<value>[^\s\"'-][^\s\"']*)", re.ASCII)
-_URL = re.compile(r"[A-Za-z][\w+.-]*://[^\s:/@]+:(?P<value>[^\s:/@]+)@", re.ASCII)
+_URL = re.compile(r"://[^\s:/@]+:(?P<value>[^\s:/@]+)@", re.ASCII)
+_SCHEME = re.compile(r"[\w+.-]", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -61,16 +67,52 @@ def name_score(name: str) -> float:
     return best
 
 
+class Shape:
+    """What a literal's score depends on, of a literal that grows to the left."""
+
+    def __init__(self, text: str, stop: int) -> None:
+        self.text, self.start, self.stop = text, stop, stop
+        self.counts: dict[str, int] = {}
+        self.weight = 0.0  # the sum of c * log2(c) over the characters' numbers c
+        self.kinds = 0  # bits: small letters, capitals, digits, others
+        self.blank = self.placeholder = False
+
+    def grow(self, start: int) -> None:
+        text, counts = self.text, self.counts
+        for k in range(self.start - 1, start - 1, -1):
+            c = text[k]
+            n = counts.get(c, 0)
+            counts[c] = n + 1
+            self.weight += (n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)
+            if not n:
+                self.kinds |= 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 8
+                self.blank |= c.isspace()
+        self.placeholder = self.placeholder or bool(PLACEHOLDER.search(text, start, min(self.start + _LAST_LETTERS, self.stop)))
+        self.start = start
+
+    def score(self, quoted: bool) -> float:
+        text, start, stop = self.text, self.start, self.stop
+        n = stop - start
+        if n < 8 or self.blank or self.placeholder or len(self.counts) == 1:
+            return 0.0
+        first, last = text[start], text[stop - 1]
+        if (first == "<" and last == ">") or (first == "{" and text.startswith("{{", start) and text.endswith("}}", start, stop)) or (first == "$" and text.startswith("${", start) and last == "}"):
+            return 0.0
+        if first == "%" and last == "%" and re.compile(r"%\w+%").fullmatch(text, start, stop):
+            return 0.0
+        kinds = self.kinds.bit_count()
+        if kinds == 1 and not quoted:
+            return 0.0
+        entropy = max(0.0, math.log2(n) - self.weight / n)
+        # rounded: the order in which the characters were counted makes no difference
+        return round(min(1.0, 0.25 * min(n, 20) / 20 + 0.5 * min(entropy, 4.0) / 4.0 + 0.125 * (kinds - 1)), 9)
+
+
 def literal_score(value: str, quoted: bool) -> float:
     """How much a literal looks like a secret, 0 to 1: length, entropy and mixture of characters."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    if kinds == 1 and not quoted:
-        return 0.0
-    return min(1.0, 0.25 * min(n, 20) / 20 + 0.5 * min(entropy, 4.0) / 4.0 + 0.125 * (kinds - 1))
+    shape = Shape(value, len(value))
+    shape.grow(0)
+    return shape.score(quoted)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -85,41 +127,87 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, str]]:
-    """(name, sort, start, stop, value): sort is literal, bare or ref; start and stop are the value's."""
-    at = 0
+def pairs(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, stop, sort, name) by start: sort is literal, bare or ref; start and stop are the value's."""
+    out = []
+    at, run = 0, (0, 0)
     while m := _STATEMENT.search(text, at):
         name = m["index"] or m["quoted"] or m["name"]
-        group = next((g for g in ("q3", "q2", "q1", "q0", "ref", "bare") if m[g] is not None), None)
-        sort = "ref" if group == "ref" else "bare" if group == "bare" else "literal"
-        yield name, sort, m.start(group), m.end(group), m[group]
+        group = next(g for g in ("q3", "q2", "q1", "q0", "ref", "bare") if m[g] is not None)
+        start, stop = m.span(group)
+        if group == "bare":
+            if start >= run[1]:
+                run = _BARE.match(text, start).span()
+            stop = run[1]
+        out.append((start, stop, group if group in ("ref", "bare") else "literal", name))
         # after a name that is a value, go on at the value: it may be the name of the next statement
-        at = max(m.start(group), m.start() + 1) if sort != "literal" else m.end()
+        at = max(start, m.start() + 1) if group in ("ref", "bare") else m.end()
     for pattern in (_ELEMENT, _OPTION):
-        for m in pattern.finditer(text):
-            yield m["name"], "bare", m.start("value"), m.end("value"), m["value"]
+        out += [(*m.span("value"), "bare", m["name"]) for m in pattern.finditer(text)]
     for m in _URL.finditer(text):
-        yield "password", "literal", m.start("value"), m.end("value"), m["value"]
+        k = m.start() - 1
+        while k >= 0 and _SCHEME.match(text, k) and not (text[k].isascii() and text[k].isalpha()):
+            k -= 1
+        if k >= 0 and text[k].isascii() and text[k].isalpha():
+            out.append((*m.span("value"), "literal", "password"))
+    return sorted(out, key=lambda p: p[0])
+
+
+def _sources(text: str, found: list[tuple[int, int, str, str]]) -> list[int]:
+    """For each statement the one whose literal its name gets: itself, or where the names lead that are its values. Names that
+    lead round in a circle are their own literals."""
+    latest: dict[str, int] = {}
+    waiting: dict[str, list[int]] = {}
+    to = list(range(len(found)))
+    for k, (start, stop, sort, name) in enumerate(found):
+        for other in waiting.pop(name, ()):
+            to[other] = k
+        if sort == "ref":
+            value = text[start:stop]
+            if value in latest:
+                to[k] = latest[value]
+            else:
+                waiting.setdefault(value, []).append(k)
+        latest[name] = k
+    done = [t == k for k, t in enumerate(to)]
+    for k in range(len(to)):
+        way, here = [], {}
+        while not done[k] and k not in here:
+            here[k] = len(way)
+            way.append(k)
+            k = to[k]
+        if not done[k]:  # a circle
+            for own in way[here[k] :]:
+                to[own], done[own] = own, True
+            way = way[: here[k]]
+        for own in way:
+            to[own], done[own] = to[k], True
+    return to
 
 
 def lexed_spans(text: str, least: float = 0.6) -> list[tuple[int, int, str, float]]:
-    """(start, stop, name, score) of literals that reach a sensitive name with ``least`` or more."""
+    """(start, stop, name, score) of literals that reach a sensitive name with ``least`` or more, by start."""
     letters = text.encode("utf-8", "replace").lower().translate(None, _SIGNS)
     if not any(h in letters for h in _HINTS) and "://" not in text:
         return []
-    known: dict[str, tuple[int, int, str, bool]] = {}
+    found = pairs(text)
+    scores = {name: name_score(name) for name in {p[3] for p in found}}
+    wanted: dict[tuple[int, int, bool], tuple[float, str]] = {}
+    for (_, _, _, name), source in zip(found, _sources(text, found), strict=True):
+        if scores[name] >= least:
+            start, stop, sort, _ = found[source]
+            key = stop, start, sort == "literal"
+            if scores[name] > wanted.get(key, (0.0, ""))[0]:
+                wanted[key] = scores[name], name
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, sort, start, stop, value in sorted(pairs(text), key=lambda p: p[2]):
-        if sort == "ref" and value in known:
-            literal = known[value]
-        elif sort == "ref":
-            literal = (start, stop, value, False)
-        else:
-            literal = (start, stop, value, sort == "literal")
-        known[name] = literal
-        score = name_score(name) * literal_score(literal[2], literal[3])
-        if score >= least and score > best.get(literal[:2], (0.0, ""))[0]:
-            best[literal[:2]] = (score, name)
+    shape = Shape(text, -1)
+    for (stop, start, quoted), (score, name) in sorted(wanted.items(), reverse=True):
+        if stop != shape.stop or start > shape.start:
+            shape = Shape(text, stop)
+        shape.grow(start)
+        own = score * shape.score(quoted)
+        if own >= least and own > best.get((start, stop), (0.0, ""))[0]:
+            best[start, stop] = own, name
     return [(a, b, name, score) for (a, b), (score, name) in sorted(best.items())]
 
 
@@ -127,8 +215,12 @@ def scan_text(text: str, least: float = 0.6) -> list[dict]:
     """All spans of a text by start, then kind. Lexed ones that a base span covers are left out."""
     base = base_spans(text)
     out = [{"kind": k, "start": a, "stop": b, "name": None, "score": 1.0} for a, b, k in base]
+    at, covered = 0, -1  # of the base spans that start up to here: the furthest end
     for a, b, name, score in lexed_spans(text, least):
-        if not any(x <= a and b <= y for x, y, _ in base):
+        while at < len(base) and base[at][0] <= a:
+            covered = max(covered, base[at][1])
+            at += 1
+        if b > covered:
             out.append({"kind": "lexed", "start": a, "stop": b, "name": name, "score": score})
     return sorted(out, key=lambda s: (s["start"], KINDS.index(s["kind"])))
 

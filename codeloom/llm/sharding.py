@@ -3,7 +3,7 @@
 Rows are ordered by the hash of their text, then by the hash of their id, then by a hash of their place
 in the input. For each boundary between shards, exact bytes are counted below candidate keys (256 of them between the last two that enclose
 the target), until the boundary is within the tolerance or no key is left to tell rows apart. A
-boundary falls inside a group of equal texts only if the group is larger than the tolerance allows;
+boundary that falls inside a group of equal texts goes to the group's nearer end, unless the group is more than a stated share of a shard;
 then the ids' hashes split it, and the places where ids repeat or are null too, so a group with a third of all rows does no harm. The driver sees
 counts only, at most 256 for each boundary and round. Rows are exchanged once, to number them.
 """
@@ -54,11 +54,12 @@ def _within(cut: _Cut) -> Column:
     return inside
 
 
-def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.001) -> list[tuple[int, ...]]:
+def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.001, whole_share: float = 0.0) -> list[tuple[int, ...]]:
     """Lower bounds (k1, k2, k3), signed, of all shards but the first, for ``keyed`` (k1, k2, k3, size long).
 
     Each boundary has within ``tolerance`` times a shard's share of bytes below it, or as near as rows of equal
-    keys allow: those go to the side of the boundary that is nearer the target. Of no rows: bounds that leave all shards empty.
+    keys allow: those go to the side of the boundary that is nearer the target, and so do rows of one k1 that have no more than
+    ``whole_share`` times a shard's bytes. Of no rows: bounds that leave all shards empty.
     """
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     cuts = [_Cut(total * j / shards) for j in range(1, shards)]
@@ -86,6 +87,10 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.001) -> list[t
                     else:
                         at = c.level // 8
                         whole = a == z and at < len(_KEYS) - 1
+                        if a == z and at == 0 and size <= whole_share * total / shards:
+                            nearer = c.target - below > below + size - c.target
+                            c.low, c.done = (a - _LOW + nearer, 0, 0), True
+                            break
                         c.low, c.below = (*c.low[:at], a - _LOW, *[0] * (len(_KEYS) - at - 1)) if whole else start, below
                         c.level = 8 * (at + 1) if whole else c.level + 1
                 else:
@@ -114,12 +119,12 @@ def _at_or_above(bound: tuple[int, ...]) -> Column:
     return out
 
 
-def shard_by_bytes(docs: DataFrame, *, shards: int = 24, tolerance: float = 0.001, slot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, *, shards: int = 24, tolerance: float = 0.001, whole_share: float = 0.1, slot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size long, text_crc32 long, shard int, slot long) of all rows.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 8. Shards differ in bytes by about twice
-    ``tolerance`` at most, or by a row where rows are larger. Equal texts share a shard unless they
-    are more bytes than the tolerance. ``slot`` numbers the rows of a shard from 0 without gaps; a task numbers
+    ``tolerance`` at most, or by a row where rows are larger, or by a group of equal texts of up to ``whole_share`` times a shard's
+    bytes: such a group stays in one shard, larger ones are split. ``slot`` numbers the rows of a shard from 0 without gaps; a task numbers
     about ``slot_rows`` of them, dealt by their place in the input, so rows that are all alike meet in no single task.
     Null ids and texts are rows like others; repeated rows stay; other columns are ignored. No rows give no rows.
     """
@@ -128,7 +133,7 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 24, tolerance: float = 0.00
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("k1"), F.xxhash64(F.col(id_col), F.lit(1)).alias("k2"), F.xxhash64(F.monotonically_increasing_id()).alias("k3"))
     keyed = stored(rows)
     salts = max(1, -(-keyed.count() // (shards * slot_rows)))
-    bounds = splitters(keyed, shards, tolerance)
+    bounds = splitters(keyed, shards, tolerance, whole_share)
     placed = keyed.withColumn("shard", sum([F.when(_at_or_above(b), 1).otherwise(0) for b in bounds], F.lit(0)).cast("int")).withColumn("salt", F.pmod("k3", F.lit(salts)).cast("int"))
     counts = placed.groupBy("shard", "salt").count()
     before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

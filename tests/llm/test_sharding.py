@@ -30,7 +30,18 @@ def test_even_bytes_and_whole_groups(docs_of):
     split = {}
     for x in got:
         split.setdefault(x.text_crc32, set()).add(x.shard)
-    assert sum(len(s) > 1 for s in split.values()) <= 6
+    assert {k for k, s in split.items() if len(s) > 1} <= {zlib.crc32(b"copy")}
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_groups_stay_whole_unless_they_are_large(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet")
+    got = sharding.shard_by_bytes(docs).groupBy("text_crc32", "size").agg(F.sum("size").alias("bytes"), F.countDistinct("shard").alias("n")).collect()
+    mean = sum(r["bytes"] for r in got) / 24
+    assert [r for r in got if r.n > 1 and r["bytes"] <= 0.1 * mean] == []
+    sizes = [r["bytes"] for r in sharding.shard_by_bytes(docs).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+    longest = max(r["size"] for r in got)
+    assert max(abs(x - mean) for x in sizes) <= 0.102 * mean + longest
 
 
 def test_a_hot_group_is_split(docs_of):
