@@ -17,18 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import MIX, arrow_map, as_bytes, cached_hashes, slices, splitmix, stored
+from codeloom.llm.common import MIX, as_bytes, batch_of, slices, splitmix, stored, trimmed
+from codeloom.runtime import ship
 
 #: ASCII capitals to small letters, what ends a piece to a full stop, a tab to a space.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Bits of a bitmap: at least, at most (32 MB).
 LEAST_BITS, MOST_BITS = 16, 28
-#: Bytes of text in a block; a block's arrays take some ten times as much.
-BLOCK = 4 << 20
+#: Bytes of text in a block; a block's arrays take some ten times as much. Words whose numbers and buckets whose counts a worker holds.
+BLOCK, VOCABULARY, BUCKETS_HELD = 4 << 20, 300_000, 4_000_000
 
 
 def blocks(text: bytes, most: int = BLOCK) -> Iterator[bytes]:
@@ -86,71 +90,136 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, count, back
 
 
-def _tallies(words: list[bytes], carried: int, lang: str, m: int, bits: int, sets: tuple[_Bitmap, _Bitmap] | None, longest: int) -> Iterator[dict]:
-    """Columns of the phrases of ``m`` words of a block and of the buckets of the next longer ones. A phrase counts where its last word
-    is not one of the ``carried`` first words. ``sets``: frequent phrases of m - 1 words, and buckets of phrases of m words."""
-    names = list(dict.fromkeys(words))
-    number = dict(zip(names, range(len(names)), strict=True))
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    stop = number.get(b".", -1)
-    hashed = _combined(cached_hashes([lang.encode()]), cached_hashes(names))[ids]
-    breaks = np.concatenate(([0], np.cumsum(ids == stop)))
-    hashes = phrase_hashes(hashed, m + 1)
+class _Words(dict):
+    """Numbers of the words met so far, in order, and their hashes."""
+
+    def __init__(self) -> None:
+        self.hashes = np.empty(VOCABULARY, np.uint64)
+        self.names: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.names)
+        if number == len(self.hashes):
+            self.hashes = np.append(self.hashes, np.empty_like(self.hashes))
+        self.hashes[number] = xxhash.xxh64_intdigest(word)
+        self.names.append(word)
+        return number
+
+
+_WORDS = _Words()
+
+
+def _word_ids(words: list[bytes]) -> np.ndarray:
+    """Numbers of words by ``_WORDS``, which is emptied before a block if it has become large; 0 is the end of a piece."""
+    global _WORDS
+    if len(_WORDS) > VOCABULARY or not _WORDS:
+        _WORDS = _Words()
+        _WORDS[b"."]
+    return np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+
+
+class _Buckets:
+    """Counts of buckets, added up before they leave the task; some millions of them at most are held."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, buckets: np.ndarray) -> None:
+        self.parts.append(np.unique(buckets, return_counts=True))
+        self.held += len(self.parts[-1][0])
+
+    def rows(self) -> Iterator[dict]:
+        if not self.parts:
+            return
+        bucket, count = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.held = [], 0
+        order = np.argsort(bucket)
+        bucket, count = bucket[order], count[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        none = pa.nulls(len(first))
+        yield {"lang": none, "phrase": none, "bucket": bucket[first].astype(np.int64), "n": np.add.reduceat(count, first)}
+
+
+def _tallies(words: list[bytes], carried: int, lang: str, m: int, bits: int, sets: tuple[_Bitmap, _Bitmap] | None, longest: int, buckets: _Buckets) -> Iterator[dict]:
+    """Columns of the phrases of ``m`` words of a block; what is in the next longer ones' buckets goes to ``buckets``. A phrase counts where its
+    last word is not one of the ``carried`` first words. ``sets``: frequent phrases of m - 1 words, and buckets of phrases of m words."""
+    ids = _word_ids(words)
+    names, shift = _WORDS.names, np.uint64(64 - bits)
+    of_lang = np.array([xxhash.xxh64_intdigest(lang.encode())], np.uint64)
+    hashes = phrase_hashes(_combined(of_lang, _WORDS.hashes[ids]), m + 1)
+    breaks = np.concatenate(([0], np.cumsum(ids == 0, dtype=np.int32)))
 
     def whole(k: int) -> np.ndarray:
         return breaks[k:] == breaks[: len(breaks) - k]
 
-    def frequent(k: int) -> np.ndarray:
-        """Places of phrases of ``m`` words that may be frequent."""
-        ok = whole(m)
-        if sets:
-            before = whole(m - 1)
-            before[before] = sets[0].has(hashes[m - 2][before])
-            ok &= before[:-1] & before[1:]
-            ok[ok] = sets[1].has(hashes[m - 1][ok])
-        return ok
-
-    if len(words) >= m:
-        ok = frequent(m)
-        at = np.flatnonzero(ok[max(0, carried - m + 1) :]) + max(0, carried - m + 1)
-        if len(at):
-            key = ids[at]
-            for k in range(1, m):
-                # numbers of phrases of k words, then of k + 1: exact, no hash decides
-                key = (_numbered(key)[2] if k > 1 else key) << np.int64(32) | ids[at + k]
-            first, count, _ = _numbered(key)
-            own = at[first].tolist()
-            yield {"lang": [lang] * len(own), "phrase": [b" ".join(words[i : i + m]) for i in own], "bucket": (hashes[m - 1][at[first]] >> np.uint64(64 - bits)).astype(np.int64), "n": count}
-        if m < longest and len(words) > m:
-            start = max(0, carried - m)
-            both = (ok[:-1] & ok[1:] & whole(m + 1))[start:]
-            if both.any():
-                bucket, count = np.unique(hashes[m][start:][both] >> np.uint64(64 - bits), return_counts=True)
-                yield {"lang": [None] * len(bucket), "phrase": [None] * len(bucket), "bucket": bucket.astype(np.int64), "n": count}
+    if len(words) < m:
+        return
+    ok = whole(m)
+    if sets:
+        before = whole(m - 1)
+        before[before] = sets[0].has(hashes[m - 2][before])
+        ok &= before[:-1] & before[1:]
+        ok[ok] = sets[1].has(hashes[m - 1][ok])
+    start = max(0, carried - m + 1)
+    at = np.flatnonzero(ok[start:]) + start
+    if m == 1:
+        count = np.bincount(ids[at])
+        own = np.flatnonzero(count)
+        if len(own):
+            bucket = _combined(of_lang, _WORDS.hashes[own]) >> shift
+            yield {"lang": [lang] * len(own), "phrase": [names[k] for k in own.tolist()], "bucket": bucket.astype(np.int64), "n": count[own]}
+    elif len(at):
+        key = ids[at]
+        for k in range(1, m):
+            # numbers of phrases of k words, then of k + 1: exact, no hash decides
+            key = (_numbered(key)[2] if k > 1 else key) << np.int64(32) | ids[at + k]
+        first, count, _ = _numbered(key)
+        own = at[first].tolist()
+        yield {"lang": [lang] * len(own), "phrase": [b" ".join(words[i : i + m]) for i in own], "bucket": (hashes[m - 1][at[first]] >> shift).astype(np.int64), "n": count}
+    if m < longest and len(words) > m:
+        start = max(0, carried - m)
+        both = (ok[:-1] & ok[1:] & whole(m + 1))[start:]
+        if both.any():
+            buckets.add(hashes[m][start:][both] >> shift)
 
 
 def _pass(docs: DataFrame, m: int, bits: int, sets: tuple[bytes, bytes] | None, least: int, longest: int) -> DataFrame:
     """(lang, phrase binary, bucket long, n long), stored: phrases of ``m`` words with their own bucket; for the next pass, buckets without
     phrase; in the first pass, for each language the number of all words, with bucket -1."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(sets)
-
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+    spark = docs.sparkSession
+    ship(spark)
+    broadcast = spark.sparkContext.broadcast(sets)
+    kind = _parse_datatype_string("lang string, phrase binary, bucket long, n long")
+    arrow = to_arrow_schema(kind)
+
+    def tallied(part: pa.RecordBatch, bitmaps: tuple[_Bitmap, _Bitmap] | None, buckets: _Buckets) -> Iterator[dict]:
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("t"), strict=True):
+            texts.setdefault(lang, []).append(text.as_py().translate(_LOWER))
+        for lang, own in texts.items():
+            carry: list[bytes] = []
+            for block in blocks(b".".join(own)):
+                words = [*carry, *block.replace(b".", b" . ").split()]
+                yield from _tallies(words, len(carry), lang, m, bits, bitmaps, longest, buckets)
+                if m == 1 and (n := len(words) - len(carry) - words[len(carry) :].count(b".")):
+                    yield {"lang": [lang], "phrase": [None], "bucket": [-1], "n": [n]}
+                carry = words[-m:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = tuple(_Bitmap(data, bits) for data in broadcast.value) if broadcast.value else None
-        for part in slices(batch, "t", BLOCK):
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("t"), strict=True):
-                texts.setdefault(lang, []).append(text.as_py().translate(_LOWER))
-            for lang, own in texts.items():
-                carry: list[bytes] = []
-                for block in blocks(b".".join(own)):
-                    words = [*carry, *block.replace(b".", b" . ").split()]
-                    yield from _tallies(words, len(carry), lang, m, bits, bitmaps, longest)
-                    if m == 1 and (n := len(words) - len(carry) - words[len(carry) :].count(b".")):
-                        yield {"lang": [lang], "phrase": [None], "bucket": [-1], "n": [n]}
-                    carry = words[-m:]
-
-    rows = arrow_map(docs, work, "lang string, phrase binary, bucket long, n long")
-    counted = rows.groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
+        buckets = _Buckets()
+        for batch in batches:
+            for part in slices(batch, "t", BLOCK):
+                for columns in tallied(part, bitmaps, buckets):
+                    yield batch_of(columns, arrow)
+                if buckets.held > BUCKETS_HELD:
+                    yield from (batch_of(c, arrow) for c in buckets.rows())
+        yield from (batch_of(c, arrow) for c in buckets.rows())
+
+    rows = docs.mapInArrow(trimmed(run), kind)
+    # added up in the task as far as they can be, so they are exchanged as they are; a phrase has a few rows of each task
+    counted = rows.repartition("lang", "phrase", "bucket").groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
     return stored(counted.where((F.col("n") >= least) | (F.col("bucket") == -1)))
 
 
@@ -159,7 +228,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, bits
     (lang, n long): all words of each language). Stored tables. ``bits`` of the bitmaps follow the bytes of text, within bounds."""
     if bits is None:
         total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-        bits = min(MOST_BITS, max(LEAST_BITS, (total // 8).bit_length()))
+        bits = min(MOST_BITS, max(LEAST_BITS, (total // 64).bit_length()))
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("t"))
     source = source.select("lang", as_bytes("t").alias("t"))
     sets, found, totals = None, [], None

@@ -70,15 +70,19 @@ def test_long_texts_are_cut_between_words(docs_of, monkeypatch):
 
 def test_carried_words_count_once():
     words = [b"a", b"b", b"c", b".", b"a", b"b", b"c", b"d"]
-    whole, parts = Counter(), Counter()
+
+    def tallied(m, own, carried, into, held):
+        for x in c._tallies(own, carried, "en", m, 16, None, 4, held):
+            into.update({(m, p): int(n) for p, n in zip(x["phrase"], x["n"], strict=True)})
+
+    whole, parts, held, more = Counter(), Counter(), c._Buckets(), c._Buckets()
     for m in (1, 2, 3):
-        for x in c._tallies(words, 0, "en", m, 16, None, 4):
-            whole.update({(m, p, b): n for p, b, n in zip(x["phrase"], x["bucket"], x["n"], strict=True)})
-        for cut in (0, 4):
-            own = words[:4] if cut == 0 else words[4 - m : 8]
-            for x in c._tallies(own, 0 if cut == 0 else m, "en", m, 16, None, 4):
-                parts.update({(m, p, b): n for p, b, n in zip(x["phrase"], x["bucket"], x["n"], strict=True)})
-    assert whole == parts
+        tallied(m, words, 0, whole, held)
+        tallied(m, words[:4], 0, parts, more)
+        tallied(m, words[4 - m :], m, parts, more)
+    assert whole == parts and whole[2, b"a b"] == 2 and (2, b"c .") not in whole
+    one, two = ([list(map(list, (r["bucket"], r["n"]))) for r in x.rows()] for x in (held, more))
+    assert one == two
 
 
 def test_nulls_repeats_long_and_no_rows(docs_of):
