@@ -99,7 +99,7 @@ def test_constants_are_known_over_the_whole_text():
 
 
 def test_nested_values_score_as_if_alone():
-    text = "token:Ab1$x=secret:" + "q9" * 5 + ":password=Zz8#kk12Vb3!qW"
+    text = "token:Ab1$x=secret:" + "q9" * 5 + "&password=Zz8#kk12Vb3!qW"
     for a, b, name, score in ss.lexed_spans(text):
         assert score == ss.name_score(name) * ss.literal_score(text[a:b], False)
     assert len(ss.lexed_spans(text)) == 3
