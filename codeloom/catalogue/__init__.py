@@ -30,4 +30,4 @@ def filled(df: DataFrame, *columns: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from codeloom.catalogue import change, graphs, history, metrics, rules, search, workspace  # noqa: F401
+    from codeloom.catalogue import bounded, change, graphs, history, metrics, rules, search, workspace  # noqa: F401

@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def clamp(value: int | None, default: int, most: int, least: int = 1) -> int:
@@ -19,21 +20,36 @@ def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     return rest if limit is None else rest.limit(limit)
 
 
+def page_with_total(df: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
+    """A page of ``df`` in an order that tells all rows apart, with ``total`` (all rows) and ``has_more`` on each row. The page is taken by a
+    bounded sort; the total is a scalar of the same query, and no row is joined."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    rows = page(df.orderBy(*order), limit, offset).withColumn("total", total)
+    return rows.withColumn("has_more", F.col("total") > offset + limit)
+
+
 def envelope(showing: int, total: int, limit: int, offset: int) -> dict:
     """What a page says about itself."""
     more = offset + showing < total
     return {"showing": showing, "total": total, "limit": limit, "offset": offset, "has_more": more, "truncated": offset > 0 or more, "next_offset": offset + showing if more else None}
 
 
-def answer(df: DataFrame, *, limit: int | None = None, default: int = 50, most: int = 500, offset: int = 0, cursor: str | None = None, traversal: str = "", budget: int = 256 * 1024) -> dict:
-    """A page of an ordered, unlimited frame as an answer: its rows, how many there are in all, whether there are more and the
-    cursor to them. ``cursor`` continues the traversal of that name; last rows go where the answer is beyond ``budget`` bytes."""
+def answer(df: DataFrame, *, order: list[Column | str] | None = None, status: dict | None = None, limit: int | None = None, default: int = 50, most: int = 500, offset: int = 0, cursor: str | None = None, traversal: str = "", budget: int = 256 * 1024) -> dict:
+    """A page of an unlimited frame as an answer: its rows, how many there are in all, whether there are more and the
+    cursor to them. With ``order`` rows are counted while the page is taken, in one pass; without it ``df`` is ordered and is counted by itself.
+    ``status`` (of a traversal) is told with it, and the answer is complete only if that is. ``cursor`` continues the traversal of that name;
+    last rows go where the answer is beyond ``budget`` bytes."""
     start = decode_cursor(cursor, traversal=traversal) if cursor else max(offset, 0)
     size = clamp(limit, default, most)
-    total = df.count()
-    rows = [r.asDict(recursive=True) for r in page(df, size, start).collect()]
-    whole = within_budget({"results": json.loads(json.dumps(rows, default=str))}, budget)
-    about = envelope(len(whole["results"]), total, size, start)
+    if order is None:
+        total = df.count()
+        rows = page(df, size, start).collect()
+    else:
+        seen = Observation()
+        rows = page(df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order), size, start).collect()
+        total = seen.get["n"]
+    whole = within_budget({"results": json.loads(json.dumps([r.asDict(recursive=True) for r in rows], default=str))}, budget)
+    about = envelope(len(whole["results"]), total, size, start) | ({"traversal": status, "answer_complete": not status.get("truncated", False)} if status is not None else {})
     return whole | about | {"next_cursor": encode_cursor(traversal=traversal, offset=about["next_offset"]) if about["has_more"] else None}
 
 

@@ -7,6 +7,7 @@ shared folder, so plans stay short and a lost executor costs no more than a leve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,20 +60,86 @@ def distances(edges: DataFrame, starts: DataFrame, *, max_depth: int | None = No
     return whole
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, *, max_depth: int) -> DataFrame:
+@dataclass
+class Traversal:
+    """Rows of a bounded traversal, and its ``status``, one row for each origin: (origin?, visited long: rows; expanded long: nodes that
+    were followed; truncated boolean: the budget left nodes unfollowed; complete boolean: neither the budget nor the depth left any)."""
+
+    rows: DataFrame
+    status: DataFrame
+
+
+def _first_of_each(rows: DataFrame, keys: list[str], order: list[str], room: Column, salts: int = 64) -> DataFrame:
+    """The first ``room`` rows (a column, the same for all rows of a key) of each key. First those of each part of a key are taken, so
+    that no task gets more than its part and ``salts`` times the room."""
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    some = parted.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_place") <= room)
+    return some.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= room).drop("_part", "_place")
+
+
+def bounded_distances(edges: DataFrame, starts: DataFrame, *, most: int, max_depth: int | None = None) -> Traversal:
+    """As :func:`distances`, but at most ``most`` nodes of each origin are followed (without an origin: in all): nearer ones first, of one depth
+    those with the smallest ``node``. What they lead to counts as reached, whether it is followed or not."""
+    own = "origin" not in starts.columns
+    starts = starts.withColumn("origin", F.lit(0)) if own else starts
+    keys = ["origin", "node"]
+    links = stored(edges.select("src", "dst").distinct())
+    level = stored(starts.select(*keys, F.lit(0).alias("depth")).dropDuplicates(keys))
+    seen, marks, depth = level, [level.select("origin", F.lit(0).cast("long").alias("expanded"), F.lit(False).alias("cut"), F.lit(False).alias("beyond")).distinct()], 0
+    used = level.select("origin", F.lit(0).cast("long").alias("used")).distinct()
+    while max_depth is None or depth < max_depth:
+        sized = level.join(used, "origin")
+        followed = stored(_first_of_each(sized, ["origin"], ["node"], F.lit(most) - F.col("used")))
+        at, kept = level.groupBy("origin").agg(F.count(F.lit(1)).alias("n")), followed.groupBy("origin").agg(F.count(F.lit(1)).alias("k"))
+        counted = stored(at.join(kept, "origin", "left").select("origin", F.coalesce("k", F.lit(0)).alias("expanded"), (F.coalesce("k", F.lit(0)) < F.col("n")).alias("cut"), F.lit(False).alias("beyond")))
+        marks.append(counted)
+        used = stored(used.join(counted.select("origin", "expanded"), "origin", "left").select("origin", (F.col("used") + F.coalesce("expanded", F.lit(0))).alias("used")))
+        depth += 1
+        found = followed.select(*keys).join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct().join(seen.select(*keys), keys, "left_anti")
+        level = stored(found.select(*keys, F.lit(depth).alias("depth")))
+        drop_stored(followed)
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    else:
+        further = level.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).join(seen.select(*keys), keys, "left_anti")
+        marks.append(further.select("origin", F.lit(0).cast("long").alias("expanded"), F.lit(False).alias("cut"), F.lit(True).alias("beyond")).distinct())
+    whole = marks[0]
+    for m in marks[1:]:
+        whole = whole.unionByName(m)
+    told = whole.groupBy("origin").agg(F.sum("expanded").alias("expanded"), F.max("cut").alias("truncated"), (~F.max("cut") & ~F.max("beyond")).alias("complete"))
+    status = seen.groupBy("origin").agg(F.count(F.lit(1)).alias("visited")).join(told, "origin").select("origin", "visited", "expanded", "truncated", "complete")
+    return Traversal(seen.drop("origin"), status.drop("origin")) if own else Traversal(seen, status)
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, *, max_depth: int, most: int | None = None) -> DataFrame:
     """(node, depth, path, labels): of the shortest ways from the starts (node) over ``edges`` (src, dst, label) the first by
-    the names on it; names and labels end with ``>`` each. Starts have depth 0."""
+    the names on it; names and labels end with ``>`` each. Starts have depth 0. With ``most``, as many nodes are followed at most, as
+    :func:`bounded_distances` takes them."""
+    return bounded_paths(edges, starts, max_depth=max_depth, most=most).rows
+
+
+def bounded_paths(edges: DataFrame, starts: DataFrame, *, max_depth: int, most: int | None = None) -> Traversal:
+    """:func:`shortest_paths` with their status."""
+    spark, left, expanded, cut = edges.sparkSession, most, 0, False
     links = stored(edges.select("src", "dst", "label").distinct())
     level = stored(starts.select("node", F.lit(0).alias("depth"), F.concat(F.col("node").cast("string"), F.lit(">")).alias("path"), F.lit("").alias("labels")).distinct())
-    whole = level
+    whole, beyond = level, True
     for depth in range(1, max_depth + 1):
+        n = level.count()
+        if left is not None and n > left:
+            level, n, cut = level.orderBy("node").limit(left), left, True
+        expanded, left = expanded + n, None if left is None else left - n
         ways = level.join(links, level.node == links.src).select(F.col("dst").alias("node"), F.struct(F.concat("path", F.col("dst").cast("string"), F.lit(">")).alias("path"), F.concat("labels", "label", F.lit(">")).alias("labels")).alias("way"))
         found = ways.join(whole.select("node"), "node", "left_anti").groupBy("node").agg(F.min("way").alias("way"))
         level = stored(found.select("node", F.lit(depth).alias("depth"), "way.path", "way.labels"))
         if level.isEmpty():
+            beyond = False
             break
         whole = whole.unionByName(level)
-    return whole
+    beyond = beyond and not level.join(links, level.node == links.src).select(F.col("dst").alias("node")).join(whole.select("node"), "node", "left_anti").isEmpty()
+    told = spark.range(1).select(F.lit(expanded).cast("long").alias("expanded"), F.lit(cut).alias("truncated"), F.lit(not cut and not beyond).alias("complete"))
+    return Traversal(whole, told.select(whole.agg(F.count(F.lit(1))).scalar().alias("visited"), "expanded", "truncated", "complete"))
 
 
 def busiest_source(edges: DataFrame) -> DataFrame:
@@ -114,18 +181,25 @@ def hierarchy_edges(s: Snapshot) -> DataFrame:
     return up.unionByName(interfaces(s).select(F.col("class_name").alias("child"), F.col("interface_name").alias("parent"), relation.alias("relation")))
 
 
-def type_hierarchy(s: Snapshot, target: str, *, direction: str = "both", max_depth: int = 5) -> DataFrame:
+def type_hierarchy(s: Snapshot, target: str, *, direction: str = "both", max_depth: int = 5, most: int | None = None) -> DataFrame:
     """Ancestors and descendants of a type by name: direction, depth, name, whether it is indexed, and a shortest way
-    there: the types on it and the relations between them, each ended by ``>``."""
+    there: the types on it and the relations between them, each ended by ``>``. In each direction ``most`` types are followed at most."""
+    return type_hierarchy_traversal(s, target, direction=direction, max_depth=max_depth, most=most).rows
+
+
+def type_hierarchy_traversal(s: Snapshot, target: str, *, direction: str = "both", max_depth: int = 5, most: int | None = None) -> Traversal:
+    """:func:`type_hierarchy` with a status of each direction."""
     edges, start = hierarchy_edges(s), s.spark.createDataFrame([(target,)], "node string")
-    out = []
+    out, told = [], []
     for way, src, dst in (("ancestor", "child", "parent"), ("descendant", "parent", "child")):
         if direction in (way, "both"):
-            reach = shortest_paths(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col("relation").alias("label")), start, max_depth=max_depth).where("depth > 0")
+            found = bounded_paths(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col("relation").alias("label")), start, max_depth=max_depth, most=most)
+            reach = found.rows.where("depth > 0")
+            told.append(found.status.select(F.lit(way).alias("direction"), "*"))
             out.append(reach.select(F.lit(way).alias("direction"), "depth", F.col("node").alias("name"), "path", F.col("labels").alias("relations")))
-    whole = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    whole, status = (x[0] if len(x) == 1 else x[0].unionByName(x[1]) for x in (out, told))
     known = s.current().select(F.col("class_name").alias("name"), F.lit(True).alias("indexed")).distinct()
-    return whole.join(known, "name", "left").select("direction", "depth", "name", F.coalesce("indexed", F.lit(False)).alias("indexed"), "path", "relations")
+    return Traversal(whole.join(known, "name", "left").select("direction", "depth", "name", F.coalesce("indexed", F.lit(False)).alias("indexed"), "path", "relations"), status)
 
 
 def implementations(s: Snapshot, target: str, *, transitive: bool = True) -> DataFrame:
@@ -213,31 +287,64 @@ def call_edges(s: Snapshot) -> DataFrame:
     return s.method_calls.select(_method_key("caller").alias("src"), _method_key("target").alias("dst"), "caller_class_id", "target_class_id", "invocation_kind", "occurrence_count")
 
 
-def call_hierarchy(s: Snapshot, target: str | None = None, method: str | None = None, *, descriptor: str | None = None, direction: str = "outbound", max_depth: int = 3, scope: str = "all") -> DataFrame:
+def _call_starts(s: Snapshot, edges: DataFrame, target: str | None, method: str | None, descriptor: str | None) -> DataFrame:
+    if target is None:
+        return stored(busiest_source(edges))
+    own = s.class_members.where("kind IN ('METHOD', 'CONSTRUCTOR')").join(s.classes.where(F.col("class_name") == target).select(F.col("id").alias("class_id")), "class_id")
+    for name, value in (("name", method), ("descriptor", descriptor)):
+        if value is not None:
+            own = own.where(F.col(name) == value)
+    return stored(own.select(F.concat_ws("#", F.col("class_id").cast("string"), "name", "descriptor").alias("node")).distinct())
+
+
+def call_hierarchy(s: Snapshot, target: str | None = None, method: str | None = None, *, descriptor: str | None = None, direction: str = "outbound", max_depth: int = 3, scope: str = "all", most: int | None = None) -> DataFrame:
     """Calls within ``max_depth`` levels of a class's methods of a name (and descriptor), of all its methods without a name, or
     without a target of the method that calls most. ``direction`` is outbound, inbound or both; the scope (all, cross_class or
-    cross_package) holds for what is shown, not for what is followed."""
+    cross_package) holds for what is shown, not for what is followed. ``most``: as many calls in a direction, see :func:`call_traversal`."""
+    return call_traversal(s, target, method, descriptor=descriptor, direction=direction, max_depth=max_depth, scope=scope, most=most).rows
+
+
+def call_traversal(s: Snapshot, target: str | None = None, method: str | None = None, *, descriptor: str | None = None, direction: str = "outbound", max_depth: int = 3, scope: str = "all", most: int | None = None) -> Traversal:
+    """:func:`call_hierarchy` and for each direction (direction, found long: calls before the scope; truncated). The walk ends with the level in
+    which ``most`` calls are found; of that level the first by caller, target and kind stay. It is then ``truncated``, even if there are no more."""
     edges = call_edges(s)
-    if target is None:
-        start = stored(busiest_source(edges))
-    else:
-        own = s.class_members.where("kind IN ('METHOD', 'CONSTRUCTOR')").join(s.classes.where(F.col("class_name") == target).select(F.col("id").alias("class_id")), "class_id")
-        for name, value in (("name", method), ("descriptor", descriptor)):
-            if value is not None:
-                own = own.where(F.col(name) == value)
-        start = stored(own.select(F.concat_ws("#", F.col("class_id").cast("string"), "name", "descriptor").alias("node")).distinct())
-    out = []
+    start = _call_starts(s, edges, target, method, descriptor)
+    out, told = [], []
     for way, src, dst in (("outbound", "src", "dst"), ("inbound", "dst", "src")):
-        if direction in (way, "both"):
+        if direction not in (way, "both"):
+            continue
+        if most is None:
             reach = distances(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")), start, max_depth=max_depth - 1)
-            out.append(edges.join(reach, F.col(src) == F.col("node")).withColumn("direction", F.lit(way)))
-    hit = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+            hit, full = edges.join(reach, F.col(src) == F.col("node")), False
+        else:
+            hit, full = _calls_by_level(edges, start, src, dst, max_depth, most)
+        out.append(hit.withColumn("direction", F.lit(way)))
+        told.append(hit.agg(F.count(F.lit(1)).alias("found")).select(F.lit(way).alias("direction"), "found", F.lit(full).alias("truncated")))
+    hit, status = (x[0] if len(x) == 1 else x[0].unionByName(x[1]) for x in (out, told))
     if scope != "all":
         hit = hit.where("caller_class_id <> target_class_id")
     if scope == "cross_package":
         named = s.classes.select("id", package_name(F.col("class_name")).alias("package"))
         hit = hit.join(named.select(F.col("id").alias("caller_class_id"), F.col("package").alias("p1")), "caller_class_id").join(named.select(F.col("id").alias("target_class_id"), F.col("package").alias("p2")), "target_class_id").where("p1 <> p2")
-    return hit.select("direction", (F.col("depth") + 1).alias("depth"), "src", "dst", "invocation_kind", "occurrence_count")
+    return Traversal(hit.select("direction", (F.col("depth") + 1).alias("depth"), "src", "dst", "invocation_kind", "occurrence_count"), status)
+
+
+def _calls_by_level(edges: DataFrame, start: DataFrame, src: str, dst: str, max_depth: int, most: int) -> tuple[DataFrame, bool]:
+    """(calls with the depth of the method from which they were found, whether ``most`` were)."""
+    level, seen, hits, left = start.select("node"), start.select("node"), None, most
+    for depth in range(max_depth):
+        found = edges.join(level, F.col(src) == F.col("node")).withColumn("depth", F.lit(depth))
+        # no more than there is room for is kept, so the sort is bounded
+        kept = stored(found.orderBy("src", "dst", "invocation_kind").limit(left))
+        hits = kept if hits is None else hits.unionByName(kept)
+        left -= kept.count()
+        if not left:
+            return hits, True
+        level = stored(kept.select(F.col(dst).alias("node")).distinct().join(seen, "node", "left_anti"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return hits, False
 
 
 def forwarded_callers(edges: DataFrame, forwarders: DataFrame, *, max_depth: int = 32) -> DataFrame:

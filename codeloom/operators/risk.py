@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.scoring import bus_factor, half_up, risk_level, scaled
 from codeloom.functions.text import base_name
 from codeloom.operators.git import file_rollup
-from codeloom.operators.graph import distances
+from codeloom.operators.graph import Traversal, bounded_distances, distances
 from codeloom.operators.metrics import fan_metrics
 from codeloom.plans.snapshot import Snapshot
 
@@ -98,13 +98,27 @@ def _test_classes(s: Snapshot) -> DataFrame:
     return s.current().where((F.col("source_set") == "test") | is_test_path(F.col("source_file")))
 
 
-def impacted_tests(s: Snapshot, targets: DataFrame, *, max_depth: int = 3, transitive: bool = True) -> DataFrame:
+def impacted_tests(s: Snapshot, targets: DataFrame, *, max_depth: int = 3, transitive: bool = True, most: int | None = None) -> DataFrame:
+    """The rows of :func:`impacted_tests_traversal`."""
+    return impacted_tests_traversal(s, targets, max_depth=max_depth, transitive=transitive, most=most).rows
+
+
+def impacted_tests_traversal(s: Snapshot, targets: DataFrame, *, max_depth: int = 3, transitive: bool = True, most: int | None = 5000) -> Traversal:
     """Tests that a change of the targets (id) may touch: test classes that reach one, and test classes and test files
     without a current class (id null) that change with one. Score: 100 less 15 for each step after the first, 20 at least, and 5 for each joint
-    change, 30 at most; 100 in all. Confidence: high at depth 1, medium if reached or changed together twice."""
+    change, 30 at most; 100 in all. Confidence: high at depth 1, medium if reached or changed together twice. For each target ``most`` classes are
+    followed at most; the status has a row for each target (origin)."""
     edges = s.dependencies.select(F.col("to_class_id").alias("src"), F.col("from_class_id").alias("dst"))
     tests = _test_classes(s).select("id", "class_name")
-    reach = distances(edges, targets.select(F.col("id").alias("node")), max_depth=max_depth if transitive else 1).where("depth > 0")
+    depth = max_depth if transitive else 1
+    if most is None:
+        walk = Traversal(distances(edges, targets.select(F.col("id").alias("node")), max_depth=depth), None)
+        reach = walk.rows
+    else:
+        # a target that is a test of another target counts as such
+        walk = bounded_distances(edges, targets.select(F.col("id").alias("origin"), F.col("id").alias("node")), most=most, max_depth=depth)
+        reach = walk.rows.where("depth > 0").groupBy("node").agg(F.min("depth").alias("depth"))
+    reach = reach.where("depth > 0")
     static = reach.select(F.col("node").alias("id"), "depth", F.greatest(F.lit(20), 100 - (F.col("depth") - 1) * 15).alias("static")).join(tests, "id", "left_semi")
     own = s.commit_files.join(targets.select(F.col("id").alias("class_id")), "class_id", "left_semi").select("commit_id", F.col("class_id").alias("target"))
     joint = own.join(s.commit_files, "commit_id").where("class_id IS NULL OR class_id <> target").join(tests.withColumnsRenamed({"id": "class_id"}), "class_id", "left")
@@ -115,7 +129,8 @@ def impacted_tests(s: Snapshot, targets: DataFrame, *, max_depth: int = 3, trans
     together = F.coalesce("co_changes", F.lit(0))
     score = F.least(F.lit(100), F.coalesce("static", F.lit(0)) + F.least(F.lit(30), 5 * together))
     confidence = F.when(F.coalesce("depth", F.lit(99)) <= 1, "high").when(F.col("static").isNotNull() | (together >= 2), "medium").otherwise("low")
-    return found.join(tests, "id", "left").select("id", F.coalesce("class_name", "file").alias("class_name"), "depth", together.alias("co_changes"), score.cast("long").alias("score"), confidence.alias("confidence"))
+    rows = found.join(tests, "id", "left").select("id", F.coalesce("class_name", "file").alias("class_name"), "depth", together.alias("co_changes"), score.cast("long").alias("score"), confidence.alias("confidence"))
+    return Traversal(rows, walk.status)
 
 
 def _merged(static: DataFrame, joint: DataFrame) -> DataFrame:
@@ -124,8 +139,9 @@ def _merged(static: DataFrame, joint: DataFrame) -> DataFrame:
     return of_class.unionByName(of_file)
 
 
-def design_impact(s: Snapshot, candidates: DataFrame, *, depth: int = 3) -> DataFrame:
-    """Candidates (id) by what changing them would cost: .6 risk, .25 users, .15 tests; cheapest first."""
+def design_impact(s: Snapshot, candidates: DataFrame, *, depth: int = 3, most: int = 10) -> DataFrame:
+    """Candidates (id), ``most`` at most, by what changing them would cost: .6 risk, .25 users, .15 tests; cheapest first."""
+    candidates = candidates.select("id").distinct().orderBy("id").limit(most)
     edges = s.dependencies.select(F.col("to_class_id").alias("src"), F.col("from_class_id").alias("dst"))
     reach = distances(edges, candidates.select(F.col("id").alias("origin"), F.col("id").alias("node")), max_depth=depth).where("depth > 0")
     tests = _test_classes(s).select(F.col("id").alias("node"))
