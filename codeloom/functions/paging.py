@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -36,7 +36,7 @@ def envelope(showing: int, total: int, limit: int, offset: int) -> dict:
 
 def answer(df: DataFrame, *, order: list[Column | str] | None = None, status: dict | None = None, limit: int | None = None, default: int = 50, most: int = 500, offset: int = 0, cursor: str | None = None, traversal: str = "", budget: int = 256 * 1024) -> dict:
     """A page of an unlimited frame as an answer: its rows, how many there are in all, whether there are more and the
-    cursor to them. With ``order`` rows are counted while the page is taken, in one pass; without it ``df`` is ordered and is counted by itself.
+    cursor to them. With ``order`` rows are counted by the query that takes the page; without it ``df`` is ordered and is counted by itself.
     ``status`` (of a traversal) is told with it, and the answer is complete only if that is. ``cursor`` continues the traversal of that name;
     last rows go where the answer is beyond ``budget`` bytes."""
     start = decode_cursor(cursor, traversal=traversal) if cursor else max(offset, 0)
@@ -45,9 +45,9 @@ def answer(df: DataFrame, *, order: list[Column | str] | None = None, status: di
         total = df.count()
         rows = page(df, size, start).collect()
     else:
-        seen = Observation()
-        rows = page(df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order), size, start).collect()
-        total = seen.get["n"]
+        rows = page_with_total(df, order, size, start).collect()
+        total = rows[0]["total"] if rows else df.count()
+        rows = [Row(**{k: v for k, v in r.asDict().items() if k not in ("total", "has_more")}) for r in rows]
     whole = within_budget({"results": json.loads(json.dumps([r.asDict(recursive=True) for r in rows], default=str))}, budget)
     about = envelope(len(whole["results"]), total, size, start) | ({"traversal": status, "answer_complete": not status.get("truncated", False)} if status is not None else {})
     return whole | about | {"next_cursor": encode_cursor(traversal=traversal, offset=about["next_offset"]) if about["has_more"] else None}

@@ -60,7 +60,7 @@ def test_bounded_paths(spark):
     assert tuple(g.bounded_paths(edges, start, max_depth=2).status.first()) == (5, 3, False, False)
 
 
-def test_answers_are_counted_in_one_pass(spark):
+def test_answers_are_counted_with_their_page(spark):
     df = spark.range(57).select(F.col("id"), (F.col("id") % 5).alias("k"))
     one = paging.answer(df, order=[F.desc("k"), "id"], limit=10, offset=20, traversal="t", status={"truncated": True})
     two = paging.answer(df.orderBy(F.desc("k"), "id"), limit=10, offset=20, traversal="t")
