@@ -64,3 +64,20 @@ def test_ids_that_repeat(spark):
     got = sorted(((x.doc_id, x.text, x.lang, x.source) for x in cp.near_duplicates(spark, docs, "").collect()), key=repr)
     assert got == sorted([(7, one, "en", "a"), (7, two, "en", "b"), (3, three, None, "x"), (None, one, "en", "e"), (None, one, "en", "e")], key=repr)
     assert cp.near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
+def test_clashing_columns_and_empty_tables(spark, folder):
+    """Extra columns of any name come back as they were; tables without rows and without a column of lengths are no error."""
+    path, texts, _, schema = folder
+    extra = ["node", "kept", "component_id", "i", "row", "group", "quality_score", "text_is_null", "n", "start", "k", "c", "t", "runs", "spans"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 40 OR doc_id >= 190")
+    wide = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in extra])
+    for name, stage in cp.STAGES[:-1]:
+        plain, full = stage(spark, docs, path), stage(spark, wide, path)
+        assert full.columns == wide.columns
+        rows = full.collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect()), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra), name
+    for name, stage in cp.STAGES:
+        assert stage(spark, wide.where("doc_id < 0"), path).collect() == [], name
+        stage(spark, docs.drop("n_chars"), path).schema  # noqa: B018
