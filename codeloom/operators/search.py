@@ -9,6 +9,7 @@ from codeloom.functions.paging import page
 from codeloom.functions.text import base_name, contains_pattern, has_modifier, is_main, library_of, outer_name, package_glob, package_name, path_glob, property_pattern, simple_name
 from codeloom.operators.graph import closure_of, distances
 from codeloom.operators.metrics import edges_between_current
+from codeloom.operators.endpoints import declared_routes
 from codeloom.plans.snapshot import Snapshot, is_production
 
 
@@ -160,7 +161,35 @@ def _parts(column: str) -> Column:
     return F.filter(F.split(column, "\n"), lambda x: x != "")
 
 
-def framework_endpoints(s: Snapshot, *, http_method: str | None = None, path_prefix: str | None = None) -> DataFrame:
+def _endpoint_filters(found: DataFrame, s: Snapshot, http_method: str | None, path_prefix: str | None, framework: str | None, module: str | None, source_set: str | None) -> DataFrame:
+    if http_method:
+        found = found.where((F.col("http_method") == http_method) | (F.col("http_method") == "ANY"))
+    if path_prefix:
+        found = found.where(F.col("path").startswith("/" + path_prefix.strip("/")))
+    if framework:
+        found = found.where(F.col("framework") == framework)
+    homes = s.current().select(F.col("id").alias("class_id"), "module", F.coalesce("source_set", F.lit("main")).alias("source_set"))
+    for column, value in (("module", module), ("source_set", source_set)):
+        if value is not None:
+            found = found.join(homes.where(F.col(column) == value).select("class_id"), "class_id", "left_semi")
+    return found
+
+
+def _joined_path() -> Column:
+    whole = F.regexp_replace(F.concat_ws("/", F.lit(""), "base", "path"), "/+", "/")
+    return F.when(F.length(whole) > 1, F.regexp_replace(whole, "/$", "")).otherwise(whole)
+
+
+def declared_endpoints(s: Snapshot, *, http_method: str | None = None, path_prefix: str | None = None, framework: str | None = None, module: str | None = None, source_set: str | None = None) -> DataFrame:
+    """(class_id, class_name, name, descriptor, framework, http_method, path) of current classes: one row for each verb and path of the routes that
+    they declare, compose from annotations of annotations, or inherit."""
+    rows = declared_routes(s).join(s.current().select(F.col("id").alias("class_id")), "class_id", "left_semi")
+    wide = rows.withColumn("http_method", F.explode("verbs")).withColumn("base", F.explode("bases")).withColumn("path", F.explode("paths"))
+    found = wide.select("class_id", "class_name", "name", "descriptor", "framework", "http_method", _joined_path().alias("path")).distinct()
+    return _endpoint_filters(found, s, http_method, path_prefix, framework, module, source_set)
+
+
+def framework_endpoints(s: Snapshot, *, http_method: str | None = None, path_prefix: str | None = None, framework: str | None = None, module: str | None = None, source_set: str | None = None) -> DataFrame:
     """Routes of current classes: class paths with method paths, one row for each verb and path. ``endpoint_marks``
     has the values of route annotations, joined by line ends: of a class where the name is empty, else of a method. Spring's verbs without
     one are ANY, a JAX-RS path without a verb is a SUBRESOURCE. Slashes between parts are one."""
@@ -180,13 +209,8 @@ def framework_endpoints(s: Snapshot, *, http_method: str | None = None, path_pre
     none = F.when(F.col("framework") == "spring", "ANY").otherwise("SUBRESOURCE")
     wide = rows.select("class_id", "class_name", "name", "descriptor", "framework", F.when(F.size(verbs) > 0, verbs).otherwise(F.array(none)).alias("verbs"), some("bases").alias("bases"), some("paths").alias("paths"))
     wide = wide.withColumn("http_method", F.explode("verbs")).withColumn("base", F.explode("bases")).withColumn("path", F.explode("paths"))
-    whole = F.regexp_replace(F.concat_ws("/", F.lit(""), "base", "path"), "/+", "/")
-    found = wide.select("class_id", "class_name", "name", "descriptor", "framework", "http_method", F.when(F.length(whole) > 1, F.regexp_replace(whole, "/$", "")).otherwise(whole).alias("path")).distinct()
-    if http_method:
-        found = found.where((F.col("http_method") == http_method) | (F.col("http_method") == "ANY"))
-    if path_prefix:
-        found = found.where(F.col("path").startswith("/" + path_prefix.strip("/")))
-    return found
+    found = wide.select("class_id", "class_name", "name", "descriptor", "framework", "http_method", _joined_path().alias("path")).distinct()
+    return _endpoint_filters(found, s, http_method, path_prefix, framework, module, source_set)
 
 
 # Annotations that make a class or a method an entry point, by kind.

@@ -58,6 +58,9 @@ def snapshot_of(parsed: DataFrame, *, module: str | None = None, source_set: str
             "method_calls": calls.select(_id("class_name").alias("caller_class_id"), F.col("method").alias("caller_method"), F.col("descriptor").alias("caller_descriptor"), _id("owner").alias("target_class_id"), F.col("name").alias("target_method"), F.col("to").alias("target_descriptor"), "invocation_kind", "occurrence_count"),
             "field_accesses": accesses.select(_id("class_name").alias("accessor_class_id"), F.col("method").alias("accessor_method"), _id("owner").alias("owner_class_id"), F.col("name").alias("field_name"), "access_kind", "occurrence_count"),
             "service_registrations": none("service_type string, class_id long"),
+            "annotation_uses": classfile.annotation_values(one).where("kind <> 'ANNOTATION'").select(_id("class_name").alias("class_id"), F.col("member").alias("name"), "descriptor", "position", "annotation", "element", "values"),
+            "annotation_elements": classfile.annotation_elements(one),
+            "annotation_metas": classfile.annotation_values(one).where("kind = 'ANNOTATION' AND member = ''").select(F.col("class_name").alias("annotation"), F.col("annotation").alias("meta"), "element", "values"),
             "endpoint_marks": classfile.endpoint_marks(one).withColumn("class_id", _id("class_name")).drop("class_name"),
         },
     )

@@ -7,6 +7,7 @@ row: files come from Spark's ``binaryFile`` source (or out of JARs) and are pars
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -28,6 +29,16 @@ _ONE = {16, 18, *range(21, 26), *range(54, 59), 169, 188}
 _TWO = {17, 19, 20, 132, *range(153, 169), *range(178, 185), 187, 189, 192, 193, 198, 199}
 _FOUR = {185, 186, 200, 201}
 _RETURNS = {*range(172, 178), 191}
+# Methods that take a configuration key or a resource's path first: the type that has them (or a subtype, where it is
+# an interface of a library), and what they are.
+CONSTANT_APIS = (
+    ("java.lang.System", "getProperty", "config_key"), ("java.lang.System", "getenv", "config_key"), ("java.lang.Integer", "getInteger", "config_key"), ("java.lang.Boolean", "getBoolean", "config_key"),
+    ("org.springframework.core.env.Environment", "getProperty", "config_key"), ("org.springframework.core.env.Environment", "getRequiredProperty", "config_key"),
+    ("org.eclipse.microprofile.config.Config", "getValue", "config_key"), ("org.eclipse.microprofile.config.Config", "getOptionalValue", "config_key"),
+    ("java.lang.Class", "getResource", "resource"), ("java.lang.Class", "getResourceAsStream", "resource"), ("java.lang.ClassLoader", "getResource", "resource"), ("java.lang.ClassLoader", "getResourceAsStream", "resource"),
+    ("org.springframework.core.io.ResourceLoader", "getResource", "resource"), ("java.util.ResourceBundle", "getBundle", "resource_bundle"),
+)
+LOOKUPS = {name for _, name, _ in CONSTANT_APIS}
 
 
 @dataclass
@@ -47,7 +58,12 @@ class ClassFile:
     accesses: list[dict] = field(default_factory=list)
     references: list[dict] = field(default_factory=list)
     flow: list[dict] = field(default_factory=list)
-    constants: list[dict] = field(default_factory=list)
+    lookups: list[dict] = field(default_factory=list)
+    defaults: list[dict] = field(default_factory=list)
+    signature: str | None = None
+
+
+_PARAMETER = re.compile(r"\[*(?:L[^;]+;|[ZBCSIJFD])")
 
 
 class _Reader:
@@ -101,6 +117,11 @@ class _Pool:
     def text(self, k: int) -> str | None:
         return self.items[k] if k else None
 
+    def constant(self, k: int) -> str | None:
+        """A field's constant: a text, or a number as text."""
+        item = self.items[k]
+        return self.text(item[1]) if item[0] == 8 else str(item[1])
+
     def class_name(self, k: int) -> str | None:
         return _dotted(self.items[self.items[k][1]]) if k else None
 
@@ -126,16 +147,27 @@ def parse(data: bytes) -> ClassFile:
     for names, member_kind in ((FIELD_FLAGS, "FIELD"), (METHOD_FLAGS, "METHOD")):
         for _ in range(r.take("H")):
             value, name, descriptor = r.take("H"), pool.text(r.take("H")), pool.text(r.take("H"))
-            row = {"kind": "CONSTRUCTOR" if name == "<init>" else member_kind, "name": name, "descriptor": descriptor, "modifiers": _flags(value, names), "annotations": []}
+            row = {"kind": "CONSTRUCTOR" if name == "<init>" else member_kind, "name": name, "descriptor": descriptor, "modifiers": _flags(value, names), "annotations": [], "signature": None, "constant": None}
             out.members.append(row)
             for attribute, body in _attributes(r, pool):
                 if attribute in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
                     _mark(out, row["annotations"], _annotations(body, pool), name, descriptor)
+                elif attribute in ("RuntimeVisibleParameterAnnotations", "RuntimeInvisibleParameterAnnotations"):
+                    for k, found in enumerate(_parameter_annotations(body, pool)):
+                        _mark(out, [], found, name, descriptor, k)
+                elif attribute == "AnnotationDefault":
+                    out.defaults.append({"element": name, "values": _annotation_value(_Reader(body), pool)})
+                elif attribute == "Signature":
+                    row["signature"] = pool.text(struct.unpack(">H", body)[0])
+                elif attribute == "ConstantValue":
+                    row["constant"] = pool.constant(struct.unpack(">H", body)[0])
                 elif attribute == "Code":
                     _code(body, pool, out, name, descriptor)
     for attribute, body in _attributes(r, pool):
         if attribute == "SourceFile":
             out.source_file = pool.text(struct.unpack(">H", body)[0])
+        elif attribute == "Signature":
+            out.signature = pool.text(struct.unpack(">H", body)[0])
         elif attribute in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
             _mark(out, out.annotations, _annotations(body, pool), "", "")
     return out
@@ -147,35 +179,107 @@ def _attributes(r: _Reader, pool: _Pool) -> Iterator[tuple[str, bytes]]:
         yield name, r.bytes(r.take("I"))
 
 
+def _annotation_value(r: _Reader, pool: _Pool) -> list[str]:
+    """Texts, names of enum constants and classes, and numbers of an element's value; nested annotations have none."""
+    tag = chr(r.take("B"))
+    if tag == "e":
+        r.take("H")
+        return [pool.text(r.take("H"))]
+    if tag == "@":
+        _annotation(r, pool)
+        return []
+    if tag == "[":
+        return [v for _ in range(r.take("H")) for v in _annotation_value(r, pool)]
+    at = r.take("H")
+    return [pool.text(at)] if tag == "s" else [_type_name(pool.text(at)) or pool.text(at)] if tag == "c" else [str(pool.items[at][1])]
+
+
+def _annotation(r: _Reader, pool: _Pool) -> tuple[str, dict[str, list[str]]]:
+    name = _type_name(pool.text(r.take("H")))
+    return name, {pool.text(r.take("H")): _annotation_value(r, pool) for _ in range(r.take("H"))}
+
+
 def _annotations(body: bytes, pool: _Pool) -> list[tuple[str, dict[str, list[str]]]]:
-    """(name, values by element) of the annotations of one attribute; texts and names of enum constants and classes, others are empty."""
+    """(name, values by element) of the annotations of one attribute."""
     r = _Reader(body)
+    return [_annotation(r, pool) for _ in range(r.take("H"))]
 
-    def value() -> list[str]:
-        tag = chr(r.take("B"))
-        if tag == "e":
-            r.take("H")
-            return [pool.text(r.take("H"))]
-        if tag == "@":
-            annotation()
-            return []
-        if tag == "[":
-            return [v for _ in range(r.take("H")) for v in value()]
-        at = r.take("H")
-        return [pool.text(at)] if tag == "s" else [_type_name(pool.text(at)) or pool.text(at)] if tag == "c" else []
 
-    def annotation() -> tuple[str, dict[str, list[str]]]:
-        name = _type_name(pool.text(r.take("H")))
-        return name, {pool.text(r.take("H")): value() for _ in range(r.take("H"))}
-
-    return [annotation() for _ in range(r.take("H"))]
+def _parameter_annotations(body: bytes, pool: _Pool) -> list[list[tuple[str, dict[str, list[str]]]]]:
+    r = _Reader(body)
+    return [[_annotation(r, pool) for _ in range(r.take("H"))] for _ in range(r.take("B"))]
 
 
-def _mark(out: ClassFile, names: list[str], found: list[tuple[str, dict]], member: str, descriptor: str) -> None:
+def _mark(out: ClassFile, names: list[str], found: list[tuple[str, dict]], member: str, descriptor: str, position: int | None = None) -> None:
     """Add annotations by name, and their values with the place that has them."""
     for name, values in found:
         names.append(name)
-        out.values += [{"member": member, "descriptor": descriptor, "annotation": name, "element": e, "values": v} for e, v in (values or {"": []}).items()]
+        out.values += [{"member": member, "descriptor": descriptor, "position": position, "annotation": name, "element": e, "values": v} for e, v in (values or {"": []}).items()]
+
+
+class _Machine:
+    """The stack and the slots of a method as far as they are known: a text, a class (in a tuple), or None."""
+
+    def __init__(self, pool: _Pool, owner: str, fields: dict[str, str]) -> None:
+        self.pool, self.owner, self.fields = pool, owner, fields
+        self.stack: list = []
+        self.slots: dict[int, object] = {}
+
+    def pop(self, n: int = 1) -> list:
+        """The ``n`` values on top, the deepest first; what isn't there is unknown."""
+        got = self.stack[-n:] if n else []
+        del self.stack[len(self.stack) - len(got) :]
+        return [None] * (n - len(got)) + got
+
+    def forget(self) -> None:
+        self.stack.clear()
+        self.slots.clear()
+
+    def call(self, op: int, descriptor: str) -> tuple[object, list]:
+        """(receiver, arguments); the result is unknown."""
+        arguments = self.pop(len(parameter_types(descriptor)))
+        receiver = self.pop()[0] if op not in (184, 186) else None
+        if not descriptor.endswith(")V"):
+            self.stack.append(None)
+        return receiver, arguments
+
+    def step(self, code: bytes, at: int) -> None:
+        """An instruction that isn't a call. What it isn't known to leave as it is makes the stack unknown, a jump everything."""
+        op, stack = code[at], self.stack
+        wide = op == 196
+        if wide:
+            op = code[at + 1]
+        slot = (struct.unpack_from(">H", code, at + 2)[0] if wide else code[at + 1]) if at + 1 < len(code) else 0
+        if 21 <= op <= 45:
+            stack.append(self.slots.get(slot if op <= 25 else (op - 26) % 4))
+        elif 54 <= op <= 78:
+            self.slots[slot if op <= 58 else (op - 59) % 4] = self.pop()[0]
+        elif op in (18, 19, 20):
+            item = self.pool.items[code[at + 1] if op == 18 else struct.unpack_from(">H", code, at + 1)[0]]
+            stack.append(self.pool.text(item[1]) if item and item[0] == 8 else (_dotted(self.pool.text(item[1])),) if item and item[0] == 7 else None)
+        elif 1 <= op <= 8 or op in (16, 17, 187):
+            stack.append(None)
+        elif op == 89:
+            stack.append(stack[-1] if stack else None)
+        elif op == 178:
+            owner, name, _ = self.pool.member(struct.unpack_from(">H", code, at + 1)[0])
+            stack.append(self.fields.get(name) if owner == self.owner else None)
+        elif op in (180, 189):
+            self.pop()
+            stack.append(None)
+        elif op in (87, 172, 174, 176, 179):
+            self.pop()
+        elif op in (88, 173, 175, 181):
+            self.pop(2)
+        elif 153 <= op <= 168 or 198 <= op <= 201:
+            self.forget()
+        elif op not in (0, 132, 170, 171, 177, 192, 193, 197):
+            stack.clear()
+
+
+def parameter_types(descriptor: str) -> list[str]:
+    """The descriptors of a method's parameters."""
+    return _PARAMETER.findall(descriptor[1 : descriptor.rindex(")")])
 
 
 def _code(body: bytes, pool: _Pool, out: ClassFile, method: str, descriptor: str) -> None:
@@ -183,15 +287,21 @@ def _code(body: bytes, pool: _Pool, out: ClassFile, method: str, descriptor: str
     r = _Reader(body)
     r.take("I")
     code = r.bytes(r.take("I"))
-    r.bytes(8 * r.take("H"))
+    handlers = [struct.unpack(">HHHH", r.bytes(8))[2] for _ in range(r.take("H"))]
     lines: list[tuple[int, int]] = []
     for attribute, table in _attributes(r, pool):
         if attribute == "LineNumberTable":
             lines += [struct.unpack_from(">HH", table, 2 + 4 * k) for k in range(struct.unpack_from(">H", table)[0])]
     lines.sort()
     place = {"method": method, "descriptor": descriptor}
-    at, line, last_text = 0, None, None
-    leaders, steps, events = {0}, [], []
+    at, line = 0, None
+    leaders, steps, reached = {0}, [], {*handlers}
+    while at < len(code):
+        size, targets = _shape(code, at)
+        reached.update(targets or ())
+        at += size
+    at = 0
+    machine = _Machine(pool, out.name, {m["name"]: m["constant"] for m in out.members if m["kind"] == "FIELD" and m["descriptor"] == "Ljava/lang/String;" and {"static", "final"} <= {*m["modifiers"]}})
     upcoming = iter(lines)
     following = next(upcoming, None)
     while at < len(code):
@@ -200,24 +310,24 @@ def _code(body: bytes, pool: _Pool, out: ClassFile, method: str, descriptor: str
         op = code[at]
         index = struct.unpack_from(">H", code, at + 1)[0] if at + 2 < len(code) else 0
         size, targets = _shape(code, at)
+        if at in reached:
+            machine.forget()
         if op in INVOKES:
             owner, name, to = pool.member(index)
             out.calls.append(place | {"owner": owner, "name": name, "to": to, "invocation_kind": INVOKES[op], "ordinal": at, "line": line})
-            events.append(at)
-            if last_text is not None:
-                out.constants.append(place | {"owner": owner, "name": name, "value": last_text, "line": line})
-            last_text = None
-        elif op in FIELDS:
+            receiver, arguments = machine.call(op, to)
+            if name in LOOKUPS and to.startswith("(Ljava/lang/String;"):
+                value = arguments[0] if isinstance(arguments[0], str) else None
+                out.lookups.append(place | {"owner": owner, "name": name, "value": value, "receiver": receiver[0] if isinstance(receiver, tuple) else None, "line": line})
+        else:
+            machine.step(code, at)
+        if op in FIELDS:
             owner, name, to = pool.member(index)
             out.accesses.append(place | {"owner": owner, "name": name, "to": to, "access_kind": FIELDS[op], "ordinal": at, "line": line})
-            last_text = None
         elif op in (187, 189, 192, 193):
             name = pool.class_name(index)
             if not name.startswith("["):
                 out.references.append(place | {"target": name, "reference": "CONSTRUCTS" if op == 187 else "TYPE_USE", "line": line})
-        elif op in (18, 19):
-            item = pool.items[code[at + 1] if op == 18 else index]
-            last_text = pool.text(item[1]) if item and item[0] == 8 else None
         if targets is not None:
             leaders.update(targets)
             leaders.add(at + size)
@@ -267,13 +377,14 @@ def _shape(code: bytes, at: int) -> tuple[int, list[int] | None]:
 
 
 _SCHEMA = """path string, class_name string, superclass string, interfaces array<string>, kind string, flags array<string>, source_file string, annotations array<string>,
-    values array<struct<member:string,descriptor:string,annotation:string,element:string,values:array<string>>>,
-    members array<struct<kind:string,name:string,descriptor:string,modifiers:array<string>,annotations:array<string>>>,
+    values array<struct<member:string,descriptor:string,position:int,annotation:string,element:string,values:array<string>>>,
+    members array<struct<kind:string,name:string,descriptor:string,modifiers:array<string>,annotations:array<string>,signature:string,constant:string>>,
     calls array<struct<method:string,descriptor:string,owner:string,name:string,to:string,invocation_kind:string,ordinal:int,line:int>>,
     accesses array<struct<method:string,descriptor:string,owner:string,name:string,to:string,access_kind:string,ordinal:int,line:int>>,
     references array<struct<method:string,descriptor:string,target:string,reference:string,line:int>>,
     flow array<struct<method:string,descriptor:string,src:int,dst:int>>,
-    constants array<struct<method:string,descriptor:string,owner:string,name:string,value:string,line:int>>, problem string"""
+    lookups array<struct<method:string,descriptor:string,owner:string,name:string,value:string,receiver:string,line:int>>,
+    defaults array<struct<element:string,values:array<string>>>, signature string, problem string"""
 
 
 def parsed_classes(files: DataFrame) -> DataFrame:
@@ -301,7 +412,7 @@ def parsed_classes(files: DataFrame) -> DataFrame:
         except (ValueError, IndexError, struct.error, TypeError) as e:
             yield {"path": path, "problem": str(e) or type(e).__name__}
             return
-        yield {"path": path, "class_name": c.name} | {k: getattr(c, k) for k in ("superclass", "interfaces", "kind", "flags", "source_file", "annotations", "values", "members", "calls", "accesses", "references", "flow", "constants")}
+        yield {"path": path, "class_name": c.name} | {k: getattr(c, k) for k in ("superclass", "interfaces", "kind", "flags", "source_file", "annotations", "values", "members", "calls", "accesses", "references", "flow", "lookups", "defaults", "signature")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -332,15 +443,32 @@ def member_rows(parsed: DataFrame) -> DataFrame:
 
 
 def annotation_values(parsed: DataFrame) -> DataFrame:
-    """(class_name, member, descriptor, annotation, element, values): what annotations of classes (no member) and members say; one row
-    for each element, with an empty one for annotations without any."""
-    return parsed.select("class_name", F.explode("values").alias("v")).select("class_name", "v.*")
+    """(class_name, member, descriptor, position, annotation, element, values): what annotations of classes (no member), members and their
+    parameters (position) say; one row for each element, with an empty one for annotations without any."""
+    return parsed.select("class_name", "kind", F.explode("values").alias("v")).select("class_name", "kind", "v.*")
+
+
+# The annotation that makes an element the alias of another one.
+ALIAS = "org.springframework.core.annotation.AliasFor"
+
+
+def annotation_elements(parsed: DataFrame) -> DataFrame:
+    """(annotation, element, default_values, aliased, alias_annotation, alias_element): the elements of annotations, what they are without a
+    value, and of which element, of which annotation (null: their own), they are an alias."""
+    own = parsed.where("kind = 'ANNOTATION'")
+    elements = own.select(F.col("class_name").alias("annotation"), F.explode("members").alias("m")).where("m.kind = 'METHOD'").select("annotation", F.col("m.name").alias("element"))
+    defaults = own.select(F.col("class_name").alias("annotation"), F.explode("defaults").alias("d")).select("annotation", "d.element", F.col("d.values").alias("default_values"))
+    said = annotation_values(own).where(F.col("annotation") == ALIAS).select(F.col("class_name").alias("home"), F.col("member").alias("at"), "element", F.try_element_at("values", F.lit(1)).alias("v"))
+    of = lambda e: F.max(F.when((F.col("element") == e) & (F.col("v") != ""), F.col("v")))
+    aliases = said.groupBy(F.col("home").alias("annotation"), F.col("at").alias("name")).agg(of("annotation").alias("alias_annotation"), F.coalesce(of("attribute"), of("value")).alias("alias_element"), F.lit(True).alias("aliased")).withColumnRenamed("name", "element")
+    whole = elements.join(defaults, ["annotation", "element"], "left").join(aliases, ["annotation", "element"], "left")
+    return whole.select("annotation", "element", "default_values", F.coalesce("aliased", F.lit(False)).alias("aliased"), "alias_annotation", "alias_element")
 
 
 def endpoint_marks(parsed: DataFrame) -> DataFrame:
     """(class_name, name, descriptor, annotation, paths, verbs): paths and verbs of annotations that have either by name or by
     element, in the order of the file, joined by line ends. ``path`` goes before ``value``, as one is the other's alias."""
-    by = annotation_values(parsed).groupBy("class_name", F.col("member").alias("name"), "descriptor", "annotation")
+    by = annotation_values(parsed).where("position is null").groupBy("class_name", F.col("member").alias("name"), "descriptor", "annotation")
     of = lambda e: F.max(F.when(F.col("element") == e, F.when(F.size("values") > 0, F.array_join("values", "\n"))))
     return by.agg(F.coalesce(of("path"), of("value"), F.lit("")).alias("paths"), F.coalesce(of("method"), F.lit("")).alias("verbs"))
 
@@ -386,22 +514,37 @@ def meta_annotations(parsed: DataFrame, *, max_depth: int = 16) -> DataFrame:
     return own.unionByName(meta).distinct()
 
 
-# Methods that take a configuration key or resource path first.
-CONSTANT_APIS = (
-    ("java.lang.System", "getProperty", "configuration"), ("java.lang.System", "getenv", "configuration"), ("java.lang.Integer", "getInteger", "configuration"), ("java.lang.Boolean", "getBoolean", "configuration"),
-    ("java.lang.Class", "getResource", "resource"), ("java.lang.Class", "getResourceAsStream", "resource"), ("java.lang.ClassLoader", "getResource", "resource"),
-    ("java.lang.ClassLoader", "getResourceAsStream", "resource"), ("java.util.ResourceBundle", "getBundle", "bundle"),
-)
+def _named_below(parsed: DataFrame, types: DataFrame) -> DataFrame:
+    """(owner, api): each of ``types`` (owner) and all parsed classes below it."""
+    from codeloom.operators.graph import distances
+
+    up = parsed.where("problem is null").select(F.col("class_name").alias("dst"), F.explode(F.array_compact(F.concat(F.array("superclass"), "interfaces"))).alias("src"))
+    reach = distances(up, types.select(F.col("owner").alias("origin"), F.col("owner").alias("node")).distinct())
+    return reach.select(F.col("node").alias("owner"), F.col("origin").alias("api"))
 
 
 def programmatic_usages(parsed: DataFrame) -> DataFrame:
-    """Keys and paths given as constants to known calls; calls without a constant are dynamic."""
-    apis = parsed.sparkSession.createDataFrame(CONSTANT_APIS, "owner string, name string, usage string")
-    known = parsed.select("class_name", F.explode("constants").alias("c")).select("class_name", "c.method", "c.owner", "c.name", "c.value", "c.line")
-    calls = parsed.select("class_name", F.explode("calls").alias("c")).select("class_name", "c.method", "c.owner", "c.name", "c.line")
-    fixed = known.join(F.broadcast(apis), ["owner", "name"]).select("class_name", "method", "usage", "value", "line")
-    loose = calls.join(F.broadcast(apis), ["owner", "name"]).join(fixed.select("class_name", "method", "line"), ["class_name", "method", "line"], "left_anti")
-    return fixed.unionByName(loose.select("class_name", "method", F.lit("dynamic").alias("usage"), F.lit(None).cast("string").alias("value"), "line"))
+    """(class_name, method, api, usage, value): keys and paths that methods give to known calls (of the type that has them or of one below),
+    each once. A method's constants are followed through its stack and local variables and the class's constant fields; what
+    isn't known for certain is ``dynamic_config_key`` or ``dynamic_resource``, without a value. A resource's path is
+    relative to the package of the class that is asked, where that is known, else of the class that asks; bundles end in ``.properties``."""
+    apis = parsed.sparkSession.createDataFrame(CONSTANT_APIS, "api string, name string, usage string")
+    # the calls of the types that are final, and of all types below the others
+    below = _named_below(parsed, apis.select(F.col("api").alias("owner")))
+    calls = parsed.select("class_name", F.explode("lookups").alias("c")).select("class_name", "c.*")
+    found = calls.join(below, "owner").join(F.broadcast(apis), ["api", "name"])
+    path = F.translate("value", "\\", "/")
+    path = F.when(F.col("api") == "org.springframework.core.io.ResourceLoader", F.regexp_replace(path, r"^classpath\*?:", "")).otherwise(path)
+    outside = (F.col("api") == "org.springframework.core.io.ResourceLoader") & path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    plain = F.regexp_replace(path, "^/+", "")
+    package = F.translate(F.regexp_extract(F.coalesce("receiver", "class_name"), r"^(.*)\.[^.]*$", 1), ".", "/")
+    relative = (F.col("api") == "java.lang.Class") & ~path.startswith("/") & (package != "")
+    value = (
+        F.when(F.col("usage") == "config_key", F.col("value")).when(F.col("usage") == "resource_bundle", F.concat(F.translate(path, ".", "/"), F.lit(".properties")))
+        .when(outside, path).when(F.trim(plain) == "", None).when(relative, F.concat(package, F.lit("/"), plain)).otherwise(plain)
+    )
+    usage = F.when(value.isNull(), F.when(F.col("usage") == "config_key", "dynamic_config_key").otherwise("dynamic_resource")).when(outside & (F.col("usage") == "resource"), "external_resource").otherwise(F.col("usage"))
+    return found.select("class_name", "method", F.concat_ws("#", "api", "name").alias("api"), usage.alias("usage"), value.alias("value")).distinct()
 
 
 def first_by_jar(parsed: DataFrame, order: list[str]) -> DataFrame:

@@ -34,7 +34,7 @@ def test_calls_fields_and_dependencies(parsed):
     kinds = {r.kind for r in classfile.dependency_rows(parsed).where("from_class = 'org.slf4j.LoggerFactory'").collect()}
     assert {"CALLS", "CONSTRUCTS"} <= kinds
     used = classfile.programmatic_usages(parsed).collect()
-    assert any(r.usage == "configuration" and r.value for r in used)
+    assert {("org.slf4j.LoggerFactory", "slf4j.provider")} <= {(r.class_name, r.value) for r in used if r.usage == "config_key"} and any(r.usage == "dynamic_config_key" and r.value is None for r in used)
 
 
 def test_flow_feeds_dominance(parsed):
