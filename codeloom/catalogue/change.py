@@ -1,5 +1,7 @@
 """Queries that compare two generations."""
 
+from pyspark.sql import functions as F
+
 from codeloom.catalogue import filled, register
 from codeloom.catalogue.rules import _INJ
 from codeloom.operators import compare, injection
@@ -12,11 +14,11 @@ register(
     f"""{_FP.format(n='a', m='class_members', t='classes')}, {_FP.format(n='b', m='baseline_members', t='baseline_classes')}
     SELECT coalesce(a.class_name, b.class_name) AS class_name, CASE WHEN b.fp IS NULL THEN 'added' WHEN a.fp IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.class_name = b.class_name WHERE a.fp IS DISTINCT FROM b.fp""",
 )
-_DEP = "{n} AS (SELECT x.class_name || ' -> ' || y.class_name || ' [' || d.kind || ']' AS dependency, CAST(sum(occurrence_count) AS BIGINT) AS n FROM {t} d JOIN classes x ON x.id = from_class_id JOIN classes y ON y.id = to_class_id GROUP BY 1)"
+_DEP = "{n} AS (SELECT x.class_name || ' -> ' || y.class_name || ' [' || d.kind || ']' AS dependency, CAST(sum(occurrence_count) AS BIGINT) AS n FROM {t} d JOIN {c} x ON x.id = from_class_id JOIN {c} y ON y.id = to_class_id WHERE x.lifecycle = 'current' AND x.origin <> 'orphan_output' AND y.lifecycle = 'current' AND y.origin <> 'orphan_output' GROUP BY 1)"
 register(
     "compare_dependencies",
     lambda s: filled(compare.compare_dependencies(s), "was", "is_now"),
-    f"""{_DEP.format(n='a', t='dependencies')}, {_DEP.format(n='b', t='baseline_dependencies')}
+    f"""{_DEP.format(n='a', t='dependencies', c='classes')}, {_DEP.format(n='b', t='baseline_dependencies', c='baseline_classes')}
     SELECT coalesce(a.dependency, b.dependency) AS dependency, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'modified' END AS change, coalesce(b.n, -1) AS was, coalesce(a.n, -1) AS is_now FROM a FULL JOIN b ON a.dependency = b.dependency WHERE a.n IS DISTINCT FROM b.n""",
 )
 register(
@@ -54,11 +56,16 @@ register(
     compare.finding_impact,
     f"{_API} SELECT class_name, count(DISTINCT from_class_id) AS users, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM baseline_dependencies JOIN baseline_classes c ON c.id = to_class_id WHERE class_name IN (SELECT class_name FROM api WHERE assessment = 'potentially_breaking') GROUP BY 1",
 )
-_BEANS = "SELECT DISTINCT class_name || ' ' || b.kind || ' ' || scope || ' ' || qualifier AS bean FROM {t} b JOIN classes c ON c.id = b.class_id"
-register("compare_beans", compare.compare_beans, f"n AS ({_BEANS.format(t='beans')}), w AS ({_BEANS.format(t='baseline_beans')}) SELECT bean, 'added' AS change FROM (SELECT bean FROM n EXCEPT SELECT bean FROM w) UNION ALL SELECT bean, 'removed' FROM (SELECT bean FROM w EXCEPT SELECT bean FROM n)")
+_BEANS = "SELECT b.id, class_name, class_name || ' [' || b.kind || '] ' AS bean FROM {t} b JOIN {c} c ON c.id = b.class_id WHERE lifecycle = 'current' AND origin <> 'orphan_output'"
+_SIDES = f"n AS ({_BEANS.format(t='beans', c='classes')}), w AS ({_BEANS.format(t='baseline_beans', c='baseline_classes')})"
+register("compare_beans", compare.compare_beans, f"{_SIDES} SELECT bean, 'added' AS change FROM (SELECT bean FROM n EXCEPT SELECT bean FROM w) UNION ALL SELECT bean, 'removed' FROM (SELECT bean FROM w EXCEPT SELECT bean FROM n)")
+_POINT = "SELECT class_name || '#' || field_name || ' [FIELD:' || target_type || ':' || qualifier || ']' AS injection, max(status || ':' || reason) AS value FROM {p} p JOIN {b} ON {b}.id = p.bean_id GROUP BY 1"
 register(
     "compare_injections",
-    lambda s: filled(compare.compare_injections(s.baseline_injections, injection.resolved_points(s)), "was", "is_now"),
-    f"""{_INJ} SELECT coalesce(b.point_id, rs.point_id) AS point_id, CASE WHEN b.point_id IS NULL THEN 'added' WHEN rs.point_id IS NULL THEN 'removed' ELSE 'resolution_changed' END AS change, coalesce(b.bean_id, -1) AS was, coalesce(rs.bean_id, -1) AS is_now
-    FROM baseline_injections b FULL JOIN rs ON rs.point_id = b.point_id WHERE b.point_id IS NULL OR rs.point_id IS NULL OR b.bean_id IS DISTINCT FROM rs.bean_id""",
+    lambda s: compare.compare_injections(
+        compare.injection_values(s.baseline_injections, s.baseline_beans, s.baseline_classes),
+        compare.injection_values(s.injection_points.join(injection.resolved_points(s).select(F.col("point_id").alias("id"), "status"), "id"), s.beans, s.classes),
+    ),
+    f"""{_INJ}, {_SIDES}, np AS (SELECT ip.*, status, '' AS reason FROM injection_points ip JOIN rs ON rs.point_id = ip.id), a AS ({_POINT.format(p='np', b='n')}), z AS ({_POINT.format(p='baseline_injections', b='w')})
+    SELECT coalesce(a.injection, z.injection) AS injection, CASE WHEN z.value IS NULL THEN 'added' WHEN a.value IS NULL THEN 'removed' ELSE 'resolution_changed' END AS change, z.value AS was, a.value AS is_now FROM a FULL JOIN z ON a.injection = z.injection WHERE a.value IS DISTINCT FROM z.value""",
 )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codeloom.catalogue import CUR, filled, register
 from codeloom.catalogue.graphs import RESOLVED
-from codeloom.operators import configuration, injection, metrics, risk, unused, usage
+from codeloom.operators import beans, configuration, injection, metrics, risk, unused, usage
 
 _S = "CASE WHEN {x} <= {a} THEN 0.0 WHEN {x} >= {d} THEN 10.0 WHEN {x} <= {b} THEN 5.0 * ({x} - {a}) / ({b} - {a}) WHEN {x} <= {c} THEN 5 + 3.0 * ({x} - {b}) / ({c} - {b}) ELSE 8 + 2.0 * ({x} - {c}) / ({d} - {c}) END"
 
@@ -150,6 +150,15 @@ def _steps(key: str) -> str:
 _INJ = f"""{_SP}, q0 AS (SELECT p.id AS point_id, b.id AS candidate_id, {_FITS.format(w='p.qualifier', h='b.qualifier')} AS fits, b.is_default, b.is_alternative, b.priority FROM injection_points p JOIN beans b ON bean_type = target_type), {_steps('point_id')},
     res AS (SELECT p.id AS point_id, max(candidate_id) FILTER (WHERE disposition = 'SELECTED') AS bean_id, count(*) FILTER (WHERE disposition IN ('SELECTED', 'ELIGIBLE')) AS n FROM injection_points p LEFT JOIN cand c ON c.point_id = p.id GROUP BY 1),
     rs AS (SELECT point_id, bean_id, CASE WHEN bean_id IS NOT NULL THEN 'RESOLVED' WHEN n > 0 THEN 'AMBIGUOUS' ELSE 'UNSATISFIED' END AS status FROM res)"""
+_TYPED = f"""{_SP}, q0 AS (SELECT p.id AS point_id, b.id AS candidate_id, len(list_filter(p.qualifiers, lambda q: q <> '@Any' AND NOT list_contains(b.qualifiers, q))) = 0 AS fits, b.is_default, b.is_alternative, b.priority FROM typed_points p JOIN typed_beans b ON list_contains(b.types, p.target_type)), {_steps('point_id')}"""
+register("typed_bean_matches", lambda s: beans.matching_beans(s.typed_points, s.typed_beans), f"{_TYPED} SELECT point_id, candidate_id FROM q0 WHERE fits")
+register("typed_injection_candidates", lambda s: beans.typed_candidates(s.typed_points, s.typed_beans), f"{_TYPED} SELECT * FROM cand WHERE reason <> 'QUALIFIER_MISMATCH'")
+register(
+    "typed_injection_resolution",
+    lambda s: filled(beans.typed_resolution(s.typed_points, s.typed_beans), "bean_id"),
+    f"""{_TYPED}, tr AS (SELECT p.id AS point_id, max(candidate_id) FILTER (WHERE disposition = 'SELECTED') AS bean_id, count(*) FILTER (WHERE disposition IN ('SELECTED', 'ELIGIBLE')) AS n FROM typed_points p LEFT JOIN cand c ON c.point_id = p.id GROUP BY 1)
+    SELECT point_id, coalesce(bean_id, -1) AS bean_id, CASE WHEN bean_id IS NOT NULL THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNSATISFIED' END AS status FROM tr""",
+)
 register("injection_candidates", injection.candidates, f"{_INJ} SELECT * FROM cand")
 register("injection_resolution", lambda s: filled(injection.resolved_points(s), "bean_id"), f"{_INJ} SELECT point_id, coalesce(bean_id, -1) AS bean_id, status FROM rs")
 register("injection_problems", lambda s: metrics.injection_problem_counts(injection.resolved_points(s)), f"{_INJ} SELECT status, count(*) AS points FROM rs GROUP BY 1")

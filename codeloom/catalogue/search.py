@@ -65,6 +65,11 @@ _ROUTES = f"""{CUR}, em AS (SELECT *, CASE WHEN starts_with(annotation, 'org.spr
     ep AS (SELECT class_id, class_name, name, descriptor, framework, http_method, CASE WHEN length(whole) > 1 THEN regexp_replace(whole, '/$', '') ELSE whole END AS path FROM r3)"""
 register("framework_endpoints", q.framework_endpoints, f"{_ROUTES} SELECT * FROM ep")
 register("framework_endpoints_of_verb", lambda s: q.framework_endpoints(s, http_method="GET", path_prefix="/m"), f"{_ROUTES} SELECT * FROM ep WHERE http_method IN ('GET', 'ANY') AND starts_with(path, '/m')")
+register(
+    "framework_endpoints_filtered",
+    lambda s: q.framework_endpoints(s, framework="spring", source_set="main", module="Brand#14"),
+    f"{_ROUTES} SELECT ep.* FROM ep JOIN classes k ON k.id = ep.class_id WHERE framework = 'spring' AND coalesce(k.source_set, 'main') = 'main' AND k.module = 'Brand#14'",
+)
 register(
     "entry_points",
     q.entry_points,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import has_modifier
-from codeloom.plans.snapshot import Snapshot
+from codeloom.plans.snapshot import Snapshot, is_current
 
 
 def delta(current: DataFrame, desired: DataFrame) -> dict[str, DataFrame]:
@@ -48,32 +48,50 @@ def compare_classes(s: Snapshot) -> DataFrame:
     return both.select("class_name", change.alias("change")).where("change is not null")
 
 
+def _names(classes: DataFrame) -> DataFrame:
+    """(id, class_name) of a generation's current classes. Ids mean something within their generation only."""
+    return classes.where(is_current()).select("id", "class_name")
+
+
 def compare_dependencies(s: Snapshot) -> DataFrame:
-    """(dependency, change, was, is_now) of dependencies as ``A -> B [kind]``."""
-    named = s.classes.select("id", "class_name")
+    """(dependency, change, was, is_now) of dependencies as ``A -> B [kind]``, each generation's by the names that its own current classes have."""
 
-    def listed(df: DataFrame, column: str) -> DataFrame:
+    def listed(df: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+        named = _names(classes)
         rows = df.join(named.select(F.col("id").alias("from_class_id"), F.col("class_name").alias("a")), "from_class_id").join(named.select(F.col("id").alias("to_class_id"), F.col("class_name").alias("b")), "to_class_id")
         return rows.groupBy(F.concat("a", F.lit(" -> "), "b", F.lit(" ["), "kind", F.lit("]")).alias("dependency")).agg(F.sum("occurrence_count").alias(column))
 
-    both = listed(s.dependencies, "is_now").join(listed(s.baseline_dependencies, "was"), "dependency", "full")
+    both = listed(s.dependencies, s.classes, "is_now").join(listed(s.baseline_dependencies, s.baseline_classes, "was"), "dependency", "full")
     change = F.when(F.col("was").isNull(), "added").when(F.col("is_now").isNull(), "removed").when(F.col("was") != F.col("is_now"), "modified")
     return both.select("dependency", change.alias("change"), "was", "is_now").where("change is not null")
 
 
+def _bean_names(beans: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, class_name, bean): beans as ``class [kind] member``."""
+    member = F.coalesce(F.col("member_name"), F.lit("")) if "member_name" in beans.columns else F.lit("")
+    return beans.join(_names(classes).withColumnRenamed("id", "class_id"), "class_id").select("id", "class_name", F.concat("class_name", F.lit(" ["), "kind", F.lit("] "), member).alias("bean"))
+
+
 def compare_beans(s: Snapshot) -> DataFrame:
-    """(bean, change) of beans added or removed since the baseline, told apart by class, kind, scope and qualifiers."""
-    named = s.classes.select(F.col("id").alias("class_id"), "class_name")
-    listed = lambda beans: beans.join(named, "class_id").select(F.concat_ws(" ", "class_name", "kind", "scope", "qualifier").alias("bean")).distinct()
-    now, was = listed(s.beans), listed(s.baseline_beans)
+    """(bean, change) of beans added or removed since the baseline, as ``class [kind] member`` with the class of their own generation."""
+    now, was = (_bean_names(b, c).select("bean").distinct() for b, c in ((s.beans, s.classes), (s.baseline_beans, s.baseline_classes)))
     return now.join(was, "bean", "left_anti").withColumn("change", F.lit("added")).unionByName(was.join(now, "bean", "left_anti").withColumn("change", F.lit("removed")))
 
 
+def injection_values(points: DataFrame, beans: DataFrame, classes: DataFrame) -> DataFrame:
+    """(injection, value) of one generation's ``points`` (bean_id, field_name, target_type, qualifier, status[, kind, reason]): each as
+    ``class#field [kind:type:qualifiers]`` and how it is resolved; of several alike the greatest."""
+    text = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in points.columns else F.lit(other)
+    of = points.join(_bean_names(beans, classes).select(F.col("id").alias("bean_id"), "class_name"), "bean_id")
+    name = F.concat("class_name", F.lit("#"), text("field_name", ""), F.lit(" ["), text("kind", "FIELD"), F.lit(":"), "target_type", F.lit(":"), text("qualifier", ""), F.lit("]"))
+    return of.groupBy(name.alias("injection")).agg(F.max(F.concat("status", F.lit(":"), text("reason", ""))).alias("value"))
+
+
 def compare_injections(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(point_id, change, was, is_now) of injection points (point_id, bean_id) that were added, removed or resolve to another bean, or to none."""
-    both = before.select("point_id", F.col("bean_id").alias("was"), F.lit(True).alias("b")).join(after.select("point_id", F.col("bean_id").alias("is_now"), F.lit(True).alias("a")), "point_id", "full")
-    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("is_now")), "resolution_changed")
-    return both.select("point_id", change.alias("change"), "was", "is_now").where("change is not null")
+    """(injection, change, was, is_now) of injection points (injection, value) that were added, removed or are resolved in another way."""
+    both = before.select("injection", F.col("value").alias("was")).join(after.select("injection", F.col("value").alias("is_now")), "injection", "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("is_now").isNull(), "removed").when(F.col("was") != F.col("is_now"), "resolution_changed")
+    return both.select("injection", change.alias("change"), "was", "is_now").where("change is not null")
 
 
 def _visibility(modifiers: str) -> Column:

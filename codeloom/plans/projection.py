@@ -93,6 +93,10 @@ RELATIONS: dict[str, str] = {
     "injection_points": """SELECT c_custkey AS id, c_custkey % 50 AS bean_id, concat('T', CAST(c_nationkey AS STRING)) AS target_type,
         CASE WHEN c_custkey % 11 = 0 THEN '@Any' WHEN c_custkey % 11 = 1 THEN 'MACHINERY,BUILDING' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE '@Default' END AS qualifier, concat('field', CAST(c_custkey % 4 AS STRING)) AS field_name,
         concat('Brand#', CAST(c_custkey % 25 + 1 AS STRING)) AS module FROM customer""",
+    "typed_beans": """SELECT id, split(concat(bean_type, ',I', CAST(id % 5 AS STRING), CASE WHEN id % 3 = 0 THEN ',Root' ELSE '' END), ',') AS types, split(concat(qualifier, CASE WHEN id % 4 = 1 THEN ',Fast' ELSE '' END, CASE WHEN id % 6 = 1 THEN ',Named' ELSE '' END, ',@Any'), ',') AS qualifiers,
+        is_default, is_alternative, priority, specializes_id FROM beans""",
+    "typed_points": """SELECT id, CASE WHEN id % 4 = 0 THEN target_type WHEN id % 20 = 1 THEN 'Root' ELSE concat('I', CAST(id % 6 AS STRING)) END AS target_type,
+        split(CASE id % 7 WHEN 0 THEN 'MACHINERY,Fast' WHEN 1 THEN '@Any' WHEN 2 THEN 'Named,MACHINERY,@Any' WHEN 3 THEN 'Missing' WHEN 4 THEN 'BUILDING' ELSE '@Default' END, ',') AS qualifiers FROM injection_points""",
     "configuration_definitions": """SELECT lower(concat(p_type, '.', replace(p_brand, '#', ''), '.', replace(p_name, ' ', '.'))) AS key, 'properties' AS kind, concat('conf/', lower(p_type), '.properties') AS file, CAST(p_partkey AS BIGINT) AS line, p_brand AS module FROM part""",
     "configuration_usages": """SELECT lower(concat(p_type, '.', replace(p_brand, '#', ''), '.', replace(p_name, ' ', '.'))) AS key, 'value' AS kind, p_partkey AS class_id FROM part WHERE p_partkey % 4 = 0
         UNION ALL SELECT lower(p_type), 'prefix', p_partkey FROM part WHERE p_partkey % 50 = 1
@@ -107,7 +111,7 @@ RELATIONS: dict[str, str] = {
     "external_deps": """SELECT p_partkey AS class_id, CASE WHEN p_partkey % 19 = 0 THEN 'Plain' WHEN p_partkey % 7 = 0 THEN concat('lib.', lower(p_type)) ELSE concat('org.', lower(p_type), '.', replace(p_name, ' ', '.')) END AS external_type,
         CASE p_partkey % 3 WHEN 0 THEN 'ANNOTATION' WHEN 1 THEN 'FIELD' ELSE 'METHOD' END AS usage_kind FROM part WHERE p_partkey % 2 = 0""",
     "files": "SELECT page_id AS id, substr(split_part(url, '?', 1), 8) AS path, CASE WHEN page_id % 17 = 0 THEN 'deleted' ELSE 'current' END AS lifecycle FROM pages",
-    "baseline_classes": """SELECT id, class_name, CASE WHEN id % 41 = 7 THEN 'INTERFACE' ELSE kind END AS kind, CASE WHEN id % 43 = 9 THEN 'org.acme.Old' ELSE superclass END AS superclass, interface_name, source_file, is_bean, origin, lifecycle, module, source_set
+    "baseline_classes": """SELECT id, CASE WHEN id % 61 = 30 THEN concat('org.acme.gone.C', CAST(id AS STRING)) ELSE class_name END AS class_name, CASE WHEN id % 41 = 7 THEN 'INTERFACE' ELSE kind END AS kind, CASE WHEN id % 43 = 9 THEN 'org.acme.Old' ELSE superclass END AS superclass, interface_name, source_file, is_bean, origin, lifecycle, module, source_set
         FROM classes WHERE id % 29 <> 4""",
     "baseline_members": """SELECT class_id, kind, name, descriptor, CASE WHEN class_id % 45 = 10 THEN concat('final ', parameter_types) ELSE parameter_types END AS parameter_types,
         CASE WHEN class_id % 23 = 1 THEN 'public' WHEN class_id % 24 = 8 AND name = 'run' THEN 'public' WHEN class_id % 35 = 2 THEN concat(modifiers, ' synchronized') ELSE modifiers END AS modifiers,
@@ -123,7 +127,7 @@ RELATIONS: dict[str, str] = {
     "external_bean_settings": "SELECT c_custkey % 7 AS bean_id, concat('field', CAST(c_custkey % 5 AS STRING)) AS member, CASE WHEN c_custkey % 4 > 0 THEN concat('app.key', CAST(c_nationkey AS STRING)) END AS key, c_custkey % 3 = 0 AS required FROM customer",
     "di_problems": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 90 AS BIGINT) END AS class_id, concat('org.acme.K', CAST(c_custkey % 90 AS STRING)) AS class_name, CASE WHEN c_custkey % 2 = 0 THEN 'UNSATISFIED' ELSE 'INVALID_SCOPE' END AS problem_type, c_mktsegment AS message FROM customer WHERE c_custkey % 6 = 1",
     "baseline_beans": "SELECT id, class_id, kind, CASE WHEN id % 17 = 3 THEN 'Singleton' ELSE scope END AS scope, qualifier FROM beans WHERE id % 13 <> 5",
-    "baseline_injections": "SELECT id AS point_id, CASE WHEN id % 3 > 0 THEN CAST(id % 10 AS BIGINT) END AS bean_id FROM injection_points WHERE id % 9 <> 2",
+    "baseline_injections": "SELECT id, bean_id, target_type, qualifier, field_name, CASE WHEN id % 3 > 0 THEN 'UNSATISFIED' ELSE 'AMBIGUOUS' END AS status, '' AS reason FROM injection_points WHERE id % 9 <> 2",
     "calls_log": "SELECT event_id AS id, event_type AS tool, user_id, ts AS at, value AS elapsed_ms, event_type = 'error' AS failed FROM events",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
