@@ -56,6 +56,21 @@ register(
     compare.finding_impact,
     f"{_API} SELECT class_name, count(DISTINCT from_class_id) AS users, CAST(sum(occurrence_count) AS BIGINT) AS occurrences FROM baseline_dependencies JOIN baseline_classes c ON c.id = to_class_id WHERE class_name IN (SELECT class_name FROM api WHERE assessment = 'potentially_breaking') GROUP BY 1",
 )
+_LEVEL = "CASE WHEN contains({f}, 'public') THEN 3 WHEN contains({f}, 'protected') THEN 2 WHEN contains({f}, 'private') THEN 0 ELSE 1 END"
+_REST = "list_sort(list_filter(string_split({f}, ' '), lambda x: x NOT IN ('', 'public', 'protected', 'private', 'final', 'abstract')))"
+_JVM = f"""jk AS (SELECT class_name, coalesce(module, '') AS module, coalesce(source_set, '') AS source_set, id FROM classes WHERE coalesce(source_set, 'main') = 'main' QUALIFY count(*) OVER (PARTITION BY class_name, module, source_set) = 1),
+    jw AS (SELECT class_name, coalesce(module, '') AS module, coalesce(source_set, '') AS source_set, id FROM baseline_classes WHERE coalesce(source_set, 'main') = 'main' QUALIFY count(*) OVER (PARTITION BY class_name, module, source_set) = 1),
+    kp AS (SELECT jk.*, jw.id AS was_id FROM jk JOIN jw USING (class_name, module, source_set)), vis AS (SELECT class_id AS id, kind || ' ' || name || ' ' || descriptor AS member FROM class_members WHERE contains(modifiers, 'public') OR contains(modifiers, 'protected')),
+    wvis AS (SELECT class_id AS id, kind || ' ' || name || ' ' || descriptor AS member FROM baseline_members WHERE contains(modifiers, 'public') OR contains(modifiers, 'protected')),
+    jb AS (SELECT kp.*, a.member, a.field, b.value AS before, a.value AS after FROM kp JOIN jvm_api a ON a.class_id = kp.id JOIN baseline_jvm_api b ON b.class_id = kp.was_id AND b.member = a.member AND b.field = a.field WHERE a.value <> b.value),
+    jf AS (SELECT * FROM jb WHERE field = 'flags'), jr AS (SELECT class_name, module, source_set, '' AS member, 'JVM_API_EVIDENCE_INCOMPLETE' AS reason, NULL AS before, NULL AS after, 'unknown' AS assessment FROM kp WHERE (id IN (SELECT class_id FROM jvm_api)) <> (was_id IN (SELECT class_id FROM baseline_jvm_api))
+    UNION ALL SELECT class_name, module, source_set, '', CASE WHEN {_LEVEL.format(f='after')} < {_LEVEL.format(f='before')} THEN 'CLASS_VISIBILITY_NARROWED' ELSE 'CLASS_VISIBILITY_WIDENED' END, before, after, CASE WHEN {_LEVEL.format(f='after')} < {_LEVEL.format(f='before')} THEN 'potentially_breaking' ELSE 'review_required' END FROM jf WHERE {_LEVEL.format(f='after')} <> {_LEVEL.format(f='before')}
+    UNION ALL SELECT class_name, module, source_set, '', 'CLASS_FINAL_ADDED', before, after, 'potentially_breaking' FROM jf WHERE contains(after, 'final') AND NOT contains(before, 'final')
+    UNION ALL SELECT class_name, module, source_set, '', 'CLASS_ABSTRACT_ADDED', before, after, 'potentially_breaking' FROM jf WHERE contains(after, 'abstract') AND NOT contains(before, 'abstract')
+    UNION ALL SELECT class_name, module, source_set, '', 'CLASS_OTHER_MODIFIERS_CHANGED', before, after, 'review_required' FROM jf WHERE {_REST.format(f='before')} <> {_REST.format(f='after')} OR (contains(before, 'final') AND NOT contains(after, 'final')) OR (contains(before, 'abstract') AND NOT contains(after, 'abstract'))
+    UNION ALL SELECT class_name, module, source_set, member, CASE WHEN member = '' THEN 'CLASS_GENERIC_SIGNATURE_CHANGED' WHEN field = 'signature' THEN 'GENERIC_SIGNATURE_CHANGED' WHEN field = 'exceptions' THEN 'THROWS_CHANGED' ELSE 'CONSTANT_VALUE_CHANGED' END, before, after, 'review_required' FROM jb
+    WHERE field <> 'flags' AND (member = '' OR EXISTS (SELECT 1 FROM vis WHERE vis.id = jb.id AND vis.member = jb.member) OR EXISTS (SELECT 1 FROM wvis WHERE wvis.id = was_id AND wvis.member = jb.member)))"""
+register("jvm_api_findings", compare.jvm_api_findings, f"{_JVM} SELECT * FROM jr")
 _BEANS = "SELECT b.id, class_name, class_name || ' [' || b.kind || '] ' AS bean FROM {t} b JOIN {c} c ON c.id = b.class_id WHERE lifecycle = 'current' AND origin <> 'orphan_output'"
 _SIDES = f"n AS ({_BEANS.format(t='beans', c='classes')}), w AS ({_BEANS.format(t='baseline_beans', c='baseline_classes')})"
 register("compare_beans", compare.compare_beans, f"{_SIDES} SELECT bean, 'added' AS change FROM (SELECT bean FROM n EXCEPT SELECT bean FROM w) UNION ALL SELECT bean, 'removed' FROM (SELECT bean FROM w EXCEPT SELECT bean FROM n)")

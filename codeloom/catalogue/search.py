@@ -93,6 +93,21 @@ register(
 )
 register("enclosing_classes", lambda s: q.enclosing_classes(s, "src/main/java/C17.java", 20), "SELECT id, class_name, source_line FROM classes WHERE source_file = 'src/main/java/C17.java' AND source_line <= 20 AND lifecycle = 'current' ORDER BY source_line DESC, class_name LIMIT 10")
 register("resolve_target", lambda s: q.resolve_target(s, "C15"), f"{CUR} SELECT id, class_name, 3 AS step FROM cur WHERE regexp_extract(class_name, '[^.]*$') = 'C15' ORDER BY class_name LIMIT 5")
+_USES = """us AS (SELECT path, line, CAST("column" AS INTEGER) AS "column", CASE k WHEN 1 THEN own WHEN 2 THEN 'state' WHEN 4 THEN getter WHEN 5 THEN 'state' ELSE 'run' END AS identifier, CASE k WHEN 1 THEN NULL WHEN 2 THEN 'other' WHEN 4 THEN 'helper' END AS receiver,
+    CASE k WHEN 1 THEN 'constructor' WHEN 2 THEN 'member' WHEN 5 THEN 'none' ELSE 'call' END AS context, CASE k WHEN 1 THEN 2 WHEN 3 THEN 0 WHEN 4 THEN 3 END AS arguments FROM source_lines JOIN source_positions USING (path, line))"""
+register("uses_at_positions", lambda s: filled(q.uses_at(s.source_positions, s.source_lines), "arguments").fillna(""), f"{_USES} SELECT path, line, \"column\", identifier, coalesce(receiver, '') AS receiver, context, coalesce(arguments, -1) AS arguments FROM us")
+register(
+    "symbols_at_positions",
+    lambda s: q.symbols_at(s, s.source_positions, s.source_lines),
+    f"""{_USES}, lv AS (SELECT id, class_name, kind, source_file, source_line FROM classes WHERE lifecycle = 'current'), dc AS (SELECT regexp_extract(class_name, '[^.$]*$') AS identifier, id, class_name AS name, kind, source_file, CAST(NULL AS BIGINT) AS parameters FROM lv
+    UNION ALL SELECT CASE m.kind WHEN 'CONSTRUCTOR' THEN regexp_extract(class_name, '[^.$]*$') ELSE name END, id, class_name || '#' || name || descriptor, m.kind, source_file, CASE WHEN m.kind = 'FIELD' THEN NULL WHEN parameter_types = '' THEN 0 ELSE len(string_split(parameter_types, ',')) END FROM class_members m JOIN lv ON lv.id = m.class_id),
+    r0 AS (SELECT us.*, dc.id, dc.name, dc.kind, parameters, source_file = path AS same_file FROM us JOIN dc ON dc.identifier = us.identifier QUALIFY row_number() OVER (PARTITION BY path, line, "column" ORDER BY source_file = path DESC, name, kind) <= 200),
+    nr AS (SELECT path, line, "column", arg_max(id, (source_line, -id)) AS near FROM us JOIN lv ON source_file = path AND source_line <= line GROUP BY 1, 2, 3),
+    sc AS (SELECT r0.path, r0.line, r0."column", identifier, context, name, kind, CAST(CASE WHEN same_file THEN 20 ELSE 0 END + CASE WHEN near = id THEN 25 ELSE 0 END + CASE context WHEN 'constructor' THEN CASE WHEN kind = 'CONSTRUCTOR' THEN 100 WHEN kind IN ('CLASS', 'INTERFACE') THEN 40 ELSE -50 END
+    WHEN 'call' THEN CASE WHEN kind = 'METHOD' THEN 80 ELSE -30 END WHEN 'member' THEN CASE WHEN kind = 'FIELD' THEN 70 ELSE 0 END ELSE 0 END + CASE WHEN arguments IS NULL OR parameters IS NULL THEN 0 WHEN arguments = parameters THEN 30 ELSE -20 END AS INTEGER) AS score
+    FROM r0 LEFT JOIN nr ON nr.path = r0.path AND nr.line = r0.line AND nr."column" = r0."column")
+    SELECT *, CAST(row_number() OVER w AS INTEGER) AS place, row_number() OVER w = 1 AND coalesce(lead(score) OVER w, -10000) < score AS decisive FROM sc WINDOW w AS (PARTITION BY path, line, "column" ORDER BY score DESC, name)""",
+)
 register(
     "symbol_candidates",
     lambda s: q.symbol_candidates(s, "get2Worker", "src/main/java/C12.java", 30, context="call"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import has_modifier
 from codeloom.plans.snapshot import Snapshot, is_current
+from codeloom.runtime import stored
 
 
 def delta(current: DataFrame, desired: DataFrame) -> dict[str, DataFrame]:
@@ -104,7 +105,9 @@ ASSESSMENTS = {
     "AMBIGUOUS_OWNER": "unknown", "CLASS_ADDED": "review_required", "CLASS_REMOVED": "potentially_breaking", "CLASS_KIND_CHANGED": "potentially_breaking", "HIERARCHY_CHANGED": "potentially_breaking",
     "CLASS_ANNOTATIONS_CHANGED": "review_required", "ABSTRACT_METHOD_ADDED": "potentially_breaking", "MEMBER_ADDED": "review_required", "MEMBER_REMOVED_OR_DESCRIPTOR_CHANGED": "potentially_breaking",
     "VISIBILITY_NARROWED": "potentially_breaking", "VISIBILITY_WIDENED": "review_required", "STATIC_INSTANCE_CHANGED": "potentially_breaking", "FINAL_ADDED": "potentially_breaking",
-    "ABSTRACT_ADDED": "potentially_breaking", "SOURCE_SIGNATURE_CHANGED": "review_required", "ANNOTATIONS_CHANGED": "review_required", "OTHER_MODIFIERS_CHANGED": "review_required",
+    "JVM_API_EVIDENCE_INCOMPLETE": "unknown", "CLASS_VISIBILITY_NARROWED": "potentially_breaking", "CLASS_VISIBILITY_WIDENED": "review_required", "CLASS_FINAL_ADDED": "potentially_breaking",
+    "CLASS_ABSTRACT_ADDED": "potentially_breaking", "CLASS_OTHER_MODIFIERS_CHANGED": "review_required", "CLASS_GENERIC_SIGNATURE_CHANGED": "review_required", "GENERIC_SIGNATURE_CHANGED": "review_required",
+    "THROWS_CHANGED": "review_required", "CONSTANT_VALUE_CHANGED": "review_required", "ABSTRACT_ADDED": "potentially_breaking", "SOURCE_SIGNATURE_CHANGED": "review_required", "ANNOTATIONS_CHANGED": "review_required", "OTHER_MODIFIERS_CHANGED": "review_required",
 }
 _KEY = ["class_name", "module", "source_set"]
 
@@ -153,6 +156,36 @@ def api_findings(s: Snapshot) -> DataFrame:
     return whole.withColumn("assessment", F.coalesce(*[F.when(F.col("reason") == k, F.lit(v)) for k, v in ASSESSMENTS.items()]))
 
 
+def jvm_api_findings(s: Snapshot) -> DataFrame:
+    """(class_name, module, source_set, member, reason, before, after, assessment): changes that class files tell and declarations don't: flags and generic
+    signatures of production classes; generic signatures, exceptions and constants of their public and protected members. ``jvm_api`` and
+    ``baseline_jvm_api`` (class_id, member, field, value) are compared field by field, by owners as in :func:`api_findings`. A class of which only one
+    generation has evidence is incomplete."""
+    now, was = _owners(s.classes, s.class_annotations.where("direct"), ""), _owners(s.baseline_classes, s.baseline_annotations, "was_")
+    kept = stored(now.join(was, _KEY).where("n = 1 AND was_n = 1").select(*_KEY, "id", "was_id"))
+    told = kept.join(s.jvm_api.select(F.col("class_id").alias("id"), "member", "field", F.col("value").alias("after")), "id").drop("id", "was_id")
+    before = kept.join(s.baseline_jvm_api.select(F.col("class_id").alias("was_id"), "member", "field", F.col("value").alias("before")), "was_id").drop("id", "was_id")
+    sides = told.select(*_KEY, F.lit("after").alias("side")).unionByName(before.select(*_KEY, F.lit("before").alias("side"))).distinct().groupBy(*_KEY).count()
+    incomplete = sides.where(F.col("count") == 1).select(*_KEY, F.lit("").alias("member"), F.lit("JVM_API_EVIDENCE_INCOMPLETE").alias("reason"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
+    both = told.join(before, [*_KEY, "member", "field"]).where("before <> after")
+    old, new = (F.filter(F.split(c, " "), lambda f: f != "") for c in ("before", "after"))
+    level = lambda flags: F.when(F.array_contains(flags, "public"), 3).when(F.array_contains(flags, "protected"), 2).when(F.array_contains(flags, "private"), 0).otherwise(1)
+    has = lambda flags, f: F.array_contains(flags, f)
+    other = lambda flags: F.array_sort(F.array_except(flags, F.array(*map(F.lit, ("public", "private", "protected", "final", "abstract")))))
+    rules = F.array(
+        F.when(level(new) < level(old), "CLASS_VISIBILITY_NARROWED").when(level(new) > level(old), "CLASS_VISIBILITY_WIDENED"), F.when(~has(old, "final") & has(new, "final"), "CLASS_FINAL_ADDED"),
+        F.when(~has(old, "abstract") & has(new, "abstract"), "CLASS_ABSTRACT_ADDED"), F.when((other(old) != other(new)) | (has(old, "final") & ~has(new, "final")) | (has(old, "abstract") & ~has(new, "abstract")), "CLASS_OTHER_MODIFIERS_CHANGED"),
+    )
+    of_flags = both.where("member = '' AND field = 'flags'").select(*_KEY, "member", F.explode(F.array_compact(rules)).alias("reason"), "before", "after")
+    of_class = both.where("member = '' AND field = 'signature'").select(*_KEY, "member", F.lit("CLASS_GENERIC_SIGNATURE_CHANGED").alias("reason"), "before", "after")
+    shown = lambda members, i: members.where(F.coalesce(_visibility("modifiers"), F.lit(0)) >= 2).select(F.col("class_id").alias(i), F.concat_ws(" ", "kind", "name", "descriptor").alias("member"))
+    public = kept.join(shown(s.class_members, "id"), "id").select(*_KEY, "member").unionByName(kept.join(shown(s.baseline_members, "was_id"), "was_id").select(*_KEY, "member")).distinct()
+    reason = F.when(F.col("field") == "signature", "GENERIC_SIGNATURE_CHANGED").when(F.col("field") == "exceptions", "THROWS_CHANGED").when(F.col("field") == "constant", "CONSTANT_VALUE_CHANGED")
+    of_members = both.where("member <> ''").join(public, [*_KEY, "member"], "left_semi").select(*_KEY, "member", reason.alias("reason"), "before", "after").where("reason is not null")
+    whole = incomplete.unionByName(of_flags).unionByName(of_class).unionByName(of_members)
+    return whole.withColumn("assessment", F.coalesce(*[F.when(F.col("reason") == k, F.lit(v)) for k, v in ASSESSMENTS.items()]))
+
+
 def api_verdict(findings: DataFrame) -> DataFrame:
     """The gravest assessment of each class, and how many findings it has."""
     rank = F.when(F.col("assessment") == "potentially_breaking", 2).when(F.col("assessment") == "unknown", 1).otherwise(0)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from codeloom.functions.paging import page
+from codeloom.functions.source import use_at
 from codeloom.functions.text import base_name, contains_pattern, has_modifier, is_main, library_of, outer_name, package_glob, package_name, path_glob, property_pattern, simple_name
+from codeloom.operators.endpoints import declared_routes
 from codeloom.operators.graph import closure_of, distances
 from codeloom.operators.metrics import edges_between_current
-from codeloom.operators.endpoints import declared_routes
 from codeloom.plans.snapshot import Snapshot, is_production
+from codeloom.runtime import ship, stored
 
 
 def in_module(s: Snapshot, classes: DataFrame, module: str | None, source_set: str | None = None) -> DataFrame:
@@ -283,7 +290,7 @@ def enclosing_classes(s: Snapshot, path: str, line: int) -> DataFrame:
 def rank_candidates(candidates: DataFrame) -> DataFrame:
     """Declarations that a use may mean, by evidence: same file +20, enclosing class +25, constructor
     context +100 (constructor), +40 (type) or -50 (other), call context +80 (method) or -30, member access
-    +70, arguments match +30, may use defaults +10, don't match -20, don't apply -150.
+    +70 (field or property), arguments match +30, may use defaults +10, don't match -20, don't apply -150.
     Columns: group, name, kind, same_file, enclosing, context (constructor, call, member or none), arguments
     (match, possible_default, mismatch, not_applicable or none). Adds score, place and decisive: alone at the top."""
     context, kind = F.col("context"), F.col("kind")
@@ -292,7 +299,7 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
         + F.when(F.col("enclosing"), 25).otherwise(0)
         + F.when(context == "constructor", F.when(kind == "CONSTRUCTOR", 100).when(kind.isin("CLASS", "INTERFACE"), 40).otherwise(-50)).otherwise(0)
         + F.when(context == "call", F.when(kind == "METHOD", 80).otherwise(-30)).otherwise(0)
-        + F.when((context == "member") & kind.isin("METHOD", "FIELD"), 70).otherwise(0)
+        + F.when((context == "member") & kind.isin("FIELD", "PROPERTY"), 70).otherwise(0)
         + F.when(F.col("arguments") == "match", 30).when(F.col("arguments") == "possible_default", 10).when(F.col("arguments") == "mismatch", -20).when(F.col("arguments") == "not_applicable", -150).otherwise(0)
     )
     scored = candidates.withColumn("score", score)
@@ -313,6 +320,50 @@ def symbol_candidates(s: Snapshot, identifier: str, path: str, line: int, *, con
     return rank_candidates(found.select(F.lit(0).alias("group"), "name", "kind", "same_file", F.coalesce("enclosing", F.lit(False)).alias("enclosing"), F.lit(context).alias("context"), F.lit("none").alias("arguments"))).select("name", "kind", "score", "place", "decisive")
 
 
+def uses_at(positions: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, line, column, identifier, receiver, context, arguments): what stands at positions (path, line, column) of sources (path, line,
+    text, following): the name, what it is said of, how it is used, and with how many arguments. Positions without a name have no row."""
+    ship(positions.sparkSession)
+    at = positions.select("path", F.col("line").cast("long").alias("line"), F.col("column").cast("int").alias("column")).distinct()
+    rows = at.join(sources.select("path", F.col("line").cast("long").alias("line"), "text", "following"), ["path", "line"])
+    kind = _parse_datatype_string("path string, line long, column int, identifier string, receiver string, context string, arguments int")
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                use = use_at(r["text"] or "", r["column"], r["following"] or "")
+                if use:
+                    out.append({k: r[k] for k in ("path", "line", "column")} | use)
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return rows.mapInArrow(run, kind)
+
+
+def symbols_at(s: Snapshot, positions: DataFrame, sources: DataFrame, *, limit: int = 200) -> DataFrame:
+    """(path, line, column, identifier, context, name, kind, score, place, decisive): the declarations that the name at each position may
+    mean, ranked by :func:`rank_candidates`; ``limit`` for each position, of the same file first. The class of the file that begins
+    nearest above the line encloses it. A method's or constructor's arguments are compared by number."""
+    uses = stored(uses_at(positions, sources)).withColumn("group", F.concat_ws(":", "path", "line", "column"))
+    live = s.classes.where("lifecycle = 'current'").select(F.col("id").alias("class_id"), "class_name", F.col("kind").alias("class_kind"), "source_file", "source_line")
+    types = live.select(simple_name(F.col("class_name")).alias("identifier"), "class_id", F.col("class_name").alias("name"), F.col("class_kind").alias("kind"), "source_file", F.lit(None).cast("int").alias("parameters"))
+    count = F.when(F.col("parameter_types") == "", 0).otherwise(F.size(F.split("parameter_types", ",")))
+    own = s.class_members.join(live, "class_id")
+    # a constructor is called by its class's name
+    called = F.when(F.col("kind") == "CONSTRUCTOR", simple_name(F.col("class_name"))).otherwise(F.col("name"))
+    members = own.select(called.alias("identifier"), "class_id", F.concat("class_name", F.lit("#"), "name", "descriptor").alias("name"), "kind", "source_file", F.when(F.col("kind") != "FIELD", count).alias("parameters"))
+    wanted = uses.select("identifier").distinct()
+    found = types.join(wanted, "identifier", "left_semi").unionByName(members.join(wanted, "identifier", "left_semi"))
+    rows = uses.join(found, "identifier").withColumn("same_file", F.coalesce(F.col("source_file") == F.col("path"), F.lit(False)))
+    near = uses.join(live, (F.col("source_file") == F.col("path")) & (F.col("source_line") <= F.col("line"))).groupBy("group").agg(F.max_by("class_id", F.struct("source_line", F.negative("class_id"))).alias("near"))
+    first = Window.partitionBy("group").orderBy(F.desc("same_file"), "name", "kind")
+    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).join(near, "group", "left")
+    fits = F.when(F.col("arguments").isNull() | F.col("parameters").isNull(), "none").when(F.col("arguments") == F.col("parameters"), "match").otherwise("mismatch")
+    known = rows.select("group", "path", "line", "column", "identifier", F.col("context"), "name", "kind", "same_file", F.coalesce(F.col("near") == F.col("class_id"), F.lit(False)).alias("enclosing"), fits.alias("arguments"))
+    return rank_candidates(known).select("path", "line", "column", "identifier", "context", "name", "kind", "score", "place", "decisive")
+
+
 def descriptor(parameters: Column, returns: Column) -> Column:
     """The JVM descriptor of type names; null if a name is null."""
     letters = {"void": "V", "int": "I", "long": "J", "boolean": "Z", "byte": "B", "char": "C", "short": "S", "float": "F", "double": "D"}

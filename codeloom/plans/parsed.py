@@ -61,6 +61,7 @@ def snapshot_of(parsed: DataFrame, *, module: str | None = None, source_set: str
             "annotation_uses": classfile.annotation_values(one).where("kind <> 'ANNOTATION'").select(_id("class_name").alias("class_id"), F.col("member").alias("name"), "descriptor", "position", "annotation", "element", "values"),
             "annotation_elements": classfile.annotation_elements(one),
             "annotation_metas": classfile.annotation_values(one).where("kind = 'ANNOTATION' AND member = ''").select(F.col("class_name").alias("annotation"), F.col("annotation").alias("meta"), "element", "values"),
+            "jvm_api": classfile.jvm_api(parsed).withColumn("class_id", _id("class_name")).drop("class_name"),
             "endpoint_marks": classfile.endpoint_marks(one).withColumn("class_id", _id("class_name")).drop("class_name"),
         },
     )

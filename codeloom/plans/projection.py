@@ -108,6 +108,17 @@ RELATIONS: dict[str, str] = {
     "module_edges": """SELECT DISTINCT p_brand AS module, concat('Brand#', CAST(CAST(substr(p_brand, 7) AS BIGINT) * 2 AS STRING)) AS visible, 'compile' AS relation, CASE WHEN length(p_brand) = 7 THEN '1.0' ELSE '2.0' END AS version FROM part WHERE CAST(substr(p_brand, 7) AS BIGINT) * 2 <= 25
         UNION ALL SELECT DISTINCT p_brand, concat('Brand#', CAST(CAST(substr(p_brand, 7) AS BIGINT) + 7 AS STRING)), 'test', '1.1' FROM part WHERE CAST(substr(p_brand, 7) AS BIGINT) % 3 = 0 AND CAST(substr(p_brand, 7) AS BIGINT) + 7 <= 25
         UNION ALL SELECT DISTINCT p_brand, 'Brand#2', 'compile', '1.0' FROM part WHERE p_brand = 'Brand#16'""",
+    "source_lines": f"""SELECT source_file AS path, source_line + k AS line, k, id, concat('C', CAST(id AS STRING)) AS own, {_GETTER.format(id='id')} AS getter, CASE k WHEN 1 THEN concat('    C', CAST(id AS STRING), ' a = new C', CAST(id AS STRING), '(f(1, 2), "x,y");') WHEN 2 THEN '    this.state = other.state;'
+        WHEN 3 THEN '    run(); // run(1)' WHEN 4 THEN concat('    helper.', {_GETTER.format(id='id')}, '(items[0], g(a, b), ') WHEN 5 THEN '    int y = state + 1;' ELSE '    run(a < b);' END AS text, CASE WHEN k = 4 THEN 'last);' ELSE '' END AS following
+        FROM classes CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) AS ks WHERE id % 100 = 0""",
+    "source_positions": """SELECT path, line, CASE k WHEN 1 THEN instr(text, 'new C') + 4 WHEN 2 THEN instr(text, '.state;') + 1 WHEN 4 THEN instr(text, '.get') + 3 WHEN 5 THEN instr(text, 'state') + 5 ELSE 6 END AS column FROM source_lines""",
+    "jvm_api": """SELECT id AS class_id, '' AS member, 'flags' AS field, CASE id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'abstract public' WHEN 2 THEN 'final public' ELSE '' END AS value FROM classes WHERE id % 47 <> 5
+        UNION ALL SELECT id, '', 'signature', CASE WHEN id % 5 = 0 THEN '<T:Ljava/lang/Object;>Ljava/lang/Object;' ELSE '' END FROM classes WHERE id % 47 <> 5
+        UNION ALL SELECT class_id, concat(kind, ' ', name, ' ', descriptor), 'exceptions', CASE WHEN class_id % 6 = 1 THEN 'java.io.IOException' ELSE '' END FROM class_members WHERE class_id % 47 <> 5 AND kind <> 'FIELD'
+        UNION ALL SELECT class_id, concat(kind, ' ', name, ' ', descriptor), 'signature', CASE WHEN class_id % 8 = 3 THEN '<T:Ljava/lang/Object;>(TT;)V' ELSE '' END FROM class_members WHERE class_id % 47 <> 5
+        UNION ALL SELECT class_id, concat(kind, ' ', name, ' ', descriptor), 'constant', CASE WHEN class_id % 9 = 2 THEN '1' ELSE '' END FROM class_members WHERE class_id % 47 <> 5 AND kind = 'FIELD'""",
+    "baseline_jvm_api": """SELECT class_id, member, field, CASE WHEN field = 'flags' AND class_id % 7 = 3 THEN 'public' WHEN field = 'flags' AND class_id % 7 = 4 THEN '' WHEN field = 'flags' AND class_id % 28 = 5 THEN concat(value, ' synthetic') WHEN field = 'signature' AND class_id % 10 = 5 THEN ''
+        WHEN field = 'exceptions' AND class_id % 12 = 7 THEN 'java.io.IOException,java.sql.SQLException' WHEN field = 'constant' AND class_id % 18 = 2 THEN '2' ELSE value END AS value FROM jvm_api WHERE class_id % 53 <> 9""",
     "external_deps": """SELECT p_partkey AS class_id, CASE WHEN p_partkey % 19 = 0 THEN 'Plain' WHEN p_partkey % 7 = 0 THEN concat('lib.', lower(p_type)) ELSE concat('org.', lower(p_type), '.', replace(p_name, ' ', '.')) END AS external_type,
         CASE p_partkey % 3 WHEN 0 THEN 'ANNOTATION' WHEN 1 THEN 'FIELD' ELSE 'METHOD' END AS usage_kind FROM part WHERE p_partkey % 2 = 0""",
     "files": "SELECT page_id AS id, substr(split_part(url, '?', 1), 8) AS path, CASE WHEN page_id % 17 = 0 THEN 'deleted' ELSE 'current' END AS lifecycle FROM pages",

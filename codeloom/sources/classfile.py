@@ -102,9 +102,9 @@ class _Pool:
             if tag == 1:
                 self.items[k] = r.bytes(r.take("H")).decode("utf-8", "replace")
             elif tag in (3, 4):
-                self.items[k] = ("number", r.take("i" if tag == 3 else "f"))
+                self.items[k] = ("number", r.take("i")) if tag == 3 else ("number", r.take("f"), r.data[r.at - 4 : r.at].hex())
             elif tag in (5, 6):
-                self.items[k] = ("number", r.take("q" if tag == 5 else "d"))
+                self.items[k] = ("number", r.take("q")) if tag == 5 else ("number", r.take("d"), r.data[r.at - 8 : r.at].hex())
                 k += 1
             elif tag in (7, 8, 16, 19, 20):
                 self.items[k] = (tag, r.take("H"))
@@ -118,9 +118,9 @@ class _Pool:
         return self.items[k] if k else None
 
     def constant(self, k: int) -> str | None:
-        """A field's constant: a text, or a number as text."""
+        """A field's constant: a text, or a number as text, with its bits where it isn't whole."""
         item = self.items[k]
-        return self.text(item[1]) if item[0] == 8 else str(item[1])
+        return self.text(item[1]) if item[0] == 8 else " ".join(map(str, item[1:]))
 
     def class_name(self, k: int) -> str | None:
         return _dotted(self.items[self.items[k][1]]) if k else None
@@ -147,7 +147,7 @@ def parse(data: bytes) -> ClassFile:
     for names, member_kind in ((FIELD_FLAGS, "FIELD"), (METHOD_FLAGS, "METHOD")):
         for _ in range(r.take("H")):
             value, name, descriptor = r.take("H"), pool.text(r.take("H")), pool.text(r.take("H"))
-            row = {"kind": "CONSTRUCTOR" if name == "<init>" else member_kind, "name": name, "descriptor": descriptor, "modifiers": _flags(value, names), "annotations": [], "signature": None, "constant": None}
+            row = {"kind": "CONSTRUCTOR" if name == "<init>" else member_kind, "name": name, "descriptor": descriptor, "modifiers": _flags(value, names), "annotations": [], "signature": None, "constant": None, "exceptions": []}
             out.members.append(row)
             for attribute, body in _attributes(r, pool):
                 if attribute in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
@@ -159,6 +159,9 @@ def parse(data: bytes) -> ClassFile:
                     out.defaults.append({"element": name, "values": _annotation_value(_Reader(body), pool)})
                 elif attribute == "Signature":
                     row["signature"] = pool.text(struct.unpack(">H", body)[0])
+                elif attribute == "Exceptions":
+                    thrown = _Reader(body)
+                    row["exceptions"] = sorted(pool.class_name(thrown.take("H")) for _ in range(thrown.take("H")))
                 elif attribute == "ConstantValue":
                     row["constant"] = pool.constant(struct.unpack(">H", body)[0])
                 elif attribute == "Code":
@@ -166,6 +169,13 @@ def parse(data: bytes) -> ClassFile:
     for attribute, body in _attributes(r, pool):
         if attribute == "SourceFile":
             out.source_file = pool.text(struct.unpack(">H", body)[0])
+        elif attribute == "InnerClasses":
+            # what a nested class was declared as is there, not in its own flags
+            inner = _Reader(body)
+            for _ in range(inner.take("H")):
+                name, _, _, own = (inner.take("H") for _ in range(4))
+                if pool.class_name(name) == out.name:
+                    out.flags = [f for f in _flags(own, FIELD_FLAGS | CLASS_FLAGS) if f not in ("interface", "annotation", "enum")]
         elif attribute == "Signature":
             out.signature = pool.text(struct.unpack(">H", body)[0])
         elif attribute in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
@@ -378,7 +388,7 @@ def _shape(code: bytes, at: int) -> tuple[int, list[int] | None]:
 
 _SCHEMA = """path string, class_name string, superclass string, interfaces array<string>, kind string, flags array<string>, source_file string, annotations array<string>,
     values array<struct<member:string,descriptor:string,position:int,annotation:string,element:string,values:array<string>>>,
-    members array<struct<kind:string,name:string,descriptor:string,modifiers:array<string>,annotations:array<string>,signature:string,constant:string>>,
+    members array<struct<kind:string,name:string,descriptor:string,modifiers:array<string>,annotations:array<string>,signature:string,constant:string,exceptions:array<string>>>,
     calls array<struct<method:string,descriptor:string,owner:string,name:string,to:string,invocation_kind:string,ordinal:int,line:int>>,
     accesses array<struct<method:string,descriptor:string,owner:string,name:string,to:string,access_kind:string,ordinal:int,line:int>>,
     references array<struct<method:string,descriptor:string,target:string,reference:string,line:int>>,
@@ -473,6 +483,22 @@ def endpoint_marks(parsed: DataFrame) -> DataFrame:
     return by.agg(F.coalesce(of("path"), of("value"), F.lit("")).alias("paths"), F.coalesce(of("method"), F.lit("")).alias("verbs"))
 
 
+def jvm_api(parsed: DataFrame) -> DataFrame:
+    """(class_name, member, field, value): what class files tell of the API: flags and generic signatures of classes (no member); flags, generic
+    signatures, exceptions and constants of members (kind, name and descriptor), static initialisers left out. What is absent is empty. Classes of
+    which there are several files have none, as it isn't clear which one counts."""
+    one = parsed.where("problem is null").groupBy("class_name").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("class_name")
+    rows = parsed.where("problem is null").join(one, "class_name", "left_semi")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    fields = lambda **of: F.explode(F.array(*[F.struct(F.lit(k).alias("field"), text(v).alias("value")) for k, v in of.items()])).alias("f")
+    flags = F.array_join(F.array_sort(F.array_intersect("flags", F.array(*map(F.lit, ("public", "private", "protected", "static", "final", "abstract", "synthetic"))))), " ")
+    classes = rows.select("class_name", F.lit("").alias("member"), fields(flags=flags, signature=F.col("signature")))
+    own = rows.select("class_name", F.explode("members").alias("m")).where("m.name <> '<clinit>'")
+    of = lambda c: F.col(f"m.{c}")
+    members = own.select("class_name", F.concat_ws(" ", of("kind"), of("name"), of("descriptor")).alias("member"), fields(flags=F.array_join(F.array_sort(of("modifiers")), " "), signature=of("signature"), exceptions=F.array_join(of("exceptions"), ","), constant=of("constant")))
+    return classes.unionByName(members).select("class_name", "member", "f.field", "f.value")
+
+
 def call_rows(parsed: DataFrame) -> DataFrame:
     """Calls with their number, lines and places, one row for each caller, target and kind."""
     rows = parsed.select("class_name", F.explode("calls").alias("c")).select("class_name", "c.*")
