@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from codeloom.catalogue import CUR, filled, register
 from codeloom.catalogue.metrics import COLLAPSED
+from codeloom.operators import forwarding
 from codeloom.operators import graph as g
+from codeloom.plans.snapshot import Snapshot
 
 _BUSY = "b AS (SELECT from_class_id AS node FROM dependencies GROUP BY 1 ORDER BY count(DISTINCT to_class_id) DESC, 1 LIMIT 1)"
 _HIER = "h AS (SELECT class_name AS child, superclass AS parent FROM classes WHERE superclass IS NOT NULL UNION ALL SELECT class_name, ci.interface_name FROM classes JOIN class_interfaces ci ON ci.class_id = id)"
@@ -18,6 +20,11 @@ _OVERRIDES = f"""{_UP}, mm AS (SELECT m.*, regexp_replace(split_part(class_name,
 _CALLS = "c AS (SELECT concat_ws('#', caller_class_id, caller_method, caller_descriptor) AS src, concat_ws('#', target_class_id, target_method, target_descriptor) AS dst, * FROM method_calls), b AS (SELECT src AS node FROM c GROUP BY 1 ORDER BY count(DISTINCT dst) DESC, 1 LIMIT 1)"
 
 
+def _kotlin(s: Snapshot) -> Snapshot:
+    """The relations of calls, members and declarations in Kotlin under the names that the operator knows."""
+    return Snapshot.of(s.spark, {"classes": s.classes, "method_calls": s.kotlin_calls, "class_members": s.kotlin_members, "kotlin_semantics": s.kotlin_semantics})
+
+
 def _walk(edges: str, src: str, dst: str, start: str, depth: int) -> str:
     return f"w0 AS (SELECT node, 0 AS depth FROM {start} UNION SELECT {dst}, depth + 1 FROM w0 JOIN {edges} ON {src} = node WHERE depth < {depth}), w AS (SELECT node, min(depth) AS depth FROM w0 GROUP BY 1)"
 
@@ -104,6 +111,27 @@ register(
     """e AS (SELECT DISTINCT from_class_id AS src, to_class_id AS dst FROM dependencies), w AS (SELECT dst AS target, dst AS node FROM e UNION SELECT w.target, e.src FROM w JOIN e ON e.dst = w.node WHERE e.src % 10 IN (3, 4))
     SELECT DISTINCT target, src AS caller FROM w JOIN e ON e.dst = w.node WHERE src % 10 NOT IN (3, 4) AND target % 10 NOT IN (3, 4)""",
 )
+_TYPES = "regexp_extract_all(regexp_extract({d}, '^(\\(.*)\\)', 1), '\\[*(?:L[^;]+;|[ZBCSIJFD])')"
+_DECLARED = "kind IN ('FUNCTION', 'PROPERTY', 'CONSTRUCTOR')"
+_FORWARDS = f"""fc AS (SELECT k.*, a.class_name AS from_class, b.class_name AS to_class, {_TYPES.format(d='caller_descriptor')} AS f, {_TYPES.format(d='target_descriptor')} AS t, count(*) OVER (PARTITION BY caller_class_id, caller_method, caller_descriptor) AS outgoing,
+    EXISTS (SELECT 1 FROM kotlin_semantics d WHERE d.class_id = caller_class_id AND {_DECLARED} AND jvm_name = caller_method AND descriptor = caller_descriptor) AS fd, EXISTS (SELECT 1 FROM kotlin_semantics d WHERE d.class_id = target_class_id AND {_DECLARED} AND jvm_name = target_method AND descriptor = target_descriptor) AS td,
+    (SELECT max(has_defaults) FROM kotlin_semantics d WHERE d.class_id = target_class_id AND {_DECLARED} AND jvm_name = target_method AND descriptor = target_descriptor) AS dd, (SELECT max(value_parameters) FROM kotlin_semantics d WHERE d.class_id = target_class_id AND {_DECLARED} AND jvm_name = target_method AND descriptor = target_descriptor) AS vp,
+    EXISTS (SELECT 1 FROM kotlin_semantics d WHERE d.class_id = target_class_id AND kind = 'FUNCTION' AND has_defaults AND jvm_name = caller_method) AS cdef, EXISTS (SELECT 1 FROM kotlin_semantics d WHERE d.class_id = target_class_id AND kind = 'FUNCTION' AND has_defaults AND jvm_name = target_method) AS tdef,
+    EXISTS (SELECT 1 FROM kotlin_semantics d WHERE d.class_id = target_class_id AND kind = 'CONSTRUCTOR' AND has_defaults) AS mdef, EXISTS (SELECT 1 FROM kotlin_members m WHERE m.class_id = caller_class_id AND name = caller_method AND descriptor = caller_descriptor) AS phys,
+    EXISTS (SELECT 1 FROM kotlin_members m WHERE m.class_id = caller_class_id AND name = caller_method AND descriptor = caller_descriptor AND contains(annotations, 'JvmOverloads')) AS fo, EXISTS (SELECT 1 FROM kotlin_members m WHERE m.class_id = target_class_id AND name = target_method AND descriptor = target_descriptor AND contains(annotations, 'JvmOverloads')) AS tov
+    FROM kotlin_calls k JOIN classes a ON a.id = caller_class_id JOIN classes b ON b.id = target_class_id),
+    fw AS (SELECT *, caller_class_id = target_class_id AS same, target_method = '<init>' AS mk FROM fc), fx AS (SELECT *, coalesce(CASE WHEN fd THEN false WHEN target_method = caller_method || '$default' AND same AND fo AND cdef THEN outgoing = 1 WHEN NOT (mk OR td OR (tdef AND tov)) THEN false
+    WHEN mk AND same AND caller_method = '<init>' AND t[-1] = 'Lkotlin/jvm/internal/DefaultConstructorMarker;' AND mdef THEN fo AND outgoing = 1 AND occurrence_count = 1
+    WHEN same AND (caller_method = target_method || '$default' OR (mk AND caller_method = '<init>')) THEN CASE WHEN mk THEN NOT td OR dd ELSE td AND dd END AND f[-1] = CASE WHEN mk THEN 'Lkotlin/jvm/internal/DefaultConstructorMarker;' ELSE 'Ljava/lang/Object;' END
+    AND regexp_extract(caller_descriptor, '[)].*$') = regexp_extract(target_descriptor, '[)].*$') AND len(f) = len(t) + (coalesce(vp, len(t)) + 31) // 32 + 1 AND f[1:len(t)] = t AND len(list_filter(f[len(t) + 1:len(f) - 1], lambda x: x <> 'I')) = 0
+    WHEN caller_method <> target_method THEN false WHEN same AND caller_descriptor <> target_descriptor AND (fo OR (NOT phys AND len(f) = len(t))) THEN outgoing = 1 AND occurrence_count = 1 ELSE false END, false) AS forwards FROM fw)"""
+register("forwarding_calls", lambda s: forwarding.forwarding_calls(_kotlin(s)), f"{_FORWARDS} SELECT caller_class_id, caller_method, caller_descriptor, target_class_id, target_method, target_descriptor, invocation_kind, occurrence_count, forwards FROM fx")
+_THROUGH = f"""{_FORWARDS}, fe AS (SELECT DISTINCT concat_ws('#', caller_class_id, caller_method, caller_descriptor) AS src, concat_ws('#', target_class_id, target_method, target_descriptor) AS dst, forwards FROM fx),
+    fr0 AS (SELECT src, dst, 1 AS steps FROM fe WHERE forwards AND src <> dst UNION SELECT fr0.src, fe.dst, steps + 1 FROM fr0 JOIN fe ON fe.src = fr0.dst AND fe.forwards WHERE steps < 32 AND fe.dst <> fr0.src AND fe.src <> fe.dst), fr AS (SELECT src, dst, min(steps) AS steps FROM fr0 GROUP BY 1, 2),
+    ut AS (SELECT dst AS target, src AS caller, '' AS through, 0 AS steps FROM fe WHERE NOT forwards UNION SELECT fr.dst, fe.src, fe.dst, fr.steps FROM fe JOIN fr ON fr.src = fe.dst WHERE NOT forwards)"""
+for _name, _most in (("capped", 1), ("uncapped", 5000)):
+    register(f"usages_through_forwarders_{_name}", lambda s, most=_most: forwarding.usages_through_forwarders(_kotlin(s), most=most).rows, f"{_THROUGH} SELECT target, caller, through, CAST(steps AS INTEGER) AS steps FROM ut QUALIFY row_number() OVER (PARTITION BY target ORDER BY steps, caller, through) <= {_most}")
+    register(f"usages_through_forwarders_{_name}_status", lambda s, most=_most: forwarding.usages_through_forwarders(_kotlin(s), most=most).status, f"{_THROUGH} SELECT target, count(*) AS found, count(*) > {_most} AS truncated FROM ut GROUP BY 1")
 _REACH = "r AS (SELECT src, dst FROM collapsed UNION SELECT r.src, c.dst FROM r JOIN collapsed c ON c.src = r.dst), scc AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)"
 register("strong_components", lambda s: g.strong_components(g.collapsed_edges(s)), f"{COLLAPSED}, {_REACH} SELECT node, component FROM scc")
 register("strong_components_distributed", lambda s: g.strong_components(g.collapsed_edges(s), driver_edges=0), f"{COLLAPSED}, {_REACH} SELECT node, component FROM scc")

@@ -133,6 +133,19 @@ RELATIONS: dict[str, str] = {
     "kotlin_declarations": f"""SELECT p_partkey AS class_id, 'FUNCTION' AS kind, concat('execute', CAST(p_partkey % 4 AS STRING)) AS name, 'run' AS jvm_name, '()V' AS descriptor FROM part WHERE p_partkey % 6 = 2
         UNION ALL SELECT p_partkey, 'PROPERTY', 'condition', 'state', '' FROM part WHERE p_partkey % 6 = 2
         UNION ALL SELECT p_partkey, 'PROPERTY', 'item', {_GETTER.format(id='p_partkey')}, CASE WHEN p_partkey % 4 = 0 THEN '(I)Ljava/lang/String;' ELSE '()V' END FROM part WHERE p_partkey % 6 IN (2, 3)""",
+    "kotlin_calls": """SELECT id AS caller_class_id, 'use' AS caller_method, '()V' AS caller_descriptor, id AS target_class_id, CASE id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'f$default' ELSE 'f' END AS target_method,
+        CASE id % 3 WHEN 0 THEN '(I)V' WHEN 1 THEN '(IILjava/lang/Object;)V' ELSE '()V' END AS target_descriptor, 'static' AS invocation_kind, CAST(1 AS BIGINT) AS occurrence_count FROM classes
+        UNION ALL SELECT id, 'f$default', CASE WHEN id % 7 = 6 THEN '(ILjava/lang/Object;)V' ELSE '(IILjava/lang/Object;)V' END, id, 'f', '(I)V', 'static', 1 FROM classes
+        UNION ALL SELECT id, 'f', '()V', id, 'f$default', '(IILjava/lang/Object;)V', 'static', 1 FROM classes WHERE id % 3 = 2
+        UNION ALL SELECT id, 'f', '()V', id, 'use', '()V', 'static', 1 FROM classes WHERE id % 15 = 2
+        UNION ALL SELECT id, '<init>', '(IILkotlin/jvm/internal/DefaultConstructorMarker;)V', id, '<init>', '(I)V', 'special', 1 FROM classes WHERE id % 4 = 1
+        UNION ALL SELECT id, '<init>', '()V', id, '<init>', '(IILkotlin/jvm/internal/DefaultConstructorMarker;)V', 'special', CASE WHEN id % 8 = 1 THEN 1 ELSE 2 END FROM classes WHERE id % 4 = 1
+        UNION ALL SELECT id, 'h', '(J)V', id - id % 10, 'f', '(I)V', 'static', 1 FROM classes WHERE id % 10 > 6
+        UNION ALL SELECT id, 'f', '(Ljava/lang/Object;)V', id, 'f', '(I)V', 'virtual', 1 FROM classes WHERE id % 5 = 3""",
+    "kotlin_semantics": """SELECT id AS class_id, 'FUNCTION' AS kind, 'f' AS jvm_name, '(I)V' AS descriptor, id % 11 <> 10 AS has_defaults, CASE WHEN id % 2 = 0 THEN 1 END AS value_parameters, false AS is_suspend, false AS is_extension FROM classes WHERE id % 13 <> 12
+        UNION ALL SELECT id, 'FUNCTION', 'use', '()V', false, 0, false, false FROM classes UNION ALL SELECT id, 'CONSTRUCTOR', '<init>', '(I)V', id % 6 <> 5, 1, false, false FROM classes WHERE id % 4 = 1""",
+    "kotlin_members": """SELECT id AS class_id, 'METHOD' AS kind, 'f' AS name, '()V' AS descriptor, CASE WHEN id % 9 < 7 THEN 'kotlin.jvm.JvmOverloads' ELSE '' END AS annotations FROM classes UNION ALL SELECT id, 'METHOD', 'f', '(I)V', '' FROM classes
+        UNION ALL SELECT id, 'CONSTRUCTOR', '<init>', '()V', 'x kotlin.jvm.JvmOverloads' FROM classes WHERE id % 4 = 1""",
     "class_files": "SELECT p_partkey AS class_id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 50 AS BIGINT) END AS file_id FROM part",
     "external_beans": "SELECT s_suppkey AS id, concat('lib.Bean', CAST(s_suppkey AS STRING)) AS class_name, CASE WHEN s_suppkey % 7 > 0 THEN concat('org.lib:a', CAST(s_nationkey AS STRING)) END AS artifact FROM supplier",
     "external_bean_settings": "SELECT c_custkey % 7 AS bean_id, concat('field', CAST(c_custkey % 5 AS STRING)) AS member, CASE WHEN c_custkey % 4 > 0 THEN concat('app.key', CAST(c_nationkey AS STRING)) END AS key, c_custkey % 3 = 0 AS required FROM customer",
