@@ -102,15 +102,15 @@ def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, _unit(values[offsets[rows][:, None] + np.arange(d)])
 
 
-def _links(vectors: np.ndarray, own: np.ndarray, other: np.ndarray, ids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different ids between two sets of rows (or within one) with at least this cosine, each once."""
+def _links(vectors: np.ndarray, own: np.ndarray, other: np.ndarray, ids: np.ndarray, labels: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different ids and equal labels between two sets of rows (or within one) with at least this cosine, each once."""
     found_a, found_b = [], []
     within = own is other
     for a in range(0, len(own), 1024):
         close = vectors[own[a : a + 1024]] @ vectors[other].T >= threshold
         i, j = np.nonzero(close)
         i, j = own[a : a + 1024][i], other[j]
-        keep = (ids[i] != ids[j]) & ((i < j) if within else True)
+        keep = (ids[i] != ids[j]) & (labels[i] == labels[j]) & ((i < j) if within else True)
         found_a.append(i[keep])
         found_b.append(j[keep])
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -135,7 +135,9 @@ def _compared(keys: tuple[int, int, int], part: pa.RecordBatch, threshold: float
     vectors = _matrix(part.column("v"))
     block = part.column("block").to_numpy()
     own, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a, b = _links(vectors, own, own if i == j else other, ids, threshold)
+    # cells tell labels apart by hashes, so the labels themselves are compared
+    exact = part.column("exact").dictionary_encode().indices.to_numpy() if "exact" in part.schema.names else labels
+    a, b = _links(vectors, own, own if i == j else other, ids, exact, threshold)
     counts = np.zeros(len(ids), np.int64)
     least = np.arange(len(ids))
     if len(a):
@@ -167,7 +169,9 @@ def near_duplicate_vectors(rows: DataFrame, *, threshold: float = 0.98, block: i
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     good = base.where(usable)
     classes = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")))
-    numbered = classes.select("cid", "n", "v", (F.col("label").cast("long") if isinstance(classes.schema["label"].dataType, LongType) else F.xxhash64("label")).alias("label"))
+    whole_numbers = isinstance(classes.schema["label"].dataType, LongType)
+    exact = [] if whole_numbers else [F.col("label").cast("string").alias("exact")]
+    numbered = classes.select("cid", "n", "v", (F.col("label").cast("long") if whole_numbers else F.xxhash64("label")).alias("label"), *exact)
 
     def keyed(batch: pa.RecordBatch) -> Iterator[dict]:
         labels = batch.column("label").to_numpy()
@@ -178,13 +182,13 @@ def near_duplicate_vectors(rows: DataFrame, *, threshold: float = 0.98, block: i
 
     def united(batch: pa.RecordBatch) -> Iterator[dict]:
         for at, unit in _by_width(batch):
-            yield {"cid": batch.column("cid").to_numpy()[at], "n": batch.column("n").to_numpy()[at], "label": batch.column("label").to_numpy()[at], "v": [u.tobytes() for u in unit]}
+            yield {"cid": batch.column("cid").to_numpy()[at], "n": batch.column("n").to_numpy()[at], "label": batch.column("label").to_numpy()[at], "v": [u.tobytes() for u in unit]} | ({} if whole_numbers else {"exact": batch.column("exact").take(pa.array(at))})
 
     keys = stored(arrow_map(numbered.select("cid", "v", "label"), keyed, "bucket long, cid long").distinct())
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     shared = keys.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     met = shared.select("bucket", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q")).select("bucket", "cid", "block", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"))
-    with_vectors = met.join(arrow_map(numbered, united, "cid long, n long, label long, v binary"), "cid")
+    with_vectors = met.join(arrow_map(numbered, united, "cid long, n long, label long, v binary" + ", exact string" * (not whole_numbers)), "cid")
     # the work is in the comparisons, not in the bytes, so the number of tasks is given
     dealt = with_vectors.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
 

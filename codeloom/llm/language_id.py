@@ -117,22 +117,26 @@ class LanguageModel:
         return self.languages[best], float(share[best] / share.sum())
 
 
-def fit(train: DataFrame, *, documents: int = 2000, least_words: int = 2, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
-    """Fit on about ``documents`` documents of each language (all, where there are fewer), chosen by a hash
-    of the id: the model that comes to the driver grows with the number of languages, not with the corpus. Rows that repeat
+def fit(train: DataFrame, *, documents: int = 2000, text_bytes: int = 16 << 20, total_bytes: int = 256 << 20, least_words: int = 2, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
+    """Fit on about ``documents`` documents of each language (all, where there are fewer), or about ``text_bytes`` of text where that is
+    less, and ``total_bytes`` over all languages, chosen by a hash of the id (of the text, without an id): what comes to the driver has a bound
+    in bytes, whatever the corpus, its documents and the number of languages. Rows that repeat
     count each; null texts and languages teach nothing. Items seen fewer than ``least_words`` times are left out, as unseen words then are scored by n-grams."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    seen = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("size")).collect()
+    seen = {r.lang: r.n for r in counts}
     if not seen:
         return LanguageModel([], {})
-    grain = 1 << 30
-    rate = F.create_map(*[x for lang, n in seen.items() for x in (F.lit(lang), F.lit(int(grain * min(1.0, documents / n))))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(grain)) < rate[F.col(lang_col)])
+    grain, most = 1 << 30, min(text_bytes, total_bytes / len(seen))
+    rate = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int(grain * min(1.0, documents / r.n, most / max(r["size"], 1)))))])
+    place = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit("language"))).otherwise(F.xxhash64(F.col(id_col), F.lit("language")))
+    chosen = rows.where(F.pmod(place, F.lit(grain)) < rate[F.col(lang_col)])
 
     def count(batch: pa.RecordBatch) -> Iterator[dict]:
         found: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist(), strict=True):
-            found.setdefault(lang, Counter()).update(words_of(text.decode("utf-8", "replace")))
+        for part in slices(batch, "t"):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("t").to_pylist(), strict=True):
+                found.setdefault(lang, Counter()).update(words_of(text.decode("utf-8", "replace")))
         out: Counter = Counter()
         for lang, words in found.items():
             for word, n in words.items():

@@ -1,9 +1,10 @@
 """Packing of documents into sequences: bounded-space online best fit.
 
-Documents become token ids and an end mark; longer ones than a sequence are cut. Pieces arrive in
-an order that Spark sorts, in runs with the longest first, and each is placed when it arrives. A fixed number of bins is open; a bitset keyed by free space
-gives the bin with the least space that is enough. If a bin more is needed than may be open, the
-fullest closes. A piece's place is known when it arrives, so only the free spaces are held.
+Documents become token ids and an end mark; longer ones than a sequence are cut. Each piece is placed when it arrives, and its place is known then:
+nothing is held back but the free spaces of a fixed number of open bins, in a bitset keyed by free space that
+gives the bin with the least space that is enough. If a bin more is needed than may be open, the fullest closes. The order in which pieces arrive is
+chosen: Spark sorts them in runs, the longest of a run first, before they are packed. The packing stays online and in bounded
+space in that order, but it is not the order of the input; ``run_rows=1`` packs in the order of a hash.
 """
 
 from __future__ import annotations
@@ -60,6 +61,12 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     """Byte tokens with their ids, and the special tokens with theirs, of a byte-level BPE file in JSON."""
     with open(path, encoding="utf-8") as file:
         whole = json.load(file)
+    before, merges = whole.get("pre_tokenizer") or {}, whole["model"]["merges"]
+    if whole.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("the file has to cut texts by its byte-level pattern, without a normaliser")
+    made = [whole["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    if made != sorted(made):
+        raise ValueError("the file's merges aren't in the order of their ids, so ids can't serve as ranks")
     # the file shows each byte as a character: printable ones as themselves, others from 256 on
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     back = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}

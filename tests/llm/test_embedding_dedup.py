@@ -87,3 +87,13 @@ def test_clashing_columns_and_ties(spark):
     rows = [(1, [1.0, 0.0], 3, 7, 9, "x"), (2, [2.0, 0.0], 3, 7, 9, "y"), (3, [0.0, 1.0], 3, 7, 9, "z"), (4, [1.0, 0.0], 4, 7, 9, "w")]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ed.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long, cid int, n int, v string")).collect()}
     assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True)}
+
+
+def test_labels_themselves_are_compared(spark):
+    """Within a cell, too, where labels are told apart by hashes only; labels of other types than whole numbers by their text."""
+    vectors = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.01]])
+    rows = np.arange(3)
+    assert [x.tolist() for x in ed._links(vectors, rows, rows, np.array([1, 2, 3]), np.array([7, 8, 7]), 0.98)] == [[0], [2]]
+    data = [(i, [float(1 + (i % 7 == 0) * 1e-3), float(i % 2)], f"label {i % 3}") for i in range(60)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicate_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == brute(data)

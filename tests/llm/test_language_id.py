@@ -106,3 +106,13 @@ def test_repeats_ties_long_texts_and_clashing_columns(docs_of):
     assert len(got) == 42 and len({x for x in got if x[0] == 0}) == 1
     even = li.LanguageModel([("b", 0, "wort", 5), ("a", 0, "wort", 5)], {"b": 1, "a": 1})
     assert even.predict("wort") == ("a", 0.5)  # a tie goes to the first language by name
+
+
+def test_the_sample_is_bounded_by_bytes(spark):
+    """Few long documents of many languages: less is learnt, and all languages still are; rows without an id are sampled by their text."""
+    rows = [(i if i % 5 else None, f"wort{i % 3} sprache{i % 8} und " * 400, f"l{i % 8}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = lambda m: sum(len(t) for t in m.tables)
+    whole, small = li.fit(docs), li.fit(docs, text_bytes=60_000)
+    tiny = li.fit(docs, total_bytes=240_000)
+    assert set(whole.languages) == set(small.languages) == set(tiny.languages) and size(small) <= size(whole)

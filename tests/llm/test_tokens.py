@@ -122,3 +122,27 @@ def test_ties_and_clashing_columns(docs_of):
         assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
     ids = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert sum(x.length for x in got) == sum(len(ids.encode(t, add_special_tokens=False).ids) + 1 for _, t, *_ in rows)
+
+
+def test_order_of_arrival_and_files_that_cannot_be_ranked(docs_of, tmp_path):
+    import json
+
+    docs = docs_of([(i, "word " * (i * 37 % 1500)) for i in range(120)])
+    path = P.path("byte_bpe_50k.json")
+    for runs in (1, 4096):
+        packed = packing.pack_documents(docs, path, P.PATTERN, run_rows=runs, open_bins=8).collect()
+        spans = {}
+        for r in packed:
+            spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for own in spans.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 2048
+    with open(path) as file:
+        whole = json.load(file)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": whole["model"] | {"merges": whole["model"]["merges"][::-1]}}):
+        (tmp_path / "other.json").write_text(json.dumps(whole | change))
+        with pytest.raises(ValueError, match="file"):
+            packing.vocabulary(str(tmp_path / "other.json"))
