@@ -113,6 +113,40 @@ register(
 )
 
 
+_CALLED = """SELECT user_id % 40 AS method, event_id % 9 AS ordinal, CASE event_type WHEN 'signup' THEN 'before' WHEN 'purchase' THEN 'after' ELSE 'none' END AS role, event_type = 'error' AS dynamic,
+    CASE WHEN user_id % 4 < 2 THEN 'org.acme.Plain' WHEN event_id % 5 = 0 THEN 'java.util.concurrent.CompletableFuture' WHEN event_id % 5 = 1 THEN 'org.acme.kafka.Bus' ELSE 'org.acme.Store' END AS owner,
+    CASE event_id % 7 WHEN 0 THEN 'thenApply' WHEN 1 THEN 'supplyAsync' WHEN 2 THEN 'send' WHEN 3 THEN 'subscribe' WHEN 4 THEN 'submit' ELSE 'run' END AS name FROM {t}"""
+
+
+def _called(s):
+    log = s.calls_log.selectExpr("id AS event_id", "user_id", "at AS ts", "tool AS event_type")
+    edges = s.spark.sql(f"SELECT DISTINCT method, src, dst FROM ({_CFG.format(t='{log}')}) WHERE dst IS NOT NULL AND dst > src AND (method % 3 > 0 OR dst = src + 1)", log=log)
+    return s.spark.sql(_CALLED.format(t="{log}"), log=log), edges, edges.select("method").distinct().withColumn("handlers", (F.col("method") % 5 == 0).cast("long"))
+
+
+_ASYNC = f"""v AS (SELECT *, CASE WHEN owner LIKE '%java.util.concurrent%' OR owner LIKE '%kafka%' THEN CASE WHEN contains(name, 'then') THEN 'completion_callback' WHEN name = 'subscribe' THEN 'subscription' WHEN name = 'send' THEN 'publication' WHEN contains(name, 'Async') OR name = 'submit' THEN 'scheduling' END END AS phase
+    FROM ({_CALLED.format(t='events')}) WHERE NOT dynamic), e AS (SELECT DISTINCT method, src, dst FROM ({_CFG.format(t='events')}) WHERE dst IS NOT NULL AND dst > src AND (method % 3 > 0 OR dst = src + 1)),
+    n AS (SELECT method, src AS node FROM e UNION SELECT method, dst FROM e), entry AS (SELECT method, min(node) AS first FROM n GROUP BY 1),
+    roots AS (SELECT n.method, n.node FROM n JOIN entry ON entry.method = n.method WHERE n.node = first OR NOT EXISTS (SELECT 1 FROM e WHERE e.method = n.method AND e.dst = n.node)),
+    w AS (SELECT n.method, n.node AS without, roots.node FROM n JOIN roots ON roots.method = n.method WHERE n.node <> roots.node UNION SELECT w.method, w.without, dst FROM w JOIN e ON e.method = w.method AND e.src = w.node WHERE dst <> w.without),
+    dom AS (SELECT n.method, n.node, d.node AS dominator FROM n JOIN n d ON d.method = n.method JOIN entry ON entry.method = n.method WHERE n.node = d.node OR (n.node <> first AND EXISTS (SELECT 1 FROM e WHERE e.method = n.method AND e.dst = n.node) AND NOT EXISTS (SELECT 1 FROM w WHERE w.method = n.method AND w.without = d.node AND w.node = n.node)))"""
+register(
+    "execution_analysis",
+    lambda s: execution.execution_analysis(*_called(s)),
+    f"""{_ASYNC}, g AS (SELECT method, bool_and(EXISTS (SELECT 1 FROM dom JOIN v b ON b.method = dom.method AND b.role = 'before' AND b.ordinal = dom.dominator WHERE dom.method = a.method AND dom.node = a.ordinal)) AS guarded FROM v a WHERE role = 'after' GROUP BY 1),
+    br AS (SELECT method, max(c) AS c FROM (SELECT method, src, count(DISTINCT dst) AS c FROM e GROUP BY 1, 2) GROUP BY 1), p AS (SELECT method, string_agg(phase || '=' || n, ',' ORDER BY phase) AS phases FROM (SELECT method, phase, count(*) AS n FROM v WHERE phase IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+    m AS (SELECT method, count(*) FILTER (WHERE role = 'before') AS b, count(*) FILTER (WHERE role = 'after') AS a, max(ordinal) FILTER (WHERE role = 'before') AS lb, min(ordinal) FILTER (WHERE role = 'after') AS fa, bool_or(phase IS NOT NULL) AS u FROM v GROUP BY 1),
+    x AS (SELECT m.*, coalesce(guarded, false) AS guarded, coalesce(c, 1) <= 1 AND NOT (c IS NOT NULL AND m.method % 5 = 0) AS straight, coalesce(phases, '') AS phases FROM m LEFT JOIN g ON g.method = m.method LEFT JOIN br ON br.method = m.method LEFT JOIN p ON p.method = m.method)
+    SELECT method, b AS before_events, a AS after_events, CASE WHEN b = 0 OR a = 0 THEN 'unknown' WHEN lb < fa THEN 'proven' ELSE 'disproven' END AS instruction_order, CASE WHEN b = 0 OR a = 0 THEN 'unknown' WHEN guarded AND u THEN 'invocation_order_proven_completion_unknown'
+    WHEN guarded AND NOT straight THEN 'proven_on_all_cfg_paths' WHEN lb < fa AND straight THEN CASE WHEN u THEN 'invocation_order_proven_completion_unknown' ELSE 'proven_on_normal_completion' END ELSE 'likely' END AS runtime_order, u AS completion_unknown, phases FROM x""",
+)
+register(
+    "execution_phase_orders",
+    lambda s: execution.phase_orders(*_called(s)[:2]),
+    f"""{_ASYNC}, q AS (SELECT *, coalesce(phase, '') AS ph FROM v), k AS (SELECT method, ph FROM q GROUP BY 1, 2 HAVING count(*) FILTER (WHERE role = 'before') > 0 AND count(*) FILTER (WHERE role = 'after') > 0)
+    SELECT k.method, k.ph AS phase, CASE WHEN bool_and(EXISTS (SELECT 1 FROM dom JOIN q b ON b.method = dom.method AND b.ph = a.ph AND b.role = 'before' AND b.ordinal = dom.dominator WHERE dom.method = a.method AND dom.node = a.ordinal)) THEN 'proven' ELSE 'likely' END AS status
+    FROM k JOIN q a ON a.method = k.method AND a.ph = k.ph AND a.role = 'after' GROUP BY 1, 2""",
+)
 register(
     "debounced_changes",
     lambda s: debounced(s.calls_log.select(F.col("tool").alias("project"), "at", F.col("id").alias("revision")), gap="4 minutes"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import has_modifier, package_name
 from codeloom.operators.metrics import collapsed_edges
 from codeloom.plans.snapshot import Snapshot
-from codeloom.runtime import drop_stored, stored
+from codeloom.runtime import drop_stored, ship, stored
 
 #: Components over fewer edges than this are finished in the driver.
 DRIVER_EDGES = 50_000
@@ -618,6 +618,7 @@ def dominators(edges: DataFrame) -> DataFrame:
                 d = nearest[d]
         return pd.DataFrame([(pdf["method"].iloc[0], n, d) for n, d in rows], columns=["method", "node", "dominator"])
 
+    ship(edges.sparkSession)
     kind = edges.schema["method"].dataType.simpleString()
     return edges.select("method", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).groupBy("method").applyInPandas(of, f"method {kind}, node long, dominator long")
 

@@ -39,17 +39,21 @@ def search_classes(s: Snapshot, pattern: str, *, module: str | None = None, sour
     return page(found, limit, offset)
 
 
-def declared_members(s: Snapshot) -> DataFrame:
-    """Members with their Kotlin declarations, null without one: functions by JVM name and descriptor, properties by JVM name and
-    their descriptor if they have one. The disjunction is a union of two equality joins and what neither finds."""
-    members = s.class_members
+def declared_members(s: Snapshot, members: DataFrame | None = None, wanted: Column | None = None, *, alone: bool = True) -> DataFrame:
+    """Members (all, or those given) with their Kotlin declarations, null without one: functions by JVM name and descriptor, properties by JVM name and
+    their descriptor if they have one. The disjunction is a union of two equality joins and, with ``alone``, what neither finds. ``wanted`` is a
+    condition on ``semantic_kind`` and ``semantic_name``."""
+    members = s.class_members if members is None else members
     decl = s.kotlin_declarations.select("class_id", F.col("kind").alias("semantic_kind"), F.col("name").alias("semantic_name"), F.col("jvm_name").alias("name"), "descriptor")
+    decl = decl if wanted is None else decl.where(wanted)
     exact = members.join(decl.where("semantic_kind = 'FUNCTION' OR descriptor <> ''"), ["class_id", "name", "descriptor"]).select(*members.columns, "semantic_kind", "semantic_name")
     loose = members.join(decl.where("semantic_kind = 'PROPERTY' AND descriptor = ''").drop("descriptor"), ["class_id", "name"]).select(*members.columns, "semantic_kind", "semantic_name")
     found = exact.unionByName(loose)
-    alone = members.join(found.select("class_id", "kind", "name", "descriptor"), ["class_id", "kind", "name", "descriptor"], "left_anti").select(*members.columns)
+    if not alone:
+        return found
+    rest = members.join(found.select("class_id", "kind", "name", "descriptor"), ["class_id", "kind", "name", "descriptor"], "left_anti").select(*members.columns)
     none = F.lit(None).cast("string")
-    return found.unionByName(alone.withColumn("semantic_kind", none).withColumn("semantic_name", none))
+    return found.unionByName(rest.withColumn("semantic_kind", none).withColumn("semantic_name", none))
 
 
 def search_symbols(s: Snapshot, pattern: str, *, kind: str | None = None, language: str | None = None, limit: int | None = 50) -> DataFrame:
@@ -59,9 +63,16 @@ def search_symbols(s: Snapshot, pattern: str, *, kind: str | None = None, langua
     source = s.current().select(F.col("id").alias("class_id"), "class_name", F.col("kind").alias("class_kind"), F.when(F.col("source_file").endswith(".kt"), "kotlin").otherwise("java").alias("language"))
     none = F.lit("")
     types = source.select("class_name", F.col("class_kind").alias("symbol_kind"), simple_name(F.col("class_name")).alias("symbol_name"), none.alias("signature"), none.alias("semantic_name"), "language").where(F.col("symbol_name").ilike(like))
-    own = declared_members(s) if s.has("kotlin_declarations") else s.class_members.withColumn("semantic_name", F.lit(None).cast("string"))
-    named = own.where(~(F.col("modifiers").contains("synthetic") | F.col("modifiers").contains("bridge"))).select("class_id", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name"), F.concat("name", "descriptor").alias("signature"), F.coalesce("semantic_name", none).alias("semantic_name"))
-    members = named.where(F.col("symbol_name").ilike(like) | F.col("signature").ilike(like) | F.col("semantic_name").ilike(like)).join(source, "class_id").select(types.columns)
+    # what may match by itself is filtered before it is joined with its declaration, as are declarations before they are joined with members
+    shown = s.class_members.where(~(F.col("modifiers").contains("synthetic") | F.col("modifiers").contains("bridge")))
+    alike = F.coalesce(F.col("name").ilike(like) | F.concat("name", "descriptor").ilike(like), F.lit(False))
+    if s.has("kotlin_declarations"):
+        of_name = declared_members(s, shown.where(alike))
+        of_declaration = declared_members(s, shown.where(~alike), F.col("semantic_name").ilike(like), alone=False)
+        own = of_name.unionByName(of_declaration)
+    else:
+        own = shown.where(alike).withColumn("semantic_name", F.lit(None).cast("string"))
+    members = own.select("class_id", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name"), F.concat("name", "descriptor").alias("signature"), F.coalesce("semantic_name", none).alias("semantic_name")).join(source, "class_id").select(types.columns)
     found = types.unionByName(members)
     for name, value in (("symbol_kind", kind), ("language", language)):
         if value is not None:
