@@ -27,6 +27,7 @@ register(
     lambda s: q.search_files(s, "*/fr/**", limit=200),
     "SELECT path, lifecycle, 4 AS rank FROM files WHERE lifecycle <> 'deleted' AND regexp_matches(path, '^[^/]*/fr/.*$') ORDER BY path LIMIT 200",
 )
+register("search_files_of_kind", lambda s: q.search_files(s, "1", kind="file", limit=200), "SELECT path, lifecycle, CASE WHEN lower(path) = '1' THEN 0 WHEN regexp_extract(path, '[^/]*$') = '1' THEN 1 WHEN starts_with(path, '1') THEN 2 WHEN starts_with(regexp_extract(path, '[^/]*$'), '1') THEN 3 ELSE 5 END AS rank FROM files WHERE lifecycle <> 'deleted' AND contains(path, '1') AND NOT regexp_matches(path, '[.](java|kt|md|adoc)$|/resources/|src/test/|META-INF/services/') ORDER BY rank, path LIMIT 200")
 register(
     "search_files_substring",
     lambda s: q.search_files(s, "EN/1", include_deleted=True, limit=200),

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.catalogue import CUR, register
-from codeloom.catalogue.rules import _IMPACTED, _LEVEL, _RISK, _USES
+from codeloom.catalogue import CUR, ORACLES, QUERIES, register
+from codeloom.catalogue.history import SINCE
+from codeloom.catalogue.rules import _IMPACTED, _INJ, _LEVEL, _RISK, _USES
 from codeloom.operators import composite, execution, workspace
+from codeloom.plans.projection import oracle, snapshot
 from codeloom.streaming.events import debounced
 
 _T = lambda s: s.classes.where("id IN (0, 3, 17, 40)").select("id")
@@ -83,6 +85,11 @@ register(
     lambda s: composite.change_plan(s, _T(s)),
     f"""{_PLAN} SELECT '1-change' AS step, class_name, {_LEVEL} AS detail FROM risk WHERE id IN (0, 3, 17, 40) UNION ALL SELECT DISTINCT '2-review', class_name, usage FROM cu WHERE user_id NOT IN (0, 3, 17, 40) UNION ALL SELECT '3-test', class_name, confidence FROM im""",
 )
+_OPEN = f"""{_INJ} SELECT rs.status || ' ' || ip.target_type || ' ' || ip.field_name AS name, rs.point_id FROM rs JOIN injection_points ip ON ip.id = rs.point_id WHERE rs.status <> 'RESOLVED' ORDER BY rs.point_id LIMIT 50"""
+QUERIES["project_overview"] = lambda spark, sf_dir: composite.project_overview(snapshot(spark, sf_dir), since=SINCE)
+ORACLES["project_overview"] = f"""SELECT 'count' AS section, 0 AS place, measure AS name, CAST(value AS BIGINT) AS value FROM ({ORACLES['overview_counts']}) UNION ALL SELECT 'hub:' || ranking, CAST(place AS INTEGER), class_name, CAST(users AS BIGINT) FROM ({ORACLES['hub_rankings']})
+    UNION ALL SELECT 'injection', 0, status, CAST(points AS BIGINT) FROM ({ORACLES['injection_problems']}) UNION ALL SELECT 'problem', 0, p.name, p.point_id FROM ({oracle(_OPEN)}) p
+    UNION ALL SELECT 'library', CAST(row_number() OVER (ORDER BY classes DESC, library) AS INTEGER), library, CAST(classes AS BIGINT) FROM ({ORACLES['external_libraries']}) UNION ALL SELECT 'hotspot', CAST(row_number() OVER (ORDER BY commit_count DESC, file_path) AS INTEGER), file_path, CAST(commit_count AS BIGINT) FROM ({ORACLES['hotspots_since']})"""
 register(
     "call_report",
     composite.call_report,

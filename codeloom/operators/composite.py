@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators import git, injection, metrics
 from codeloom.operators.risk import class_risk, impacted_tests
 from codeloom.operators.usage import class_cards, class_usages
 from codeloom.plans.snapshot import Snapshot
+from codeloom.runtime import stored
 
 
 def change_context(s: Snapshot, targets: DataFrame) -> DataFrame:
@@ -28,6 +31,27 @@ def change_plan(s: Snapshot, targets: DataFrame) -> DataFrame:
     return primary.unionByName(review).unionByName(tests)
 
 
+def project_overview(s: Snapshot, *, since: datetime.date | None = None, problems: int = 50) -> DataFrame:
+    """(section, place, name, value): a project in one answer: counts, the first five hubs of each ranking, injection points by status and the first of those that
+    aren't resolved, external libraries, and the files that change most (since a day). ``place`` orders a section; counts have no order."""
+    none = F.lit(0)
+    points = stored(injection.resolved_points(s))
+    open_ = points.where("status <> 'RESOLVED'").join(s.injection_points.select(F.col("id").alias("point_id"), "target_type", "field_name"), "point_id").orderBy("point_id").limit(problems)
+    ranked = lambda df, *order: df.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  # of what a limit has cut
+    parts = [
+        metrics.overview_counts(s).select(F.lit("count").alias("section"), none.alias("place"), F.col("measure").alias("name"), F.col("value").cast("long").alias("value")),
+        metrics.hub_rankings(s).select(F.concat(F.lit("hub:"), "ranking"), "place", "class_name", F.col("users").cast("long")),
+        metrics.injection_problem_counts(points).select(F.lit("injection"), none, "status", F.col("points").cast("long")),
+        open_.select(F.lit("problem"), none, F.concat_ws(" ", "status", "target_type", "field_name"), F.col("point_id").cast("long")),
+        ranked(metrics.external_libraries(s), F.desc("classes"), "library").select(F.lit("library"), "place", "library", F.col("classes").cast("long")),
+        ranked(git.hotspots(s, since=since), F.desc("commit_count"), "file_path").select(F.lit("hotspot"), "place", "file_path", F.col("commit_count").cast("long")),
+    ]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    return whole
+
+
 # States of a change, gravest first.
 VERDICTS = ("blocked", "needs_build", "partial", "ready")
 

@@ -16,6 +16,7 @@ from codeloom.functions.text import base_name, contains_pattern, has_modifier, i
 from codeloom.operators.endpoints import declared_routes
 from codeloom.operators.graph import closure_of, distances
 from codeloom.operators.metrics import edges_between_current
+from codeloom.operators.risk import file_kind
 from codeloom.plans.snapshot import Snapshot, is_production
 from codeloom.runtime import ship, stored
 
@@ -86,8 +87,8 @@ def search_properties(s: Snapshot, pattern: str) -> DataFrame:
     return fields.where(F.concat_ws(".", "class_name", "name").rlike(property_pattern(pattern))).select("class_id", "class_name", "name")
 
 
-def search_files(s: Snapshot, pattern: str, *, extension: str | None = None, directory: str | None = None, include_deleted: bool = False, limit: int | None = 50) -> DataFrame:
-    """Files by glob or, without a wildcard, by substring; ranked: exact path, exact base name, path
+def search_files(s: Snapshot, pattern: str, *, extension: str | None = None, directory: str | None = None, kind: str | None = None, include_deleted: bool = False, limit: int | None = 50) -> DataFrame:
+    """Files (of a kind, see ``risk.file_kind``) by glob or, without a wildcard, by substring; ranked: exact path, exact base name, path
     prefix, base-name prefix, glob, substring; then by path. A glob without ``/`` is for base names."""
     path, low, name = F.col("path"), F.lower("path"), F.lower(base_name(F.col("path")))
     want, wild = pattern.lower(), any(c in pattern for c in "*?")
@@ -98,6 +99,8 @@ def search_files(s: Snapshot, pattern: str, *, extension: str | None = None, dir
         found = found.where(path.startswith(directory.rstrip("/") + "/"))
     if extension:
         found = found.where(path.endswith("." + extension.lstrip(".")))
+    if kind:
+        found = found.where(file_kind(path) == kind)
     return page(found.where(match).select("path", "lifecycle", rank.alias("rank")).orderBy("rank", "path"), limit)
 
 
