@@ -209,23 +209,28 @@ def implementations(s: Snapshot, target: str, *, transitive: bool = True) -> Dat
     return s.current().where("kind <> 'INTERFACE'").join(reach, F.col("class_name") == F.col("node")).select("id", "class_name", "depth")
 
 
-def ancestors(s: Snapshot) -> DataFrame:
-    """(id, ancestor, depth): every supertype of every class by id, itself at 0."""
+def ancestors(s: Snapshot, of: DataFrame | None = None) -> DataFrame:
+    """(id, ancestor, depth): every supertype of every class (or only of those in ``of``, id) by id, itself at 0."""
     ids = s.classes.select("id", "class_name")
     edges = hierarchy_edges(s).join(ids.select(F.col("class_name").alias("child"), F.col("id").alias("src")), "child").join(ids.select(F.col("class_name").alias("parent"), F.col("id").alias("dst")), "parent")
-    reach = distances(edges, ids.select(F.col("id").alias("origin"), F.col("id").alias("node")))
+    starts = ids.select("id") if of is None else of.select("id").distinct().join(ids.select("id"), "id", "left_semi")
+    reach = distances(edges, starts.select(F.col("id").alias("origin"), F.col("id").alias("node")))
     return reach.select(F.col("origin").alias("id"), F.col("node").alias("ancestor"), "depth")
 
 
-def method_overrides(s: Snapshot) -> DataFrame:
-    """Every override of an overridable method in a class below: base, override and distance."""
+def method_overrides(s: Snapshot, of: DataFrame | None = None) -> DataFrame:
+    """Every override of an overridable method (or only of those in ``of``, base_id and name) in a class below: base, override and distance. Supertypes are
+    looked up only of classes that have a method of such a name and parameters."""
     methods = s.class_members.where("kind = 'METHOD'")
     free = lambda *flags: ~F.arrays_overlap(F.split("modifiers", r"\s+"), F.array(*map(F.lit, flags)))
     named = s.classes.select(F.col("id").alias("class_id"), package_name(F.col("class_name"), "").alias("package"))
     base = methods.where(free("private", "static", "final")).join(named, "class_id").select(F.col("class_id").alias("base_id"), "name", "parameter_types", F.col("package").alias("base_package"), (~(has_modifier(F.col("modifiers"), "public") | has_modifier(F.col("modifiers"), "protected"))).alias("package_private"))
     over = methods.where(free("private", "static")).join(named, "class_id").select(F.col("class_id").alias("id"), "name", "parameter_types", "package", "descriptor", has_modifier(F.col("modifiers"), "abstract").alias("abstract"))
+    if of is not None:
+        base = stored(base.join(of.select("base_id", "name").distinct(), ["base_id", "name"], "left_semi"))
+        over = over.join(base.select("name", "parameter_types").distinct(), ["name", "parameter_types"], "left_semi")
     # from the override up: a class has few ancestors, while a root class may have any number of subtypes
-    below = over.join(ancestors(s).where("depth > 0").withColumnRenamed("ancestor", "base_id"), "id")
+    below = over.join(ancestors(s, over).where("depth > 0").withColumnRenamed("ancestor", "base_id"), "id")
     found = below.join(base, ["base_id", "name", "parameter_types"])
     return found.where("NOT package_private OR package = base_package").select("base_id", "id", "name", "descriptor", "depth", "abstract")
 
@@ -273,7 +278,7 @@ def resolved_owners(s: Snapshot) -> DataFrame:
 def dispatch_candidates(s: Snapshot, *, most: int = 20) -> DataFrame:
     """For each method called virtually or through an interface: overrides below its class that aren't abstract, their number and the first ones."""
     called = s.method_calls.where(F.col("invocation_kind").isin("virtual", "interface")).select(F.col("target_class_id").alias("base_id"), F.col("target_method").alias("name"), F.col("target_descriptor").alias("descriptor")).distinct()
-    found = called.join(method_overrides(s).where("NOT abstract"), ["base_id", "name", "descriptor"])
+    found = called.join(method_overrides(s, called).where("NOT abstract"), ["base_id", "name", "descriptor"])
     place = F.row_number().over(Window.partitionBy("base_id", "name", "descriptor").orderBy("id"))
     first = found.withColumn("place", place)
     return first.groupBy("base_id", "name", "descriptor").agg(F.count(F.lit(1)).alias("candidates"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col("id")))), ",").alias("first_ids"))

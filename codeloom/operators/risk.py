@@ -41,7 +41,7 @@ def class_risk(s: Snapshot, targets: DataFrame | None = None) -> DataFrame:
         files = s.commit_files.join(targets.select(F.col("id").alias("class_id")), "class_id", "left_semi").select("file_path").distinct()
     history = rollup.join(co_change_counts(s, files), "file_path", "left")
     git = history.select(F.col("class_id").alias("id"), F.col("commit_count").alias("churn"), F.col("distinct_authors").alias("authors"), F.coalesce("co_changed", F.lit(0)).alias("co_changed"))
-    fans = fan_metrics(s) if targets is None else fan_metrics(s).join(targets.select("id"), "id", "left_semi")
+    fans = fan_metrics(s, targets)
     whole = fans.join(git, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("churn", "authors", "co_changed")})
     score = half_up(
         0.30 * scaled(F.col("fan_in"), 0, 3, 8, 15) + 0.10 * scaled(F.col("fan_out"), 0, 3, 5, 8) + 0.25 * scaled(F.col("churn"), 2, 10, 30, 50) + 0.20 * bus_factor(F.col("authors")) + 0.15 * scaled(F.col("co_changed"), 0, 3, 5, 8), 1
