@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.runtime import ship
+from codeloom.runtime import ship, stored
 
 
 def read_texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -137,6 +137,64 @@ def module_edges(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "module string, visible string, relation string").distinct()
 
 
+def _interpolated(text: str | None, properties: dict[str, str]) -> str:
+    """The text with ``${name}`` replaced by properties, which may name others, ten rounds deep."""
+    out = text or ""
+    for _ in range(10):
+        new = re.sub(r"\$\{([^}]+)\}", lambda m: properties.get(m[1], m[0]), out)
+        if new == out:
+            break
+        out = new
+    return out
+
+
+def _maven(text: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """(names by which a module is found, (name, scope) of what it depends on), as ``group:artifact``."""
+    root = ET.fromstring(re.sub(r"\sxmlns=\"[^\"]*\"", "", text))
+    said = lambda path: (root.findtext(path) or "").strip()
+    group, artifact = said("groupId") or said("parent/groupId"), said("artifactId")
+    properties = {p.tag: (p.text or "").strip() for p in root.findall("properties/*")}
+    properties |= {k: v for k, v in (("project.groupId", group), ("pom.groupId", group), ("project.artifactId", artifact)) if v}
+    wanted = []
+    for d in root.findall("dependencies/dependency"):
+        name = ":".join(_interpolated((d.findtext(k) or "").strip(), properties) for k in ("groupId", "artifactId"))
+        wanted.append((name, _interpolated((d.findtext("scope") or "").strip(), properties) or "compile"))
+    return [f"{group}:{artifact}"] if group and artifact else [], wanted
+
+
+def resolved_module_edges(texts: DataFrame) -> DataFrame:
+    """(module, visible, relation) between the modules of build files (path, text), by their folders. Maven's are found by group and artifact, with the
+    parent's group where a module names none and properties put in; Gradle's by their path or their folder's name. What isn't a module of these files, or
+    is the module itself, has no row; a file that can't be read has none. Of a name that several modules have, all are visible."""
+    ship(texts.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, text in zip(frame.path, frame.text, strict=True):
+                folder, _, name = path.rpartition("/")
+                if name == "pom.xml":
+                    try:
+                        names, wanted = _maven(text or "")
+                    except ET.ParseError:
+                        continue
+                    kind = "maven"
+                elif name in ("build.gradle", "build.gradle.kts"):
+                    kind, names = "gradle", [":" + folder.strip("/").replace("/", ":"), ":" + folder.rpartition("/")[2]]
+                    found = re.finditer(r"(\w+)\s*\(?\s*project\s*\(\s*(?:path\s*[:=]\s*)?[\"']:?([\w:.-]+)[\"']", text or "")
+                    wanted = [(":" + m[2].lstrip(":"), "test" if m[1].startswith("test") else "compile") for m in found]
+                else:
+                    continue
+                out.append((folder, kind, sorted(set(names)), [{"name": n, "relation": r} for n, r in wanted]))
+            yield pd.DataFrame(out, columns=["module", "kind", "names", "wanted"])
+
+    parsed = stored(texts.select("path", "text").mapInPandas(run, "module string, kind string, names array<string>, wanted array<struct<name:string,relation:string>>"))
+    names = parsed.select(F.col("module").alias("visible"), "kind", F.explode("names").alias("name")).distinct()
+    wanted = parsed.select("module", "kind", F.explode("wanted").alias("w")).select("module", "kind", "w.name", "w.relation")
+    # a Gradle path may be given from any folder above the module
+    return wanted.join(names, ["kind", "name"]).where("module <> visible").select("module", "visible", "relation").distinct()
+
+
 def classpath_coordinates(texts: DataFrame) -> DataFrame:
     """(path, jar, group, artifact, version) of captured class paths, for JARs in Maven's and Gradle's caches."""
     jars = texts.select("path", F.explode(F.split("text", r"[:;\n]")).alias("jar")).where("jar LIKE '%.jar'")

@@ -116,3 +116,18 @@ def test_generation_store(spark, tmp_path):
     assert made.generations() == ["g0", "g2", "g3", "g4", "g5", "g6"] and not (tmp_path / "idx/g1").exists()
     with pytest.raises(OSError):
         made.publish(Snapshot.of(spark, {"classes": spark.range(1)}), ["classes"], "g6", "main")
+
+
+def test_resolved_modules(spark):
+    pom = lambda own, deps, more="": f"<project xmlns=\"http://maven.apache.org/POM/4.0.0\">{own}<properties><g>org.acme</g><deep>${{g}}</deep><lib>lib</lib>{more}</properties><dependencies>{deps}</dependencies></project>"
+    dep = lambda g, a, scope="": f"<dependency><groupId>{g}</groupId><artifactId>{a}</artifactId>{f'<scope>{scope}</scope>' if scope else ''}</dependency>"
+    parent = "<parent><groupId>org.acme</groupId><artifactId>root</artifactId></parent>"
+    rows = [
+        ("app/pom.xml", pom(f"{parent}<artifactId>app</artifactId>", dep("${project.groupId}", "${lib}") + dep("${deep}", "tests", "test") + dep("org.other", "lib") + dep("${nowhere}", "lib") + dep("org.acme", "app"))),
+        ("lib/pom.xml", pom("<groupId>org.acme</groupId><artifactId>lib</artifactId>", "")), ("qa/pom.xml", pom(f"{parent}<artifactId>tests</artifactId>", dep("org.acme", "lib", "runtime"))),
+        ("broken/pom.xml", "<project>"), ("none/pom.xml", None), ("loop/pom.xml", pom("<groupId>x</groupId><artifactId>y</artifactId>", dep("${a}", "lib"), "<a>${b}</a><b>${a}</b>")),
+        ("g/web/build.gradle", "dependencies { implementation project(':g:core'); testImplementation(project(path: ':util')) ; api project(\":gone\") }"), ("g/core/build.gradle.kts", "dependencies { api(project(\":util\")) }"), ("g/util/build.gradle", None), ("readme", "x"),
+    ]
+    got = {tuple(r) for r in text.resolved_module_edges(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {("app", "lib", "compile"), ("app", "qa", "test"), ("qa", "lib", "runtime"), ("g/web", "g/core", "compile"), ("g/web", "g/util", "test"), ("g/core", "g/util", "compile")}
+    assert text.resolved_module_edges(spark.createDataFrame([], "path string, text string")).isEmpty()
