@@ -1,6 +1,7 @@
 """Queries of searches and listings."""
 
 from codeloom.catalogue import CUR, filled, register
+from codeloom.operators import artifacts
 from codeloom.operators import search as q
 
 _IN = "(EXISTS (SELECT 1 FROM class_occurrences o WHERE o.class_id = c.id AND o.module = 'Brand#3') OR (NOT EXISTS (SELECT 1 FROM class_occurrences o WHERE o.class_id = c.id) AND c.module = 'Brand#3'))"
@@ -118,3 +119,23 @@ register(
     f AS (SELECT * FROM c ORDER BY same_file DESC, name LIMIT 200), s AS (SELECT name, kind, CAST(CASE WHEN same_file THEN 20 ELSE 0 END + CASE WHEN class_id IN (SELECT id FROM near) THEN 25 ELSE 0 END + CASE WHEN kind = 'METHOD' THEN 80 ELSE -30 END AS INTEGER) AS score FROM f)
     SELECT name, kind, score, CAST(row_number() OVER (ORDER BY score DESC, name) AS INTEGER) AS place, row_number() OVER (ORDER BY score DESC, name) = 1 AND coalesce(lead(score) OVER (ORDER BY score DESC, name), -10000) < score AS decisive FROM s""",
 )
+_MAIN, _THIRD = "WHERE source_set = 'main'", "WHERE module = 'Brand#3'"
+_named = lambda df: df.withColumnRenamed("grp", "group")
+_PATHS = """lk AS (SELECT module FROM class_path_jars UNION SELECT module FROM module_edges EXCEPT SELECT module FROM class_path_jars WHERE source_set = 'test'), fs AS (SELECT e.module, e.visible FROM module_edges e JOIN lk ON lk.module = e.module WHERE relation IN ('compile', 'runtime', 'test', 'provided')
+    UNION SELECT fs.module, e.visible FROM fs JOIN module_edges e ON e.module = fs.visible AND e.relation IN ('compile', 'runtime')), sn AS (SELECT module, visible FROM fs UNION SELECT module, module FROM lk),
+    ep AS (SELECT *, 'captured' AS evidence FROM class_path_jars UNION ALL SELECT DISTINCT sn.module, 'test', jar, grp, artifact, version, 'inferred' FROM sn JOIN class_path_jars c ON c.module = sn.visible AND source_set = 'main')"""
+_VIEW = f"""{_PATHS}, ha AS (SELECT DISTINCT grp, artifact, version, module FROM ep {{where}}), kn AS (SELECT ha.*, EXISTS (SELECT 1 FROM declared_artifacts d WHERE d.module = ha.module AND d.grp = ha.grp AND d.artifact = ha.artifact) AS d, module IN (SELECT module FROM complete_modules) AS c FROM ha),
+    av AS (SELECT grp || ':' || artifact || ':' || version AS coordinate, grp, artifact, version, count(*) AS modules, count(*) FILTER (WHERE d) AS direct, count(*) FILTER (WHERE c AND NOT d) AS transitive, count(*) FILTER (WHERE NOT c) AS unknown,
+    coalesce((SELECT string_agg(DISTINCT scope, ',' ORDER BY scope) FROM declared_artifacts x WHERE x.grp = kn.grp AND x.artifact = kn.artifact AND x.module IN (SELECT module FROM ha h WHERE h.grp = kn.grp AND h.artifact = kn.artifact AND h.version = kn.version)), '') AS scopes FROM kn GROUP BY grp, artifact, version),
+    aw AS (SELECT *, CASE WHEN direct > 0 AND transitive = 0 AND unknown = 0 THEN 'direct' WHEN direct = 0 AND transitive > 0 AND unknown = 0 THEN 'transitive' WHEN direct = 0 AND transitive = 0 THEN 'unknown' ELSE 'mixed' END AS directness FROM av)"""
+register("effective_class_paths", lambda s: artifacts.effective_class_paths(_named(s.class_path_jars), s.module_edges).withColumnRenamed("group", "grp"), f"{_PATHS} SELECT * FROM ep")
+
+
+def _view(s, **by):
+    paths = artifacts.effective_class_paths(_named(s.class_path_jars), s.module_edges)
+    return artifacts.artifact_view(paths, _named(s.declared_artifacts), s.complete_modules, **by).withColumnRenamed("group", "grp")
+
+
+register("artifact_view", _view, f"{_VIEW.format(where='')} SELECT * FROM aw")
+register("artifact_view_filtered", lambda s: _view(s, source_set="main", group="O", artifact="LIB", scope="compile", directness="mixed"), f"{_VIEW.format(where=_MAIN)} SELECT * FROM aw WHERE contains(grp, 'o') AND contains(',' || scopes || ',', ',compile,') AND directness = 'mixed'")
+register("artifact_view_of_module", lambda s: _view(s, module="Brand#3"), f"{_VIEW.format(where=_THIRD)} SELECT * FROM aw")

@@ -147,6 +147,10 @@ RELATIONS: dict[str, str] = {
     "kotlin_members": """SELECT id AS class_id, 'METHOD' AS kind, 'f' AS name, '()V' AS descriptor, CASE WHEN id % 9 < 7 THEN 'kotlin.jvm.JvmOverloads' ELSE '' END AS annotations FROM classes UNION ALL SELECT id, 'METHOD', 'f', '(I)V', '' FROM classes
         UNION ALL SELECT id, 'CONSTRUCTOR', '<init>', '()V', 'x kotlin.jvm.JvmOverloads' FROM classes WHERE id % 4 = 1""",
     "class_files": "SELECT p_partkey AS class_id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 50 AS BIGINT) END AS file_id FROM part",
+    "class_path_jars": """SELECT DISTINCT p_brand AS module, CASE WHEN p_partkey % 3 = 0 AND length(p_brand) = 7 THEN 'test' ELSE 'main' END AS source_set, concat('/m2/', lower(p_type), '/lib', CAST(p_size % 7 AS STRING), '-1.', CAST(p_size % 2 AS STRING), '.jar') AS jar,
+        concat('org.', lower(p_type)) AS grp, concat('lib', CAST(p_size % 7 AS STRING)) AS artifact, concat('1.', CAST(p_size % 2 AS STRING)) AS version FROM part""",
+    "declared_artifacts": """SELECT DISTINCT p_brand AS module, concat('org.', lower(p_type)) AS grp, concat('lib', CAST(p_size % 7 AS STRING)) AS artifact, CASE p_partkey % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'runtime' ELSE 'compile' END AS scope FROM part WHERE p_size % 7 < 4 OR p_partkey % 2 = 0""",
+    "complete_modules": "SELECT DISTINCT p_brand AS module FROM part WHERE length(p_brand) = 8",
     "external_beans": "SELECT s_suppkey AS id, concat('lib.Bean', CAST(s_suppkey AS STRING)) AS class_name, CASE WHEN s_suppkey % 7 > 0 THEN concat('org.lib:a', CAST(s_nationkey AS STRING)) END AS artifact FROM supplier",
     "external_bean_settings": "SELECT c_custkey % 7 AS bean_id, concat('field', CAST(c_custkey % 5 AS STRING)) AS member, CASE WHEN c_custkey % 4 > 0 THEN concat('app.key', CAST(c_nationkey AS STRING)) END AS key, c_custkey % 3 = 0 AS required FROM customer",
     "di_problems": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 90 AS BIGINT) END AS class_id, concat('org.acme.K', CAST(c_custkey % 90 AS STRING)) AS class_name, CASE WHEN c_custkey % 2 = 0 THEN 'UNSATISFIED' ELSE 'INVALID_SCOPE' END AS problem_type, c_mktsegment AS message FROM customer WHERE c_custkey % 6 = 1",
