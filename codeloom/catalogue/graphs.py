@@ -136,6 +136,8 @@ _REACH = "r AS (SELECT src, dst FROM collapsed UNION SELECT r.src, c.dst FROM r
 register("strong_components", lambda s: g.strong_components(g.collapsed_edges(s)), f"{COLLAPSED}, {_REACH} SELECT node, component FROM scc")
 register("strong_components_distributed", lambda s: g.strong_components(g.collapsed_edges(s), driver_edges=0), f"{COLLAPSED}, {_REACH} SELECT node, component FROM scc")
 register("class_cycles", g.class_cycles, f"{COLLAPSED}, {_REACH} SELECT component, count(*) AS size, min(class_name) AS first_name FROM scc JOIN classes ON id = node GROUP BY 1")
+for _most in (3, 100):
+    register(f"class_cycle_status_{_most}", lambda s, most=_most: g.class_cycle_status(s, most=most), f"{COLLAPSED}, {_REACH} SELECT component, count(*) AS size, count(*) <= {_most} AS has_path FROM scc GROUP BY 1")
 register("module_cycles", g.module_cycles, "r AS (SELECT module AS src, visible AS dst FROM module_edges UNION SELECT r.src, visible FROM r JOIN module_edges ON module = r.dst) SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src")
 _VIS = "v0 AS (SELECT DISTINCT module, module AS visible, 0 AS distance FROM classes UNION SELECT v0.module, e.visible, distance + 1 FROM v0 JOIN module_edges e ON e.module = v0.visible AND relation = 'compile' WHERE distance < 25), v AS (SELECT module, visible, min(distance) AS distance FROM v0 GROUP BY 1, 2)"
 register("module_visibility", g.module_visibility, f"{_VIS} SELECT module, visible, CAST(distance AS INTEGER) AS distance FROM v")

@@ -1,6 +1,6 @@
 """Queries of aggregates over the dependency, call and field graphs."""
 
-from codeloom.catalogue import CUR, register
+from codeloom.catalogue import CUR, filled, register
 from codeloom.operators import metrics as m
 
 _EDGES = "e AS (SELECT d.*, f.class_name AS f_name, t.class_name AS t_name FROM dependencies d JOIN cur f ON f.id = from_class_id JOIN cur t ON t.id = to_class_id)"
@@ -102,3 +102,8 @@ register(
 register("external_bean_artifacts", m.external_bean_artifacts, "SELECT artifact, count(*) AS beans FROM external_beans WHERE artifact IS NOT NULL GROUP BY 1")
 register("required_configuration", m.required_configuration, "SELECT key, class_name AS bean, member FROM external_bean_settings x JOIN external_beans b ON b.id = bean_id WHERE key IS NOT NULL AND required")
 register("external_bean_summary", m.external_bean_summary, "SELECT (SELECT count(*) FROM external_beans) AS beans, count(DISTINCT class_name) AS beans_with_configuration, count(*) FILTER (WHERE required) AS required, count(*) FILTER (WHERE NOT required) AS defaulted FROM external_bean_settings JOIN external_beans b ON b.id = bean_id WHERE key IS NOT NULL")
+_PLACES = """an AS (SELECT 'org.acme.Core' AS a, 0 AS d UNION SELECT m.annotation, 1 FROM an JOIN annotation_metas m ON m.meta = an.a), pl AS (SELECT u.class_id, u.name, u.descriptor, u.position, min(d) AS d, min(annotation) FILTER (WHERE d = 1) AS via FROM (SELECT DISTINCT class_id, name, descriptor, position, annotation FROM annotation_uses) u JOIN an ON an.a = u.annotation GROUP BY 1, 2, 3, 4)
+    SELECT pl.class_id, class_name, CASE WHEN pl.position IS NOT NULL THEN 'PARAMETER' WHEN pl.name = '' THEN 'CLASS' ELSE m.kind END AS kind, pl.name, pl.descriptor, coalesce(pl.position, -1) AS position, CASE WHEN d = 0 THEN 'direct' ELSE 'meta' END AS match, CASE WHEN d = 1 THEN via END AS via
+    FROM pl JOIN cur ON cur.id = pl.class_id LEFT JOIN (SELECT DISTINCT class_id, name, descriptor, kind FROM class_members) m ON m.class_id = pl.class_id AND m.name = pl.name AND m.descriptor = pl.descriptor"""
+register("annotated_places", lambda s: filled(m.annotated_places(s, "org.acme.Core"), "position"), f"{CUR}, {_PLACES}")
+register("annotated_places_direct", lambda s: filled(m.annotated_places(s, "org.acme.Core", meta=False), "position"), f"{CUR}, {_PLACES} WHERE d = 0")

@@ -508,6 +508,12 @@ def class_cycle_paths(s: Snapshot, *, most: int = 100) -> DataFrame:
     return found.join(named, "node").select("component", "place", F.col("name").alias("class_name"))
 
 
+def class_cycle_status(s: Snapshot, *, most: int = 100) -> DataFrame:
+    """(component, size, has_path): which components :func:`class_cycle_paths` shows; those of more than ``most`` classes have no path there, as
+    a shortest one isn't looked for in them."""
+    return class_cycles(s).select("component", "size", (F.col("size") <= most).alias("has_path"))
+
+
 def module_visibility(s: Snapshot) -> DataFrame:
     """(module, visible, distance): modules each module sees through compile edges, itself at 0."""
     modules = s.classes.select(F.col("module").alias("origin"), F.col("module").alias("node")).distinct()

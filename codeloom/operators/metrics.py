@@ -221,3 +221,20 @@ def external_bean_summary(s: Snapshot) -> DataFrame:
     known = s.external_bean_settings.where("key is not null").join(s.external_beans.select(F.col("id").alias("bean_id"), "class_name"), "bean_id")
     settings = known.agg(F.countDistinct("class_name").alias("beans_with_configuration"), F.count_if("required").alias("required"), F.count_if(~F.col("required")).alias("defaulted"))
     return s.external_beans.agg(F.count(F.lit(1)).alias("beans")).withColumn("one", F.lit(1)).join(settings.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def annotated_places(s: Snapshot, annotation: str, *, meta: bool = True) -> DataFrame:
+    """(class_id, class_name, kind, name, descriptor, position, match, via): every place in current classes that has an annotation: the class, a member, or a
+    parameter (kind PARAMETER and its position from 0). ``match`` is direct, or meta where an annotation of the place (``via``, the first by name) has
+    it, directly or through others; a place that has it directly isn't meta."""
+    from codeloom.operators.graph import distances
+
+    start = s.spark.createDataFrame([(annotation,)], "node string")
+    on = s.annotation_metas.select(F.col("meta").alias("src"), F.col("annotation").alias("dst")).distinct()
+    reach = distances(on, start, max_depth=None if meta else 0).select(F.col("node").alias("annotation"), (F.col("depth") > 0).alias("meta"))
+    place = ["class_id", "name", "descriptor", "position"]
+    found = s.annotation_uses.select(*place, "annotation").distinct().join(reach, "annotation").groupBy(*place).agg(F.min("meta").alias("meta"), F.min(F.when(F.col("meta"), F.col("annotation"))).alias("via"))
+    kinds = s.class_members.select("class_id", "name", "descriptor", "kind").distinct()
+    kind = F.when(F.col("position").isNotNull(), "PARAMETER").when(F.col("name") == "", "CLASS").otherwise(F.col("kind"))
+    rows = found.join(kinds, ["class_id", "name", "descriptor"], "left").join(s.current().select(F.col("id").alias("class_id"), "class_name"), "class_id")
+    return rows.select("class_id", "class_name", kind.alias("kind"), "name", "descriptor", "position", F.when(F.col("meta"), "meta").otherwise("direct").alias("match"), F.when(F.col("meta"), F.col("via")).alias("via"))

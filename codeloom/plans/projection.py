@@ -147,6 +147,11 @@ RELATIONS: dict[str, str] = {
     "kotlin_members": """SELECT id AS class_id, 'METHOD' AS kind, 'f' AS name, '()V' AS descriptor, CASE WHEN id % 9 < 7 THEN 'kotlin.jvm.JvmOverloads' ELSE '' END AS annotations FROM classes UNION ALL SELECT id, 'METHOD', 'f', '(I)V', '' FROM classes
         UNION ALL SELECT id, 'CONSTRUCTOR', '<init>', '()V', 'x kotlin.jvm.JvmOverloads' FROM classes WHERE id % 4 = 1""",
     "class_files": "SELECT p_partkey AS class_id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 50 AS BIGINT) END AS file_id FROM part",
+    "annotation_metas": """SELECT DISTINCT concat('org.acme.Mark', CAST(p_partkey % 6 AS STRING)) AS annotation, CASE p_partkey % 6 WHEN 0 THEN 'org.acme.Core' WHEN 1 THEN 'org.acme.Mark0' WHEN 2 THEN 'org.acme.Mark1' WHEN 3 THEN 'org.acme.Mark4' ELSE 'org.acme.Mark3' END AS meta, '' AS element FROM part""",
+    "annotation_uses": """SELECT id AS class_id, '' AS name, '' AS descriptor, CAST(NULL AS INTEGER) AS position, CASE WHEN id % 7 = 0 THEN 'org.acme.Core' ELSE concat('org.acme.Mark', CAST(id % 6 AS STRING)) END AS annotation, '' AS element FROM classes WHERE id % 3 <> 1
+        UNION ALL SELECT class_id, name, descriptor, CAST(NULL AS INTEGER), concat('org.acme.Mark', CAST((class_id + length(name)) % 6 AS STRING)), '' FROM class_members WHERE class_id % 4 = 2
+        UNION ALL SELECT class_id, name, descriptor, 0, CASE WHEN class_id % 5 = 1 THEN 'org.acme.Core' ELSE 'org.acme.Mark2' END, '' FROM class_members WHERE parameter_types <> '' AND class_id % 5 < 3
+        UNION ALL SELECT class_id, name, descriptor, 0, 'org.acme.Mark1', '' FROM class_members WHERE parameter_types <> '' AND class_id % 10 = 1""",
     "class_path_jars": """SELECT DISTINCT p_brand AS module, CASE WHEN p_partkey % 3 = 0 AND length(p_brand) = 7 THEN 'test' ELSE 'main' END AS source_set, concat('/m2/', lower(p_type), '/lib', CAST(p_size % 7 AS STRING), '-1.', CAST(p_size % 2 AS STRING), '.jar') AS jar,
         concat('org.', lower(p_type)) AS grp, concat('lib', CAST(p_size % 7 AS STRING)) AS artifact, concat('1.', CAST(p_size % 2 AS STRING)) AS version FROM part""",
     "declared_artifacts": """SELECT DISTINCT p_brand AS module, concat('org.', lower(p_type)) AS grp, concat('lib', CAST(p_size % 7 AS STRING)) AS artifact, CASE p_partkey % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'runtime' ELSE 'compile' END AS scope FROM part WHERE p_size % 7 < 4 OR p_partkey % 2 = 0""",

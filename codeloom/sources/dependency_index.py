@@ -95,3 +95,30 @@ def update(jars: DataFrame, folder: str, wanted: list[str] | None = None) -> Dep
     once = shards.groupBy("hash").agg(F.min("run").alias("run"))
     classes = shards.join(once, ["hash", "run"], "left_semi").join(asked.where("hash is not null"), "hash").drop("run")
     return DependencyIndex(classes, status, parsed)
+
+
+def type_details(index: DependencyIndex, name: str) -> DataFrame:
+    """(class_name, kind, flags, superclass, interfaces, signature, jar, supertypes) of the types of a full or simple name, the first on the class path of each full
+    name. ``supertypes`` are all above it that the index has or names, nearest first; several rows mean that a simple name is ambiguous."""
+    from codeloom.operators.graph import distances
+
+    first = stored(index.first().where("problem is null"))
+    found = first.where((F.col("class_name") == name) | (F.regexp_extract("class_name", r"([^.$]+)$", 1) == name))
+    up = first.select(F.col("class_name").alias("src"), F.explode(F.array_compact(F.concat(F.array("superclass"), "interfaces"))).alias("dst"))
+    above = distances(up, found.select(F.col("class_name").alias("origin"), F.col("class_name").alias("node"))).where("depth > 0")
+    listed = above.groupBy(F.col("origin").alias("class_name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]).alias("supertypes"))
+    return found.join(listed, "class_name", "left").select("class_name", "kind", "flags", "superclass", "interfaces", "signature", "jar", F.coalesce("supertypes", F.array().cast("array<string>")).alias("supertypes"))
+
+
+def type_members(index: DependencyIndex, name: str, *, inherited: bool = False) -> DataFrame:
+    """(owner, kind, name, descriptor, modifiers, signature, constant, exceptions) of a type's members; with ``inherited``, of those above it, too, that
+    are neither private nor constructors nor declared again nearer by."""
+    details = stored(type_details(index, name))
+    owners = details.select(F.col("class_name").alias("origin"), F.col("class_name").alias("owner"), F.lit(0).alias("depth"))
+    if inherited:
+        owners = owners.unionByName(details.select(F.col("class_name").alias("origin"), F.posexplode("supertypes").alias("depth", "owner")).withColumn("depth", F.col("depth") + 1))
+    own = index.first().select(F.col("class_name").alias("owner"), F.explode("members").alias("m"))
+    rows = own.join(owners, "owner").select("origin", "owner", "depth", "m.*")
+    shown = rows.where((F.col("depth") == 0) | (~F.array_contains("modifiers", "private") & (F.col("kind") != "CONSTRUCTOR") & (F.col("name") != "<clinit>")))
+    nearest = Window.partitionBy("origin", "kind", "name", "descriptor").orderBy("depth", "owner")
+    return shown.withColumn("n", F.row_number().over(nearest)).where("n = 1").select("owner", "kind", "name", "descriptor", "modifiers", "signature", "constant", "exceptions")

@@ -62,3 +62,15 @@ def test_no_jars(spark, tmp_path):
     index = d.update(none, str(tmp_path / "s"), ["x.jar"])
     assert index.parsed == 0 and index.overall() == "UNAVAILABLE" and index.classes.isEmpty() and index.first().isEmpty()
     assert d.update(none, str(tmp_path / "s")).overall() == "COMPLETE"
+
+
+def test_details_of_external_types(spark, folders):
+    lib, store = folders
+    index = d.update(files(spark, lib), store, ["a.jar"])
+    row = d.type_details(index, "NOPLogger").first()
+    assert row.class_name == "org.slf4j.helpers.NOPLogger" and row.kind == "CLASS" and row.jar == "a.jar" and set(row.supertypes[:2]) == {"org.slf4j.helpers.NamedLoggerBase", "org.slf4j.Logger"}
+    assert d.type_details(index, "org.slf4j.Logger").first().kind == "INTERFACE" and d.type_details(index, "Nothing").isEmpty()
+    own = {(r.name, r.descriptor) for r in d.type_members(index, "NOPLogger").collect()}
+    whole = {(r.name, r.descriptor): r.owner for r in d.type_members(index, "NOPLogger", inherited=True).collect()}
+    assert ("isInfoEnabled", "()Z") in own and own < set(whole) and whole["isInfoEnabled", "()Z"] == "org.slf4j.helpers.NOPLogger"
+    assert whole["isInfoEnabled", "(Lorg/slf4j/Marker;)Z"] == "org.slf4j.helpers.NOPLogger" and "org.slf4j.helpers.NamedLoggerBase" in whole.values()
