@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import injection
+from codeloom.operators import beans, injection
 from codeloom.plans.snapshot import Snapshot
 
 POINTS, BEANS = 200, 6
@@ -48,3 +48,19 @@ def test_points_without_a_type_or_qualifier_keep_a_status(spark):
     both = Snapshot.of(spark, {"injection_points": odd, "beans": s.beans})
     assert {r.point_id: r.status for r in injection.resolved_points(both).collect()} == {0: "RESOLVED", 1: "UNSATISFIED"}
     assert {r.point_id: r.status for r in injection.named_resolution(both).collect()} == {0: "RESOLVED", 1: "UNSATISFIED"}
+
+
+def test_typed_resolution_selects_once_for_each_ask(spark, monkeypatch):
+    sizes, plain = [], beans._selected
+
+    def counted(rows, of, replaced):
+        sizes.append(rows.count())
+        return plain(rows, of, replaced)
+
+    monkeypatch.setattr(beans, "_selected", counted)
+    # the order of the qualifiers, and one that is told twice, make no other ask
+    points = spark.range(POINTS).select("id", F.lit("T").alias("target_type"), F.when(F.col("id") % 2 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("B"), F.lit("A"), F.lit("A"))).alias("qualifiers"))
+    own = spark.range(BEANS).select("id", F.array(F.lit("T")).alias("types"), F.array(F.lit("A"), F.lit("B")).alias("qualifiers"), F.lit(False).alias("is_default"), (F.col("id") == 2).alias("is_alternative"), F.lit(1).cast("long").alias("priority"), F.lit(None).cast("long").alias("specializes_id"))
+    assert {(r.bean_id, r.status) for r in beans.typed_resolution(points, own).collect()} == {(2, "RESOLVED")}
+    assert beans.typed_candidates(points, own).count() == beans.matching_beans(points, own).count() == POINTS * BEANS
+    assert sizes == [BEANS, BEANS]
