@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import beans, injection
+from codeloom.operators import beans, graph, injection
 from codeloom.plans.snapshot import Snapshot
 
 POINTS, BEANS = 200, 6
@@ -64,3 +64,34 @@ def test_typed_resolution_selects_once_for_each_ask(spark, monkeypatch):
     assert {(r.bean_id, r.status) for r in beans.typed_resolution(points, own).collect()} == {(2, "RESOLVED")}
     assert beans.typed_candidates(points, own).count() == beans.matching_beans(points, own).count() == POINTS * BEANS
     assert sizes == [BEANS, BEANS]
+
+
+def _stored_plans(monkeypatch):
+    """What a loop stores from now on: the plans."""
+    plans, plain = [], graph.stored
+
+    def kept(df, *a):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *a)
+
+    monkeypatch.setattr(graph, "stored", kept)
+    return plans
+
+
+def test_components_take_few_rounds_on_a_long_chain_of_cycles(spark, monkeypatch):
+    plans = _stored_plans(monkeypatch)
+    cycles = 16
+    pairs = [e for k in range(cycles) for e in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k), (2 * k + 1, 2 * k - 1))]
+    got = graph.strong_components(spark.createDataFrame([e for e in pairs if e[1] >= 0], "src long, dst long"), driver_edges=0)
+    assert sorted(map(tuple, got.collect())) == [(n, n - n % 2) for n in range(2 * cycles)]
+    assert len(plans) < 40
+
+
+def test_large_levels_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    plans = _stored_plans(monkeypatch)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(4, 2)], "src long, dst long")
+    starts = edges.select(F.col("src").alias("origin"), F.col("src").alias("node")).distinct()
+    assert graph.distances(edges, starts).count() == sum(10 - k for k in range(9)) + 3
+    assert sorted(map(tuple, graph.strong_components(edges, driver_edges=0).collect())) == [(2, 2), (3, 2), (4, 2)]
+    assert not [p for p in plans if "Broadcast" in p]
