@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import beans, graph, injection
+from codeloom.operators import beans, graph, injection, search
 from codeloom.plans.snapshot import Snapshot
 
 POINTS, BEANS = 200, 6
@@ -95,3 +95,15 @@ def test_large_levels_are_not_broadcast(spark, monkeypatch):
     assert graph.distances(edges, starts).count() == sum(10 - k for k in range(9)) + 3
     assert sorted(map(tuple, graph.strong_components(edges, driver_edges=0).collect())) == [(2, 2), (3, 2), (4, 2)]
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_position_meets_the_first_declarations_of_other_files_only(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(search, "uses_at", lambda positions, sources: positions)
+    monkeypatch.setattr(search, "_first_of_each", lambda rows, *a: sizes.append(rows.count()) or graph._first_of_each(rows, *a))
+    classes = spark.range(40).select("id", F.format_string("a.C%02d", "id").alias("class_name"), F.lit("CLASS").alias("kind"), F.format_string("f%d", F.col("id")).alias("source_file"), F.lit(1).cast("long").alias("source_line"), F.lit("current").alias("lifecycle"))
+    members = classes.select(F.col("id").alias("class_id"), F.lit("METHOD").alias("kind"), F.lit("run").alias("name"), F.lit("()V").alias("descriptor"), F.lit("").alias("parameter_types"))
+    uses = spark.range(30, 40).select(F.format_string("f%d", F.col("id")).alias("path"), F.lit(5).cast("long").alias("line"), F.lit(1).alias("column"), F.lit("run").alias("identifier"), F.lit(None).cast("string").alias("receiver"), F.lit("call").alias("context"), F.lit(0).alias("arguments"))
+    got = search.symbols_at(Snapshot.of(spark, {"classes": classes, "class_members": members}), uses, uses, limit=3).collect()
+    assert sizes == [40]  # ranked once, not for each of ten positions
+    assert {(r.path, r.place, r.name) for r in got} == {(f"f{k}", p, n) for k in range(30, 40) for p, n in ((1, f"a.C{k}#run()V"), (2, "a.C00#run()V"), (3, "a.C01#run()V"))}
