@@ -1,8 +1,11 @@
 """What must not grow faster than the input: rows that are compared, rounds, what goes through the driver, what a task gets."""
 
+import datetime
+import re
+
 from pyspark.sql import functions as F
 
-from codeloom.operators import beans, graph, injection, search
+from codeloom.operators import beans, git, graph, injection, risk, search
 from codeloom.plans.snapshot import Snapshot
 
 POINTS, BEANS = 200, 6
@@ -107,3 +110,14 @@ def test_a_position_meets_the_first_declarations_of_other_files_only(spark, monk
     got = search.symbols_at(Snapshot.of(spark, {"classes": classes, "class_members": members}), uses, uses, limit=3).collect()
     assert sizes == [40]  # ranked once, not for each of ten positions
     assert {(r.path, r.place, r.name) for r in got} == {(f"f{k}", p, n) for k in range(30, 40) for p, n in ((1, f"a.C{k}#run()V"), (2, "a.C00#run()V"), (3, "a.C01#run()V"))}
+
+
+
+def test_history_is_dealt_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(git, "TASK_ROWS", 10)
+    commits = spark.range(50).select("id", F.format_string("a%d", F.col("id") % 3).alias("author"), F.lit(datetime.date(2020, 1, 1)).alias("committed_at"))
+    files = spark.range(100).select((F.col("id") % 50).alias("commit_id"), (F.col("id") % 4).alias("class_id"), F.format_string("f%d", F.col("id") % 4).alias("file_path"))
+    s = Snapshot.of(spark, {"commits": commits, "commit_files": files})
+    assert {(r.file_path, r.commit_count, r.distinct_authors) for r in git.file_rollup(s).collect()} == {(f"f{k}", 25, 3) for k in range(4)}
+    assert re.search(r"hashpartitioning\(file_path#\d+, author#\d+, 10\), REPARTITION_BY_NUM", git.file_rollup(s)._jdf.queryExecution().executedPlan().toString())
+    assert {(r.file_path, r.co_changed) for r in risk.co_change_counts(s).collect()} == {(f"f{k}", 1) for k in range(4)}
