@@ -100,6 +100,27 @@ def test_large_levels_are_not_broadcast(spark, monkeypatch):
     assert not [p for p in plans if "Broadcast" in p]
 
 
+def _hierarchy(spark, monkeypatch):
+    """Two classes that use each other, below a third, and the plans of what is stored from now on."""
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    make = spark.createDataFrame
+    classes = make([(1, "a.A", None), (2, "a.B", "a.A"), (3, "a.C", "a.A")], "id long, class_name string, superclass string").withColumns({"kind": F.lit("CLASS"), "lifecycle": F.lit("current"), "origin": F.lit("source")})
+    uses = make([(2, 3, "CALLS", 1), (3, 2, "CALLS", 1)], "from_class_id long, to_class_id long, kind string, occurrence_count long")
+    faces = make([(3, "a.B")], "class_id long, interface_name string")
+    return Snapshot.of(spark, {"classes": classes, "dependencies": uses, "class_interfaces": faces}), _stored_plans(monkeypatch)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_supertypes_are_found_without_broadcasting_classes(spark, monkeypatch):
+    s, plans = _hierarchy(spark, monkeypatch)
+    got = graph.ancestors(s)
+    assert sorted((r.id, r.ancestor, r.depth) for r in got.collect()) == [(1, 1, 0), (2, 1, 1), (2, 2, 0), (3, 1, 1), (3, 2, 1), (3, 3, 0)]
+    assert plans and not [p for p in plans if "Broadcast" in p]
+
+
 def test_a_position_meets_the_first_declarations_of_other_files_only(spark, monkeypatch):
     sizes = []
     monkeypatch.setattr(search, "uses_at", lambda positions, sources: positions)
