@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import beans, git, graph, injection, risk, search
+from codeloom.operators import beans, git, graph, injection, metrics, risk, search
 from codeloom.plans.snapshot import Snapshot
 
 POINTS, BEANS = 200, 6
@@ -114,6 +114,13 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_edges_of_components_are_made_without_broadcasting_classes(spark, monkeypatch):
+    s, plans = _hierarchy(spark, monkeypatch)
+    got = graph.strong_components(metrics.collapsed_edges(s))
+    assert sorted(map(tuple, got.collect())) == [(2, 2), (3, 2)]
+    assert plans and not [p for p in plans if "Broadcast" in p]
+
+
 def test_supertypes_are_found_without_broadcasting_classes(spark, monkeypatch):
     s, plans = _hierarchy(spark, monkeypatch)
     got = graph.ancestors(s)
