@@ -156,3 +156,19 @@ def test_history_is_dealt_by_its_rows(spark, monkeypatch):
     assert {(r.file_path, r.commit_count, r.distinct_authors) for r in git.file_rollup(s).collect()} == {(f"f{k}", 25, 3) for k in range(4)}
     assert re.search(r"hashpartitioning\(file_path#\d+, author#\d+, 10\), REPARTITION_BY_NUM", git.file_rollup(s)._jdf.queryExecution().executedPlan().toString())
     assert {(r.file_path, r.co_changed) for r in risk.co_change_counts(s).collect()} == {(f"f{k}", 1) for k in range(4)}
+
+
+def _history(spark, monkeypatch):
+    """100 rows of history, two files in each of 50 commits, four classes; ten rows to a task."""
+    monkeypatch.setattr(git, "TASK_ROWS", 10)
+    make = spark.createDataFrame
+    commits = spark.range(50).select("id", F.format_string("a%d", F.col("id") % 3).alias("author"), F.lit(datetime.date(2020, 1, 1)).alias("committed_at"))
+    files = spark.range(100).select((F.col("id") % 50).alias("commit_id"), (F.col("id") % 4).alias("class_id"), F.format_string("f%d", F.col("id") % 4).alias("file_path"))
+    classes = spark.range(4).select("id", F.format_string("a.C%d", "id").alias("class_name"), F.lit("current").alias("lifecycle"), F.lit("source").alias("origin"))
+    return Snapshot.of(spark, {"commits": commits, "commit_files": files, "classes": classes, "dependencies": make([], "from_class_id long, to_class_id long, kind string, occurrence_count long")})
+
+
+def test_files_of_hotspots_are_dealt_by_rows(spark, monkeypatch):
+    s = _history(spark, monkeypatch)
+    assert [(r.file_path, r.commit_count) for r in git.hotspots(s, include_historical=True).collect()] == [(f"f{k}", 25) for k in range(4)]
+    assert re.search(r"hashpartitioning\(file_path#\d+, 10\), REPARTITION_BY_NUM", _plan(git.hotspots(s, include_historical=True)))
