@@ -172,3 +172,11 @@ def test_files_of_hotspots_are_dealt_by_rows(spark, monkeypatch):
     s = _history(spark, monkeypatch)
     assert [(r.file_path, r.commit_count) for r in git.hotspots(s, include_historical=True).collect()] == [(f"f{k}", 25) for k in range(4)]
     assert re.search(r"hashpartitioning\(file_path#\d+, 10\), REPARTITION_BY_NUM", _plan(git.hotspots(s, include_historical=True)))
+
+
+def test_sizes_of_commits_are_dealt_by_rows(spark, monkeypatch):
+    s, plans, plain = _history(spark, monkeypatch), [], risk.stored
+    monkeypatch.setattr(risk, "stored", lambda df: plans.append(_plan(df)) or plain(df))
+    got = risk.class_risk(s).collect()
+    assert sorted((r.id, r.churn, r.authors, r.co_changed) for r in got) == [(k, 25, 3, 1) for k in range(4)]
+    assert plans and not [p for p in plans if "ENSURE_REQUIREMENTS" in p]
