@@ -174,6 +174,15 @@ def test_files_of_hotspots_are_dealt_by_rows(spark, monkeypatch):
     assert re.search(r"hashpartitioning\(file_path#\d+, 10\), REPARTITION_BY_NUM", _plan(git.hotspots(s, include_historical=True)))
 
 
+def test_history_of_few_classes_is_cut_before_it_is_dealt(spark, monkeypatch):
+    s, told, plain = _history(spark, monkeypatch), [], git.parts_for
+    for of in (git, risk):
+        monkeypatch.setattr(of, "parts_for", lambda rows: told.append(rows) or plain(rows))
+    got = risk.class_risk(s, s.classes.where("id = 0").select("id")).collect()
+    assert [(r.id, r.churn, r.authors, r.co_changed) for r in got] == [(0, 25, 3, 1)]
+    assert told and max(told) == 50  # of 100 rows those of the file's commits
+
+
 def test_sizes_of_commits_are_dealt_by_rows(spark, monkeypatch):
     s, plans, plain = _history(spark, monkeypatch), [], risk.stored
     monkeypatch.setattr(risk, "stored", lambda df: plans.append(_plan(df)) or plain(df))
