@@ -121,6 +121,13 @@ def test_edges_of_components_are_made_without_broadcasting_classes(spark, monkey
     assert plans and not [p for p in plans if "Broadcast" in p]
 
 
+def test_cycles_are_named_without_broadcasting_classes(spark, monkeypatch):
+    s, plans = _hierarchy(spark, monkeypatch)
+    got = graph.class_cycles(s)
+    assert [tuple(r) for r in got.collect()] == [(2, 2, "a.B")]
+    assert not [p for p in [*plans, _plan(got)] if "Broadcast" in p]
+
+
 def test_cycle_paths_are_named_without_broadcasting_classes(spark, monkeypatch):
     s, plans = _hierarchy(spark, monkeypatch)
     got = graph.class_cycle_paths(s)
