@@ -53,6 +53,33 @@ def test_points_without_a_type_or_qualifier_keep_a_status(spark):
     assert {r.point_id: r.status for r in injection.named_resolution(both).collect()} == {0: "RESOLVED", 1: "UNSATISFIED"}
 
 
+def _asks(spark, name, n, asks):
+    """(``name``, ask): ids below ``n`` and a null one, dealt to so many asks."""
+    ids = spark.range(n).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).toDF("id")
+    return ids.select(F.col("id").alias(name), F.struct(F.format_string("T%d", F.coalesce("id", F.lit(0)) % asks).alias("target_type")).alias("ask"))
+
+
+def test_pairs_are_whole_however_they_are_cut(spark, monkeypatch):
+    for name, size in (("BLOCK", 7), ("CHUNK", 5), ("PART_PAIRS", 100)):
+        monkeypatch.setattr(injection, name, size)
+    points, found = _asks(spark, "point_id", 90, 4), _asks(spark, "candidate_id", 80, 3).withColumn("reason", F.when(F.col("candidate_id") % 2 == 0, "even").otherwise("odd"))
+    key = lambda x: (x or 0)
+    want = [(p, c, "even" if c is not None and c % 2 == 0 else "odd") for p in [*range(90), None] for c in [*range(80), None] if key(p) % 4 == key(c) % 3]
+    assert sorted(map(tuple, injection.spread(points, found).select("point_id", "candidate_id", "reason").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_pairs_compress_though_an_ask_has_many_candidates(spark, tmp_path):
+    points, found = _asks(spark, "point_id", 100, 1), _asks(spark, "candidate_id", 20_000, 1)
+    injection.spread(points, found).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 101 * 20_001
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 101 * 20_001 / 2  # bytes: less than half of one a pair
+
+
+def test_pairs_are_made_a_block_and_chunk_at_a_time(spark):
+    plan = _plan(injection.spread(_asks(spark, "point_id", 9, 1), _asks(spark, "candidate_id", 9, 1)))
+    assert re.search(r"Generate explode\(candidate_id.*Generate explode\(point_id.*Coalesce.*SortMergeJoin", plan, re.S)
+
+
 def test_typed_resolution_selects_once_for_each_ask(spark, monkeypatch):
     sizes, plain = [], beans._selected
 
