@@ -191,6 +191,35 @@ def test_cycle_paths_equal_a_plain_search(spark):
         assert path == min(w for w in ways if w[-1] == start)
 
 
+def _chords(n, r):
+    """A ring of ``n`` nodes with steps back and short steps forward, and its names, in which 5 is the first."""
+    edges = {(k, (k + 1) % n) for k in range(n)} | {(k, k - r.randrange(1, 4)) for k in range(3, n, 2)} | {(k, min(n - 1, k + r.choice((25, 31)))) for k in range(0, n - 1, 3)}
+    return {(a, b) for a, b in edges if a != b and b != 5} | {(n - 1, 5)}, {k: f"n{(k - 5) * 7 % n:03}" for k in range(n)}
+
+
+def test_cycles_of_many_classes_have_a_path(spark):
+    import random
+
+    edges, names = _chords(130, random.Random(8))
+    frame = spark.createDataFrame(sorted(edges) + [(500, 501), (501, 500)], "src long, dst long")
+    members = graph.strong_components(frame)
+    members = members.join(spark.createDataFrame(list((names | {500: "a", 501: "b"}).items()), "node long, name string"), "node")
+    assert members.where("component < 500").count() > 100
+    shortest = {5: (5,)}  # for each node the first by name of the shortest ways from 5
+    level = [5]
+    while 5 not in {b for a in level for b in (y for x, y in edges if x == a)}:
+        ways = [(shortest[a] + (b,)) for a in level for x, b in sorted(edges) if x == a and b not in shortest]
+        ways.sort(key=lambda w: [names[k] for k in w])
+        for w in ways:
+            shortest.setdefault(w[-1], w)
+        level = list({w[-1] for w in ways})
+    want = min((shortest[a] for a in level if (a, 5) in edges), key=lambda w: [names[k] for k in w])
+    assert graph.cycle_paths(frame, members) == {0: [*want, 5], 500: [500, 501, 500]}
+    assert len(want) > 4
+    got = sorted(map(tuple, graph.cycle_path_rows(frame, members, task_edges=2).collect()))  # the larger one by joins
+    assert got == [(0, k, n) for k, n in enumerate([*want, 5])] + [(500, 0, 500), (500, 1, 501), (500, 2, 500)]
+
+
 def test_answers_have_totals_and_cursors(spark):
     rows = spark.range(25).selectExpr("id", "concat('row ', id) AS name").orderBy("id")
     first = paging.answer(rows, limit=10, traversal="rows")
