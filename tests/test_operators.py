@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from codeloom.functions import paging
-from codeloom.operators import compare, composite, execution, git, graph, risk, search, unused, workspace
+from codeloom.operators import compare, composite, execution, git, graph, risk, search, unused, usage, workspace
 from codeloom.plans.snapshot import Snapshot
 
 D = datetime.datetime
@@ -220,6 +220,17 @@ def test_cycles_of_many_classes_have_a_path(spark):
     assert got == [(0, k, n) for k, n in enumerate([*want, 5])] + [(500, 0, 500), (500, 1, 501), (500, 2, 500)]
 
 
+def test_a_context_has_the_whole_card_and_tests(index, spark):
+    targets = spark.createDataFrame([(1,), (4,)], "id long")
+    more = {"external_deps": spark.createDataFrame([(1, "lib.A"), (1, "lib.B")], "class_id long, external_type string"), "dependency_lines": index.dependencies.selectExpr("from_class_id", "to_class_id", "kind", "1L AS line"),
+            "class_interfaces": index.classes.where("interface_name is not null").selectExpr("id AS class_id", "interface_name")}
+    index = Snapshot(spark, lambda name, _, of=index: more[name] if name in more else of[name])
+    whole = {r.id: r.asDict() for r in usage.class_cards(index, targets).collect()}
+    got = {r.id: r.asDict() for r in composite.change_context(index, targets).collect()}
+    assert set(got) == {1, 4} and all(got[k].items() >= whole[k].items() for k in got)
+    assert {k: r["tests"] for k, r in got.items()} == {1: 1, 4: 1} and {r.class_name for r in risk.impacted_tests(index, targets).collect()} >= {"org.acme.OrderTest"}
+
+
 def test_answers_have_totals_and_cursors(spark):
     rows = spark.range(25).selectExpr("id", "concat('row ', id) AS name").orderBy("id")
     first = paging.answer(rows, limit=10, traversal="rows")
